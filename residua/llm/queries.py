@@ -11,6 +11,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the ids of every document to a token file and read its documents back."""
+    import public_tokenizers
+
+    from residua.llm._shared import new_path
+    from residua.llm.token_blocks import token_digests, write_tokens
+
+    path = new_path(spark, "tokens")
+    write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_digests(spark, path)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the byte-level BPE ids of every document and of their decoding."""
     import public_tokenizers
@@ -22,6 +34,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_blocks": op1_token_blocks,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
