@@ -23,6 +23,14 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those that contexts add."""
+    from residua.llm.pii import find, spans_text
+
+    found = find(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans_text().alias("spans"), "n_added")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the byte-level BPE ids of every document and of their decoding."""
     import public_tokenizers
@@ -35,6 +43,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
+    "op3_pii": op3_pii,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
