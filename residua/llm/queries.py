@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from residua.llm import sharding
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +25,13 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40, by proportional stratified interleaving."""
+    from residua.llm.sharding import assign_shards
+
+    return assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans, and those that contexts add."""
     from residua.llm.pii import find, spans_text
@@ -38,6 +47,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from residua.llm.html_text import main_text
+
+    return main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the byte-level BPE ids of every document and of their decoding."""
     import public_tokenizers
@@ -50,9 +66,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
+    "op2_shards": op2_shards,
     "op3_pii": op3_pii,
     "op6_simhash": op6_simhash,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_shards": sharding.ORACLE_SQL}
