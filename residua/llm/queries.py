@@ -47,6 +47,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, fitted on the labels that are not held out."""
+    from residua.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     from residua.llm.html_text import main_text
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op2_shards": op2_shards,
     "op3_pii": op3_pii,
+    "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_html_text": op10_html_text,
