@@ -54,6 +54,15 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every vector whose id is divisible by 20."""
+    from pyspark.sql import functions as F
+
+    from residua.llm.neighbours import search
+
+    return search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     from residua.llm.html_text import main_text
@@ -77,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
+    "op7_neighbours": op7_neighbours,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_html_text": op10_html_text,
 }
