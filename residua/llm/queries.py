@@ -63,6 +63,13 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds, within the edit budget."""
+    from residua.llm.decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     from residua.llm.html_text import main_text
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_neighbours": op7_neighbours,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_decontaminate": op9_decontaminate,
     "op10_html_text": op10_html_text,
 }
 
