@@ -2,8 +2,8 @@
 
 Each Python worker opens one in-memory DuckDB database with the merge table of
 the vocabulary.  A batch of new words becomes token-position rows
-``(word, position, token)``; a recursive query joins neighbouring rows with the
-merge table and contracts each word's leftmost pair of least rank until no pair
+``(word, place, token)`` that also name their neighbour; a recursive query joins
+neighbours with the merge table and contracts each word's leftmost pair of least rank until no pair
 is left.  Words over ``LONG_WORD`` bytes contract every non-overlapping
 occurrence of their least pair in one step, which gives the same tokens in far
 fewer steps.  Decoding joins the ids with the vocabulary and aggregates the
@@ -28,23 +28,29 @@ from pyspark.sql import functions as F
 from residua.llm._shared import chunks
 
 LONG_WORD = 200
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 WORDS_AT_ONCE = 60_000
 CHARS_AT_ONCE = 1_000_000
 
 _LEFTMOST = """
-with recursive steps(step, word, place, token) as (
-  select 0, word, place, token from start
+with recursive steps(step, word, place, token, next_place, next_token) as (
+  select 0, word, place, token, next_place, next_token from start
   union all
-  select step + 1, word, place, case when pair = best then (best >> 32)::int else token end
-  from (
-    select *, min(pair) over (partition by word) as best,
-           lag(pair) over (partition by word order by place) as before
-    from (
-      select s.*, (m.token::bigint << 32) | s.place as pair
-      from (select *, lead(token) over (partition by word order by place) as next from steps) s
-      left join merges m on m.head = s.token and m.tail = s.next))
-  where best is not null and (before is null or before <> best)),
+  (with pairs as materialized (
+     select s.*, (m.token::bigint << 32) | s.place as pair
+     from steps s left join merges m on m.ends = (s.token::bigint << 32) | s.next_token),
+   best as (
+     select word, min(pair) as pair, arg_min(next_place, pair) as eaten
+     from pairs where pair is not null group by word),
+   merged as materialized (
+     select b.word, (b.pair & 4294967295)::int as place, (b.pair >> 32)::int as token, b.eaten, e.next_place, e.next_token
+     from best b join pairs e on e.place = b.eaten)
+   select p.step + 1, p.word, p.place,
+          case when p.place = m.place then m.token else p.token end,
+          case when p.place = m.place then m.next_place else p.next_place end,
+          case when p.place = m.place then m.next_token when p.next_place = m.place then m.token else p.next_token end
+   from pairs p join merged m on m.word = p.word
+   where p.place <> m.eaten)),
 finished as (select word, max(step) as step from steps group by word)
 select s.word, string_agg(s.token::varchar, ',' order by s.place) as ids
 from steps s join finished f on f.word = s.word and f.step = s.step
@@ -69,7 +75,7 @@ with recursive steps(step, word, place, token) as (
           from (
             select s.*, m.token as pair
             from (select *, lead(token) over (partition by word order by place) as next from steps) s
-            left join merges m on m.head = s.token and m.tail = s.next))
+            left join merges m on m.ends = (s.token::bigint << 32) | s.next))
         where best is not null)))
   where not coalesce(eaten, false)),
 finished as (select word, max(step) as step from steps group by word)
@@ -102,14 +108,15 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.bytes_to_token = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, str] = {}
-        heads, tails, tokens = [], [], []
+        ends, tokens = [], []
         for piece, rank in self.ranks.items():
             for cut in range(1, len(piece)):
                 head, tail = self.ranks.get(piece[:cut]), self.ranks.get(piece[cut:])
                 if head is not None and tail is not None:
-                    heads.append(head), tails.append(tail), tokens.append(rank)
+                    ends.append(head << 32 | tail)
+                    tokens.append(rank)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        self._table("merges", head=pa.array(heads, pa.int32()), tail=pa.array(tails, pa.int32()), token=pa.array(tokens, pa.int32()))
+        self._table("merges", ends=pa.array(ends, pa.int64()), token=pa.array(tokens, pa.int32()))
         # A byte b is held as the character 256 + b: no NULs, and two bytes each in UTF-16.
         self._table("vocabulary", token=pa.array(self.ranks.values(), pa.int32()), piece=["".join(chr(256 + b) for b in p) for p in self.ranks])
 
@@ -120,7 +127,10 @@ class Codec:
 
     def _contract(self, words: list[bytes], query: str) -> list[str]:
         flat, sizes = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
-        self.db.register("start", pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "place": np.arange(len(flat), dtype=np.int32), "token": self.bytes_to_token[flat]}))
+        word, place, token = np.repeat(np.arange(len(words), dtype=np.int32), sizes), np.arange(len(flat), dtype=np.int32), self.bytes_to_token[flat]
+        last = np.append(word[1:] != word[:-1], True)
+        next_token, next_place = np.where(last, -1, np.roll(token, -1)), np.where(last, -1, place + 1)
+        self.db.register("start", pa.table({"word": word, "place": place, "token": token, "next_place": next_place.astype(np.int32), "next_token": next_token.astype(np.int32)}))
         found = self.db.sql(query).to_arrow_table()
         self.db.unregister("start")
         out = [""] * len(words)
