@@ -40,6 +40,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans_text().alias("spans"), "n_added")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between documents that share a passage of fifty words or more."""
+    from residua.llm.passages import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     from residua.llm.simhash import near_duplicates
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shards": op2_shards,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
+    "op5_passages": op5_passages,
     "op6_simhash": op6_simhash,
     "op7_neighbours": op7_neighbours,
     "op8_byte_bpe": op8_byte_bpe,
