@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.llm._shared import chunks
+from residua.llm._words import Memory
 
 LONG_WORD = 200
 CACHE_WORDS = 1_000_000
@@ -102,12 +103,10 @@ class Codec:
 
     def __init__(self, ranks_path: str, pattern: str):
         import duckdb
-        import regex
 
         self.ranks = read_ranks(ranks_path)
-        self.split = regex.compile(pattern).findall
         self.bytes_to_token = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, str] = {}
+        self.memory = Memory(pattern, self._words, ",".join, CACHE_WORDS)
         ends, tokens = [], []
         for piece, rank in self.ranks.items():
             for cut in range(1, len(piece)):
@@ -138,30 +137,26 @@ class Codec:
             out[i] = ids
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the words not known yet."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(words)
-        rest: dict[str, list[tuple[str, bytes]]] = {_LEFTMOST: [], _ALL_OCCURRENCES: []}
-        for word in new:
+    def _words(self, words: list[str]) -> list[str]:
+        """The ids of each word as decimal text, joined by commas."""
+        out = [""] * len(words)
+        rest: dict[str, list[tuple[int, bytes]]] = {_LEFTMOST: [], _ALL_OCCURRENCES: []}
+        for i, word in enumerate(words):
             rank = self.ranks.get(piece := word.encode())
             if rank is not None:
-                self.known[word] = str(rank)
+                out[i] = str(rank)
             else:
-                rest[_LEFTMOST if len(piece) <= LONG_WORD else _ALL_OCCURRENCES].append((word, piece))
+                rest[_LEFTMOST if len(piece) <= LONG_WORD else _ALL_OCCURRENCES].append((i, piece))
         for query, pairs in rest.items():
             for at in range(0, len(pairs), WORDS_AT_ONCE):
                 part = pairs[at : at + WORDS_AT_ONCE]
-                for (word, _), ids in zip(part, self._contract([p for _, p in part], query), strict=True):
-                    self.known[word] = ids
+                for (i, _), ids in zip(part, self._contract([p for _, p in part], query), strict=True):
+                    out[i] = ids
+        return out
 
     def encode(self, texts: list[str | None]) -> list[str]:
         """For each text its ids as decimal text, joined by commas."""
-        split = [self.split(t) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        return [",".join(map(self.known.__getitem__, words)) for words in split]
+        return self.memory.encode(texts)
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """For each array of ids the bytes they stand for."""
@@ -190,7 +185,8 @@ def codec(ranks_path: str, pattern: str) -> Codec:
 
 
 def parse_ids(ids: str) -> np.ndarray:
-    return np.array(ids.split(","), np.int32) if ids else np.empty(0, np.int32)
+    """The array of ids that stand in decimal text."""
+    return np.fromstring(ids, np.int32, sep=",") if ids else np.empty(0, np.int32)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -219,17 +215,18 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     return frame.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """``encode_decode`` followed by digests of its two results.
 
     Returns ``keep`` and n_tokens, ids_sha256 (of the decimal ids joined by
-    commas), decoded_sha256 (of the decoded bytes).  The digests are taken in
-    the same pass, so that neither ids nor bytes leave the Python worker.
+    commas), decoded_sha256 (of the decoded bytes), and with ``with_ids`` the ids
+    (array<int>).  The digests are taken in the same pass, so that neither the
+    decimal ids nor the decoded bytes leave the Python worker.
     """
-    new = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    new = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     held = [c for c in (docs.columns if keep is None else keep) if c not in new]
     frame = docs.select(*[F.col(f"`{c}`") for c in held], F.col(text).alias("__text"))
-    schema = frame.drop("__text").withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}).schema
+    schema = frame.drop("__text").withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit(""), **({"ids": F.array(F.lit(0))} if with_ids else {})}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
@@ -243,6 +240,8 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]),
                     pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(ids)]),
                 ]
+                if with_ids:
+                    arrays.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(batch.slice(a, b - a).columns[:-1] + arrays, names=[*batch.schema.names[:-1], *new])
 
     return frame.mapInArrow(run, schema)
