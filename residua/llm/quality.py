@@ -169,3 +169,12 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", keep: list[
     rows = materialize(with_statistics(docs, text, list(dict.fromkeys([*held, key]))), "quality-rows")
     scored = score(rows, fit(rows, labels, key, label))
     return scored.select(*[F.col(f"`{c}`") for c in held], held_out(key).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that ``classify`` would predict as class 1, all columns.
+
+    Texts are read twice, for the fit and for the choice, and never shuffled.
+    """
+    model = fit(with_statistics(docs, text, [key]), labels, key, label)
+    return score(with_statistics(docs, text), model).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -142,3 +142,145 @@ def near_duplicates(docs: DataFrame, text: str = "text", keep: list[str] | None
     classes = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-classes")
     named = materialize(rooted.join(classes, "root").select(F.col("fp").alias("__fp"), "component_id"), "simhash-named")
     return marked.join(named, "__fp").select(*[F.col(f"`{c}`") for c in held], F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- Wider fingerprints, for similarities that 64 bits cannot tell -------------
+
+#: 64-bit words of a wide fingerprint, bytes of an index key, and the positions
+#: within a word at which keys begin.
+WIDE, KEY_BYTES = 4, 2
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """As ``fingerprint``, but ``WIDE`` words: the further words take hashes that
+    are mixed from the first, since one pass over the text is dear."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().translate(_LOWER).split()
+    if not words:
+        return np.zeros(WIDE, np.int64)
+    flat = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    stops = ends[min(shingle, len(words)) - 1 :]
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(stops)]
+    n, ones = len(stops), np.zeros((WIDE, BITS), np.int64)
+    for at in range(0, n, HASHES_AT_ONCE):
+        part = np.array([xxh64_intdigest(flat[a:b], seed) for a, b in zip(starts[at : at + HASHES_AT_ONCE].tolist(), stops[at : at + HASHES_AT_ONCE].tolist(), strict=True)], np.uint64)
+        for k in range(WIDE):
+            if k:  # the finishing steps of a common 64-bit mixer
+                part = part + np.uint64(0x9E3779B97F4A7C15)
+                part = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                part = (part ^ (part >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                part ^= part >> np.uint64(31)
+            ones[k] += np.unpackbits(part.view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<i8").ravel()
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of a wide fingerprint that shingle sets of a Jaccard
+    similarity have on average: the angle of sets of like size, over a half turn."""
+    return int(BITS * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def forest(fingerprints: np.ndarray, most: int, block: int = 512) -> list[tuple[int, int]]:
+    """A spanning forest of the graph that links rows of ``fingerprints`` (words)
+    at ``most`` or fewer differing bits.  Shared positional bytes are tallied
+    first: a pair that shares none is not compared bit by bit."""
+    n = len(fingerprints)
+    root, out = list(range(n)), []
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a in range(0, n, block):
+        for b in range(a, n, block):
+            left, right = fingerprints[a : a + block], fingerprints[b : b + block]
+            x = np.bitwise_xor(left[:, None, :], right[None, :, :])
+            shared = (x.view(np.uint8) == 0).sum(axis=-1) if len(left) * len(right) <= 4_096 else 1
+            near = (np.bitwise_count(x.view(np.uint64)).sum(axis=-1) <= most) & (np.asarray(shared) >= KEY_BYTES if np.ndim(shared) else True)
+            for i, j in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
+                if a + i < b + j and (p := top(a + i)) != (q := top(b + j)):
+                    root[max(p, q)] = min(p, q)
+                    out.append((a + i, b + j))
+    return out
+
+
+def wide_links(marks: DataFrame, most: int) -> DataFrame:
+    """(node, root) of the nodes of ``marks(node, words array<bigint>)`` that are
+    linked at ``most`` or fewer differing bits and share ``KEY_BYTES``
+    neighbouring bytes in a word.
+
+    A posting list gives no more rows than it has members, whatever links it
+    holds; lists of over ``BLOCK`` members are dealt over pairs of blocks.
+    """
+    word = lambda w, at: F.shiftrightunsigned(F.element_at("words", w + 1), 8 * at).bitwiseAND(F.lit((1 << 8 * KEY_BYTES) - 1))
+    spots = [(w, at) for w in range(WIDE) for at in range(BYTES - KEY_BYTES + 1)]
+    keys = [(F.lit(n << 8 * KEY_BYTES) + word(w, at)).cast("long") for n, (w, at) in enumerate(spots)]
+    index = marks.select("node", "words", F.explode(F.array(*keys)).alias("key"))
+    sizes = materialize(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    met = index.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "words")
+    dealt = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+
+        def take(nodes: np.ndarray, words: np.ndarray) -> None:
+            for i, j in forest(words, most):
+                a.append(nodes[i])
+                b.append(nodes[j])
+
+        rest: tuple[np.ndarray, ...] | None = None
+        for batch in batches:
+            own = (np.stack([np.array(batch.column(k)) for k in range(3)], axis=1), np.array(batch.column(3)), np.array(batch.column(4).flatten()).reshape(-1, WIDE))
+            if rest is not None:
+                own = tuple(np.concatenate(p) for p in zip(rest, own, strict=True))
+            if not len(own[0]):
+                continue
+            edges = [0, *(np.flatnonzero((own[0][1:] != own[0][:-1]).any(axis=1)) + 1).tolist()]
+            for x, y in zip(edges, edges[1:], strict=False):
+                if y - x > 1:
+                    take(own[1][x:y], own[2][x:y])
+            rest = tuple(p[edges[-1] :] for p in own)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = [], []
+        if rest is not None and len(rest[0]) > 1:
+            take(rest[1], rest[2])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return connected_components(dealt.mapInArrow(run, "a long, b long"), "simhash-wide")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with one of each group of near duplicates, all columns.
+
+    Groups are the components over links of wide fingerprints whose estimated
+    similarity of shingle sets is ``similarity`` or more.  The row of smallest
+    doc_id stays (null last, and of rows alike the first read); null and empty
+    texts are one group; an empty table gives an empty result.
+    """
+    columns = docs.columns
+    frame = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).alias("__text"))
+    schema = frame.drop("__text").withColumns({"__row": F.lit(0).cast("long"), "__words": F.expr("cast(array() as array<bigint>)")}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            words = [wide_fingerprint(x.as_py(), shingle) for x in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.arange(at, at + len(words))), pa.array(words, pa.list_(pa.int64()))], names=[*columns, "__row", "__words"])
+            at += len(words)
+
+    marked = materialize(frame.mapInArrow(run, schema), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row"))
+    marks = materialize(marked.groupBy(F.col("__words").alias("words")).agg(F.min(order).alias("first")), "simhash-wide-marks")
+    nodes = marks.select(F.col("first.row").alias("node"), "words", "first")
+    roots = wide_links(nodes.select("node", "words"), most_bits(similarity))
+    kept = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    chosen = materialize(kept.select(F.col("first.row").alias("__row")), "simhash-chosen")
+    return marked.join(chosen, "__row", "left_semi").drop("__row", "__words")
