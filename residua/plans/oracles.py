@@ -24,7 +24,7 @@ tot as (select case_id, row as i, sum(abs(val)) as total from off group by all),
 a as (select * from off union all select idx.case_id, idx.i, idx.i, {weight} from idx left join tot on tot.case_id = idx.case_id and tot.i = idx.i),
 ramp as (select case_id, i, (i % 11 - 5)::double as x from idx),
 blocks as (select block, sha256(unhex('{_OUT}') || unhex(sha256(unhex('{_IN}' || '{PREFIX.hex()}' || {_LE8})))) as h from size, range(0, (n + 255) // 256) b(block)),
-sign as (select block * 256 + k as i, 2.0 * ((('0x' || substr(h, (k // 8) * 2 + 1, 2))::int >> (k % 8)::int) & 1) - 1.0 as x from blocks, range(0, 256) r(k)),
+sign as (select block * 256 + k as i, (2.0 * ((('0x' || substr(h, (k // 8) * 2 + 1, 2))::int >> (k % 8)::int) & 1) - 1.0)::double as x from blocks, range(0, 256) r(k)),
 target as (select idx.case_id, idx.i, sign.x from idx join sign on sign.i = idx.i),
 rhs as (select idx.case_id, idx.i, coalesce(s, 0) as x from idx left join (select a.case_id, a.row as i, sum(val * x) as s from a join target t on t.case_id = a.case_id and t.i = a.col group by all) p on p.case_id = idx.case_id and p.i = idx.i)"""
 
