@@ -9,7 +9,7 @@ occurrence of their least pair in one step, which gives the same tokens in far
 fewer steps.  Decoding joins the ids with the vocabulary and aggregates the
 pieces of a document in order of position.
 
-A worker remembers the words it has encoded, up to ``CACHE_WORDS``; past that
+A worker remembers the words it has encoded, up to ``cache_words``; past that
 it forgets them and encodes them again, so memory stays bounded and results do
 not change.
 """
@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm._shared import chunks
+from residua.llm._shared import held, spans
 from residua.llm._words import Memory
 
 LONG_WORD = 200
 CACHE_WORDS = 1_000_000
-WORDS_AT_ONCE = 60_000
-CHARS_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 25_000
+BYTES_AT_ONCE = 1_000_000
 
 _LEFTMOST = """
 with recursive steps(step, word, place, token, next_place, next_token) as (
@@ -101,12 +101,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one vocabulary, for use inside one process."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, cache_words: int = CACHE_WORDS):
         import duckdb
 
         self.ranks = read_ranks(ranks_path)
         self.bytes_to_token = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.memory = Memory(pattern, self._words, ",".join, CACHE_WORDS)
+        self.memory = Memory(pattern, self._words, ",".join, cache_words)
         ends, tokens = [], []
         for piece, rank in self.ranks.items():
             for cut in range(1, len(piece)):
@@ -114,7 +114,7 @@ class Codec:
                 if head is not None and tail is not None:
                     ends.append(head << 32 | tail)
                     tokens.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self._table("merges", ends=pa.array(ends, pa.int64()), token=pa.array(tokens, pa.int32()))
         # A byte b is held as the character 256 + b: no NULs, and two bytes each in UTF-16.
         self._table("vocabulary", token=pa.array(self.ranks.values(), pa.int32()), piece=["".join(chr(256 + b) for b in p) for p in self.ranks])
@@ -172,16 +172,10 @@ class Codec:
         return out
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
-def codec(ranks_path: str, pattern: str) -> Codec:
+def codec(ranks_path: str, pattern: str, cache_words: int = CACHE_WORDS) -> Codec:
     """This process's codec of a vocabulary."""
-    key = (ranks_path, pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks_path, pattern)
-    return _codecs[key]
+    key = (ranks_path, pattern, cache_words)
+    return held(("codec", *key), lambda: Codec(*key))
 
 
 def parse_ids(ids: str) -> np.ndarray:
@@ -189,7 +183,7 @@ def parse_ids(ids: str) -> np.ndarray:
     return np.fromstring(ids, np.int32, sep=",") if ids else np.empty(0, np.int32)
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Encode every whole text and decode it again.
 
     Returns the columns ``keep`` (all of ``docs`` if None) and ``bpe_ids``
@@ -203,11 +197,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     schema = frame.drop("__text").withColumns({"bpe_ids": F.array(F.lit(0)), "bpe_text": F.lit(b"")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = codec(ranks_path, pattern, cache_words)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in chunks(texts, CHARS_AT_ONCE):
-                ids = [parse_ids(x) for x in own.encode(texts[a:b])]
+            texts = batch.column(batch.num_columns - 1)
+            for a, b in spans(texts, BYTES_AT_ONCE):
+                ids = [parse_ids(x) for x in own.encode(texts.slice(a, b - a).to_pylist())]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 arrays = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(own.decode(ids), pa.binary())]
                 yield pa.RecordBatch.from_arrays(batch.slice(a, b - a).columns[:-1] + arrays, names=[*batch.schema.names[:-1], "bpe_ids", "bpe_text"])
@@ -215,7 +209,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     return frame.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """``encode_decode`` followed by digests of its two results.
 
     Returns ``keep`` and n_tokens, ids_sha256 (of the decimal ids joined by
@@ -229,11 +223,11 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     schema = frame.drop("__text").withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit(""), **({"ids": F.array(F.lit(0))} if with_ids else {})}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = codec(ranks_path, pattern, cache_words)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in chunks(texts, CHARS_AT_ONCE):
-                joined = own.encode(texts[a:b])
+            texts = batch.column(batch.num_columns - 1)
+            for a, b in spans(texts, BYTES_AT_ONCE):
+                joined = own.encode(texts.slice(a, b - a).to_pylist())
                 ids = [parse_ids(x) for x in joined]
                 arrays = [
                     pa.array([len(x) for x in ids], pa.int64()),
