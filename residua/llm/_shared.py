@@ -1,15 +1,24 @@
-"""What several of the operators need: shared storage, column checks, chunked batches."""
+"""What several of the operators need: shared storage, memory of workers, spans of batches."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 8 << 20
+SPARKS_BOUND = "67108864b"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -27,6 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers get to ``BATCH_BYTES``, unless
+    the session has another bound than Spark's own: texts may be very long, and
+    a worker holds a batch several times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == SPARKS_BOUND:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{shared_dir(spark)}/residua/{name}-{uuid.uuid4().hex}"
@@ -47,18 +65,43 @@ def remove_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_held: tuple[object, object] = (None, None)
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives for ``key``, kept in this Python worker for its next
+    tasks.  A worker keeps one thing: Spark hands workers from one operator to
+    the next, and tables of several would add up."""
+    global _held
+    if _held[0] != key:
+        if _held[1] is not None:
+            _held = (None, None)
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:  # give freed memory back, where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:
+                pass
+        _held = (key, make())
+    return _held[1]
+
+
+def let_go() -> None:
+    """Drop what another operator has left in this Python worker."""
+    held("nothing", object)
+
+
 def utf8_size(column: str):
     """Bytes of the column's UTF-8 text; null counts as none."""
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("long")
 
 
-def chunks(texts: list, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``most`` characters each, one text at least."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "") + 16
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def spans(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of a column of texts of about ``most`` bytes each, one text at least."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64) + 16
+    start, ends = 0, np.cumsum(sizes)
+    while start < len(ends):
+        reach = most + (int(ends[start - 1]) if start else 0)
+        stop = max(start + 1, int(np.searchsorted(ends, reach, side="right")))
+        yield start, stop
+        start = stop

@@ -30,7 +30,7 @@ from residua.llm._words import Memory
 
 LONG_WORD = 200
 CACHE_WORDS = 1_000_000
-WORDS_AT_ONCE = 25_000
+WORDS_AT_ONCE = 20_000
 BYTES_AT_ONCE = 1_000_000
 
 _LEFTMOST = """

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from residua.llm._shared import held
+
 RATE = 0.08
 BLOCK_CHARS = 4_000_000
 _WORD = re.compile(r"\S+")
@@ -135,16 +137,6 @@ class Matcher:
         return min(words[k][0] + at - firsts[k], words[k][1])
 
 
-_matchers: dict[tuple, Matcher] = {}
-
-
-def _matcher(name: tuple, items: list[tuple[int, str]], rate: float) -> Matcher:
-    if name not in _matchers:
-        _matchers.clear()
-        _matchers[name] = Matcher(items, rate)
-    return _matchers[name]
-
-
 def item_blocks(items: DataFrame, key: str, text: str, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most ``most`` characters (one item at least)."""
     block, size = [], 0
@@ -165,10 +157,10 @@ def with_matches(docs: DataFrame, block: list[tuple[int, str]], text: str, rate:
     """``keep`` and __found, the matches of one block of items in each row."""
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
     fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in frame.drop("__text").schema], "__found array<struct<item_id:bigint,distance:int,start:bigint,end:bigint>>"])
-    name = (rate, len(block), hash(tuple(block)))
+    name = ("matcher", rate, len(block), hash(tuple(block)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _matcher(name, block, rate)
+        own = held(name, lambda: Matcher(block, rate))
         for batch in batches:
             found = [[dict(zip(("item_id", "distance", "start", "end"), m, strict=True)) for m in own.find(x.as_py())] for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, _FOUND)], names=[*keep, "__found"])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm._shared import materialize
+from residua.llm._shared import let_go, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, DAMPING, SUPPORT, CONFIDENCE, BELIEF = 3, 0.9, 2, 0.5, 0.4
@@ -133,6 +133,7 @@ def _scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         return [{"start": a, "kind": k, "end": b, "instance": f"{KINDS[k]}|{text[a:b].lower()}", "patterns": patterns(text, a, b, KINDS[k])} for a, k, b in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         from pyspark import TaskContext
 
         part, n = TaskContext.get().partitionId(), 0

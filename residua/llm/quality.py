@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm._shared import materialize
+from residua.llm._shared import let_go, materialize
 
 POOLED, RIDGE = 0.3, 0.01
 #: The log-density difference is divided by this before the logistic curve, so
@@ -55,6 +55,7 @@ def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None
     schema = frame.drop("__text").withColumn("__x", F.array(F.lit(0.0))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             found = [statistics(x.as_py()) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "__x"])
@@ -147,6 +148,7 @@ def score(rows: DataFrame, model: Discriminant | None) -> DataFrame:
     ordered = rows.select(*[F.col(f"`{c}`") for c in kept], "__x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             x = np.array(batch.column(batch.num_columns - 1).flatten()).reshape(-1, len(STATISTICS))
             found = model.score(x) if model is not None else np.full(len(x), 0.5)
@@ -176,5 +178,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
     Texts are read twice, for the fit and for the choice, and never shuffled.
     """
-    model = fit(with_statistics(docs, text, [key]), labels, key, label)
-    return score(with_statistics(docs, text), model).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    model, columns = fit(with_statistics(docs, text, [key]), labels, key, label), docs.columns
+    place = columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for batch in batches:
+            x = np.array([statistics(v.as_py()) for v in batch.column(place)]).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(model.score(x) >= 0.5))
+
+    return docs if model is None else docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm._shared import materialize
+from residua.llm._shared import let_go, materialize
 from residua.llm.components import connected_components
 
 BYTES, BITS = 8, 64
@@ -64,6 +64,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | Non
     schema = frame.drop("__text").withColumn("__fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             marks = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(batch.num_columns - 1)], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks.view(np.int64))], names=[*batch.schema.names[:-1], "__fp"])
@@ -227,6 +228,7 @@ def wide_links(marks: DataFrame, most: int) -> DataFrame:
     dealt = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         a, b = [], []
 
         def take(nodes: np.ndarray, words: np.ndarray) -> None:
@@ -268,6 +270,7 @@ def one_of_each(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
     schema = frame.drop("__text").withColumns({"__row": F.lit(0).cast("long"), "__words": F.expr("cast(array() as array<bigint>)")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 40
