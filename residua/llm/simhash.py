@@ -221,9 +221,10 @@ def wide_links(marks: DataFrame, most: int) -> DataFrame:
     spots = [(w, at) for w in range(WIDE) for at in range(BYTES - KEY_BYTES + 1)]
     keys = [(F.lit(n << 8 * KEY_BYTES) + word(w, at)).cast("long") for n, (w, at) in enumerate(spots)]
     index = marks.select("node", "words", F.explode(F.array(*keys)).alias("key"))
-    sizes = materialize(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    met = index.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Only lists longer than a block are looked up: at most rows / BLOCK of them.
+    long = materialize(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "simhash-long")
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")
+    met = index.join(long, "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "words")
     dealt = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
