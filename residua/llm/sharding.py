@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from residua.llm._shared import materialize, utf8_size
 
-BUCKET_ROWS = 8_192
+BUCKET_ROWS, SPAN = 1_024, 4_096
 HEX = 13  # digits of a digest that a double holds exactly
 SEED = "residua"
 
@@ -53,10 +53,15 @@ def order_of(rows: DataFrame, source: str, key: str, seed: str = SEED) -> DataFr
     placed = placed.withColumn("__slice", F.least(F.floor(F.col("__share") * buckets).cast("int"), F.lit(buckets - 1)))
     placed = materialize(placed.drop("__bucket", "__before", "__local", "__all"), "shard-placed")
     slices = placed.groupBy("__slice").agg(F.count("*").alias("__here"))
-    # One row for each bucket: n / BUCKET_ROWS of them.
-    slices = slices.withColumn("__ahead", F.sum("__here").over(Window.orderBy("__slice")) - F.col("__here"))
+    # Rows ahead of a slice: of earlier spans of slices, and of earlier slices in its
+    # span; the window without partitions has n / (BUCKET_ROWS * SPAN) rows.
+    slices = materialize(slices.withColumn("__span", F.floor(F.col("__slice") / SPAN)), "shard-slices")
+    spans = slices.groupBy("__span").agg(F.sum("__here").alias("__whole"))
+    spans = spans.withColumn("__passed", F.sum("__whole").over(Window.orderBy("__span")) - F.col("__whole")).drop("__whole")
+    within = F.sum("__here").over(Window.partitionBy("__span").orderBy("__slice")) - F.col("__here")
+    slices = slices.withColumn("__within", within).join(spans, "__span").withColumn("__ahead", F.col("__passed") + F.col("__within")).select("__slice", "__ahead")
     inner = Window.partitionBy("__slice").orderBy("__share", "__source", "__digest", *ties)
-    out = placed.withColumn("__nth", F.row_number().over(inner)).join(materialize(slices, "shard-slices").drop("__here"), "__slice")
+    out = placed.withColumn("__nth", F.row_number().over(inner)).join(materialize(slices, "shard-ahead"), "__slice")
     return out.withColumn("__place", F.col("__ahead") + F.col("__nth") - 1).withColumn("__n", F.lit(n).cast("long")).drop("__slice", "__share", "__nth", "__ahead", "__source", "__digest")
 
 
