@@ -56,3 +56,38 @@ class Memory:
         if new:
             known.update(zip(new, self.encode_words(new), strict=True))
         return [self.join(map(known.__getitem__, w)) for w in cut]
+
+
+class _Spots(dict):
+    """A table in which a word that is looked up and missing gets an empty place."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> bytearray:
+        self[word] = spot = bytearray()
+        self.fresh.append(word)
+        return spot
+
+
+class Packed:
+    """As ``Memory`` for encodings in bytes, with one look-up for each word: a new
+    word's place is taken at once and filled when its batch has been read."""
+
+    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], most: int):
+        self.cut, self.encode_words, self.most = cutter(pattern), encode_words, most
+        self.words = _Spots()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The encoding of each text; null is an empty text."""
+        if len(self.words) > self.most:
+            self.words = _Spots()
+        known = self.words
+        parts = [list(map(known.__getitem__, self.cut(t))) if t else [] for t in texts]
+        if known.fresh:
+            for word, found in zip(known.fresh, self.encode_words(known.fresh), strict=True):
+                known[word].extend(found)
+                known[word] = found
+            known.fresh = []
+        return list(map(b"".join, parts))

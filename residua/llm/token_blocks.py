@@ -17,6 +17,8 @@ of ``high`` with a directory of 32-bit counts, one for each ``SAMPLE`` bits.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm._shared import chunks
+from residua.llm._shared import held, spans
+from residua.llm._words import BYTE_LEVEL, Packed
 
 SAMPLE = 512
 BLOCK_IDS = 1 << 20
-CHARS_AT_ONCE = 1_000_000
+BYTES_AT_ONCE = 1_000_000
+WORDS = 600_000
 BLOCK_SCHEMA = "part int, block int, base long, n_ids long, doc_ids array<bigint>, low_bits int, low binary, high binary, samples binary, ids binary"
 
 
@@ -83,28 +87,48 @@ class EliasFano:
         return ((ones - index) << self.low_bits) | self._lows(index)
 
 
-_tokenizers: dict[str, object] = {}
+class Encoder:
+    """A tokenizer of the tokenizers library for whole texts, one per process.
 
+    A byte-level tokenizer without normalizer encodes the words that its own
+    pattern cuts each by itself; so the library encodes each distinct word
+    once, and texts are put together from them.  Any other tokenizer encodes
+    whole texts.
+    """
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        import os
-
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True  # their strings in a text are ordinary text
-        own.no_truncation()
-        own.no_padding()
-        _tokenizers[path] = own
-    return _tokenizers[path]
+        self.own = Tokenizer.from_file(path)
+        self.own.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.own.no_truncation()
+        self.own.no_padding()
+        cut, self.memory = json.loads(self.own.to_str()), None
+        before = cut["pre_tokenizer"] or {}
+        if before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not cut["normalizer"]:
+            self.memory = Packed(BYTE_LEVEL, self._words, WORDS)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        found = self.own.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ends = (np.cumsum(np.bincount(np.array(found.word_ids), minlength=len(words))) * 4).tolist()
+        flat = np.array(found.ids, "<u4").tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit."""
+        if self.memory is None:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        return self.memory.encode(texts)
+
+
+def _encoder(path: str) -> Encoder:
+    return held(("encoder", path), lambda: Encoder(path))
 
 
-def _block(part: int, block: int, base: int, doc_ids: list, ids: list[np.ndarray]) -> dict:
-    flat = np.concatenate(ids)
-    ends = EliasFano.encode(np.cumsum([len(x) for x in ids]))
-    return {"part": part, "block": block, "base": base, "n_ids": len(flat), "doc_ids": doc_ids, "low_bits": ends.low_bits, "low": ends.low, "high": ends.high, "samples": ends.samples, "ids": flat.astype("<u4").tobytes()}
+def _block(part: int, block: int, base: int, doc_ids: list, ids: list[bytes]) -> dict:
+    ends = EliasFano.encode(np.cumsum([len(x) // 4 for x in ids]))
+    return {"part": part, "block": block, "base": base, "n_ids": sum(map(len, ids)) // 4, "doc_ids": doc_ids, "low_bits": ends.low_bits, "low": ends.low, "high": ends.high, "samples": ends.samples, "ids": b"".join(ids)}
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, text: str = "text", block_ids: int = BLOCK_IDS, partitions: int | None = None) -> None:
@@ -126,24 +150,25 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, part, block, base = _tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        own, part, block, base = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
-        ids: list[np.ndarray] = []
+        ids: list[bytes] = []
+        last = np.array([end_id], "<u4").tobytes()
         held = 0
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts, CHARS_AT_ONCE):
-                for key, found in zip(keys[a:b], own.encode_batch_fast([t or "" for t in texts[a:b]], add_special_tokens=False), strict=True):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in spans(texts, BYTES_AT_ONCE):
+                for key, found in zip(keys[a:b], own.encode(texts.slice(a, b - a).to_pylist()), strict=True):
                     doc_ids.append(key)
-                    ids.append(np.array([*found.ids, end_id], np.uint32))
-                    held += len(ids[-1])
+                    ids.append(found + last)
+                    held += len(ids[-1]) // 4
                     if held >= block_ids:
                         yield pa.RecordBatch.from_pylist([_block(part, block, base, doc_ids, ids)], schema)
                         block, base, held, doc_ids, ids = block + 1, base + held, 0, [], []
         if ids:
             yield pa.RecordBatch.from_pylist([_block(part, block, base, doc_ids, ids)], schema)
 
-    ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "snappy").parquet(f"{path}/blocks")
     # One row for each part, however long the input: the number of partitions bounds it.
     totals = {r["part"]: r["n"] for r in spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     before, parts = 0, []
