@@ -17,6 +17,7 @@ full, between components alone, in blocks of bounded size.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -147,26 +148,38 @@ def near_duplicates(docs: DataFrame, text: str = "text", keep: list[str] | None
 
 # --- Wider fingerprints, for similarities that 64 bits cannot tell -------------
 
-#: 64-bit words of a wide fingerprint, bytes of an index key, and the positions
-#: within a word at which keys begin.
-WIDE, KEY_BYTES = 4, 2
+#: 64-bit words of a wide fingerprint.
+WIDE = 4
+#: Frequent shingles are told from one document in ``SAMPLE``, seen ``FREQUENT``
+#: times or more there; at most ``MOST_FREQUENT`` are known to every task.
+SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 50_000
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """As ``fingerprint``, but ``WIDE`` words: the further words take hashes that
-    are mixed from the first, since one pass over the text is dear."""
+def shingle_hashes(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's shingles as ``fingerprint`` takes them, with repeats."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return np.zeros(WIDE, np.int64)
+        return np.empty(0, np.uint64)
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     stops = ends[min(shingle, len(words)) - 1 :]
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(stops)]
-    n, ones = len(stops), np.zeros((WIDE, BITS), np.int64)
+    return np.fromiter((xxh64_intdigest(flat[a:b], seed) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)), np.uint64, len(stops))
+
+
+def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(shingle_hashes(text, shingle, seed))
+
+
+def wide_of(hashes: np.ndarray) -> np.ndarray:
+    """As ``fingerprint``, but ``WIDE`` words over given hashes: the further
+    words take hashes that are mixed from the first."""
+    n, ones = len(hashes), np.zeros((WIDE, BITS), np.int64)
     for at in range(0, n, HASHES_AT_ONCE):
-        part = np.array([xxh64_intdigest(flat[a:b], seed) for a, b in zip(starts[at : at + HASHES_AT_ONCE].tolist(), stops[at : at + HASHES_AT_ONCE].tolist(), strict=True)], np.uint64)
+        part = hashes[at : at + HASHES_AT_ONCE]
         for k in range(WIDE):
             if k:  # the finishing steps of a common 64-bit mixer
                 part = part + np.uint64(0x9E3779B97F4A7C15)
@@ -177,98 +190,170 @@ def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> np.n
     return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<i8").ravel()
 
 
+def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The wide fingerprint of a text with its repeats, as ``fingerprint`` has them;
+    candidates for a Jaccard similarity take that of the set."""
+    return wide_of(shingle_hashes(text, shingle, seed))
+
+
 def most_bits(similarity: float) -> int:
     """Differing bits of a wide fingerprint that shingle sets of a Jaccard
     similarity have on average: the angle of sets of like size, over a half turn."""
     return int(BITS * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def forest(fingerprints: np.ndarray, most: int, block: int = 512) -> list[tuple[int, int]]:
-    """A spanning forest of the graph that links rows of ``fingerprints`` (words)
-    at ``most`` or fewer differing bits.  Shared positional bytes are tallied
-    first: a pair that shares none is not compared bit by bit."""
-    n = len(fingerprints)
-    root, out = list(range(n)), []
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a in range(0, n, block):
-        for b in range(a, n, block):
-            left, right = fingerprints[a : a + block], fingerprints[b : b + block]
-            x = np.bitwise_xor(left[:, None, :], right[None, :, :])
-            shared = (x.view(np.uint8) == 0).sum(axis=-1) if len(left) * len(right) <= 4_096 else 1
-            near = (np.bitwise_count(x.view(np.uint64)).sum(axis=-1) <= most) & (np.asarray(shared) >= KEY_BYTES if np.ndim(shared) else True)
-            for i, j in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
-                if a + i < b + j and (p := top(a + i)) != (q := top(b + j)):
-                    root[max(p, q)] = min(p, q)
-                    out.append((a + i, b + j))
-    return out
-
-
-def wide_links(marks: DataFrame, most: int) -> DataFrame:
-    """(node, root) of the nodes of ``marks(node, words array<bigint>)`` that are
-    linked at ``most`` or fewer differing bits and share ``KEY_BYTES``
-    neighbouring bytes in a word.
-
-    A posting list gives no more rows than it has members, whatever links it
-    holds; lists of over ``BLOCK`` members are dealt over pairs of blocks.
+def candidate_bits(similarity: float) -> int:
+    """Differing bits that a pair of the similarity has next to never more of.
+
+    Small sets differ more often than the angle says (three bits in sixteen for
+    four shingles of five), so the mean is taken at five quarters of the angle's;
+    six standard deviations of independent bits are added.
+    """
+    p = min(0.5, 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(np.ceil(BITS * WIDE * p + 6 * np.sqrt(BITS * WIDE * p * (1 - p))))
+
+
+def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first ``n - ceil(similarity * n) + 1`` of a set's hashes in an order that
+    is the same for all sets: ``frequent`` ones (sorted) last, by ``rank``.
+
+    Two sets of the similarity share ``ceil(similarity * n)`` hashes of either, so
+    by the pigeonhole principle their prefixes share one at least.
     """
-    word = lambda w, at: F.shiftrightunsigned(F.element_at("words", w + 1), 8 * at).bitwiseAND(F.lit((1 << 8 * KEY_BYTES) - 1))
-    spots = [(w, at) for w in range(WIDE) for at in range(BYTES - KEY_BYTES + 1)]
-    keys = [(F.lit(n << 8 * KEY_BYTES) + word(w, at)).cast("long") for n, (w, at) in enumerate(spots)]
-    index = marks.select("node", "words", F.explode(F.array(*keys)).alias("key"))
-    # Only lists longer than a block are looked up: at most rows / BLOCK of them.
-    long = materialize(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "simhash-long")
-    blocks = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")
-    met = index.join(long, "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "words")
-    dealt = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    n = len(hashes)
+    if not n:
+        return hashes
+    length = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    place = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        place = np.where(frequent[at] == hashes, rank[at], 0)
+    return hashes[np.argsort(place, kind="stable")[:length]]
+
+
+def _frequent(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles, sorted, and their ranks from 1, the most frequent last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        a, b = [], []
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), shingle) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["mer"])
+
+    some = docs.select(F.col(text).alias("__text")).where(F.pmod(F.xxhash64("__text"), F.lit(SAMPLE)) == 0).mapInArrow(run, "mer long")
+    rows = some.groupBy("mer").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "mer").limit(MOST_FREQUENT).select("mer").collect()
+    mers = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(mers)
+    return mers[order], (len(mers) - order).astype(np.int64)
+
 
-        def take(nodes: np.ndarray, words: np.ndarray) -> None:
-            for i, j in forest(words, most):
-                a.append(nodes[i])
-                b.append(nodes[j])
+def _met(index: DataFrame) -> DataFrame:
+    """(key, node, first) of every member of a posting list of ``index(key, node)``
+    but its first, the least node.  Lists are read in order and not held."""
 
-        rest: tuple[np.ndarray, ...] | None = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        last_key, last_first = None, 0
         for batch in batches:
-            own = (np.stack([np.array(batch.column(k)) for k in range(3)], axis=1), np.array(batch.column(3)), np.array(batch.column(4).flatten()).reshape(-1, WIDE))
-            if rest is not None:
-                own = tuple(np.concatenate(p) for p in zip(rest, own, strict=True))
-            if not len(own[0]):
+            key, node = np.array(batch.column(0)), np.array(batch.column(1))
+            if not len(key):
                 continue
-            edges = [0, *(np.flatnonzero((own[0][1:] != own[0][:-1]).any(axis=1)) + 1).tolist()]
-            for x, y in zip(edges, edges[1:], strict=False):
-                if y - x > 1:
-                    take(own[1][x:y], own[2][x:y])
-            rest = tuple(p[edges[-1] :] for p in own)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            a, b = [], []
-        if rest is not None and len(rest[0]) > 1:
-            take(rest[1], rest[2])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            fresh = np.concatenate([[key[0] != last_key or last_key is None], key[1:] != key[:-1]])
+            begins = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
+            first = np.where(begins >= 0, node[np.maximum(begins, 0)], last_first)
+            more = ~fresh
+            yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (key, node, first)], names=["key", "node", "first"])
+            last_key, last_first = key[-1], first[-1]
 
-    return connected_components(dealt.mapInArrow(run, "a long, b long"), "simhash-wide")
+    return index.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, first long")
+
+
+def _alike(most: int, similarity: float) -> Column:
+    """Whether rows with (w0.., n) and (v0.., m) are candidates."""
+    bits = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(WIDE)), F.lit(0))
+    return (bits <= most) & (F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-9)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose ``sets(node, mers)`` have the Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = np.asarray(x.values), np.asarray(y.values)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    ones = pairs.join(sets.select(F.col("node").alias("a"), F.col("mers").alias("x")), "a")
+    both = ones.join(sets.select(F.col("node").alias("b"), F.col("mers").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _between(lists: DataFrame, most: int, similarity: float) -> DataFrame:
+    """Candidates (a, b) of different parts in a list of ``lists(key, node, part,
+    w0.., n)``; lists of over ``BLOCK`` members are dealt over pairs of blocks."""
+    sized = lists.groupBy("key").agg(F.count("*").alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", "members")
+    rest = lists.join(materialize(sized, "simhash-mixed"), "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    across = F.sequence(F.lit(0), F.col("blocks") - 1)
+    prints = [f"w{k}" for k in range(WIDE)]
+    left = rest.select("key", "node", "part", *prints, "n", F.col("block").alias("i"), F.explode(across).alias("j"))
+    right = rest.select(F.col("key").alias("key2"), F.col("node").alias("node2"), F.col("part").alias("part2"), *[F.col(c).alias(c.replace("w", "v")) for c in prints], F.col("n").alias("m"), F.explode(across).alias("i2"), F.col("block").alias("j2"))
+    on = (F.col("key") == F.col("key2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("part") < F.col("part2")) & _alike(most, similarity)
+    return left.join(right, on).select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
+
+
+def similar(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(node, root) of the nodes of ``nodes(node, w0.., n, keys)`` that are linked
+    by a Jaccard similarity of their shingle sets; ``texts(node, text)``.
+
+    Every pair of the similarity meets in a posting list of ``keys``, the
+    prefixes.  Fingerprints rule out pairs that meet by chance; the others are
+    verified by their sets.  First each member is held against the least of its
+    list, then only members that are still of different components.
+    """
+    most, prints = candidate_bits(similarity), nodes.drop("keys")
+    met = materialize(_met(nodes.select(F.explode("keys").alias("key"), "node")), "simhash-met")
+    pairs = met.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct().join(prints.withColumnRenamed("node", "a"), "a")
+    pairs = pairs.join(prints.select(F.col("node").alias("b"), *[F.col(f"w{k}").alias(f"v{k}") for k in range(WIDE)], F.col("n").alias("m")), "b")
+    stars = materialize(pairs.where(_alike(most, similarity)).select("a", "b"), "simhash-stars")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), shingle).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "mers"])
+
+    def checked(candidates: DataFrame, name: str) -> DataFrame:
+        named = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
+        sets = materialize(texts.join(named, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, mers array<bigint>"), f"{name}-sets")
+        return materialize(_verified(candidates, sets, similarity), name)
+
+    found = checked(stars, "simhash-found")
+    parts = materialize(connected_components(found, "simhash-wide"), "simhash-parts")
+    lists = met.select("key", "node").union(met.select("key", F.col("first").alias("node")).distinct()).join(prints, "node").join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"), *[f"w{k}" for k in range(WIDE)], "n")
+    # With two members the first has met the other.
+    more = materialize(_between(materialize(lists, "simhash-listed"), most, similarity).join(stars, ["a", "b"], "left_anti"), "simhash-between")
+    if more.isEmpty():
+        return parts
+    return connected_components(found.unionByName(checked(more, "simhash-more")), "simhash-wide2")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with one of each group of near duplicates, all columns.
 
-    Groups are the components over links of wide fingerprints whose estimated
-    similarity of shingle sets is ``similarity`` or more.  The row of smallest
-    doc_id stays (null last, and of rows alike the first read); null and empty
-    texts are one group; an empty table gives an empty result.
+    Groups are the components over pairs whose sets of shingles have a Jaccard
+    similarity of ``similarity`` or more.  The row of smallest doc_id stays (null
+    last, and of rows alike the first read); null and empty texts are one group;
+    an empty table gives an empty result.
     """
     columns = docs.columns
     frame = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).alias("__text"))
-    schema = frame.drop("__text").withColumns({"__row": F.lit(0).cast("long"), "__words": F.expr("cast(array() as array<bigint>)")}).schema
+    frequent, rank = _frequent(docs, text, shingle)
+    prints = [f"__w{k}" for k in range(WIDE)]
+    schema = frame.drop("__text").withColumns({"__row": F.lit(0).cast("long"), **{c: F.lit(0).cast("long") for c in prints}, "__n": F.lit(0), "__mark": F.lit(""), "__keys": F.expr("cast(array() as array<bigint>)")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -276,15 +361,23 @@ def one_of_each(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
 
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            words = [wide_fingerprint(x.as_py(), shingle) for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.arange(at, at + len(words))), pa.array(words, pa.list_(pa.int64()))], names=[*columns, "__row", "__words"])
+            words, sizes, marks, keys = [], [], [], []
+            for value in batch.column(batch.num_columns - 1):
+                own = shingle_set(value.as_py(), shingle)
+                words.append(wide_of(own))
+                sizes.append(len(own))
+                marks.append(hashlib.md5(own.tobytes()).hexdigest())
+                keys.append(prefix(own, similarity, frequent, rank).view(np.int64))
+            rows = np.array(words, np.int64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.arange(at, at + len(words))), *[pa.array(rows[:, k]) for k in range(WIDE)], pa.array(sizes, pa.int32()), pa.array(marks, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=[*columns, "__row", *prints, "__n", "__mark", "__keys"])
             at += len(words)
 
     marked = materialize(frame.mapInArrow(run, schema), "simhash-rows")
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row"))
-    marks = materialize(marked.groupBy(F.col("__words").alias("words")).agg(F.min(order).alias("first")), "simhash-wide-marks")
-    nodes = marks.select(F.col("first.row").alias("node"), "words", "first")
-    roots = wide_links(nodes.select("node", "words"), most_bits(similarity))
-    kept = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    firsts = materialize(marked.groupBy("__mark").agg(F.min(order).alias("first")).select(F.col("first.row").alias("node"), "first"), "simhash-firsts")
+    own = marked.select(F.col("__row").alias("node"), *[F.col(c).alias(c[2:]) for c in prints], F.col("__n").alias("n"), F.col("__keys").alias("keys"))
+    nodes = materialize(own.join(firsts.select("node"), "node", "left_semi"), "simhash-nodes")
+    roots = similar(nodes, marked.select(F.col("__row").alias("node"), F.col(text).alias("text")), similarity, shingle)
+    kept = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     chosen = materialize(kept.select(F.col("first.row").alias("__row")), "simhash-chosen")
-    return marked.join(chosen, "__row", "left_semi").drop("__row", "__words")
+    return marked.join(chosen, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])

@@ -87,3 +87,48 @@ def test_one_of_each(spark):
     got = S.one_of_each(docs)
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [*range(15), 90]
     assert S.one_of_each(docs.limit(0)).count() == 0
+
+
+def _components(ids, linked):
+    root = {i: i for i in ids}
+    for a, b in linked:
+        x, y = root[a], root[b]
+        if x != y:
+            root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("block", [2_000, 5])
+def test_one_of_each_equals_brute_force_jaccard(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    line = [word() for _ in range(30)]
+    rows = []
+    for length in (6, 9, 40, 60, 200):
+        for _ in range(6):
+            base = [*[word() for _ in range(length)], *(line if length > 40 else [])]
+            rows.append(base)
+            for _ in range(7):  # about 0.6 to 1
+                own = list(rnd.choice([rows[-1], base]))
+                for _ in range(rnd.randint(0, length // 60)):
+                    own[rnd.randrange(length)] = word()
+                rows.append(own + [word() for _ in range(rnd.randint(0, max(1, length // 8)))])
+    rnd.shuffle(rows)
+    sets = [{" ".join(r[i : i + 5]) for i in range(len(r) - 4)} for r in rows]
+    near = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    just = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 0.7 <= len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.8]
+    assert len(near) > 100 and len(just) > 30
+    want = set(_components(range(len(rows)), near).values())
+    got = S.one_of_each(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(4))
+    assert {r["doc_id"] for r in got.collect()} == want
+
+
+def test_candidate_bits_hold_pairs_at_the_threshold():
+    rnd = np.random.default_rng(3)
+    most = S.candidate_bits(0.8)
+    for common, left, right in [(4, 0, 1), (8, 1, 1), (8, 0, 2), (40, 5, 5), (40, 0, 10), (240, 30, 30), (240, 0, 60)]:
+        for _ in range(300):
+            mers = rnd.integers(0, 1 << 64, common + left + right, np.uint64)
+            one, two = S.wide_of(mers[: common + left]), S.wide_of(np.concatenate([mers[:common], mers[common + left :]]))
+            assert sum(int(x).bit_count() for x in (one ^ two).view(np.uint64)) <= most
