@@ -28,6 +28,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript head iframe object svg math canvas select option textarea button".split())
 BOILER = frozenset("nav footer aside form dialog menu".split())
+# Elements that a head may hold; any other ends it.
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template head html".split())
 # Words by which pages name what is not their article.
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments discussion disqus replies responses widget toolbar pagination pager copyright disclaimer".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -82,6 +84,8 @@ class Lines(HTMLParser):
         return None
 
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD and any(name == "head" for name, *_ in self.open):
+            self._close_head()
         if tag not in INLINE:
             self._end_line()
             if tag in SELF_CLOSING:
@@ -105,6 +109,12 @@ class Lines(HTMLParser):
         self.open.append((tag, container, silent or tag in SILENT, boiler))
         self.depth += tag == "a"
 
+    def _close_head(self) -> None:
+        # An end tag </head> may be left out; inside a silent element tags are no sign of it.
+        at = max(k for k, (name, *_) in enumerate(self.open) if name == "head")
+        if not any(name in SILENT for name, *_ in self.open[at + 1 :]):
+            self._close(at)
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:

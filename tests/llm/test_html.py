@@ -30,3 +30,9 @@ def test_pages(spark, small):
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         blocks = (" ".join(H.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:h1|p|br)\b[^>]*>", inner))
         assert r["text"] == " ".join(b for b in blocks if b)
+
+
+def test_head_without_end_tag():
+    assert extract("<html><head><title>T</title><body><article><p>Hello</p></article></body></html>") == "Hello"
+    assert extract("<head><meta charset=utf-8><style>p{}</style><noscript><p>no</p></noscript><template><div>t</div></template><p>Hello <b>you</b>") == "Hello you"
+    assert extract("<head><script>x</script></head><body><p>Hello") == "Hello"
