@@ -5,7 +5,7 @@ boundary ends a line; a line has its text, how many tags it holds, how much of
 its text is links, and the containers around it.  The ratio of text outside
 links to tags, smoothed along the page with a Gaussian, is split by a threshold
 into content and the rest.  The content lines vote for the container they
-share: the smallest that holds nearly all their text.  Every line of it is main
+share: the smallest that holds all their text.  Every line of it is main
 text, short ones too, except lines inside menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments, which weigh nothing in the ratio.
 """
@@ -36,7 +36,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 # Elements that close an open element of the same kind, or a paragraph.
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 MAIN = frozenset(("article", "main"))
-SIGMA, SHARE = 2.0, 0.9
+SIGMA = 2.0
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -205,7 +205,8 @@ def extract(html: str | None) -> str:
     if inner and sum(weight[c] for c in inner) >= 0.5 * total:
         chosen = inner
     else:
-        chosen = {max((c for c in range(len(weight)) if weight[c] >= SHARE * total), default=0)}
+        # Whole numbers: the sums are exact.
+        chosen = {max((c for c in range(len(weight)) if weight[c] >= total), default=0)}
     ok = [False] * len(page.parents)
     for c in range(len(ok)):
         ok[c] = c in chosen or c > 0 and ok[page.parents[c]]

@@ -36,3 +36,10 @@ def test_head_without_end_tag():
     assert extract("<html><head><title>T</title><body><article><p>Hello</p></article></body></html>") == "Hello"
     assert extract("<head><meta charset=utf-8><style>p{}</style><noscript><p>no</p></noscript><template><div>t</div></template><p>Hello <b>you</b>") == "Hello you"
     assert extract("<head><script>x</script></head><body><p>Hello") == "Hello"
+
+
+def test_second_block_of_a_long_page():
+    more = " ".join(["More", LONG])
+    for n in (50, 110):
+        html = f"<body><div id=menu><a>Home</a></div><div id=content><div class=body>{f'<p>{LONG}</p>' * n}</div><div class=more>{f'<p>{more}</p>' * 6}</div></div></body>"
+        assert extract(html) == " ".join([LONG] * n + [more] * 6)
