@@ -5,7 +5,7 @@ candidates that the base formats miss: phone numbers without a plus, card
 numbers that fail the check digit, hexadecimal addresses, unusual mailboxes.
 Each occurrence induces lexical patterns: the two words before it, and the
 words on either side.  Patterns and instances form a graph that Spark scores in
-rounds: a pattern is as good as the share of its distinct instances that are
+rounds, to rest: a pattern is as good as the share of its distinct instances that are
 believed, and an instance is believed by noisy-or over its patterns.  Seeds
 keep belief one.  A candidate is added where a pattern of high confidence and
 enough seeds stands around it and its own belief is high.
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from residua.llm._shared import let_go, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, DAMPING, SUPPORT, CONFIDENCE, BELIEF = 3, 0.9, 2, 0.5, 0.4
+DAMPING, SUPPORT, CONFIDENCE, BELIEF = 0.9, 2, 0.5, 0.4
+#: Discoveries believed so much count as support; at rest, all beliefs together rise by less than ``REST``.
+STRONG, REST = 0.8, 1e-4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -153,22 +155,27 @@ def _scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
-def score_graph(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> tuple[DataFrame, DataFrame]:
+def score_graph(edges: DataFrame, damping: float = DAMPING, rest: float = REST) -> tuple[DataFrame, DataFrame]:
     """Score a graph ``edges(pattern, instance, seed boolean)`` of distinct pairs.
 
     Returns ``patterns(pattern, confidence, support)`` and
     ``instances(instance, belief)``.  Each round is two aggregations with
     partial sums and two equi-joins; the scores go through the shared folder.
+    Beliefs only rise, so the rounds end: when a round adds less than ``rest``
+    to all beliefs together.
     """
     instances = edges.groupBy("instance").agg(F.max("seed").alias("is_seed")).withColumn("belief", F.col("is_seed").cast("double"))
-    scored = None
-    for k in range(rounds):
+    total, k = None, 0
+    while True:
         believed = edges.select("pattern", "instance").join(instances.select("instance", "is_seed", "belief"), "instance")
-        scored = materialize(believed.groupBy("pattern").agg((F.sum("belief") / F.count("*")).alias("confidence"), F.sum(F.col("is_seed").cast("long")).alias("support")), f"pii-patterns-{k}")
+        scored = materialize(believed.groupBy("pattern").agg((F.sum("belief") / F.count("*")).alias("confidence"), F.sum((F.col("belief") >= STRONG).cast("long")).alias("support")), f"pii-patterns-{k}")
         trusted = scored.select("pattern", F.when(F.col("support") >= SUPPORT, F.col("confidence")).otherwise(0.0).alias("trust"))
         beliefs = edges.join(trusted, "pattern").groupBy("instance").agg(F.max("seed").alias("is_seed"), (1 - F.exp(F.sum(F.log1p(-damping * F.col("trust"))))).alias("noisy"))
         instances = materialize(beliefs.select("instance", "is_seed", F.when(F.col("is_seed"), 1.0).otherwise(F.col("noisy")).alias("belief")), f"pii-instances-{k}")
-    return scored, instances.select("instance", "belief")
+        before, total = total, instances.where(~F.col("is_seed")).agg(F.coalesce(F.sum("belief"), F.lit(0.0))).first()[0]
+        if total - (before or 0.0) < rest:
+            return scored, instances.select("instance", "belief")
+        k += 1
 
 
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:

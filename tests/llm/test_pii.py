@@ -50,3 +50,16 @@ def test_documents(spark, small):
     for r in pii.find(docs).collect():
         want = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute(r["text"] or ""))
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_rounds_go_to_rest(spark):
+    # Two of twenty in a context are known: confidence 0.10, 0.26, 0.47, 0.70, ...
+    known = [f"+1 (521) 555-62{k:02}" for k in range(2)]
+    unseen = [f"521-555-{1000 + k}" for k in range(18)]
+    rows = [(k, f"call me at phone {p} now") for k, p in enumerate(known + unseen)]
+    # A context that only discovered ones have, and one more there.
+    rows += [(100 + k, f"my new pager number {p} today") for k, p in enumerate([*unseen[:3], "521-555-7777"])]
+    rows += [(200, "version of build 123-456-7890 here")]
+    got = {r["doc_id"]: r["n_added"] for r in pii.find(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert all(got[k] == 1 for k in range(2, 20)) and got[103] == 1
+    assert got[0] == got[1] == got[200] == 0
