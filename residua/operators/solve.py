@@ -165,7 +165,8 @@ def solve_distributed(entries: DataFrame, b: DataFrame, sizes: DataFrame, rtol:
 
     An iteration is one product and two aggregates of one row; vectors are
     written out each time, so that the plan stays short and a lost executor
-    costs a re-read.  The true residual is confirmed at the end.
+    costs a re-read.  The true residual is confirmed at the end; one above
+    ``rtol`` (but for rounding, a hundredth) raises ArithmeticError.
     """
     key = ["case_id", "i"]
     state = b.select(*key, F.lit(0.0).alias("x"), F.col("x").alias("r")).join(M.diagonal(entries).withColumnRenamed("x", "d"), key, "left")
@@ -184,7 +185,10 @@ def solve_distributed(entries: DataFrame, b: DataFrame, sizes: DataFrame, rtol:
     x = state.select(*key, "x")
     true = M.matvec(entries, x, sizes, "ax").join(b.select(*key, F.col("x").alias("b")), key)
     top, bottom = true.agg(F.sum(F.pow(F.col("b") - F.col("ax"), 2)), F.sum(F.pow("b", 2))).first()
-    return x, steps, (top / bottom) ** 0.5 if bottom else 0.0
+    residual = (top / bottom) ** 0.5 if bottom else 0.0
+    if not residual <= 1.01 * rtol:
+        raise ArithmeticError(f"conjugate gradients did not converge: relative residual {residual:.3g} after {steps} iterations, tolerance {rtol:.3g}")
+    return x, steps, residual
 
 
 def rayleigh(entries: DataFrame, x: DataFrame, sizes: DataFrame) -> DataFrame:

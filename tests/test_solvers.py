@@ -82,3 +82,16 @@ def test_a_raising_solver_is_a_failed_run(spark, small):
     row = S.solve_groups(a, b, cases, lambda tol: Spoils("bicgstab", tol)).first()
     assert row["mutated"] is True
     assert set(S.registry()) == set(S.SOLVERS)
+
+
+def test_distributed_solver_tells_when_it_has_not_converged(spark):
+    from residua.operators import solve
+
+    n = 12
+    entries = [("c", i, i, 2.0) for i in range(n)] + [("c", i, i + s, -1.0) for i in range(n) for s in (-1, 1) if 0 <= i + s < n]
+    a = spark.createDataFrame(entries, "case_id string, row long, col long, val double")
+    b = spark.createDataFrame([("c", i, float(i % 3 + 1)) for i in range(n)], "case_id string, i long, x double")
+    sizes = spark.createDataFrame([("c", n)], "case_id string, n long")
+    assert solve.solve_distributed(a, b, sizes, 1e-9)[2] <= 1.01e-9
+    with pytest.raises(ArithmeticError):
+        solve.solve_distributed(a, b, sizes, 1e-9, most=2)
