@@ -62,29 +62,22 @@ class EliasFano:
         before = np.concatenate([[0], np.cumsum(bits.reshape(-1, SAMPLE).sum(axis=1))[:-1]])
         return cls(n, low_bits, np.packbits(lows.astype(np.uint8), bitorder="little").tobytes(), np.packbits(bits, bitorder="little").tobytes(), before.astype("<u4").tobytes())
 
-    def _lows(self, index: np.ndarray) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(len(index), np.int64)
-        packed = np.frombuffer(self.low, np.uint8)
-        at = index[:, None] * self.low_bits + np.arange(self.low_bits)
-        bits = (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        return (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
-
     def select(self, i: int) -> int:
         """The i-th value, reading one sample's stretch of the bit vector."""
         if not 0 <= i < self.count:
             raise IndexError(i)
         samples = np.frombuffer(self.samples, "<u4")
-        k = int(np.searchsorted(samples, i, side="right")) - 1
+        k = int(samples.searchsorted(i, side="right")) - 1
         stretch = np.unpackbits(np.frombuffer(self.high, np.uint8, SAMPLE // 8, k * SAMPLE // 8), bitorder="little")
-        one = k * SAMPLE + int(np.flatnonzero(stretch)[i - int(samples[k])])
-        return ((one - i) << self.low_bits) | int(self._lows(np.array([i]))[0])
+        one = k * SAMPLE + int(stretch.nonzero()[0][i - int(samples[k])])
+        first = i * self.low_bits
+        last = first + self.low_bits
+        low = int.from_bytes(self.low[first >> 3 : (last + 7) >> 3], "little") >> (first & 7)
+        return (one - i) << self.low_bits | low & ((1 << self.low_bits) - 1)
 
-    def values(self) -> np.ndarray:
-        """All values."""
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little")) if self.count else np.empty(0, np.int64)
-        index = np.arange(self.count)
-        return ((ones - index) << self.low_bits) | self._lows(index)
+    def span(self, i: int) -> tuple[int, int]:
+        """Where the i-th of consecutive items starts and ends, if the values are their ends."""
+        return self.select(i - 1) if i else 0, self.select(i)
 
 
 class Encoder:
@@ -93,37 +86,48 @@ class Encoder:
     A byte-level tokenizer without normalizer encodes the words that its own
     pattern cuts each by itself; so the library encodes each distinct word
     once, and texts are put together from them.  Any other tokenizer encodes
-    whole texts.
+    whole texts, and so does this one where a text holds the string of an
+    added token, which the library finds before it cuts words: such a string
+    becomes its token, or ordinary text with ``special_as_text``.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.own.encode_special_tokens = special_as_text
         self.own.no_truncation()
         self.own.no_padding()
         cut, self.memory = json.loads(self.own.to_str()), None
+        # As text they are cut like any other, by the words' path too.
+        self.added = [] if special_as_text and all(t["special"] for t in cut["added_tokens"]) else [t["content"] for t in cut["added_tokens"]]
         before = cut["pre_tokenizer"] or {}
         if before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not cut["normalizer"]:
             self.memory = Packed(BYTE_LEVEL, self._words, WORDS)
+            self.uncut = Tokenizer.from_file(path)
+            self.uncut.encode_special_tokens = True
+            self.uncut.no_truncation()
+            self.uncut.no_padding()
+            self.uncut.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # its words are cut
 
     def _words(self, words: list[str]) -> list[bytes]:
-        found = self.own.encode(words, is_pretokenized=True, add_special_tokens=False)
+        found = self.uncut.encode(words, is_pretokenized=True, add_special_tokens=False)
         ends = (np.cumsum(np.bincount(np.array(found.word_ids), minlength=len(words))) * 4).tolist()
         flat = np.array(found.ids, "<u4").tobytes()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
-        if self.memory is None:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        return self.memory.encode(texts)
+        whole = {i for i, t in enumerate(texts) if t and (self.memory is None or any(a in t for a in self.added))}
+        out = [b""] * len(texts) if self.memory is None else self.memory.encode([None if i in whole else t for i, t in enumerate(texts)])
+        for i, found in zip(whole, self.own.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, "<u4").tobytes()
+        return out
 
 
-def _encoder(path: str) -> Encoder:
-    return held(("encoder", path), lambda: Encoder(path))
+def _encoder(path: str, special_as_text: bool) -> Encoder:
+    return held(("encoder", path, special_as_text), lambda: Encoder(path, special_as_text))
 
 
 def _block(part: int, block: int, base: int, doc_ids: list, ids: list[bytes]) -> dict:
@@ -131,13 +135,14 @@ def _block(part: int, block: int, base: int, doc_ids: list, ids: list[bytes]) ->
     return {"part": part, "block": block, "base": base, "n_ids": sum(map(len, ids)) // 4, "doc_ids": doc_ids, "low_bits": ends.low_bits, "low": ends.low, "high": ends.high, "samples": ends.samples, "ids": b"".join(ids)}
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, text: str = "text", block_ids: int = BLOCK_IDS, partitions: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, text: str = "text", block_ids: int = BLOCK_IDS, partitions: int | None = None, special_as_text: bool = False) -> None:
     """Encode every whole text, append ``end_id`` and write a token file in order of doc_id.
 
     One shuffle: rows are range-partitioned by doc_id and sorted; each task
     encodes as it reads and closes a block when it holds ``block_ids`` ids, so
     that a task holds one block and one batch.  A null or empty text gives the
-    end id alone.  A null doc_id sorts first; rows of equal doc_id stand
+    end id alone.  The string of a special token becomes its id, as the library
+    does it, or ordinary text with ``special_as_text``.  A null doc_id sorts first; rows of equal doc_id stand
     together, by text (null first), repeats each on their own.  Other columns
     are not written.  An empty table gives a file of no blocks.
     """
@@ -150,7 +155,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, part, block, base = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        own, part, block, base = _encoder(tokenizer_path, special_as_text), TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
         ids: list[bytes] = []
         last = np.array([end_id], "<u4").tobytes()
@@ -201,12 +206,14 @@ def _documents(spark: SparkSession, path: str, last: str, digest) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ends = EliasFano(len(row["doc_ids"]), row["low_bits"], row["low"], row["high"], row["samples"]).values()
-                starts = np.concatenate([[0], ends[:-1]])
-                ids = np.frombuffer(row["ids"], "<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["before"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array([digest(ids[a:b]) for a, b in zip(starts, ends, strict=True)], out_type)],
-                    names=["doc_id", "start", "n_tokens", name],
-                )
+                ends = EliasFano(len(row["doc_ids"]), row["low_bits"], row["low"], row["high"], row["samples"])
+                ids, starts, sizes, found = np.frombuffer(row["ids"], "<u4"), [], [], []
+                for i in range(ends.count):
+                    # Every offset is a select; the end of one document is not carried to the next.
+                    start, end = ends.span(i)
+                    starts.append(row["before"] + start)
+                    sizes.append(end - start)
+                    found.append(digest(ids[start:end]))
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, out_type)], names=["doc_id", "start", "n_tokens", name])
 
     return joined.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")

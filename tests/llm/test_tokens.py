@@ -14,11 +14,13 @@ TEXTS = ["", "a", "the cat, the hat", "  two  spaces\n\n x ", "don't 'S 's", "<|
 
 
 def _own():
+    """The library's tokenizer as the file gives it."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+ENCODER, WHOLE = token_blocks.Encoder(P.path("byte_bpe_50k.json")), _own()
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +41,8 @@ def codec():
 def test_elias_fano_round_trip(values):
     values = sorted(values)
     e = token_blocks.EliasFano.encode(np.array(values, np.uint64))
-    assert e.values().tolist() == values and [e.select(i) for i in range(len(values))] == values
+    assert [e.select(i) for i in range(len(values))] == values
+    assert [e.span(i) for i in range(len(values))] == list(zip([0, *values], values, strict=False))
     with pytest.raises(IndexError):
         e.select(len(values))
 
@@ -51,9 +54,18 @@ def test_elias_fano_is_small():
 
 
 def test_words_encode_like_whole_texts():
-    own, enc = _own(), token_blocks.Encoder(P.path("byte_bpe_50k.json"))
-    for text, found in zip(TEXTS, enc.encode(TEXTS), strict=True):
-        assert np.frombuffer(found, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+    texts = [*TEXTS, "a<|endoftext|><|endoftext|> b", "<|endoftext", "|> x <|endoftext|>"]
+    for as_text in (False, True):
+        own, enc = _own(), token_blocks.Encoder(P.path("byte_bpe_50k.json"), as_text)
+        own.encode_special_tokens = as_text
+        for text, found in zip(texts, enc.encode(texts), strict=True):
+            assert np.frombuffer(found, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+@given(st.text(alphabet="ab 's\n\t1²é中😀\x1c!.<|>", max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_any_text_encodes_like_the_library(text):
+    assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
 def test_codec_equals_tiktoken(codec, tiktoken_encoding):
@@ -67,7 +79,7 @@ def test_codec_equals_tiktoken(codec, tiktoken_encoding):
 
 
 def test_token_file(spark):
-    rows = [(3, "c c", "x"), (1, None, "y"), (2, "", None), (5, "long word " * 3000, "z"), (3, "c c", "x"), (None, "n", "n")]
+    rows = [(3, "c c", "x"), (1, None, "y"), (2, "", None), (5, "long word " * 3000, "z"), (3, "c c", "x"), (None, "n", "n"), (7, "a<|endoftext|>b", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
     path = new_path(spark, "t")
     token_blocks.write_tokens(docs, path, P.path("byte_bpe_50k.json"), block_ids=100, partitions=3)
