@@ -2,26 +2,32 @@
 
 Vectors are scaled by the largest norm and given one more component that brings
 each to norm one, so that the nearest by distance is the largest by inner
-product.  Each of ``TABLES`` tables hashes a vector by ``WIDE`` Gaussian
-projections cut into cells of width ``CELL``.  A query visits the occupied
-buckets of each table in the order of their estimated success: the sum of
-squared distances from the query's projections to the bucket's cells, which for
-cells next to the query's own is the order of query-directed probing.  It stops
-at a bound on that sum, merges the tables' candidates and ranks them by exact
-inner products.
-
-The bound is fitted on a bounded sample: the least one under which ``TARGET``
-of the sample's true neighbours are found.  In a sample, neighbours are farther
-than in the whole, so the recall of the whole is higher.
-
-Every vector is indexed.  Index and queries meet in blocks of at most
-``BLOCK`` vectors and ``QUERIES`` queries, dealt by a digest of the vector, so
-no bucket, however full, lands in one task.  Equal vectors are one entry that
-holds their smallest ids, as many as can be asked for.
+product.  Each of ``TABLES`` tables hashes a vector by ``WIDE`` projections on
+Gaussian directions (turned square to each other where they fit) cut into cells
+of width ``CELL``.  A query visits its own bucket of each table and then
+perturbed ones: a perturbation moves some of the projections to a neighbouring
+cell, and the order of visits is that of the estimated success, the expected sum
+of squared distances to the boundaries that are crossed.  That order is one
+sequence over the ranks of the boundaries, the same for every query, which each
+query applies to its own boundaries from the nearest to the farthest.
+
+How many buckets are visited is fitted on a bounded sample: as many as find
+``TARGET`` of the sample's true neighbours, ``MOST_PROBES`` at most.  In a
+sample, neighbours are farther than in the whole, so the recall of the whole is
+higher.  A query that finds fewer candidates than asked for visits all.
+
+Every vector is indexed.  A posting holds a key and the number of a vector;
+postings and probes meet in groups of a table's keys, of which large ones are
+split, so no bucket, however full, lands in one task.  What the tables find is
+merged, and candidates are reranked exactly in blocks of vectors: a block goes
+to a group of queries only if one of them has a candidate there.  Equal vectors
+are one entry that holds their smallest ids, as many as can be asked for.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,48 +35,97 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.llm._shared import materialize
+from residua.llm._shared import let_go, materialize
 
-TABLES, WIDE, CELL = 6, 8, 1.5
-SAMPLE, SAMPLE_QUERIES, TARGET = 8_192, 256, 0.97
-BLOCK, QUERIES = 8_192, 4_096
+TABLES, WIDE, CELL = 16, 20, 3.5
+SAMPLE, SAMPLE_QUERIES, TARGET, MOST_PROBES = 8_192, 256, 0.94, 2_048
+BLOCK, QUERIES = 8_192, 2_048
 SLACK = 1e-9
 
 
+def sequence(wide: int, count: int) -> np.ndarray:
+    """The first ``count`` sets of boundaries in the order of estimated success.
+
+    Row by row, a set of ranks among the 2 * ``wide`` boundaries of a query from
+    nearest (0) to farthest, marked by ones; the first set is empty.  The score
+    of a set is the sum of expected squared distances of its ranks for
+    projections spread evenly over their cells.  Ranks r and 2 * wide - 1 - r are
+    the two sides of one cell and never stand in one set.
+    """
+    k, r = wide, np.arange(1, 2 * wide + 1)
+    near, far = r * (r + 1) / (4 * (k + 1) * (k + 2)), 1 - (2 * k + 1 - r) / (k + 1) + (2 * k + 1 - r) * (2 * k + 2 - r) / (4 * (k + 1) * (k + 2))
+    price = np.where(r <= k, near, far).tolist()
+    sets: list[tuple[int, ...]] = [()]
+    waiting = [(price[0], (0,))]
+    while waiting and len(sets) < count:
+        score, own = heapq.heappop(waiting)
+        if own[-1] + 1 < 2 * k:
+            # Its two successors: the last rank moved on by one, or the next rank added.
+            heapq.heappush(waiting, (score - price[own[-1]] + price[own[-1] + 1], (*own[:-1], own[-1] + 1)))
+            heapq.heappush(waiting, (score + price[own[-1] + 1], (*own, own[-1] + 1)))
+        if not any(2 * k - 1 - x in own for x in own):
+            sets.append(own)
+    out = np.zeros((len(sets), 2 * k), np.int64)
+    for i, own in enumerate(sets):
+        out[i, list(own)] = 1
+    return out
+
+
 @dataclass(frozen=True)
 class Index:
-    """Projections and offsets of the tables, the largest norm, and the bound on probes."""
+    """Directions, offsets and key weights of the tables, the largest norm, and
+    how many buckets of a table a query visits."""
 
     largest: float
     planes: np.ndarray  # tables, components + 1, projections
     shifts: np.ndarray  # tables, projections
-    bound: float = np.inf
+    weights: np.ndarray  # tables, projections
+    probes: int = MOST_PROBES
 
     @classmethod
     def make(cls, size: int, largest: float, seed: int = 7) -> Index:
-        rng = np.random.default_rng(seed)
-        return cls(largest, rng.standard_normal((TABLES, size + 1, WIDE)), rng.uniform(0, CELL, (TABLES, WIDE)))
+        rng, planes = np.random.default_rng(seed), []
+        while len(planes) < TABLES:
+            turned = rng.standard_normal((size + 1, size + 1))
+            if size + 1 >= WIDE:
+                # The directions of a table, and of as many tables as fit, are square to each other.
+                turned = np.linalg.qr(turned)[0] * np.sqrt(size + 1)
+                planes += [turned[:, k : k + WIDE] for k in range(0, size + 2 - WIDE, WIDE)]
+            else:
+                planes.append(rng.standard_normal((size + 1, WIDE)))
+        weights = rng.integers(1 << 40, 1 << 62, (TABLES, WIDE)) | 1
+        return cls(largest, np.array(planes[:TABLES]), rng.uniform(0, 1, (TABLES, WIDE)), weights)
+
+    def places(self, x: np.ndarray, t: int, asked: bool) -> np.ndarray:
+        """Projections in cells: of indexed vectors, or of queries, whose length does not matter."""
+        if asked:
+            x = np.column_stack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))])
+        else:
+            x = x / self.largest
+            x = np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))])
+        return x @ self.planes[t] / CELL + self.shifts[t]
 
-    def stored(self, x: np.ndarray) -> np.ndarray:
-        """Cells of indexed vectors: tables, vectors, projections."""
-        x = x / self.largest
-        rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))
-        return np.floor(self._project(np.column_stack([x, rest])) / CELL).astype(np.int32)
+    def keys(self, x: np.ndarray, t: int) -> np.ndarray:
+        """The key of each indexed vector's bucket in table ``t``."""
+        return _short(np.floor(self.places(x, t, False)).astype(np.int64) @ self.weights[t])
 
-    def asked(self, q: np.ndarray) -> np.ndarray:
-        """Projections of queries, whose length does not matter."""
-        return self._project(np.column_stack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))]))
+    def visits(self, q: np.ndarray, t: int, sets: np.ndarray) -> Iterator[np.ndarray]:
+        """For each query the keys of the buckets of table ``t`` in the order of visits."""
+        places = self.places(q, t, True)
+        cells = np.floor(places)
+        inside = places - cells
+        own = cells.astype(np.int64) @ self.weights[t]
+        # Distances to the lower and the upper boundary of each cell, and what crossing adds to a key.
+        nearest = np.argsort(np.concatenate([inside, 1 - inside], axis=1), axis=1, kind="stable")
+        moves = np.concatenate([-self.weights[t], self.weights[t]])
+        for i, order in enumerate(nearest):
+            yield _short(own[i] + sets @ moves[order])
 
-    def _project(self, x: np.ndarray) -> np.ndarray:
-        return np.einsum("nd,tdk->tnk", x, self.planes) + self.shifts[:, None, :]
 
-    @staticmethod
-    def effort(asked: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """For one query's projections in a table and the cells of buckets: the
-        sum of squared distances to them, in cells."""
-        low = cells - asked / CELL
-        away = np.maximum(np.maximum(low, -1 - low), 0)
-        return (away * away).sum(axis=1)
+def _short(keys: np.ndarray) -> np.ndarray:
+    """The upper half of 64-bit keys: vectors of two buckets that share it are
+    candidates too many, never too few."""
+    return (keys >> 32).astype(np.int32)
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -82,43 +137,35 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, largest: float, top: int) -> Index:
-    """Fit the bound on probes to a sample of vectors."""
+    """Fit the number of visits to a sample of vectors."""
     index = Index.make(sample.shape[1], largest)
     if len(sample) <= 2 * top:
         return index
     step = max(1, len(sample) // SAMPLE_QUERIES)
-    asked, cells, least = index.asked(sample[::step]), index.stored(sample), []
-    for i, q in enumerate(sample[::step]):
+    asked, sets, true = sample[::step], sequence(WIDE, MOST_PROBES), []
+    for i, q in enumerate(asked):
         products = sample @ q
         products[i * step] = -np.inf
-        true = np.argpartition(-products, top)[:top]
-        least.append(np.min([index.effort(asked[t, i], cells[t, true]) for t in range(TABLES)], axis=0))
-    return Index(index.largest, index.planes, index.shifts, float(np.quantile(np.concatenate(least), TARGET)))
-
-
-def search_block(index: Index, x: np.ndarray, ids: np.ndarray, q: np.ndarray, top: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query of a block: (its place, places in x, exact products) of the
-    ``top`` best candidates of the block, ties to smaller ids."""
-    tables = []
-    for cells in index.stored(x):
-        buckets, bucket_of = np.unique(cells, axis=0, return_inverse=True)
-        tables.append((buckets, bucket_of.ravel()))
-    asked, out = index.asked(q), []
-    for i, own in enumerate(q):
-        seen = np.zeros(len(x), bool)
-        for t, (buckets, bucket_of) in enumerate(tables):
-            seen |= (index.effort(asked[t, i], buckets) <= index.bound)[bucket_of]
-        found = np.flatnonzero(seen)
-        if not len(found):
-            continue
-        products = x[found] @ own
-        if len(found) > top:
-            limit = np.partition(products, len(found) - top)[len(found) - top]
-            found = found[products >= limit - SLACK * max(1.0, abs(limit))]
-        products = exact(own, x[found])
-        best = np.lexsort((ids[found], -products))[:top]
-        out.append((i, found[best], products[best]))
-    return out
+        true.append(np.argpartition(-products, top)[:top])
+    needed = np.full((len(asked), top), MOST_PROBES)
+    for t in range(TABLES):
+        keys = index.keys(sample, t)
+        for i, visited in enumerate(index.visits(asked, t, sets)):
+            at = visited == keys[true[i]][:, None]
+            needed[i] = np.minimum(needed[i], np.where(at.any(axis=1), at.argmax(axis=1), MOST_PROBES))
+    probes = int(np.quantile(needed, TARGET, method="higher")) + 1
+    return Index(index.largest, index.planes, index.shifts, index.weights, min(probes, MOST_PROBES))
+
+
+def best_of(own: np.ndarray, x: np.ndarray, ids: np.ndarray, found: np.ndarray, products: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the candidates ``found`` with rounded products: places and exact
+    products of the ``top`` best, ties to smaller ids."""
+    if len(found) > top:
+        limit = np.partition(products, len(found) - top)[len(found) - top]
+        found = found[products >= limit - SLACK * max(1.0, abs(limit))]
+    products = exact(own, x[found])
+    best = np.lexsort((ids[found], -products))[:top]
+    return found[best], products[best]
 
 
 def usable(vector: str) -> Column:
@@ -128,65 +175,199 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & F.forall(v, lambda c: F.coalesce(fine(c), F.lit(False))) & F.exists(v, lambda c: c != 0)
 
 
-def search(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", top: int = 20) -> DataFrame:
-    """The ``top`` rows of largest inner product for each query row.
+def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.array(column.flatten(), float).reshape(-1, size)
 
-    Returns query_id, rank (from 1), vec_id, score (the inner product in double
-    precision, components added in order).  Queries are the rows where
-    ``is_query`` holds; every other usable row is a candidate, equal vectors
-    too; ties go to the smaller id.  Vectors that are null, zero, or hold null
-    or non-finite components take no part, nor do those of another length than
-    the most frequent (the longest of equally frequent) or rows with a null id.
-    Rows repeated under one id stand side by side among the candidates, but no
-    row answers a query of its own id.  With fewer candidates than ``top`` all
-    that were found are given.  An empty table gives an empty result.
-    """
-    spark = table.sparkSession
-    rows = table.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask"))
-    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
-    result = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], result)
-    size = sizes[0]["size"]
-    rows = materialize(rows.where(F.size("v") == size).withColumn("mark", F.md5(F.col("v").cast("string"))), "ann-rows")
-    # At most top + 1 ids of a vector can be asked for; the limit works before the shuffle too.
-    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("mark").orderBy("id"))).where(F.col("nth") <= top + 1)
-    entries = materialize(first.groupBy("mark").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids")), "ann-entries")
-    asked = rows.where("ask").groupBy("mark").agg(F.first("v").alias("v"))
-    asked = materialize(asked, "ann-asked")
-    n, largest = entries.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))).first()
-    n_asked = asked.count()
-    part = max(1, n // SAMPLE)
-    sample = entries.where(F.pmod(F.xxhash64("mark"), F.lit(part)) == 0).orderBy("mark").limit(SAMPLE).select("v").toPandas()["v"]
-    index = fit(np.array(sample.tolist(), float).reshape(-1, size), float(largest), top)
-    blocks, groups = -(-n // BLOCK), max(1, -(-n_asked // QUERIES))
-    deal = lambda k: F.pmod(F.xxhash64(F.lit(k), "mark"), F.lit(k)).cast("int")
-    left = entries.withColumn("block", deal(blocks)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = asked.withColumn("group2", deal(groups)).withColumn("block2", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    schema = pa.schema([("ask", pa.string()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        return np.array(column.combine_chunks().flatten(), float).reshape(-1, size)
+def _numbered(entries: DataFrame) -> tuple[DataFrame, int]:
+    """``entries`` with nth, whole numbers from 0 without gaps, and their count."""
+    rows = materialize(entries.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ann-entries")
+    # One row for each task that wrote.
+    counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before, n = [], 0
+    for part in sorted(counts):
+        before.append((part, n))
+        n += counts[part]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "part int, before long"))
+    return rows.join(offsets, "part").withColumn("nth", F.col("nth") + F.col("before")).drop("part", "before"), n
+
+
+def _postings(entries: DataFrame, index: Index, size: int, groups: int) -> DataFrame:
+    """(group, key, nth) of every vector in every table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for batch in batches:
+            x = _matrix(batch.column(1), size)
+            for t in range(TABLES):
+                keys = index.keys(x, t)
+                yield pa.RecordBatch.from_arrays([pa.array((t * groups + keys % groups).astype(np.int32)), pa.array(keys), batch.column(0)], names=["group", "key", "nth"])
+
+    return entries.select("nth", "v").mapInArrow(run, "group int, key int, nth long")
+
+
+def _probes(asked: DataFrame, index: Index, size: int, groups: int) -> DataFrame:
+    """(group, ask, keys): the buckets of a group that a query visits."""
+    sets = sequence(WIDE, index.probes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for batch in batches:
+            nth, q = np.array(batch.column(0)), _matrix(batch.column(1), size)
+            for t in range(TABLES):
+                places, asks, sizes, all_keys = [], [], [], []
+                for i, keys in enumerate(index.visits(q, t, sets)):
+                    at = keys % groups
+                    order = np.argsort(at, kind="stable")
+                    found, count = np.unique(at, return_counts=True)
+                    places.append(found + t * groups)
+                    asks.append(np.full(len(found), nth[i]))
+                    sizes.append(count)
+                    all_keys.append(keys[order])
+                if places:
+                    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_keys)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(asks)), lists], names=["group", "ask", "keys"])
+
+    return asked.select("nth", "v").mapInArrow(run, "group int, ask long, keys array<int>")
 
-    def run(stored: pa.Table, queries: pa.Table) -> pa.Table:
-        if not stored.num_rows or not queries.num_rows:
+
+def _candidates(postings: DataFrame, probes: DataFrame, blocks: int) -> DataFrame:
+    """(block, ask, places): where in each block of vectors a query has candidates."""
+    schema = pa.schema([("block", pa.int32()), ("ask", pa.int64()), ("places", pa.list_(pa.int32()))])
+    # A full group, say of one bucket, is split; its probes go to each part of it.
+    sizes = materialize(postings.groupBy("group").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts")).where("parts > 1"), "ann-full")
+    left = postings.join(sizes, "group", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("nth"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    right = probes.withColumnRenamed("group", "group2").join(sizes.withColumnRenamed("group", "group2"), "group2", "left")
+    right = right.withColumn("piece2", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+
+    def run(stored: pa.Table, asked: pa.Table) -> pa.Table:
+        if not stored.num_rows or not asked.num_rows:
             return schema.empty_table()
-        ids, marks = stored["ids"].combine_chunks(), queries["mark"].to_pylist()
-        least = np.array([x[0].as_py() for x in ids])
-        places, names, scores = [], [], []
-        for i, found, products in search_block(index, matrix(stored["v"]), least, matrix(queries["v"]), top + 1):
-            places.append(found)
-            names += [marks[i]] * len(found)
-            scores.append(products)
-        if not names:
+        keys, nth = np.array(stored["key"]), np.array(stored["nth"])
+        order = np.argsort(keys, kind="stable")
+        keys, nth = keys[order], nth[order]
+        lists = asked["keys"].combine_chunks()
+        probes, ask = np.array(lists.flatten()), np.repeat(np.array(asked["ask"]), np.array(lists.value_lengths()))
+        low, high = np.searchsorted(keys, probes, "left"), np.searchsorted(keys, probes, "right")
+        hits = high - low
+        if not hits.any():
+            return schema.empty_table()
+        ends = np.cumsum(hits)
+        found = nth[np.arange(ends[-1]) - np.repeat(ends - hits - low, hits)]
+        ask, block, place = np.repeat(ask, hits), found % blocks, found // blocks
+        # Stable: within a block the queries stay together as they came, in rows of probes.
+        order = np.argsort(block.astype(np.uint16 if blocks <= 1 << 16 else np.int64), kind="stable")
+        ask, block, place = ask[order], block[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], (ask[1:] != ask[:-1]) | (block[1:] != block[:-1])]))
+        offsets = np.append(first, len(ask)).astype(np.int32)
+        return pa.table([pa.array(block[first].astype(np.int32)), pa.array(ask[first]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.astype(np.int32)))], schema=schema)
+
+    return left.groupBy("group", "piece").cogroup(right.groupBy("group2", "piece2")).applyInArrow(run, "block int, ask long, places array<int>")
+
+
+def _ranked(candidates: DataFrame, entries: DataFrame, asked: DataFrame, size: int, blocks: int, crowds: int, top: int) -> DataFrame:
+    """(ask, ids, score): of each query and block the ``top`` best candidates, merged
+    over the tables; ``places`` null stands for the whole block."""
+    schema = pa.schema([("ask", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+    crowd = lambda c: F.pmod(F.xxhash64(c), F.lit(crowds)).cast("int").alias("crowd")
+    left = candidates.select("block", crowd("ask"), "ask", "places")
+    pairs = left.select(F.col("block").alias("block2"), F.col("crowd").alias("crowd2")).distinct()
+    stored = entries.select((F.col("nth") % blocks).cast("int").alias("block2"), "nth", "v", "ids").join(pairs, "block2").select("block2", "crowd2", "nth", "v", "ids")
+    queries = asked.select(crowd("nth").alias("crowd2"), "nth", "v", F.lit(None).cast("array<bigint>").alias("ids")).join(pairs, "crowd2").select("block2", "crowd2", "nth", "v", "ids")
+    right = stored.unionAll(queries)  # a query among them has no ids
+
+    def run(found: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not found.num_rows or not vectors.num_rows:
             return schema.empty_table()
-        return pa.table([pa.array(names), ids.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(scores))], schema=schema)
+        nth, all_ids = np.array(vectors["nth"]), vectors["ids"].combine_chunks()
+        query = np.array(all_ids.is_null())
+        x = _matrix(vectors["v"], size)
+        own, q_nth = x[query], nth[query]
+        x, nth, all_ids = x[~query], nth[~query], all_ids.filter(pa.array(~query))
+        least = np.array([i[0].as_py() for i in all_ids], np.int64)
+        row_of = np.full(int(nth.max()) // blocks + 1, -1)
+        row_of[nth // blocks] = np.arange(len(nth))
+        by_ask = np.argsort(q_nth)
+        at = by_ask[np.searchsorted(q_nth[by_ask], np.array(found["ask"]))]
+        lists = found["places"].combine_chunks()
+        seen = np.zeros((len(own), len(x)), bool)
+        seen[at[np.array(lists.is_null())]] = True
+        seen[np.repeat(at, np.array(lists.value_lengths().fill_null(0))), row_of[np.array(lists.flatten())]] = True
+        places, asks, scores = [], [], []
+        for i in np.unique(at).tolist():
+            some = np.flatnonzero(seen[i])
+            best, products = best_of(own[i], x, least, some, x[some] @ own[i] if 8 * len(some) < len(x) else (x @ own[i])[some], top)
+            places.append(best)
+            asks.append(np.full(len(best), q_nth[i]))
+            scores.append(products)
+        return pa.table([pa.array(np.concatenate(asks)), all_ids.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(scores))], schema=schema)
+
+    return left.groupBy("block", "crowd").cogroup(right.groupBy("block2", "crowd2")).applyInArrow(run, "ask long, ids array<bigint>, score double")
+
+
+def _best(found: DataFrame, top: int) -> DataFrame:
+    """The ``top`` best rows of each query."""
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), F.element_at("ids", 1))
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).drop("place")
+
+
+_RESULT = "query_id long, rank int, vec_id long, score double"
+
 
-    found = left.groupBy("block", "group").cogroup(right.groupBy("block2", "group2")).applyInArrow(run, "ask string, ids array<bigint>, score double")
-    best = materialize(found, "ann-found").withColumn("nth", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), F.element_at("ids", 1)))).where(F.col("nth") <= top + 1)
-    lists = materialize(best.groupBy("ask").agg(F.collect_list(F.struct("score", "ids")).alias("found")), "ann-lists")
-    queries = rows.where("ask").select(F.col("id").alias("query_id"), F.col("mark").alias("ask"))
+def _search(rows: DataFrame, size: int, top: int) -> DataFrame:
+    """``search`` over ``rows(id, v, ask)`` of one length."""
+    rows = materialize(rows.where(F.size("v") == size).withColumn("mark", F.md5(F.col("v").cast("string"))), "ann-rows")
+    # At most top + 1 ids of a vector can be asked for; the limit works before the shuffle too.
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("mark").orderBy("id"))).where(F.col("place") <= top + 1)
+    merged = first.groupBy("mark").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids"))
+    askers = rows.where("ask").select("mark").distinct().withColumn("ask", F.lit(True))
+    entries, n = _numbered(merged.join(askers, "mark", "left"))
+    asked = entries.where("ask")
+    largest, n_asked = entries.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c))), F.count("ask")).first()
+    part = max(1, n // SAMPLE)
+    sample = entries.where(F.pmod(F.xxhash64("mark"), F.lit(part)) == 0).orderBy("mark").limit(SAMPLE).select("v").toPandas()["v"]
+    index = fit(np.array(sample.tolist(), float).reshape(-1, size), float(largest), top)
+    groups = blocks = -(-n // BLOCK)
+    crowds = max(1, -(-n_asked // QUERIES))
+    found = materialize(_candidates(_postings(entries, index, size, groups), _probes(asked, index, size, groups), blocks), "ann-candidates")
+    best = materialize(_best(_ranked(found, entries, asked, size, blocks, crowds, top + 1), top + 1), "ann-best")
+    # Entries, not ids, are counted: at least as many ids stand behind them.
+    short = asked.select(F.col("nth").alias("ask")).join(best.groupBy("ask").agg(F.count("*").alias("n")), "ask", "left").where(F.coalesce("n", F.lit(0)) < min(top + 1, n)).select("ask")
+    short = materialize(short, "ann-short")
+    if not short.isEmpty():
+        everywhere = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "ask", F.lit(None).cast("array<int>").alias("places"))
+        more = _best(_ranked(everywhere, entries, asked, size, blocks, crowds, top + 1), top + 1)
+        best = best.join(short, "ask", "left_anti").select("ask", "ids", "score").unionAll(materialize(more, "ann-more").select("ask", "ids", "score"))
+    lists = best.groupBy("ask").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
+    lists = materialize(lists.join(asked.select(F.col("nth").alias("ask"), "mark"), "ask").select("mark", "found"), "ann-lists")
+    queries = rows.where("ask").select(F.col("id").alias("query_id"), "mark")
     pairs = F.flatten(F.transform("found", lambda f: F.transform(f["ids"], lambda i: F.struct((-f["score"]).alias("less"), i.alias("vec_id")))))
     others = F.slice(F.array_sort(F.filter("pairs", lambda p: p["vec_id"] != F.col("query_id"))), 1, top)
-    answered = queries.join(lists, "ask").withColumn("pairs", pairs).select("query_id", F.posexplode(others).alias("place", "pair"))
+    answered = queries.join(lists, "mark").withColumn("pairs", pairs).select("query_id", F.posexplode(others).alias("place", "pair"))
     return answered.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("pair.vec_id").alias("vec_id"), (-F.col("pair.less")).alias("score"))
+
+
+def search(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", top: int = 20) -> DataFrame:
+    """The ``top`` rows of largest inner product for each query row.
+
+    Returns query_id, rank (from 1), vec_id, score (the inner product in double
+    precision, components added in order).  Queries are the rows where
+    ``is_query`` holds; every other usable row of as many components is a
+    candidate, equal vectors too; ties go to the smaller id.  Vectors that are
+    null, zero, or hold null or non-finite components take no part, nor do rows
+    with a null id.  Vectors of different lengths have no inner product and are
+    searched length by length.  Rows repeated under one id stand side by side
+    among the candidates, but no row answers a query of its own id.  With fewer
+    candidates than ``top`` all are given.  An empty table gives an empty result.
+    """
+    spark = table.sparkSession
+    kind = "float" if table.schema[vector].dataType.elementType.typeName() == "float" else "double"
+    rows = table.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask"))
+    out = None
+    # One row for each length of vectors that a query has.
+    for r in rows.groupBy(F.size("v").alias("size")).agg(F.bool_or("ask").alias("asked")).where("asked").orderBy("size").collect():
+        part = _search(rows, r["size"], top)
+        out = part if out is None else out.unionAll(part)
+    return spark.createDataFrame([], _RESULT) if out is None else out

@@ -49,3 +49,36 @@ def test_few_or_none(spark):
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in N.search(t, F.col("vec_id") == 0).collect()] == [(0, 1, 0.5)]
     assert N.search(t.limit(0), F.lit(True)).count() == 0
     assert N.search(_table(spark, [(0, [1.0])]), F.lit(True)).count() == 0
+
+
+def test_lengths_are_searched_apart(spark):
+    t = _table(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [1.0, 1.0, 1.0]), (3, [2.0, 0.0, 0.0]), (4, [9.0])])
+    got = N.search(t, F.lit(True)).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, 1, 1, 0.5), (1, 1, 0, 0.5), (2, 1, 3, 2.0), (3, 1, 2, 2.0)]
+
+
+def test_groups_and_full_buckets_do_not_change_results(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    # A third of the vectors lie in one bucket of every table.
+    crowd = np.eye(8)[0] + 1e-6 * rng.standard_normal((200, 8))
+    t = _table(spark, list(enumerate(np.vstack([rng.standard_normal((400, 8)), crowd]))))
+    one = sorted(map(tuple, N.search(t, F.col("vec_id") % 50 == 0).collect()))
+    monkeypatch.setattr(N, "BLOCK", 64)
+    monkeypatch.setattr(N, "QUERIES", 3)
+    assert one == sorted(map(tuple, N.search(t, F.col("vec_id") % 50 == 0).collect())) and len(one) == 12 * 20
+
+
+def test_sequence_rises_and_crosses_no_cell_twice():
+    sets = N.sequence(5, 40)
+    assert not sets[0].any() and len({tuple(r) for r in sets}) == 40
+    assert not (sets & sets[:, ::-1]).any()
+
+
+def test_a_query_that_finds_too_few_visits_all(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 6))
+    monkeypatch.setattr(N, "MOST_PROBES", 1)
+    monkeypatch.setattr(N, "CELL", 0.05)
+    got = N.search(_table(spark, list(enumerate(x))), F.col("vec_id") == 7).toPandas().sort_values("rank")
+    s = x.astype(np.float32).astype(float) @ x.astype(np.float32).astype(float)[7]
+    assert got.vec_id.tolist() == [i for i in np.argsort(-s) if i != 7][:20]
