@@ -4,9 +4,12 @@ Each Python worker opens one in-memory DuckDB database with the merge table of
 the vocabulary.  A batch of new words becomes token-position rows
 ``(word, place, token)`` that also name their neighbour; a recursive query joins
 neighbours with the merge table and contracts each word's leftmost pair of least rank until no pair
-is left.  Words over ``LONG_WORD`` bytes contract every non-overlapping
-occurrence of their least pair in one step, which gives the same tokens in far
-fewer steps.  Decoding joins the ids with the vocabulary and aggregates the
+is left.  A word of n bytes takes up to n steps of n rows.  So words over
+``LONG_WORD`` bytes contract, in one step, the further occurrences of that pair
+too, after the query has made sure that they are the very merges that would
+come next one at a time: a merge could be preceded only by a pair of lesser
+rank, which none but a merge beside it could bring about.  Both ways are the
+same function of the word; only the number of steps differs.  Decoding joins the ids with the vocabulary and aggregates the
 pieces of a document in order of position.
 
 A worker remembers the words it has encoded, up to ``cache_words``; past that
@@ -31,6 +34,7 @@ from residua.llm._words import Memory
 LONG_WORD = 200
 CACHE_WORDS = 1_000_000
 WORDS_AT_ONCE = 20_000
+ROWS_AT_ONCE = 2_000_000
 BYTES_AT_ONCE = 1_000_000
 
 _LEFTMOST = """
@@ -58,31 +62,47 @@ from steps s join finished f on f.word = s.word and f.step = s.step
 group by s.word
 """
 
-_ALL_OCCURRENCES = """
+# As above, many merges of a word in one step: besides the leftmost pair of least rank
+# all its further occurrences, but only where none of them brings a pair of lesser rank
+# about.  Then the leftmost least pair after each merge is the next occurrence, so that
+# one at a time would do the same; else the step contracts the leftmost pair alone.
+_OCCURRENCES = """
 with recursive steps(step, word, place, token) as (
   select 0, word, place, token from start
   union all
-  select step + 1, word, place, case when merged then best else token end
-  from (
-    select *, lag(merged) over (partition by word order by place) as eaten
-    from (
-      select *, coalesce(pair = best and
-               (row_number() over (partition by word, pair = best, run order by place)) % 2 = 1, false) as merged
-      from (
-        select *, nth - row_number() over (partition by word, pair = best order by place) as run
-        from (
-          select *, min(pair) over (partition by word) as best,
-                 row_number() over (partition by word order by place) as nth
-          from (
-            select s.*, m.token as pair
-            from (select *, lead(token) over (partition by word order by place) as next from steps) s
-            left join merges m on m.ends = (s.token::bigint << 32) | s.next))
-        where best is not null)))
-  where not coalesce(eaten, false)),
+  (with pairs as materialized (
+     select s.step, s.word, s.place, s.token, s.nth, m.token as made
+     from (select *, lead(token) over o as next, row_number() over o as nth from steps window o as (partition by word order by place)) s
+     left join merges m on m.ends = (s.token::bigint << 32) | s.next),
+   least as materialized (select word, min(made) as made from pairs group by word having min(made) is not null),
+   found as (
+     select p.word, p.nth, p.made, p.nth - row_number() over (partition by p.word order by p.nth) as run
+     from pairs p join least l on l.word = p.word and l.made = p.made),
+   chosen as materialized (
+     select word, nth, made from (select *, row_number() over (partition by word, run order by nth) as k from found) where k % 2 = 1),
+   lesser as (
+     select distinct c.word
+     from chosen c
+     left join chosen before on before.word = c.word and before.nth = c.nth - 2
+     left join pairs l on l.word = c.word and l.nth = c.nth - 1
+     left join pairs r on r.word = c.word and r.nth = c.nth + 2
+     left join merges lm on lm.ends = (coalesce(before.made, l.token)::bigint << 32) | c.made
+     left join merges rm on rm.ends = (c.made::bigint << 32) | r.token
+     where lm.token < c.made or rm.token < c.made),
+   firsts as (select word, min(nth) as nth from chosen group by word),
+   taken as materialized (
+     select c.word, c.nth, c.made from chosen c join firsts f on f.word = c.word
+     where c.nth = f.nth or c.word not in (select word from lesser))
+   select p.step + 1, p.word, p.place, coalesce(t.made, p.token)
+   from pairs p
+   join least on least.word = p.word
+   left join taken t on t.word = p.word and t.nth = p.nth
+   left join taken eaten on eaten.word = p.word and eaten.nth = p.nth - 1
+   where eaten.nth is null and p.step < $steps)),
 finished as (select word, max(step) as step from steps group by word)
-select s.word, string_agg(s.token::varchar, ',' order by s.place) as ids
+select s.step, s.word, s.place, s.token
 from steps s join finished f on f.word = s.word and f.step = s.step
-group by s.word
+order by s.word, s.place
 """
 
 _DECODE = """
@@ -124,34 +144,53 @@ class Codec:
         self.db.execute(f"create or replace table {name} as select * from incoming")
         self.db.unregister("incoming")
 
-    def _contract(self, words: list[bytes], query: str) -> list[str]:
+    def _start(self, words: list[bytes]) -> dict[str, np.ndarray]:
         flat, sizes = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
-        word, place, token = np.repeat(np.arange(len(words), dtype=np.int32), sizes), np.arange(len(flat), dtype=np.int32), self.bytes_to_token[flat]
+        return {"word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "place": np.arange(len(flat), dtype=np.int32), "token": self.bytes_to_token[flat]}
+
+    def _contract(self, words: list[bytes]) -> list[str]:
+        """The ids of each word, one merge of a word in a step."""
+        start = self._start(words)
+        word, place, token = start["word"], start["place"], start["token"]
         last = np.append(word[1:] != word[:-1], True)
         next_token, next_place = np.where(last, -1, np.roll(token, -1)), np.where(last, -1, place + 1)
-        self.db.register("start", pa.table({"word": word, "place": place, "token": token, "next_place": next_place.astype(np.int32), "next_token": next_token.astype(np.int32)}))
-        found = self.db.sql(query).to_arrow_table()
+        self.db.register("start", pa.table(start | {"next_place": next_place.astype(np.int32), "next_token": next_token.astype(np.int32)}))
+        found = self.db.sql(_LEFTMOST).to_arrow_table()
         self.db.unregister("start")
         out = [""] * len(words)
         for i, ids in zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True):
             out[i] = ids
         return out
 
+    def _contract_long(self, word: bytes) -> str:
+        """The ids of one word of any length.  A query holds the rows of all its
+        steps, so their number is bounded and the next query goes on from there."""
+        rows = self._start([word])
+        while True:
+            steps = max(2, ROWS_AT_ONCE // len(rows["word"]))
+            self.db.register("start", pa.table(rows))
+            found = self.db.execute(_OCCURRENCES, {"steps": steps}).to_arrow_table()
+            self.db.unregister("start")
+            rows = {name: found[name].to_numpy() for name in ("word", "place", "token")}
+            if not len(rows["word"]) or found["step"][0].as_py() < steps:
+                return ",".join(map(str, rows["token"].tolist()))
+
     def _words(self, words: list[str]) -> list[str]:
         """The ids of each word as decimal text, joined by commas."""
         out = [""] * len(words)
-        rest: dict[str, list[tuple[int, bytes]]] = {_LEFTMOST: [], _ALL_OCCURRENCES: []}
+        rest: list[tuple[int, bytes]] = []
         for i, word in enumerate(words):
             rank = self.ranks.get(piece := word.encode())
             if rank is not None:
                 out[i] = str(rank)
+            elif len(piece) <= LONG_WORD:
+                rest.append((i, piece))
             else:
-                rest[_LEFTMOST if len(piece) <= LONG_WORD else _ALL_OCCURRENCES].append((i, piece))
-        for query, pairs in rest.items():
-            for at in range(0, len(pairs), WORDS_AT_ONCE):
-                part = pairs[at : at + WORDS_AT_ONCE]
-                for (i, _), ids in zip(part, self._contract([p for _, p in part], query), strict=True):
-                    out[i] = ids
+                out[i] = self._contract_long(piece)
+        for at in range(0, len(rest), WORDS_AT_ONCE):
+            part = rest[at : at + WORDS_AT_ONCE]
+            for (i, _), ids in zip(part, self._contract([p for _, p in part]), strict=True):
+                out[i] = ids
         return out
 
     def encode(self, texts: list[str | None]) -> list[str]:
