@@ -2,12 +2,13 @@
 
 Two 64-bit fingerprints that differ in at most four bits share at least four of
 their eight positional bytes, since each differing bit spoils one byte at most.
-The inverted index is keyed by positions and the bytes there.  Postings of a
-single byte would grow with a 256th of the rows each, so a posting list covers
-three positions: the twenty triples below leave no four positions without one
-of them, so every pair with four shared bytes meets in a list, and a list holds
-a 2**-24th of the fingerprints.  For a pair that meets, the shared positional
-bytes are tallied; pairs that reach four are kept and verified bit by bit.
+The inverted index has a posting for each position and byte of a fingerprint.
+Lists of single bytes would grow with a 256th of the rows each, so pairs meet in
+prefilter lists of three positions: the twenty triples below leave no four
+positions without one of them, so every pair with four shared bytes meets, and a
+list holds a 2**-24th of the fingerprints.  For each pair that meets, the shared
+postings are counted; pairs that reach four are retained, and then verified bit
+by bit.
 
 Equal fingerprints are one node.  In a list, every member is first compared
 with the list's least and greatest fingerprint only, which links dense groups
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm._shared import let_go, materialize
+from residua.llm._shared import let_go, materialize, scratch
 from residua.llm.components import connected_components
 
 BYTES, BITS = 8, 64
@@ -86,14 +87,23 @@ def covering_triples() -> list[tuple[int, int, int]]:
     return [t for t in itertools.combinations(range(BYTES), 3) if taken(t)]
 
 
-def tally(a: Column, b: Column) -> Column:
-    """How many positional bytes two fingerprints share."""
-    x = a.bitwiseXOR(b)
-    return sum((F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(BYTES)), F.lit(0))
+def postings(fp: Column) -> Column:
+    """The eight postings of a fingerprint: position and byte, as one number each."""
+    return F.array(*[(F.lit(i << 8) + F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255))).cast("int") for i in range(BYTES)])
 
 
-def _linked(a: Column, b: Column, most: int) -> Column:
-    return (tally(a, b) >= BYTES - most) & (F.bit_count(a.bitwiseXOR(b)) <= most)
+def retained(pairs: DataFrame, least: int) -> DataFrame:
+    """The distinct pairs (a, b) of ``pairs`` that share ``least`` postings or more:
+    postings of either side are joined and counted for each pair."""
+    one = pairs.select("a", "b", F.explode(postings(F.col("a"))).alias("posting"))
+    two = pairs.select("a", "b", F.explode(postings(F.col("b"))).alias("posting"))
+    shared = one.unionAll(two).groupBy("a", "b", "posting").agg(F.count("*").alias("sides")).where("sides = 2")
+    return shared.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("a", "b")
+
+
+def verified(pairs: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b) that differ in ``most`` bits or fewer."""
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
 
 
 def links(marks: DataFrame, most: int = 4) -> DataFrame:
@@ -106,8 +116,8 @@ def links(marks: DataFrame, most: int = 4) -> DataFrame:
     index = marks.select("fp", F.explode(F.array(*keys)).alias("key"))
     lists = materialize(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("first"), F.max("fp").alias("last")).where("n > 1"), "simhash-lists")
     met = materialize(index.join(lists, "key"), "simhash-met")
-    star = met.select("fp", F.explode(F.array("first", "last")).alias("pivot")).where(F.col("fp") != F.col("pivot")).where(_linked(F.col("fp"), F.col("pivot"), most))
-    found = materialize(star.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), "simhash-stars")
+    star = met.select(F.col("fp").alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a <> b").distinct()
+    found = materialize(verified(retained(materialize(star, "simhash-stars"), BYTES - most), most), "simhash-found")
     parts = materialize(connected_components(found, "simhash-cc"), "simhash-parts")
     # With three members or fewer the two pivots have met every pair.
     wide = met.where("n > 3").join(parts.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("part"))
@@ -115,11 +125,14 @@ def links(marks: DataFrame, most: int = 4) -> DataFrame:
     mixed = materialize(wide.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key"), "simhash-mixed")
     rest = wide.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     across = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = rest.select("key", "fp", "part", F.col("block").alias("i"), F.explode(across).alias("j"))
-    right = rest.select(F.col("key").alias("key2"), F.col("fp").alias("fp2"), F.col("part").alias("part2"), F.explode(across).alias("i2"), F.col("block").alias("j2"))
-    on = (F.col("key") == F.col("key2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("part") < F.col("part2")) & _linked(F.col("fp"), F.col("fp2"), most)
+    left = rest.select("key", "fp", "part", postings(F.col("fp")).alias("posts"), F.col("block").alias("i"), F.explode(across).alias("j"))
+    right = rest.select(F.col("key").alias("key2"), F.col("fp").alias("fp2"), F.col("part").alias("part2"), postings(F.col("fp")).alias("posts2"), F.explode(across).alias("i2"), F.col("block").alias("j2"))
+    # Here the pairs of a list are counted as they meet, so that only those retained leave the join.
+    enough = F.size(F.array_intersect("posts", "posts2")) >= BYTES - most
+    on = (F.col("key") == F.col("key2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("part") < F.col("part2")) & enough
     # A pair of components needs one link, however many of their members meet.
-    more = materialize(left.join(right, on).select("part", "part2").distinct().select(F.col("part").alias("a"), F.col("part2").alias("b")), "simhash-more")
+    between = left.join(right, on).select("part", "part2", F.col("fp").alias("a"), F.col("fp2").alias("b"))
+    more = materialize(verified(between, most).select(F.col("part").alias("a"), F.col("part2").alias("b")).distinct(), "simhash-more")
     if more.isEmpty():
         return parts
     return connected_components(found.unionByName(more), "simhash-cc2")
@@ -137,12 +150,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", keep: list[str] | None
     Columns named like the new ones are replaced.
     """
     held = [c for c in (docs.columns if keep is None else keep) if c not in ("fingerprint", "component_id")]
-    marked = materialize(with_fingerprints(docs, text, list(dict.fromkeys([*held, "doc_id"])), shingle), "simhash-marked")
-    marks = materialize(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least")), "simhash-marks")
-    roots = links(marks.select("fp"), most)
-    rooted = materialize(marks.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    classes = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-classes")
-    named = materialize(rooted.join(classes, "root").select(F.col("fp").alias("__fp"), "component_id"), "simhash-named")
+    with scratch(docs.sparkSession):
+        marked = materialize(with_fingerprints(docs, text, list(dict.fromkeys([*held, "doc_id"])), shingle), "simhash-marked", keep=True)
+        marks = materialize(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least")), "simhash-marks")
+        roots = links(marks.select("fp"), most)
+        rooted = materialize(marks.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+        classes = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-classes")
+        named = materialize(rooted.join(classes, "root").select(F.col("fp").alias("__fp"), "component_id"), "simhash-named", keep=True)
     return marked.join(named, "__fp").select(*[F.col(f"`{c}`") for c in held], F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
