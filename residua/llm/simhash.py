@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -164,9 +164,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", keep: list[str] | None
 
 #: 64-bit words of a wide fingerprint.
 WIDE = 4
-#: Frequent shingles are told from one document in ``SAMPLE``, seen ``FREQUENT``
-#: times or more there; at most ``MOST_FREQUENT`` are known to every task.
-SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 50_000
+#: Shingles in ``FREQUENT`` documents or more are frequent; the ``MOST_FREQUENT`` of
+#: them are known to every task.  A task counts with ``COUNTERS`` counters at most.
+FREQUENT, MOST_FREQUENT, COUNTERS = 16, 50_000, 1 << 18
 
 
 def shingle_hashes(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
@@ -245,17 +245,31 @@ def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, rank: np
     return hashes[np.argsort(place, kind="stable")[:length]]
 
 
+def fewer(mers: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` counters: all are lowered by as much as leaves so many above
+    zero.  What is left of a hash is at most that much too low."""
+    if len(mers) <= most:
+        return mers, counts
+    counts = counts - np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]
+    return mers[counts > 0], counts[counts > 0]
+
+
 def _frequent(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles, sorted, and their ranks from 1, the most frequent last."""
+    """The frequent shingles of all documents, sorted, and their ranks from 1, the
+    most frequent last.  They only order the shingles of a set, so that counts may
+    be a little low, but not differ between documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
+        mers, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
-            sets = [shingle_set(x.as_py(), shingle) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["mer"])
+            own, seen = np.unique(np.concatenate([mers, *[shingle_set(x.as_py(), shingle) for x in batch.column(0)]]), return_counts=True)
+            seen[np.searchsorted(own, mers)] += counts - 1
+            mers, counts = fewer(own, seen, COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array(mers.view(np.int64)), pa.array(counts)], names=["mer", "n"])
 
-    some = docs.select(F.col(text).alias("__text")).where(F.pmod(F.xxhash64("__text"), F.lit(SAMPLE)) == 0).mapInArrow(run, "mer long")
-    rows = some.groupBy("mer").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "mer").limit(MOST_FREQUENT).select("mer").collect()
+    counted = docs.select(F.col(text).alias("__text")).mapInArrow(run, "mer long, n long")
+    rows = counted.groupBy("mer").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "mer").limit(MOST_FREQUENT).select("mer").collect()
     mers = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(mers)
     return mers[order], (len(mers) - order).astype(np.int64)
@@ -319,79 +333,122 @@ def _between(lists: DataFrame, most: int, similarity: float) -> DataFrame:
     return left.join(right, on).select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
 
 
-def similar(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(node, root) of the nodes of ``nodes(node, w0.., n, keys)`` that are linked
-    by a Jaccard similarity of their shingle sets; ``texts(node, text)``.
+def _likely(pairs: DataFrame, prints: DataFrame, most: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that their fingerprints and sizes don't rule out."""
+    ones = pairs.join(prints.withColumnRenamed("node", "a"), "a")
+    twos = ones.join(prints.select(F.col("node").alias("b"), *[F.col(f"w{k}").alias(f"v{k}") for k in range(WIDE)], F.col("n").alias("m")), "b")
+    return twos.where(_alike(most, similarity)).select("a", "b")
 
-    Every pair of the similarity meets in a posting list of ``keys``, the
-    prefixes.  Fingerprints rule out pairs that meet by chance; the others are
-    verified by their sets.  First each member is held against the least of its
-    list, then only members that are still of different components.
-    """
-    most, prints = candidate_bits(similarity), nodes.drop("keys")
-    met = materialize(_met(nodes.select(F.explode("keys").alias("key"), "node")), "simhash-met")
-    pairs = met.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct().join(prints.withColumnRenamed("node", "a"), "a")
-    pairs = pairs.join(prints.select(F.col("node").alias("b"), *[F.col(f"w{k}").alias(f"v{k}") for k in range(WIDE)], F.col("n").alias("m")), "b")
-    stars = materialize(pairs.where(_alike(most, similarity)).select("a", "b"), "simhash-stars")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        for batch in batches:
-            sets = [shingle_set(x.as_py(), shingle).view(np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "mers"])
+def similar(index: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = 0.8) -> DataFrame:
+    """(node, root) of the nodes of ``prints(node, w0.., n)`` that are linked by a
+    Jaccard similarity of their shingle sets.
+
+    ``index(key, node)`` has the prefix of each set: every pair of the similarity
+    meets in a posting list.  ``sets_of`` gives (node, mers) of the nodes of a
+    frame.  Each member of a list meets the least of its list, and postings
+    shared with it are counted over all lists; a node is first held against the
+    one that it shares most with.  That joins a dense group at the cost of a pair
+    for each member.  Then lists that still hold several components are compared
+    in full, between components alone, in blocks of bounded size.  Fingerprints
+    rule out pairs that meet by chance; the others are verified by their sets.
+    """
+    most = candidate_bits(similarity)
+    met = materialize(_met(index), "simhash-met")
+    counted = met.groupBy("node", "first").agg(F.count("*").alias("shared"))
+    star = counted.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("shared", (-F.col("first")).alias("less"))).alias("best")).select("a", (-F.col("best.less")).alias("b"))
 
     def checked(candidates: DataFrame, name: str) -> DataFrame:
+        candidates = materialize(candidates, f"{name}-pairs")
         named = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-        sets = materialize(texts.join(named, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, mers array<bigint>"), f"{name}-sets")
+        sets = materialize(sets_of(named), f"{name}-sets")
         return materialize(_verified(candidates, sets, similarity), name)
 
-    found = checked(stars, "simhash-found")
+    found = checked(_likely(star, prints, most, similarity), "simhash-found")
     parts = materialize(connected_components(found, "simhash-wide"), "simhash-parts")
-    lists = met.select("key", "node").union(met.select("key", F.col("first").alias("node")).distinct()).join(prints, "node").join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"), *[f"w{k}" for k in range(WIDE)], "n")
-    # With two members the first has met the other.
-    more = materialize(_between(materialize(lists, "simhash-listed"), most, similarity).join(stars, ["a", "b"], "left_anti"), "simhash-between")
+    members = met.select("key", "node").union(met.select("key", F.col("first").alias("node")).distinct())
+    placed = materialize(members.join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part")), "simhash-placed")
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    lists = materialize(placed.join(mixed, "key").join(prints, "node"), "simhash-listed")
+    more = materialize(_between(lists, most, similarity), "simhash-between")
     if more.isEmpty():
         return parts
     return connected_components(found.unionByName(checked(more, "simhash-more")), "simhash-wide2")
 
 
+def row_digest(columns: list[str], text: str) -> Column:
+    """A digest of a whole row: rows of equal digest are alike in every column."""
+    others = [F.col(f"`{c}`") for c in columns if c != text]
+    return F.md5(F.concat_ws("|", F.coalesce(F.md5(F.col(text).cast("string").cast("binary")), F.lit("-")), F.to_json(F.struct(*others)) if others else F.lit("")).cast("binary"))
+
+
 def one_of_each(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with one of each group of near duplicates, all columns.
 
     Groups are the components over pairs whose sets of shingles have a Jaccard
     similarity of ``similarity`` or more.  The row of smallest doc_id stays (null
-    last, and of rows alike the first read); null and empty texts are one group;
-    an empty table gives an empty result.
-    """
-    columns = docs.columns
-    frame = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).alias("__text"))
-    frequent, rank = _frequent(docs, text, shingle)
-    prints = [f"__w{k}" for k in range(WIDE)]
-    schema = frame.drop("__text").withColumns({"__row": F.lit(0).cast("long"), **{c: F.lit(0).cast("long") for c in prints}, "__n": F.lit(0), "__mark": F.lit(""), "__keys": F.expr("cast(array() as array<bigint>)")}).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        from pyspark import TaskContext
+    last, and of rows alike any one); null and empty texts are one group; an
+    empty table gives an empty result.
 
-        at = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            words, sizes, marks, keys = [], [], [], []
-            for value in batch.column(batch.num_columns - 1):
-                own = shingle_set(value.as_py(), shingle)
-                words.append(wide_of(own))
-                sizes.append(len(own))
-                marks.append(hashlib.md5(own.tobytes()).hexdigest())
-                keys.append(prefix(own, similarity, frequent, rank).view(np.int64))
-            rows = np.array(words, np.int64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.arange(at, at + len(words))), *[pa.array(rows[:, k]) for k in range(WIDE)], pa.array(sizes, pa.int32()), pa.array(marks, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=[*columns, "__row", *prints, "__n", "__mark", "__keys"])
-            at += len(words)
-
-    marked = materialize(frame.mapInArrow(run, schema), "simhash-rows")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row"))
-    firsts = materialize(marked.groupBy("__mark").agg(F.min(order).alias("first")).select(F.col("first.row").alias("node"), "first"), "simhash-firsts")
-    own = marked.select(F.col("__row").alias("node"), *[F.col(c).alias(c[2:]) for c in prints], F.col("__n").alias("n"), F.col("__keys").alias("keys"))
-    nodes = materialize(own.join(firsts.select("node"), "node", "left_semi"), "simhash-nodes")
-    roots = similar(nodes, marked.select(F.col("__row").alias("node"), F.col(text).alias("text")), similarity, shingle)
-    kept = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    chosen = materialize(kept.select(F.col("first.row").alias("__row")), "simhash-chosen")
-    return marked.join(chosen, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    Texts are read, not written: rows are known by a digest of all their columns,
+    and the chosen ones are joined with ``docs`` at the end.
+    """
+    spark, columns = docs.sparkSession, docs.columns
+    whole = docs.withColumn("__digest", row_digest(columns, text))
+    frame = whole.select("__digest", F.col("doc_id").cast("long").alias("id"), F.col(text).alias("__text"))
+    prints = [f"w{k}" for k in range(WIDE)]
+    schema = ", ".join(["node long, digest string, id long", *[f"{c} long" for c in prints], "n int, mark string, keys array<bigint>"])
+
+    def sets_of(named: DataFrame) -> DataFrame:
+        """The shingle sets of some nodes, from their texts."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            let_go()
+            for batch in batches:
+                sets = [shingle_set(x.as_py(), shingle).view(np.int64) for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "mers"])
+
+        wanted = named.join(narrow.select("node", F.col("digest").alias("__digest")), "node")
+        texts = frame.select("__digest", "__text").join(wanted, "__digest").select("node", "__text")
+        if alike:  # a row that stands there several times has one set
+            texts = texts.groupBy("node").agg(F.min("__text").alias("__text"))
+        return texts.mapInArrow(run, "node long, mers array<bigint>")
+
+    with scratch(spark):
+        frequent, rank = _frequent(docs, text, shingle)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            let_go()
+            from pyspark import TaskContext
+
+            at = TaskContext.get().partitionId() << 40
+            for batch in batches:
+                words, sizes, marks, keys = [], [], [], []
+                for value in batch.column(2):
+                    own = shingle_set(value.as_py(), shingle)
+                    words.append(wide_of(own))
+                    sizes.append(len(own))
+                    marks.append(hashlib.md5(own.tobytes()).hexdigest())
+                    keys.append(prefix(own, similarity, frequent, rank).view(np.int64))
+                rows = np.array(words, np.int64).reshape(-1, WIDE)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(words))), batch.column(0), batch.column(1), *[pa.array(rows[:, k]) for k in range(WIDE)], pa.array(sizes, pa.int32()), pa.array(marks, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "digest", "id", *prints, "n", "mark", "keys"])
+                at += len(words)
+
+        marked = materialize(frame.mapInArrow(run, schema), "simhash-rows")
+        # Rows of equal sets are one node, named by the row that would stay.
+        order = F.struct(F.col("id").isNull().alias("last"), "id", "digest", "node")
+        firsts = materialize(marked.groupBy("mark").agg(F.min(order).alias("first")).select(F.col("first.node").alias("node"), "first"), "simhash-firsts")
+        index = marked.select("node", "keys").join(firsts.select("node"), "node", "left_semi").select(F.explode("keys").alias("key"), "node")
+        narrow = materialize(marked.drop("keys").join(firsts.select("node"), "node", "left_semi"), "simhash-nodes")
+        alike = materialize(marked.groupBy("digest").agg(F.count("*").alias("rows")).where("rows > 1").select("digest"), "simhash-alike")
+        twins, alike = alike, not alike.isEmpty()
+        roots = similar(index, narrow.select("node", *prints, "n"), sets_of, similarity)
+        kept = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+        chosen = materialize(kept.select(F.col("first.digest").alias("__digest")), "simhash-chosen", keep=True)
+        if alike:
+            twins = materialize(chosen.join(twins.withColumnRenamed("digest", "__digest"), "__digest", "left_semi"), "simhash-twins", keep=True)
+    stay = whole.join(chosen, "__digest", "left_semi")
+    if alike:
+        both = whole.join(twins, "__digest", "left_semi").dropDuplicates(["__digest"])
+        stay = whole.join(chosen.join(twins, "__digest", "left_anti"), "__digest", "left_semi").unionByName(both)
+    return stay.select(*[F.col(f"`{c}`") for c in columns])
