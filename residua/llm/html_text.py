@@ -3,16 +3,19 @@
 A page is read as events of the standard library's parser.  Every block-level
 boundary ends a line; a line has its text, how many tags it holds, how much of
 its text is links, and the containers around it.  The ratio of text outside
-links to tags, smoothed along the page with a Gaussian, is split by a threshold
-into content and the rest.  The content lines vote for the container they
-share: the smallest that holds all their text.  Every line of it is main
-text, short ones too, except lines inside menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments, which weigh nothing in the ratio.
+links to tags, smoothed with a Gaussian along the lines of a section, is split
+by a threshold into two clusters, content and the rest.  The content lines
+select the regions: the smallest section that holds them all, without those
+smaller ones in it that hold no content line and stand before the first or after
+the last one.  An article or main element is selected as a whole.  Every line of a selected region is main text, short ones too.
+Lines inside menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments, by element, role or name, weigh nothing and are never content.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,18 +33,27 @@ SILENT = frozenset("script style template noscript head iframe object svg math c
 BOILER = frozenset("nav footer aside form dialog menu".split())
 # Elements that a head may hold; any other ends it.
 HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template head html".split())
+# Elements that divide a page into sections.
+SECTIONS = frozenset("html body div section article main header hgroup address center details table nav footer aside form dialog menu".split())
 # Words by which pages name what is not their article.
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments discussion disqus replies responses widget toolbar pagination pager copyright disclaimer".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 # Elements that close an open element of the same kind, or a paragraph.
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-MAIN = frozenset(("article", "main"))
-SIGMA = 2.0
+LISTS, BLOCKS = ("ul", "ol", "dl", "table", "menu"), ("div", "article", "section", "main", "body", "td", "li")
+# Elements that hold one whole text: what the clusters select of it selects all of it.
+# A header in one of these is that of the text, not of the page; their own names say nothing.
+TEXTS = ("article", "main")
+SIGMA, ALIKE = 2.0, 0.7
 _WORD = re.compile(r"[a-z0-9]+")
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page from parser events."""
+    """Collects the lines of a page from parser events.
+
+    Each event takes constant time, apart from elements that it closes: where
+    elements of a name stand open is kept by name.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -50,10 +62,12 @@ class Lines(HTMLParser):
         self.linked: list[int] = []
         self.inside: list[int] = []  # the innermost container of each line
         self.dropped: list[bool] = []
-        self.parents, self.names = [-1], ["page"]  # of each container
+        # Of each container; the first is the page.  ``whole`` is the outermost text that it is in, or 0.
+        self.parents, self.is_section, self.whole = [-1], [True], [0]
         self.open: list[tuple[str, int, bool, bool]] = []  # name, container, silent, boiler
+        self.places: dict[str, list[int]] = defaultdict(list)  # of open elements, by name
         self.parts: list[str] = []
-        self.count = self.links = self.depth = 0
+        self.count = self.links = self.muted = 0
 
     def _state(self) -> tuple[int, bool, bool]:
         return self.open[-1][1:] if self.open else (0, False, False)
@@ -69,30 +83,34 @@ class Lines(HTMLParser):
             self.dropped.append(boiler)
         self.parts, self.count, self.links = [], 0, 0
 
+    def _last(self, names: tuple[str, ...]) -> int:
+        """The place of the last open element of these names, or -1."""
+        return max(self.places[name][-1] if self.places[name] else -1 for name in names)
+
     def _close(self, at: int) -> None:
         if any(name not in INLINE for name, *_ in self.open[at:]):
             self._end_line()
-        self.depth -= sum(name == "a" for name, *_ in self.open[at:])
+        for name, *_ in self.open[at:]:
+            self.places[name].pop()
+            self.muted -= name in SILENT and name != "head"
         del self.open[at:]
 
     def _close_last(self, names: tuple[str, ...], stop: tuple[str, ...]) -> None:
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] in names:
-                return self._close(at)
-            if self.open[at][0] in stop:
-                return None
-        return None
+        at = self._last(names)
+        if at > self._last(stop):
+            self._close(at)
 
     def handle_starttag(self, tag, attrs):
-        if tag not in HEAD and any(name == "head" for name, *_ in self.open):
-            self._close_head()
+        if tag not in HEAD and self.places["head"] and not self.muted:
+            # An end tag </head> may be left out; inside a silent element tags are no sign of it.
+            self._close(self.places["head"][-1])
         if tag not in INLINE:
             self._end_line()
             if tag in SELF_CLOSING:
-                self._close_last(SELF_CLOSING[tag], ("ul", "ol", "dl", "table", "menu"))
-            elif self.open:
+                self._close_last(SELF_CLOSING[tag], LISTS)
+            else:
                 # A block ends an open paragraph, and inline elements left open in it.
-                self._close_last(("p",), ("div", "article", "section", "main", "body", "td", "li"))
+                self._close_last(("p",), BLOCKS)
         self.count += 1
         if tag == "br":
             self.parts.append(" ")
@@ -100,29 +118,21 @@ class Lines(HTMLParser):
             return
         container, silent, boiler = self._state()
         if tag not in INLINE and tag != "p":
-            own = container
-            self.parents.append(own)
-            self.names.append(tag)
+            self.parents.append(container)
+            self.is_section.append(tag in SECTIONS)
+            self.whole.append(self.whole[container] or len(self.whole) * (tag in TEXTS))
             container = len(self.parents) - 1
-        if not boiler and tag not in MAIN and tag not in ("body", "html"):
-            boiler = tag in BOILER or tag == "header" and not self._in_main() or self._named(attrs)
+        if not boiler and tag not in TEXTS and tag not in ("body", "html"):
+            boiler = tag in BOILER or tag == "header" and self._last(TEXTS) < 0 or self._named(attrs)
+        self.places[tag].append(len(self.open))
         self.open.append((tag, container, silent or tag in SILENT, boiler))
-        self.depth += tag == "a"
-
-    def _close_head(self) -> None:
-        # An end tag </head> may be left out; inside a silent element tags are no sign of it.
-        at = max(k for k, (name, *_) in enumerate(self.open) if name == "head")
-        if not any(name in SILENT for name, *_ in self.open[at + 1 :]):
-            self._close(at)
+        self.muted += tag in SILENT and tag != "head"
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _in_main(self) -> bool:
-        return any(name in MAIN for name, *_ in self.open)
-
     @staticmethod
     def _named(attrs) -> bool:
         for key, value in attrs:
@@ -134,15 +144,13 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.count += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                return self._close(at)
-        return None
+        if self.places[tag]:
+            self._close(self.places[tag][-1])
 
     def handle_data(self, data):
         if not (self.open and self.open[-1][2]):
             self.parts.append(data)
-            if self.depth:
+            if self.places["a"]:
                 self.links += len(data)
 
     def finish(self) -> None:
@@ -158,8 +166,17 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[middle] / np.convolve(np.ones(len(values)), kernel)[middle]
 
 
+def smooth_by_section(values: np.ndarray, sections: np.ndarray) -> np.ndarray:
+    """``smooth`` over the lines of each section by themselves."""
+    out, order = np.empty(len(values)), np.argsort(sections, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(sections[order])) + 1):
+        out[part] = smooth(values[part])
+    return out
+
+
 def threshold(values: np.ndarray) -> float:
-    """The cut between two clusters: the mean of their means, iterated to rest."""
+    """The cut between two clusters: the mean of their means, iterated to rest; but
+    at most ``ALIKE`` of the upper mean, so that values that are much alike stay one."""
     cut = float(values.mean())
     for _ in range(50):
         high, low = values[values > cut], values[values <= cut]
@@ -167,7 +184,50 @@ def threshold(values: np.ndarray) -> float:
         if abs(new - cut) < 1e-9:
             break
         cut = new
-    return cut
+    return min(cut, ALIKE * float(values[values >= cut].mean()))
+
+
+def content_lines(page: Lines) -> np.ndarray:
+    """Which lines are in the cluster of content."""
+    dropped = np.array(page.dropped)
+    plain = np.maximum(np.array([len(t) for t in page.texts], float) - np.array(page.linked), 0)
+    section = list(range(len(page.parents)))
+    for c in range(1, len(section)):
+        section[c] = c if page.is_section[c] else section[page.parents[c]]
+    ratio = np.where(dropped, 0.0, plain / np.maximum(page.tags, 1))
+    level = smooth_by_section(ratio, np.array([section[c] for c in page.inside]))
+    candidates = ~dropped & (ratio > 0)
+    if not candidates.any():
+        return candidates
+    cut = threshold(level[~dropped])
+    return ~dropped & (level >= min(cut, level[candidates].max()))
+
+
+def regions(page: Lines, content: np.ndarray) -> list[bool]:
+    """For each container whether its lines are in a selected region."""
+    n, first, last = len(page.parents), {}, {}
+    held = np.zeros(n, np.int64)
+    for i, c in enumerate(page.inside):
+        first.setdefault(c, i)
+        last[c] = i
+        held[c] += content[i]
+    # Content lines and the span of lines of each container, from the leaves up.
+    for c in range(n - 1, 0, -1):
+        p = page.parents[c]
+        held[p] += held[c]
+        if c in first:
+            first[p], last[p] = min(first[c], first.get(p, first[c])), max(last[c], last.get(p, last[c]))
+    lines = np.flatnonzero(content)
+    chosen = max(c for c in range(n) if held[c] == len(lines) and page.is_section[c])
+    chosen = page.whole[chosen] or chosen
+    out = [False] * n
+    out[chosen] = True
+    for c in range(chosen + 1, n):
+        if out[page.parents[c]]:
+            part_of = page.whole[c] and (page.whole[c] <= chosen or held[page.whole[c]])
+            apart = not part_of and page.is_section[c] and not held[c] and c in first and (last[c] < lines[0] or first[c] > lines[-1])
+            out[c] = not apart
+    return out
 
 
 def extract(html: str | None) -> str:
@@ -182,40 +242,11 @@ def extract(html: str | None) -> str:
     page = Lines()
     page.feed(html)
     page.finish()
-    if not page.texts:
-        return ""
-    dropped, inside = np.array(page.dropped), page.inside
-    sizes = np.array([len(t) for t in page.texts], float)
-    plain = np.maximum(sizes - np.array(page.linked), 0)
-    ratio = np.where(dropped, 0.0, plain / np.maximum(page.tags, 1))
-    if not ratio.any():
-        return ""
-    level = smooth(ratio)
-    content = (level >= min(threshold(level), level.max())) & ~dropped
+    content = content_lines(page) if page.texts else np.zeros(0, bool)
     if not content.any():
-        content = ~dropped & (ratio > 0)
-    # The text of content lines under each container, summed from the leaves up.
-    weight = np.zeros(len(page.parents))
-    np.add.at(weight, inside, np.where(content, plain, 0.0))
-    for c in range(len(weight) - 1, 0, -1):
-        weight[page.parents[c]] += weight[c]
-    total = weight[0]
-    holding = [c for c, name in enumerate(page.names) if name in MAIN and weight[c] > 0]
-    inner = {c for c in holding if not any(a in MAIN for a in _above(page, c, page.names))}
-    if inner and sum(weight[c] for c in inner) >= 0.5 * total:
-        chosen = inner
-    else:
-        # Whole numbers: the sums are exact.
-        chosen = {max((c for c in range(len(weight)) if weight[c] >= total), default=0)}
-    ok = [False] * len(page.parents)
-    for c in range(len(ok)):
-        ok[c] = c in chosen or c > 0 and ok[page.parents[c]]
-    return " ".join(t for t, c, gone in zip(page.texts, inside, page.dropped, strict=True) if ok[c] and not gone)
-
-
-def _above(page: Lines, c: int, names: list[str]) -> Iterator[str]:
-    while (c := page.parents[c]) >= 0:
-        yield names[c]
+        return ""
+    ok = regions(page, content)
+    return " ".join(t for t, c, gone in zip(page.texts, page.inside, page.dropped, strict=True) if ok[c] and not gone)
 
 
 def main_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -1,3 +1,9 @@
+import html as H
+import re
+
+import numpy as np
+
+from residua.llm import html_text
 from residua.llm.html_text import extract, main_text
 
 LONG = "A long paragraph of plain words that nobody would take for a menu or an advert at all."
@@ -22,14 +28,46 @@ def test_edges(spark):
     assert main_text(pages.limit(0)).count() == 0
 
 
-def test_pages(spark, small):
-    import html as H
-    import re
+def _article(html):
+    """What stands in the article element, cut out by its tags."""
+    inner = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    blocks = (" ".join(H.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:h1|p|br)\b[^>]*>", inner))
+    return " ".join(b for b in blocks if b)
+
 
+def test_pages(spark, small):
     for r in main_text(spark.read.parquet(f"{small}/pages.parquet")).collect():
-        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
-        blocks = (" ".join(H.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:h1|p|br)\b[^>]*>", inner))
-        assert r["text"] == " ".join(b for b in blocks if b)
+        assert r["text"] == _article(r["html"])
+
+
+def test_clusters_decide_without_names(spark, small, monkeypatch):
+    """Pages without article element and class names: nothing but the ratio tells the text from the advert."""
+    pages = [r["html"] for r in spark.read.parquet(f"{small.replace('0.001', '0.01')}/pages.parquet").select("html").collect()]
+    plain = [re.sub(r"<(/?)article>", r"<\1div>", p).replace(' class="ad"', "") for p in pages]
+    right = sum(extract(p) == _article(q) for p, q in zip(plain, pages, strict=True))
+    assert right >= 0.95 * len(pages)
+    monkeypatch.setattr(html_text, "smooth_by_section", lambda values, sections: np.ones(len(values)))
+    assert sum(extract(p) == _article(q) for p, q in zip(plain, pages, strict=True)) < 0.05 * len(pages)
+
+
+def test_regions():
+    short = "<p>Short.</p>"
+    assert extract(f"<div><p>Buy now.</p></div><div>{short}<div><p>{LONG}</p><p>{LONG}</p></div></div><div><p>Menu of the day.</p></div>") == f"{LONG} {LONG}"
+    assert extract(f"<div><p>{LONG}</p><div>{short}</div><p>{LONG}</p></div>") == f"{LONG} Short. {LONG}"
+    assert extract(f"<article><section>{short}</section><section><p>{LONG}</p></section><section>{short}</section></article><div>{short}</div>") == f"Short. {LONG} Short."
+    assert extract(f"<div id=content><div class=body>{f'<p>{LONG}</p>' * 100}</div><div class=more><p>{LONG}</p></div></div>") == " ".join([LONG] * 101)
+
+
+def test_time_is_linear_in_open_elements():
+    import time
+
+    def seconds(html):
+        began = time.process_time()
+        extract(html)
+        return time.process_time() - began
+
+    for piece in ("<span><h1>", "<div>", "<p><li><span>", "<head><noscript><b>", "</x><i>"):
+        assert seconds(piece * 40_000) < 20 * max(seconds(piece * 4_000), 0.02)
 
 
 def test_head_without_end_tag():
