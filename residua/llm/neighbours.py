@@ -39,7 +39,7 @@ from residua.llm._shared import let_go, materialize
 
 TABLES, WIDE, CELL = 16, 20, 3.5
 SAMPLE, SAMPLE_QUERIES, TARGET, MOST_PROBES = 8_192, 256, 0.94, 2_048
-BLOCK, QUERIES = 8_192, 2_048
+BLOCK, QUERIES, POSTINGS = 16_384, 2_048, 1 << 18
 SLACK = 1e-9
 
 
@@ -237,7 +237,7 @@ def _candidates(postings: DataFrame, probes: DataFrame, blocks: int) -> DataFram
     """(block, ask, places): where in each block of vectors a query has candidates."""
     schema = pa.schema([("block", pa.int32()), ("ask", pa.int64()), ("places", pa.list_(pa.int32()))])
     # A full group, say of one bucket, is split; its probes go to each part of it.
-    sizes = materialize(postings.groupBy("group").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts")).where("parts > 1"), "ann-full")
+    sizes = materialize(postings.groupBy("group").agg(F.ceil(F.count("*") / (2 * POSTINGS)).cast("int").alias("parts")).where("parts > 1"), "ann-full")
     left = postings.join(sizes, "group", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("nth"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     right = probes.withColumnRenamed("group", "group2").join(sizes.withColumnRenamed("group", "group2"), "group2", "left")
     right = right.withColumn("piece2", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
@@ -329,7 +329,7 @@ def _search(rows: DataFrame, size: int, top: int) -> DataFrame:
     part = max(1, n // SAMPLE)
     sample = entries.where(F.pmod(F.xxhash64("mark"), F.lit(part)) == 0).orderBy("mark").limit(SAMPLE).select("v").toPandas()["v"]
     index = fit(np.array(sample.tolist(), float).reshape(-1, size), float(largest), top)
-    groups = blocks = -(-n // BLOCK)
+    groups, blocks = -(-n // POSTINGS), -(-n // BLOCK)
     crowds = max(1, -(-n_asked // QUERIES))
     found = materialize(_candidates(_postings(entries, index, size, groups), _probes(asked, index, size, groups), blocks), "ann-candidates")
     best = materialize(_best(_ranked(found, entries, asked, size, blocks, crowds, top + 1), top + 1), "ann-best")

@@ -64,6 +64,7 @@ def test_groups_and_full_buckets_do_not_change_results(spark, monkeypatch):
     t = _table(spark, list(enumerate(np.vstack([rng.standard_normal((400, 8)), crowd]))))
     one = sorted(map(tuple, N.search(t, F.col("vec_id") % 50 == 0).collect()))
     monkeypatch.setattr(N, "BLOCK", 64)
+    monkeypatch.setattr(N, "POSTINGS", 40)
     monkeypatch.setattr(N, "QUERIES", 3)
     assert one == sorted(map(tuple, N.search(t, F.col("vec_id") % 50 == 0).collect())) and len(one) == 12 * 20
 
