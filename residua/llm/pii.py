@@ -1,32 +1,42 @@
 """Personal data: fixed formats, and bootstrapped contextual extraction beyond them.
 
-One scan of the text finds the base spans (the seeds) and identifier-shaped
-candidates that the base formats miss: phone numbers without a plus, card
-numbers that fail the check digit, hexadecimal addresses, unusual mailboxes.
-Each occurrence induces lexical patterns: the two words before it, and the
-words on either side.  Patterns and instances form a graph that Spark scores in
-rounds, to rest: a pattern is as good as the share of its distinct instances that are
-believed, and an instance is believed by noisy-or over its patterns.  Seeds
-keep belief one.  A candidate is added where a pattern of high confidence and
-enough seeds stands around it and its own belief is high.
+One scan of the text finds the base spans, which are the seed entities, and what
+else may be an identifier: every run of neighbouring words that hold a digit or
+an at sign, whatever its shape.  Each occurrence of either induces lexical
+patterns, its slot between the words around it: the two words before, and the
+words on either side, whole.  Patterns and instances form a graph that Spark
+scores in rounds, to rest.  A pattern is of the kind of the instances believed in
+its slot, and as good as the share of its distinct instances that are believed;
+an instance that no format knows is believed by noisy-or over its patterns, of
+any kind.  Seeds keep belief one and never change their kind.  What stands in the
+slot of a pattern of high confidence and enough strong instances is extracted as
+its kind if its own belief is high, and then supports further patterns itself.
+
+Besides the four kinds there are secrets: values in quotes that are assigned to
+a name such as token or password.  They are seeds of a kind of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm._shared import let_go, materialize
+from residua.llm._shared import let_go, materialize, scratch
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)
+ALL_KINDS = (*KINDS, "secret")
 DAMPING, SUPPORT, CONFIDENCE, BELIEF = 0.9, 2, 0.5, 0.4
-#: Discoveries believed so much count as support; at rest, all beliefs together rise by less than ``REST``.
+#: Instances believed so much count as support; at rest, all beliefs together rise by less than ``REST``.
 STRONG, REST = 0.8, 1e-4
+#: Words and instances of more characters stand in the graph by a digest.
+LONG = 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,13 +44,12 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-
-_LIKE = (
-    ("email", re.compile(r"(?<![^\s<(\[,;:])[^\s@<>()\[\],;:]{1,64}@[^\s@<>()\[\],;:]{2,255}(?![^\s>)\],;:])")),
-    ("ip", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")),
-    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){11,18}(?![0-9A-Za-z])")),
-    ("phone", re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){1,4}(?![0-9A-Za-z])")),
-)
+_SIGN = re.compile(r"[0-9@]")
+_WORD = re.compile(r"\S+")
+_LETTER = re.compile(r"[^\W\d_]")
+# Names that values in quotes are secret under.
+_SECRET = re.compile(r"""(?:token|secret|passwd|password|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?["']?[\x20\t]{0,8}[:=][\x20\t]{0,8}(["'])([^\s"']{8,})\1""", re.I)
+_BEFORE, _AFTER = "\"'`([{<", "\"'`.,;:!?)]}>"
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -94,29 +103,81 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidate_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Identifier-shaped spans that touch no base span and not each other."""
-    if "@" not in text and not _DIGIT.search(text):
+def secret_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, SECRET, end) of every value in quotes under the name of a secret."""
+    if "=" not in text and ":" not in text:
         return []
-    taken, out = [(a, b) for a, _, b in base], []
-    for kind, like in _LIKE:
-        for m in like.finditer(text):
-            a, b = m.span()
-            n = len(_digits(m[0]))
-            if kind == "phone" and not 7 <= n <= 15 or kind == "ip" and not n or any(a < y and x < b for x, y in taken):
-                continue
-            taken.append((a, b))
-            out.append((a, KINDS.index(kind), b))
-    return sorted(out)
-
-
-def patterns(text: str, start: int, end: int, kind: str) -> list[str]:
-    """The lexical patterns that an occurrence induces."""
-    left = [w.strip(".,;:!?\"'()[]").lower() for w in text[max(0, start - 100) : start].split()[-2:]]
-    left = ["<s>"] * (2 - len(left)) + left
-    right = text[end : end + 60].split()[:1]
-    after = right[0].strip(".,;:!?\"'()[]").lower() if right else "</s>"
-    return [f"{kind}|{left[0]} {left[1]} _", f"{kind}|{left[1]} _ {after}"]
+    return [(m.start(2), SECRET, m.end(2)) for m in _SECRET.finditer(text)]
+
+
+def runs(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Runs of words with a digit or an at sign, single spaces between them, that
+    touch no span of ``taken`` (sorted); brackets and marks around a run are not
+    part of it.  Time is linear in the text."""
+    out: list[list[int]] = []
+    hit, floor, k, reach = _SIGN.search(text), 0, 0, -1
+    while hit:
+        start = hit.start()
+        while start > floor and not text[start - 1].isspace():
+            start -= 1
+        word = _WORD.match(text, start)
+        end = floor = word.end()
+        while k < len(taken) and taken[k][0] < end:
+            reach = max(reach, taken[k][2])
+            k += 1
+        if reach <= start:
+            if out and out[-1][1] + 1 == start and text[start - 1] == " ":
+                out[-1][1] = end
+            else:
+                out.append([start, end])
+        hit = _SIGN.search(text, end)
+    found = []
+    for a, b in out:
+        opened, closed = "(" in text[a:b], ")" in text[a:b]
+        while text[a] in _BEFORE and not (text[a] == "(" and closed):
+            a += 1
+        while text[b - 1] in _AFTER and not (text[b - 1] == ")" and opened):
+            b -= 1
+        found.append((a, b))
+    return found
+
+
+def _short(word: str) -> str:
+    return word if len(word) <= LONG else hashlib.md5(word.encode()).hexdigest()
+
+
+class Contexts:
+    """The lexical patterns around spans of one text."""
+
+    def __init__(self, text: str):
+        self.text = text
+        found = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
+
+    @staticmethod
+    def _plain(word: str) -> str:
+        """A word without the marks around it; marks alone stand for themselves."""
+        return _short((word.strip(".,;:!?\"'`()[]{}<>") or word).lower())
+
+    def of(self, start: int, end: int) -> list[str]:
+        """The patterns of a span, ``_`` for its slot; ^ and $ stand before and
+        after the text.  A pattern without letters says nothing and is left out."""
+        k = bisect_right(self.starts, start) - 1  # the word that the span begins in
+        left = [self.text[self.starts[j] : self.ends[j]] for j in range(max(0, k - 2), k)]
+        glued = self.text[self.starts[k] : start]
+        if _LETTER.search(glued):
+            left.append(glued)
+        k = bisect_left(self.ends, end)  # the word that it ends in
+        glued = self.text[end : self.ends[k]]
+        right = glued if _LETTER.search(glued) else self.text[self.starts[k + 1] : self.ends[k + 1]] if k + 1 < len(self.starts) else ""
+        two, one = (["", "", *map(self._plain, left)])[-2:]
+        after = self._plain(right) if right else ""
+        out = []
+        if _LETTER.search(two + one):
+            out.append(f"{two or '^'} {one or '^'} _")
+        if _LETTER.search(one + after):
+            out.append(f"{one or '^'} _ {after or '$'}")
+        return out
 
 
 _SPAN = "struct<start:bigint,kind:int,end:bigint>"
@@ -124,15 +185,20 @@ _MARK = "struct<start:bigint,kind:int,end:bigint,instance:string,patterns:array<
 
 
 def _scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """For each row: keep, __row, base, base_sha256, base_marks and new_marks (occurrences with patterns)."""
+    """For each row: keep, __row, __base, __sha, __marks (seeds of a kind, and runs of kind -1, with patterns)."""
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
     held = frame.drop("__text").schema
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in held], "__row string", f"__base array<{_SPAN}>", "__sha string", f"__seeds array<{_MARK}>", f"__new array<{_MARK}>"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in held], "__row string", f"__base array<{_SPAN}>", "__sha string", f"__marks array<{_MARK}>"])
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     mark = pa.struct([*span, pa.field("instance", pa.string()), pa.field("patterns", pa.list_(pa.string()))])
 
-    def marks(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-        return [{"start": a, "kind": k, "end": b, "instance": f"{KINDS[k]}|{text[a:b].lower()}", "patterns": patterns(text, a, b, KINDS[k])} for a, k, b in spans]
+    def marks(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
+        seeds = sorted(base + secret_spans(text))
+        spans = [*seeds, *((a, -1, b) for a, b in runs(text, seeds))] if _SIGN.search(text) else seeds
+        if not spans:
+            return []
+        around = Contexts(text)
+        return [{"start": a, "kind": k, "end": b, "instance": _short(text[a:b].lower()), "patterns": around.of(a, b)} for a, k, b in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -140,7 +206,7 @@ def _scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows, bases, shas, seeds, news = [], [], [], [], []
+            rows, bases, shas, all_marks = [], [], [], []
             for value in batch.column(batch.num_columns - 1):
                 own = value.as_py() or ""
                 base = base_spans(own)
@@ -148,34 +214,36 @@ def _scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 n += 1
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
                 shas.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest())
-                seeds.append(marks(own, base))
-                news.append(marks(own, candidate_spans(own, base)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.string()), pa.array(bases, pa.list_(span)), pa.array(shas, pa.string()), pa.array(seeds, pa.list_(mark)), pa.array(news, pa.list_(mark))], names=[*held.names, "__row", "__base", "__sha", "__seeds", "__new"])
+                all_marks.append(marks(own, base))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.string()), pa.array(bases, pa.list_(span)), pa.array(shas, pa.string()), pa.array(all_marks, pa.list_(mark))], names=[*held.names, "__row", "__base", "__sha", "__marks"])
 
     return frame.mapInArrow(run, schema)
 
 
-def score_graph(edges: DataFrame, damping: float = DAMPING, rest: float = REST) -> tuple[DataFrame, DataFrame]:
-    """Score a graph ``edges(pattern, instance, seed boolean)`` of distinct pairs.
+def score_graph(occurrences: DataFrame, damping: float = DAMPING, rest: float = REST) -> tuple[DataFrame, DataFrame]:
+    """Score a graph ``occurrences(pattern, instance, own)`` of distinct rows, where
+    ``own`` is the kind of a seed and -1 for any other instance.
 
-    Returns ``patterns(pattern, confidence, support)`` and
-    ``instances(instance, belief)``.  Each round is two aggregations with
-    partial sums and two equi-joins; the scores go through the shared folder.
-    Beliefs only rise, so the rounds end: when a round adds less than ``rest``
-    to all beliefs together.
+    Returns ``patterns(pattern, kind, confidence)``, those with enough strong
+    instances of a kind, and ``instances(instance, kind, belief)`` of those that
+    are no seeds.  Each round is aggregations with partial sums and equi-joins;
+    the scores go through the shared folder.  Beliefs only rise, so the rounds
+    end: when a round adds less than ``rest`` to all beliefs together.
     """
-    instances = edges.groupBy("instance").agg(F.max("seed").alias("is_seed")).withColumn("belief", F.col("is_seed").cast("double"))
-    total, k = None, 0
+    seeds = occurrences.where("own >= 0").select("instance", F.col("own").alias("kind"), F.lit(1.0).alias("belief")).distinct()
+    beliefs, total, k = seeds, 0.0, 0
+    sizes = materialize(occurrences.groupBy("pattern").agg(F.countDistinct("instance").alias("size")), "pii-sizes")
     while True:
-        believed = edges.select("pattern", "instance").join(instances.select("instance", "is_seed", "belief"), "instance")
-        scored = materialize(believed.groupBy("pattern").agg((F.sum("belief") / F.count("*")).alias("confidence"), F.sum((F.col("belief") >= STRONG).cast("long")).alias("support")), f"pii-patterns-{k}")
-        trusted = scored.select("pattern", F.when(F.col("support") >= SUPPORT, F.col("confidence")).otherwise(0.0).alias("trust"))
-        beliefs = edges.join(trusted, "pattern").groupBy("instance").agg(F.max("seed").alias("is_seed"), (1 - F.exp(F.sum(F.log1p(-damping * F.col("trust"))))).alias("noisy"))
-        instances = materialize(beliefs.select("instance", "is_seed", F.when(F.col("is_seed"), 1.0).otherwise(F.col("noisy")).alias("belief")), f"pii-instances-{k}")
-        before, total = total, instances.where(~F.col("is_seed")).agg(F.coalesce(F.sum("belief"), F.lit(0.0))).first()[0]
-        if total - (before or 0.0) < rest:
-            return scored, instances.select("instance", "belief")
-        k += 1
+        # An instance believed of several kinds counts for each; a seed only for its own.
+        stood = occurrences.select("pattern", "instance").distinct().join(beliefs, "instance")
+        scored = stood.groupBy("pattern", "kind").agg(F.sum("belief").alias("believed"), F.count_if(F.col("belief") >= STRONG).alias("support")).where(F.col("support") >= SUPPORT)
+        scored = materialize(scored.join(sizes, "pattern").select("pattern", "kind", (F.col("believed") / F.col("size")).alias("confidence")), f"pii-patterns-{k}")
+        noisy = occurrences.where("own < 0").join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-damping * F.col("confidence"))))).alias("belief"))
+        found = materialize(noisy, f"pii-instances-{k}")
+        before, total = total, found.agg(F.coalesce(F.sum("belief"), F.lit(0.0))).first()[0]
+        if total - before < rest:
+            return scored, found
+        beliefs, k = seeds.unionByName(found), k + 1
 
 
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -184,7 +252,8 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     Returns the columns ``keep`` (all of ``docs`` if None) and n_email, n_ip,
     n_card, n_phone (long, base spans), base_sha256, pii_spans
     (array<struct<start, kind, end>>, all spans in order of start then kind, kind
-    an index into KINDS) and n_added (long).  Null and empty texts have no
+    an index into ALL_KINDS), n_secret, n_added (long: spans that patterns have
+    extracted) and n_found (long, all spans).  Null and empty texts have no
     spans; repeated rows are each searched; an empty table gives an empty
     result; columns named like the new ones are replaced.
 
@@ -192,45 +261,48 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     each document (and whatever ``keep`` asks for) to the shared folder, and
     only rows with candidates meet the scored graph.
     """
-    new = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "pii_spans", "n_added"]
+    new = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "pii_spans", "n_secret", "n_added", "n_found"]
     held = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    found = materialize(_scan(docs, text, held), "pii-found")
-    marks = found.where(F.size("__new") > 0).select("__row", F.explode("__new").alias("m")).select("__row", "m.*", F.explode("m.patterns").alias("pattern"))
-    seeds = found.where(F.size("__seeds") > 0).select(F.explode("__seeds").alias("m")).select("m.instance", F.explode("m.patterns").alias("pattern"))
-    edges = seeds.select("pattern", "instance", F.lit(True).alias("seed")).unionAll(marks.select("pattern", "instance", F.lit(False).alias("seed")))
-    edges = materialize(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    scored, believed = score_graph(edges)
-    good = scored.where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern")
-    added = (
-        marks.join(good, "pattern")
-        .join(believed.where(F.col("belief") >= BELIEF).select("instance"), "instance")
-        .groupBy("__row")
-        .agg(F.collect_set(F.struct(F.col("start"), F.col("kind"), F.col("end"))).alias("__added"))
-    )
-    plain = found.where(F.size("__new") == 0).withColumn("__added", F.expr(f"cast(array() as array<{_SPAN}>)"))
-    more = found.where(F.size("__new") > 0).join(added, "__row", "left").withColumn("__added", F.coalesce("__added", F.expr(f"cast(array() as array<{_SPAN}>)")))
-    both = plain.unionByName(more)
-    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
-    return both.select(
+    with scratch(docs.sparkSession):
+        found = materialize(_scan(docs, text, held), "pii-found", keep=True)
+        marks = found.where(F.size("__marks") > 0).select("__row", F.explode("__marks").alias("m")).select("__row", "m.start", "m.end", "m.kind", "m.instance", F.explode("m.patterns").alias("pattern"))
+        marks = materialize(marks, "pii-marks")
+        graph = materialize(marks.select("pattern", "instance", F.col("kind").alias("own")).distinct(), "pii-graph")
+        scored, believed = score_graph(graph)
+        good = scored.where(F.col("confidence") >= CONFIDENCE).select("pattern", F.col("kind").alias("as"))
+        spans = marks.where("kind < 0").join(good, "pattern").join(believed.where(F.col("belief") >= BELIEF).select("instance", F.col("kind").alias("as"), "belief"), ["instance", "as"])
+        # One span is extracted once, as the kind of highest belief, the first of equals.
+        best = spans.groupBy("__row", "start", "end").agg(F.max(F.struct("belief", (-F.col("as")).alias("less"))).alias("best"))
+        added = materialize(best.groupBy("__row").agg(F.collect_list(F.struct(F.col("start"), (-F.col("best.less")).alias("kind"), F.col("end"))).alias("__added")), "pii-added", keep=True)
+    none = F.expr(f"cast(array() as array<{_SPAN}>)")
+    maybe = F.exists("__marks", lambda m: m["kind"] < 0)
+    both = found.where(~maybe).withColumn("__added", none).unionByName(found.where(maybe).join(added, "__row", "left").withColumn("__added", F.coalesce("__added", none)))
+    secrets = F.transform(F.filter("__marks", lambda m: m["kind"] == SECRET), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
+    every = F.array_sort(F.concat("__base", secrets, "__added"))
+    count = lambda spans, k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+    return both.withColumn("__all", every).select(
         *[F.col(f"`{c}`") for c in held],
-        *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        *[count("__base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.col("__sha").alias("base_sha256"),
-        F.array_sort(F.concat("__base", "__added")).alias("pii_spans"),
+        F.col("__all").alias("pii_spans"),
+        count("__all", SECRET).alias("n_secret"),
         F.size("__added").cast("long").alias("n_added"),
+        F.size("__all").cast("long").alias("n_found"),
     )
 
 
 def spans_text(spans: str = "pii_spans"):
-    """All spans as kind:start:end joined by commas."""
+    """All spans of the four kinds as kind:start:end joined by commas."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(F.col(spans), lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    personal = F.filter(F.col(spans), lambda s: s["kind"] < len(KINDS))
+    return F.array_join(F.transform(personal, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def mask(text: str = "text", spans: str = "pii_spans"):
     """The text with each span replaced by its kind in square brackets, e.g.
     ``[email]``; spans that overlap an earlier one go with it.  Null stays null."""
     size = F.length(text)
-    kinds = F.array(*[F.lit(f"[{k}]") for k in KINDS])
+    kinds = F.array(*[F.lit(f"[{k}]") for k in ALL_KINDS])
 
     def step(acc, s):
         taken = s["start"] < acc["at"]

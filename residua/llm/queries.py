@@ -39,7 +39,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from residua.llm.pii import find, spans_text
 
     found = find(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans_text().alias("spans"), "n_added")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans_text().alias("spans"), "n_added", "n_secret", "n_found")
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,72 @@ def test_rounds_go_to_rest(spark):
     got = {r["doc_id"]: r["n_added"] for r in pii.find(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert all(got[k] == 1 for k in range(2, 20)) and got[103] == 1
     assert got[0] == got[1] == got[200] == 0
+
+
+def test_runs_are_found_in_linear_time():
+    for t in ("1 " * 150_000, "a1" * 150_000, "((1))" * 60_000, "@ " * 150_000, "token='" * 40_000, "x1\t" * 100_000):
+        base = pii.base_spans(t)
+        pii.runs(t, sorted(base + pii.secret_spans(t)))
+    assert pii.runs("call (020) 7946 0958, or 1@x.y. now", []) == [(5, 20), (25, 30)]
+    assert pii.runs("a 5 b@c 6 d", [(4, 0, 7)]) == [(2, 3), (8, 9)]
+
+
+def test_contexts_take_whole_words():
+    long = "w" * 5_000
+    text = f"say {long} (555-1234) {'v' * 70}, end"
+    got = pii.Contexts(text).of(text.index("555"), text.index("555") + 8)
+    md5 = lambda w: hashlib.md5(w.encode()).hexdigest()
+    assert got == [f"say {md5(long)} _", f"{md5(long)} _ {md5('v' * 70)}"]
+    assert pii.Contexts("12").of(0, 2) == [] and pii.Contexts("| 12 |").of(2, 4) == [] and pii.Contexts("tel:12").of(4, 6) == ["^ tel _", "tel _ $"]
+
+
+def test_secrets_and_ties(spark):
+    rows = [(k, f'export API_TOKEN = "{k}abcdef0123456789" done') for k in range(4)] + [(9, 'export API_TOKEN = <<xyz-77-unquoted>> done'), (10, "both 1.2.3.4 1.2.3.4 here"), (10, "both 1.2.3.4 1.2.3.4 here")]
+    got = pii.find(spark.createDataFrame(rows, "doc_id int, text string")).select("*", pii.mask().alias("m"), pii.spans_text().alias("s")).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert all(by[k]["n_secret"] == 1 and by[k]["m"] == 'export API_TOKEN = "[secret]" done' and by[k]["s"] == "" for k in range(4))
+    assert by[9]["n_secret"] == by[9]["n_added"] == 1 and by[9]["m"] == "export API_TOKEN = <<[secret]>> done"
+    assert [r["n_ip"] for r in got if r["doc_id"] == 10] == [2, 2] and by[10]["m"] == "both [ip] [ip] here"
+
+
+def test_precision_and_recall_of_discovery(spark, small):
+    """Identifiers that no format knows, planted into prose in contexts that known ones stand in too."""
+    rnd = random.Random(11)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    known = {
+        "email": lambda: f"{digits(4)}@mail{digits(2)}.example.com",
+        "ip": lambda: ".".join(str(rnd.randint(0, 255)) for _ in range(4)),
+        "phone": lambda: f"+1 ({digits(3)}) 555-{digits(4)}",
+    }
+    unseen = {
+        "email": [lambda: f"jörg{digits(3)}@büro.example", lambda: f"u{digits(5)} at mail{digits(1)}"],
+        "ip": [lambda: ":".join(f"{rnd.randint(4096, 65535):x}" for _ in range(8)), lambda: f"0x{rnd.randint(1 << 28, 1 << 32):x}1"],
+        "phone": [lambda: f"{digits(3)}-555-{digits(4)}", lambda: f"({digits(3)}) 555 {digits(4)}"],
+    }
+    frames = {"email": ["please write to {} for details", "her mailbox is {} since"], "ip": ["connection from host {} was refused", "the server at {} went down"], "phone": ["you can call {} at any", "his mobile number {} is busy"]}
+    noise = ["in the year {} there", "page {} of the report", "a price of {} euros and", "build {} was released", "chapter {} begins", "about {} people came"]
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect() if r["text"]]
+    rows, truth, false = [], 0, 0
+    for k in range(600):
+        words = rnd.choice(texts).split()[:60]
+        words = [w for w in words if not re.search(r"[0-9@]", w)]
+        kind = rnd.choice(list(frames))
+        if k % 3 == 0:
+            value, want = known[kind](), 0
+        elif k % 3 == 1:
+            value, want = rnd.choice(unseen[kind])(), 1
+            if " at " in value:  # only its parts with digits can be found
+                value = value.replace(" at ", "@")
+        else:
+            value, want, kind = digits(rnd.randint(2, 9)), 0, "noise"
+        frame = rnd.choice(noise if kind == "noise" else frames[kind])
+        at = rnd.randint(0, len(words))
+        rows.append((k, " ".join([*words[:at], frame.format(value), *words[at:]]), kind, value, want))
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id int, text string")).collect()}
+    hit = wrong = 0
+    for k, text, kind, value, want in rows:
+        added = [(text[s["start"] : s["end"]], pii.ALL_KINDS[s["kind"]]) for s in got[k]["pii_spans"]] if got[k]["n_added"] else []
+        truth += want
+        hit += want and (value, kind) in added
+        wrong += len(added) - (want and (value, kind) in added)
+    assert hit >= 0.9 * truth and wrong <= 0.05 * hit, (hit, truth, wrong)
