@@ -46,8 +46,8 @@ def running_total(rows: DataFrame, value: str, out: str) -> DataFrame:
 
 def row_offsets(entries: DataFrame, sizes: DataFrame) -> DataFrame:
     """Start of each row in row-compressed order: (case_id, i, count, start)."""
-    counts = entries.groupBy("case_id", F.col("row").alias("i")).agg(F.count("*").alias("count"))
-    full = dense(sizes).join(counts, ["case_id", "i"], "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
+    places = entries.select("case_id", F.col("row").alias("i"), F.lit(1).alias("count")).unionByName(dense(sizes).withColumn("count", F.lit(0)))
+    full = places.groupBy("case_id", "i").agg(F.sum("count").alias("count"))
     return running_total(full, "count", "start")
 
 
@@ -86,11 +86,13 @@ def violations(entries: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def product(entries: DataFrame, vector: DataFrame, sizes: DataFrame, *sums: tuple[str, Column]) -> DataFrame:
     """For each row the ``sums`` over its entries, where val is the entry and x the
-    vector at its column; rows with no entries get 0: (case_id, i, names...)."""
+    vector at its column; rows with no entries get 0: (case_id, i, names...).
+
+    The indices of all rows go through the same aggregation as the entries."""
     named = vector.select("case_id", F.col("i").alias("col"), "x")
-    summed = entries.join(named, ["case_id", "col"]).groupBy("case_id", F.col("row").alias("i")).agg(*[F.sum(c).alias(n) for n, c in sums])
-    full = dense(sizes).join(summed, ["case_id", "i"], "left")
-    return full.select("case_id", "i", *[F.coalesce(n, F.lit(0.0)).alias(n) for n, _ in sums])
+    terms = entries.join(named, ["case_id", "col"]).select("case_id", F.col("row").alias("i"), *[c.alias(n) for n, c in sums])
+    zeros = dense(sizes).select("case_id", "i", *[F.lit(0.0).alias(n) for n, _ in sums])
+    return terms.unionByName(zeros).groupBy("case_id", "i").agg(*[F.sum(n).alias(n) for n, _ in sums])
 
 
 def matvec(entries: DataFrame, vector: DataFrame, sizes: DataFrame, name: str = "y") -> DataFrame:

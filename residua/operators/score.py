@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.functions.numeric import is_finite
+from residua.operators.matrix import SPAN
 
 
 def paired(results: DataFrame) -> DataFrame:
@@ -42,9 +43,18 @@ def completeness(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """(ordered): whether rows(case_id, idx, position) stand in the order of the plan."""
-    prev = F.lag("idx").over(Window.orderBy("position"))
-    return rows.select((F.coalesce(prev < F.col("idx"), F.lit(True))).alias("fine")).agg(F.coalesce(F.bool_and("fine"), F.lit(True)).alias("ordered"))
+    """(ordered): whether rows(case_id, idx, position) stand in the order of the plan.
+
+    Judged in spans of ``SPAN`` positions: within a span by a window, and between
+    spans by their ends, so that only one row for each span meets in one task.
+    """
+    held = rows.withColumn("span", F.expr(f"position div {SPAN}"))
+    prev = F.lag("idx").over(Window.partitionBy("span").orderBy("position"))
+    fine = held.select("span", "idx", "position", F.coalesce(prev < F.col("idx"), F.lit(True)).alias("fine"))
+    ends = fine.groupBy("span").agg(F.bool_and("fine").alias("fine"), F.min_by("idx", "position").alias("first"), F.max_by("idx", "position").alias("last"))
+    before = F.lag("last").over(Window.orderBy("span"))
+    between = ends.select((F.col("fine") & F.coalesce(before < F.col("first"), F.lit(True))).alias("fine"))
+    return between.agg(F.coalesce(F.bool_and("fine"), F.lit(True)).alias("ordered"))
 
 
 def cases_solved(rows: DataFrame, plan: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import inspect
 import time
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.operators import matrix as M
+from residua.operators.storage import stored
 from residua.solvers import krylov
 
 RESULT = "case_id string, role string, returncode int, wall_seconds double, diagnostics string, status int, iterations int, elapsed_ns bigint, create_ns bigint, setup_ns bigint, solve_ns bigint, mutated boolean, solution array<double>"
@@ -119,7 +119,10 @@ def solve_groups(entries: DataFrame, vectors: DataFrame, cases: DataFrame, make:
             t3 = time.perf_counter_ns()
             if hasattr(solver, "close"):
                 solver.close()
-            row |= {"status": found.status, "iterations": found.iterations, "elapsed_ns": t3 - t0, "create_ns": t1 - t0, "setup_ns": t2 - t1, "solve_ns": t3 - t2, "mutated": matrix.fingerprint() != before or b.tobytes() != b_before, "solution": found.x.tolist()}
+            x = np.asarray(found.x, float)
+            if x.shape != (n,):
+                raise ValueError(f"the solution has the shape {x.shape}, not ({n},)")
+            row |= {"status": found.status, "iterations": found.iterations, "elapsed_ns": t3 - t0, "create_ns": t1 - t0, "setup_ns": t2 - t1, "solve_ns": t3 - t2, "mutated": matrix.fingerprint() != before or b.tobytes() != b_before, "solution": x.tolist()}
         except Exception as error:  # whatever a plug-in raises is a failed run, not a failed job
             row |= {"returncode": 1, "diagnostics": f"{type(error).__name__}: {error}"[-8_000:]}
         row["wall_seconds"] = time.perf_counter() - began
@@ -147,40 +150,32 @@ def jacobi(entries: DataFrame, b: DataFrame, sizes: DataFrame, sweeps: int) -> D
     return x
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared checkpoint folder and read back; without such a
-    folder (one machine, tests) the frame is cached."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/residua/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def solve_distributed(entries: DataFrame, b: DataFrame, sizes: DataFrame, rtol: float, most: int = 500) -> tuple[DataFrame, int, float]:
     """Jacobi-preconditioned conjugate gradients for one symmetric positive
     definite system over the cluster: (x, iterations, relative residual).
 
     An iteration is one product and two aggregates of one row; vectors are
     written out each time, so that the plan stays short and a lost executor
-    costs a re-read.  The true residual is confirmed at the end; one above
-    ``rtol`` (but for rounding, a hundredth) raises ArithmeticError.
+    costs a re-read.  A direction of no positive curvature raises ArithmeticError,
+    and so does a true residual, confirmed at the end, above ``rtol`` (but for
+    rounding, a hundredth).
     """
     key = ["case_id", "i"]
     state = b.select(*key, F.lit(0.0).alias("x"), F.col("x").alias("r")).join(M.diagonal(entries).withColumnRenamed("x", "d"), key, "left")
     state = state.withColumn("d", F.coalesce("d", F.lit(1.0))).withColumn("p", F.col("r") / F.col("d"))
-    state = _stored(state, "cg")
+    state = stored(state, "cg")
     norm, rz = state.agg(F.sqrt(F.sum(F.col("r") * F.col("r"))), F.sum(F.col("r") * F.col("r") / F.col("d"))).first()
     aim, steps = rtol * (norm or 0.0), 0
     while norm and norm > aim and steps < most:
         ap = M.matvec(entries, state.select(*key, F.col("p").alias("x")), sizes, "ap")
-        both = _stored(state.join(ap, key), "cg-product")
-        alpha = rz / both.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        both = stored(state.join(ap, key), "cg-product")
+        curvature = both.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        if curvature is None or not curvature > 0 or not rz > 0:
+            raise ArithmeticError(f"conjugate gradients broke down after {steps} iterations: curvature {curvature}")
+        alpha = rz / curvature
         moved = both.select(*key, (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "d", "p")
         norm, new = moved.agg(F.sqrt(F.sum(F.col("r") * F.col("r"))), F.sum(F.col("r") * F.col("r") / F.col("d"))).first()
-        state = _stored(moved.withColumn("p", F.col("r") / F.col("d") + (new / rz) * F.col("p")), "cg")
+        state = stored(moved.withColumn("p", F.col("r") / F.col("d") + (new / rz) * F.col("p")), "cg")
         rz, steps = new, steps + 1
     x = state.select(*key, "x")
     true = M.matvec(entries, x, sizes, "ax").join(b.select(*key, F.col("x").alias("b")), key)

@@ -1,4 +1,7 @@
-"""Pass or fail: accuracy limits of a family, and the order of failures of a run."""
+"""Pass or fail: accuracy limits of a family, and the order of failures of a run.
+
+The sentences that name a failure are values: reports are compared by them.
+"""
 
 from __future__ import annotations
 
@@ -35,8 +38,9 @@ def accuracy_failure(family: Column, tolerance: Column, metric: dict[str, Column
 
 
 def accuracy(measured: DataFrame, cases: DataFrame) -> DataFrame:
-    """(case_id, passed, failure) from metrics and cases(case_id, family, tolerance)."""
-    joined = measured.join(cases.select("case_id", "family", "tolerance"), "case_id")
+    """(case_id, passed, failure) of every case of cases(case_id, family, tolerance);
+    one that was not measured fails as one whose errors are missing."""
+    joined = cases.select("case_id", "family", "tolerance").join(measured, "case_id", "left")
     failure = accuracy_failure(F.col("family"), F.col("tolerance"))
     return joined.select("case_id", failure.isNull().alias("passed"), failure.alias("failure"))
 

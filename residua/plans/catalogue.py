@@ -15,6 +15,7 @@ from residua.operators import score as R
 from residua.operators import solve as S
 from residua.operators import vectors as V
 from residua.operators import verdict as J
+from residua.operators.storage import stored
 from residua.plans import derive as D
 from residua.schema import DIAGNOSTICS, METRICS
 from residua.solvers import spectrum
@@ -184,8 +185,8 @@ def _solved(spark, d):
 
 @query
 def residual(spark, d):
-    a, x, b, n = _solved(spark, d)
-    return E.residuals(a, x, b, n).select("case_id", "i", "residual", F.round("spread", 6).alias("spread"), "row_norm")
+    a, x, b, _ = _solved(spark, d)
+    return E.residuals(a, x, b).select("case_id", "i", "residual", F.round("spread", 6).alias("spread"), "row_norm")
 
 
 def _measured(spark, d):
@@ -286,11 +287,11 @@ def diag_defect(spark, d):
 def _grouped(spark, d, method, symmetric=False):
     if symmetric:
         a, n = D.symmetric_entries(spark, d), D.sizes(spark, d)
-        t = D.target(spark, d)
+        b = M.matvec(a, D.target(spark, d), n, "x")
     else:
         a, n = _system(spark, d, 7)
-        t = D.target(spark, d, 7)
-    b = M.matvec(a, t, n, "b").select("case_id", "i", "b", F.lit(0.0).alias("x0"))
+        b = D.rhs(spark, d, 7)
+    b = b.select("case_id", "i", F.col("x").alias("b"), F.lit(0.0).alias("x0"))
     return S.solve_groups(a, b, n.withColumn("tolerance", F.lit(D.TOLERANCE)), method)
 
 
@@ -335,8 +336,7 @@ def solver_runs(spark, d):
 def solve_and_verify(spark, d):
     """Solve, measure and judge, end to end: (case_id, passed, failure)."""
     a, n = _system(spark, d, 7)
-    results = _grouped(spark, d, "bicgstab")
-    x = S.solutions(results)
+    x = S.solutions(stored(_grouped(spark, d, "bicgstab"), "results"))
     return J.accuracy(E.metrics(a, x, D.rhs(spark, d, 7), n, D.target(spark, d, 7)), D.case_table(spark, d))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residua.functions.rademacher import domain, signs
 from residua.operators import matrix as M
+from residua.operators.storage import state_of, stored
 
 KEY = b"residua fixture key 0001"
 FIELDS = {"scheme": "rademacher-hmac-sha256-v2", "release_id": "fixture", "family": "mesh", "rhs_kind": "rademacher", "draw_index": 0}
@@ -20,15 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept for the application as long as the files of the
+    tables are the same: systems are derived and written once, whatever uses them."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, state_of(spark, *[f"{sf_dir}/{t}.parquet" for t in tables]))
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def size(spark: SparkSession, sf_dir: str) -> int:
+    return once(spark, sf_dir, "size", ("part",), lambda: table(spark, sf_dir, "part").count())
+
+
 def sizes(spark: SparkSession, sf_dir: str, cases: int = 1) -> DataFrame:
     """(case_id, n): case '0' alone, or cases '1' to '7' of the same size."""
-    n = table(spark, sf_dir, "part").count()
-    return spark.createDataFrame([(str(k), n) for k in (range(1, 8) if cases > 1 else (0,))], "case_id string, n bigint")
+    ids = spark.range(1, 8, 1, 1) if cases > 1 else spark.range(0, 1, 1, 1)
+    return ids.select(F.col("id").cast("string").alias("case_id"), F.lit(size(spark, sf_dir)).cast("long").alias("n"))
 
 
 def raw_entries(spark: SparkSession, sf_dir: str, cases: int = 1) -> DataFrame:
     """Uncombined entries: (case_id, row, col, val), several at one place."""
-    n = F.lit(table(spark, sf_dir, "part").count())
+    n = F.lit(size(spark, sf_dir))
     case = F.col("l_linenumber").cast("string") if cases > 1 else F.lit("0")
     return table(spark, sf_dir, "lineitem").select(case.alias("case_id"), (F.col("l_partkey") % n).cast("long").alias("row"), (F.col("l_orderkey") % n).cast("long").alias("col"), F.col("l_quantity").cast("double").alias("val"))
 
@@ -36,32 +55,45 @@ def raw_entries(spark: SparkSession, sf_dir: str, cases: int = 1) -> DataFrame:
 def entries(spark: SparkSession, sf_dir: str, cases: int = 1, diagonal: str = "dominant") -> DataFrame:
     """A canonical nonsymmetric system.  The diagonal is one more than its row's
     sum of magnitudes, or ('dyadic') the power of two above twice that."""
-    off = M.canonicalize(raw_entries(spark, sf_dir, cases).where("row <> col"))
-    return _with_diagonal(off, sizes(spark, sf_dir, cases), diagonal)
+
+    def make() -> DataFrame:
+        off = M.canonicalize(raw_entries(spark, sf_dir, cases).where("row <> col"))
+        return stored(_with_diagonal(off, sizes(spark, sf_dir, cases), diagonal), "system")
+
+    return once(spark, sf_dir, f"entries {cases} {diagonal}", ("part", "lineitem"), make)
 
 
 def _with_diagonal(off: DataFrame, own: DataFrame, diagonal: str) -> DataFrame:
-    sums = off.groupBy("case_id", F.col("row").alias("i")).agg(F.sum(F.abs("val")).alias("total"))
-    full = M.dense(own).join(sums, ["case_id", "i"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    """``off`` and a diagonal entry for each row, in one aggregation by row."""
+    rows = off.select("case_id", F.col("row").alias("i"), F.abs("val").alias("size")).unionByName(M.dense(own).withColumn("size", F.lit(0.0)))
+    total = rows.groupBy("case_id", "i").agg(F.sum("size").alias("total"))
     weight = F.pow(F.lit(2.0), F.ceil(F.log2(1 + 2 * F.col("total")))) if diagonal == "dyadic" else 1 + F.col("total")
-    return off.unionByName(full.select("case_id", F.col("i").alias("row"), F.col("i").alias("col"), weight.alias("val")))
+    return off.unionByName(total.select("case_id", F.col("i").alias("row"), F.col("i").alias("col"), weight.alias("val")))
 
 
 def symmetric_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The off-diagonal part plus its transpose, with a dominant diagonal."""
-    off = M.canonicalize(raw_entries(spark, sf_dir).where("row <> col"))
-    both = M.canonicalize(off.unionByName(M.transpose(off)))
-    return _with_diagonal(both, sizes(spark, sf_dir), "dominant")
+
+    def make() -> DataFrame:
+        off = raw_entries(spark, sf_dir).where("row <> col")
+        both = M.canonicalize(off.unionByName(M.transpose(off)))
+        return stored(_with_diagonal(both, sizes(spark, sf_dir), "dominant"), "symmetric")
+
+    return once(spark, sf_dir, "symmetric", ("part", "lineitem"), make)
 
 
 def target(spark: SparkSession, sf_dir: str, cases: int = 1) -> DataFrame:
     """Signs from the fixture key: (case_id, i, x)."""
-    return signs(sizes(spark, sf_dir, cases), KEY, PREFIX)
+    return once(spark, sf_dir, f"target {cases}", ("part",), lambda: stored(signs(sizes(spark, sf_dir, cases), KEY, PREFIX), "target"))
 
 
 def rhs(spark: SparkSession, sf_dir: str, cases: int = 1, diagonal: str = "dominant") -> DataFrame:
     """b = A target: (case_id, i, x)."""
-    return M.matvec(entries(spark, sf_dir, cases, diagonal), target(spark, sf_dir, cases), sizes(spark, sf_dir, cases), "x")
+
+    def make() -> DataFrame:
+        return stored(M.matvec(entries(spark, sf_dir, cases, diagonal), target(spark, sf_dir, cases), sizes(spark, sf_dir, cases), "x"), "rhs")
+
+    return once(spark, sf_dir, f"rhs {cases} {diagonal}", ("part", "lineitem"), make)
 
 
 def candidate(spark: SparkSession, sf_dir: str) -> DataFrame:

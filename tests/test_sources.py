@@ -39,6 +39,30 @@ def test_matrix_market_file(spark, tmp_path):
     assert tuple(sizes.first()) == ("a", 3, 3)
 
 
+def test_size_line_after_many_comments(spark, tmp_path):
+    # Splits of a few kilobytes, the first of them all comments; one entry reads like the size line.
+    lines = ["%%MatrixMarket matrix coordinate real general", *["% a comment of some length to fill splits"] * 4_000, "3 3 3", "2 2 4.0", "3 3 3", "1 2 5"]
+    (tmp_path / "a.mtx").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        entries, sizes = matrix_market.read_matrix_market(spark, str(tmp_path / "a.mtx"), "a")
+        assert sorted(tuple(r)[1:] for r in entries.collect()) == [(0, 1, 5.0), (1, 1, 4.0), (2, 2, 3.0)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tuple(sizes.first()) == ("a", 3, 3)
+
+
+@pytest.mark.parametrize("body", ["3 3 9\n1 1 1\n", "3 3 1\n7 1 1\n", "3 3 1\n1 1 x\n", "3 3 1\n1 1 nan\n", "3 3 1\n1 1\n", "3 4 1\n1 1 1\n"])
+def test_wrong_entries_are_refused(spark, tmp_path, body):
+    text = "%%MatrixMarket matrix coordinate real general\n" + body
+    (tmp_path / "a.mtx").write_text(text)
+    with pytest.raises(ValueError):
+        matrix_market.read_matrix_market(spark, str(tmp_path / "a.mtx"), "a")
+    with pytest.raises(ValueError):
+        matrix_market.parse(text)
+
+
 def test_matrix_market_archive(spark, tmp_path):
     (tmp_path / "m.tar.gz").write_bytes(_tar([("x/x.mtx", SYM.encode()), ("x/readme", b"hi")]))
     assert matrix_market.read_archives(spark, str(tmp_path / "m.tar.gz")).count() == 4
@@ -52,15 +76,18 @@ def test_other_matrices_are_refused(head):
 
 def test_unsafe_archives():
     with pytest.raises(archives.UnsafeArchive):
-        list(archives.tar_members(_tar([("../x", b"1")]), 100))
+        list(archives.safe_files(_tar([("../x", b"1")]), 100))
     with pytest.raises(archives.UnsafeArchive):
-        list(archives.tar_members(_tar([("a", b"1"), ("a", b"1")]), 100))
+        list(archives.safe_files(_tar([("a", b"1"), ("a", b"1")]), 100))
+    for bad in ("/x", "a/../x", "./x", "a//b", "a\\b", "c:x"):
+        assert archives.faults([archives.Member(bad, 1, "file", bytes)], 10) == ["a member stands outside its folder"]
+    assert archives.faults([archives.Member("a/..b/c.d", 1, "file", bytes), archives.Member("a/", 0, "folder", bytes)], 10) == []
     with pytest.raises(archives.UnsafeArchive):
-        archives.read_zip(_zip([("a", b"123")]), {"a": 2})
+        archives.read_files(_zip([("a", b"123")]), {"a": 2})
     with pytest.raises(archives.UnsafeArchive):
-        archives.read_zip(_zip([("b", b"1")]), {"a": 2})
+        archives.read_files(_zip([("b", b"1")]), {"a": 2})
     with pytest.raises(ValueError):
-        archives.read_zip(b"none", {"a": 2})
+        archives.read_files(b"none", {"a": 2})
 
 
 def _npy(a):
