@@ -35,10 +35,11 @@ def matrix_sha256(n: int, offsets: np.ndarray, cols: np.ndarray, vals: np.ndarra
     return hashlib.sha256(b"".join(parts)).hexdigest()
 
 
-def input_sha256(case_id: str, tolerance: float, digests: dict[str, str], target: np.ndarray | None, tag: bytes = VECTOR_TAG) -> str:
+# The keys of an identity and its two kinds of reference.
+def input_sha256(case_id: str, tolerance: float, digests: dict[str, str], target_sha256: str | None) -> str:
     """The identity of a case from digests already at hand."""
-    known = target is not None
-    return json_sha256({"case_id": case_id, **digests, "tolerance": tolerance, "reference_kind": "manufactured" if known else "none", "reference_sha256": vector_sha256(target, tag) if known else None})
+    kind = "none" if target_sha256 is None else "manufactured"
+    return json_sha256(digests | {"case_id": case_id, "tolerance": tolerance, "reference_kind": kind, "reference_sha256": target_sha256})
 
 
 def matrix_digests(entries: DataFrame, sizes: DataFrame, tag: bytes = MATRIX_TAG) -> DataFrame:

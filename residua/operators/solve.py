@@ -8,6 +8,7 @@ runs each case in one Python task and suits many systems that fit in memory;
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import inspect
 import time
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from residua.operators import matrix as M
 from residua.operators.storage import stored
-from residua.solvers import krylov
+from residua.solvers import krylov, multigrid, spectrum
 
 RESULT = "case_id string, role string, returncode int, wall_seconds double, diagnostics string, status int, iterations int, elapsed_ns bigint, create_ns bigint, setup_ns bigint, solve_ns bigint, mutated boolean, solution array<double>"
 
@@ -53,20 +54,74 @@ class Solver(Protocol):
     def solve(self) -> krylov.Outcome: ...
 
 
+#: Preconditioners by name: each takes a matrix and gives an approximate inverse.
+PRECONDITIONERS: dict[str, Callable[[Csr], krylov.Apply]] = {
+    "jacobi": lambda a: _diagonal(a),
+    "multigrid": lambda a: multigrid.Multigrid(a.n, a.rows, a.cols, a.vals).cycle,
+    "chebyshev": lambda a: _chebyshev(a),
+}
+
+
+def _diagonal(a: Csr) -> krylov.Apply:
+    inverse = multigrid.inverse_diagonal(a.n, a.rows, a.cols, a.vals)
+    return lambda r: inverse * r
+
+
+def _ritz(a: Csr, steps: int = 12) -> tuple[float, float]:
+    """Bounds on the spectrum of the matrix scaled by its diagonal, from a few steps of CG."""
+    probe = krylov.cg(lambda x: a @ x, np.cos(np.arange(a.n, dtype=float)), np.zeros(a.n), _diagonal(a), 1e-14, most=steps)
+    return spectrum.extremes(probe.alphas, probe.betas) or (1.0, 1.0)
+
+
+def _chebyshev(a: Csr) -> krylov.Apply:
+    """A polynomial over the upper part of the spectrum, scaled by the diagonal."""
+    scale = _diagonal(a)
+    high = 1.1 * _ritz(a)[1]
+    inner = krylov.chebyshev(lambda x: scale(a @ x), high / 30, high)
+    return lambda r: inner(scale(r))
+
+
 class Krylov:
-    """A method of ``krylov`` with a Jacobi preconditioner."""
+    """A method of ``krylov`` with a preconditioner.
 
-    def __init__(self, method: str, rtol: float, atol: float = 0.0, **options):
-        self.method, self.rtol, self.atol, self.options = method, rtol, atol, options
+    What was set up for a matrix is kept in the process and used again for the same
+    matrix only: its fingerprint, taken from all its numbers, guards it.
+    """
+
+    METHODS = {"cg": krylov.cg, "bicgstab": krylov.bicgstab, "gmres": krylov.gmres, "fgmres": functools.partial(krylov.gmres, flexible=True)}
+    _last: tuple[str, bytes, krylov.Apply] | None = None
+
+    def __init__(self, method: str, rtol: float, atol: float = 0.0, preconditioner: str = "jacobi", **options):
+        self.method, self.rtol, self.atol, self.preconditioner, self.options = method, rtol, atol, preconditioner, options
 
     def setup(self, matrix: Csr, b: np.ndarray, x0: np.ndarray) -> None:
         self.matrix, self.b, self.x0 = matrix, b, x0
-        d = matrix.diagonal()
-        self.inverse = np.divide(1.0, d, out=np.ones_like(d), where=d != 0)
+        key = (self.preconditioner, matrix.fingerprint())
+        if Krylov._last is None or Krylov._last[:2] != key:
+            Krylov._last = (*key, PRECONDITIONERS[self.preconditioner](matrix))
+        self.precondition = Krylov._last[2]
 
     def solve(self) -> krylov.Outcome:
-        run = {"cg": krylov.cg, "bicgstab": krylov.bicgstab, "gmres": krylov.gmres, "fgmres": lambda *a, **k: krylov.gmres(*a, flexible=True, **k)}[self.method]
-        return run(lambda x: self.matrix @ x, self.b, self.x0, lambda r: self.inverse * r, self.rtol, self.atol, **self.options)
+        return self.METHODS[self.method](lambda x: self.matrix @ x, self.b, self.x0, self.precondition, self.rtol, self.atol, **self.options)
+
+
+class Cheapest(Krylov):
+    """CG with the preconditioner that is predicted to finish sooner: Jacobi, or
+    multigrid, whose set-up and cycle cost as many products as stated."""
+
+    SETUP, CYCLE, GAIN = 40.0, 12.0, 25.0
+
+    def __init__(self, rtol: float):
+        super().__init__("cg", rtol)
+
+    def setup(self, matrix: Csr, b: np.ndarray, x0: np.ndarray) -> None:
+        low, high = _ritz(matrix)
+        condition = max(1.0, high / low) if low > 0 else 1e12
+        steps = spectrum.iterations_needed(condition, self.rtol)
+        fewer = spectrum.iterations_needed(max(1.0, condition / self.GAIN), self.rtol)
+        chosen = spectrum.cheaper(steps, 1.0, fewer, self.CYCLE, self.SETUP)
+        self.preconditioner = "jacobi" if chosen == "first" else "multigrid"
+        super().setup(matrix, b, x0)
 
 
 #: Makers of solvers by name: called with the tolerance of the case.
@@ -75,12 +130,19 @@ SOLVERS: dict[str, Callable[[float], Solver]] = {
     "bicgstab": lambda tol: Krylov("bicgstab", tol),
     "gmres": lambda tol: Krylov("gmres", tol, restart=50),
     "fgmres": lambda tol: Krylov("fgmres", tol, restart=40),
+    "multigrid_cg": lambda tol: Krylov("cg", tol, preconditioner="multigrid"),
+    "multigrid_gmres": lambda tol: Krylov("gmres", tol, preconditioner="multigrid", restart=50),
+    "multigrid_bicgstab": lambda tol: Krylov("bicgstab", tol, preconditioner="multigrid"),
+    "chebyshev_cg": lambda tol: Krylov("cg", tol, preconditioner="chebyshev"),
+    "cheapest_cg": Cheapest,
 }
+#: What candidates are measured against.
+REFERENCE = "multigrid_gmres"
 
 
 def registry() -> dict[str, str]:
     """The name of each solver and the sha256 of the source it runs."""
-    text = inspect.getsource(krylov) + inspect.getsource(Krylov)
+    text = "".join(map(inspect.getsource, (krylov, multigrid, spectrum, Krylov, Cheapest)))
     return {name: hashlib.sha256(f"{name}\0{text}".encode()).hexdigest() for name in SOLVERS}
 
 

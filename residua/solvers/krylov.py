@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from residua.solvers.spectrum import trailing_rate
+
 Apply = Callable[[np.ndarray], np.ndarray]
 SOLVED, NOT_CONVERGED, BROKE_DOWN = 0, 1, 2
 
@@ -45,9 +47,18 @@ def _confirmed(apply: Apply, b: np.ndarray, x: np.ndarray, aim: float) -> bool:
     return bool(np.isfinite(x).all() and np.linalg.norm(b - apply(x)) <= aim * (1 + 1e-12))
 
 
+#: The true residual is looked at every so many steps; it has drifted if it is so
+#: many times the recurrence's; a run stalls if its mean factor over as many steps is above ``STALL``.
+LOOK, DRIFT, STALL, WINDOW = 50, 10.0, 0.9999, 200
+
+
 def cg(apply: Apply, b: np.ndarray, x0: np.ndarray, precondition: Apply, rtol: float, atol: float = 0.0, most: int = 10_000) -> Outcome:
     """Preconditioned conjugate gradients, keeping the Lanczos coefficients.
-    A direction of no positive curvature ends it with a breakdown."""
+
+    A direction of no positive curvature ends it with a breakdown.  Where the true
+    residual has drifted from the recurrence, the run goes on from the truth; one
+    that stalls ends as not converged.
+    """
     x, r, aim = _begin(apply, b, x0, rtol, atol)
     out = Outcome(x, SOLVED, 0, [float(np.linalg.norm(r))])
     if out.residuals[0] <= aim:
@@ -65,29 +76,49 @@ def cg(apply: Apply, b: np.ndarray, x0: np.ndarray, precondition: Apply, rtol: f
         x += alpha * p
         r -= alpha * q
         out.residuals.append(float(np.linalg.norm(r)))
-        if out.residuals[-1] <= aim:
-            r = b - apply(x)  # the recurrence drifts; go on from the truth if it does not hold
-            if np.linalg.norm(r) <= aim:
+        fresh = False
+        if out.residuals[-1] <= aim or out.iterations % LOOK == 0:
+            true = b - apply(x)
+            size = float(np.linalg.norm(true))
+            if size <= aim:
+                out.residuals[-1] = size
                 return out
+            if out.residuals[-1] <= aim or size > DRIFT * out.residuals[-1]:
+                r, fresh, out.residuals[-1] = true, True, size
+        rate = trailing_rate(out.residuals, WINDOW)
+        if rate is not None and rate > STALL:
+            break
         z = precondition(r)
         rz, last = float(r @ z), rz
         out.betas.append(rz / last)
-        p = z + out.betas[-1] * p
+        p = z if fresh else z + out.betas[-1] * p
     out.status = NOT_CONVERGED
     return out
 
 
+#: After a segment of steps a run that has come to be so many times worse than its best goes back there.
+SEGMENT, WORSE = 6, 1e3
+
+
 def bicgstab(apply: Apply, b: np.ndarray, x0: np.ndarray, precondition: Apply, rtol: float, atol: float = 0.0, most: int = 10_000, least_angle: float = 0.7) -> Outcome:
     """Stabilised bi-conjugate gradients.  The smoothing step is lengthened where
-    its angle is poor, and a lost direction restarts from the true residual."""
+    its angle is poor, and a lost direction restarts from the true residual.  The
+    best point at the end of a segment is kept, and one much worse goes back to it."""
     x, r, aim = _begin(apply, b, x0, rtol, atol)
     out = Outcome(x, SOLVED, 0, [float(np.linalg.norm(r))])
     if out.residuals[0] <= aim:
         return out
     shadow, p, v = r.copy(), np.zeros_like(r), np.zeros_like(r)
     rho = alpha = omega = 1.0
-    restarts = 0
+    restarts, best, kept = 0, out.residuals[0], x.copy()
     for out.iterations in range(1, most + 1):
+        if out.iterations % SEGMENT == 0 and len(out.residuals) > 1:
+            size = out.residuals[-1]
+            if size < best:
+                best, kept = size, x.copy()
+            elif not size <= WORSE * best:
+                x[:], omega = kept, 0.0
+                r = b - apply(x)
         new = float(shadow @ r)
         if abs(new) <= 1e-14 * np.linalg.norm(shadow) * np.linalg.norm(r) or omega == 0:
             restarts += 1

@@ -57,6 +57,15 @@ def iterations_needed(condition: float, reduction: float) -> float:
     return max(1.0, math.acosh(max(1.0, 1 / reduction)) / -math.log(rate))
 
 
+def envelope(condition: float, steps: int) -> float:
+    """The bound on what CG leaves of an error after some steps: one over the
+    Chebyshev polynomial, by its hyperbolic cosine."""
+    if condition <= 1:
+        return 0.0 if steps else 1.0
+    root = math.sqrt(condition)
+    return 1 / math.cosh(min(700.0, steps * math.log((root + 1) / (root - 1))))
+
+
 def trailing_rate(residuals: list[float], window: int = 8) -> float | None:
     """The mean factor of the last ``window`` steps; None if there are fewer."""
     if len(residuals) <= window or residuals[-1] <= 0 or residuals[-1 - window] <= 0:
