@@ -210,12 +210,6 @@ def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> np.n
     return wide_of(shingle_hashes(text, shingle, seed))
 
 
-def most_bits(similarity: float) -> int:
-    """Differing bits of a wide fingerprint that shingle sets of a Jaccard
-    similarity have on average: the angle of sets of like size, over a half turn."""
-    return int(BITS * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
 def candidate_bits(similarity: float) -> int:
     """Differing bits that a pair of the similarity has next to never more of.
 
@@ -320,17 +314,69 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
-def _between(lists: DataFrame, most: int, similarity: float) -> DataFrame:
-    """Candidates (a, b) of different parts in a list of ``lists(key, node, part,
-    w0.., n)``; lists of over ``BLOCK`` members are dealt over pairs of blocks."""
-    sized = lists.groupBy("key").agg(F.count("*").alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", "members")
-    rest = lists.join(materialize(sized, "simhash-mixed"), "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _dealt(lists: DataFrame, most: int, similarity: float) -> DataFrame:
+    """Of ``lists(key, node, part, w0.., n)`` the members that have a candidate of
+    another part there: (key, low, high, node, part, w0.., n, keys).
+
+    A pair counts in the least of the lists that both are in, so that it is looked
+    at once.  Lists of over ``BLOCK`` members are dealt over pairs of blocks, low
+    and high.  The join is a semi-join: it gives members, not pairs.
+    """
+    sized = lists.groupBy("key").agg(F.count("*").alias("members"))
+    keys = lists.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    rest = lists.join(sized, "key").join(keys, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = materialize(rest, "simhash-dealt")
     across = F.sequence(F.lit(0), F.col("blocks") - 1)
     prints = [f"w{k}" for k in range(WIDE)]
-    left = rest.select("key", "node", "part", *prints, "n", F.col("block").alias("i"), F.explode(across).alias("j"))
-    right = rest.select(F.col("key").alias("key2"), F.col("node").alias("node2"), F.col("part").alias("part2"), *[F.col(c).alias(c.replace("w", "v")) for c in prints], F.col("n").alias("m"), F.explode(across).alias("i2"), F.col("block").alias("j2"))
-    on = (F.col("key") == F.col("key2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("part") < F.col("part2")) & _alike(most, similarity)
-    return left.join(right, on).select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
+    left = rest.select("key", "node", "part", "keys", *prints, "n", F.col("block").alias("i"), F.explode(across).alias("j"))
+    right = rest.select(F.col("key").alias("key2"), F.col("part").alias("part2"), F.col("keys").alias("keys2"), *[F.col(c).alias(c.replace("w", "v")) for c in prints], F.col("n").alias("m"), F.explode(across).alias("i2"), F.col("block").alias("j2"))
+    once = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")
+    on = (F.col("key") == F.col("key2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("part") != F.col("part2")) & _alike(most, similarity) & once
+    return left.join(right, on, "left_semi").select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "node", "part", *prints, "n", "keys")
+
+
+def _linked_within(key: int, nodes: np.ndarray, parts: np.ndarray, prints: np.ndarray, sizes: np.ndarray, keys: list[set[int]], sets: list[np.ndarray], most: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (a, b) that join the parts of one group as all its links would: pairs of
+    near fingerprints first, and only pairs whose parts are still apart."""
+    root = {p: p for p in set(parts.tolist())}
+
+    def top(p: int) -> int:
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        return p
+
+    pairs = []
+    for i in range(len(nodes) - 1):
+        bits = np.bitwise_count(prints[i] ^ prints[i + 1 :]).sum(axis=1, dtype=np.int64)
+        low, high = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
+        near = np.flatnonzero((bits <= most) & (low >= similarity * high - 1e-9) & (parts[i] != parts[i + 1 :]))
+        pairs.append(np.column_stack([bits[near], np.full(len(near), i), near + i + 1]))
+    out = []
+    for _, i, j in sorted(np.concatenate(pairs).tolist()) if pairs else []:
+        a, b = top(int(parts[i])), top(int(parts[j]))
+        if a == b or min(keys[i] & keys[j]) != key:
+            continue
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+            root[max(a, b)] = min(a, b)
+            out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
+def _between(lists: DataFrame, sets_of: Callable[[DataFrame], DataFrame], most: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the parts of ``lists``: as many as join what all links join."""
+    dealt = materialize(_dealt(lists, most, similarity), "simhash-active")
+    sets = materialize(sets_of(dealt.select("node").distinct()), "simhash-active-sets")
+    names = [f"w{k}" for k in range(WIDE)]
+
+    def run(group: pa.Table) -> pa.Table:
+        let_go()
+        lists_of = lambda c: [np.asarray(x.values) for x in group[c].combine_chunks()]
+        prints = np.column_stack([np.array(group[c]) for c in names]).view(np.uint64)
+        links = _linked_within(group["key"][0].as_py(), np.array(group["node"]), np.array(group["part"]), prints, np.array(group["n"]), [set(k.tolist()) for k in lists_of("keys")], lists_of("mers"), most, similarity)
+        return pa.table({"a": pa.array([max(x) for x in links], pa.int64()), "b": pa.array([min(x) for x in links], pa.int64())})
+
+    return dealt.join(sets, "node").groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def _likely(pairs: DataFrame, prints: DataFrame, most: int, similarity: float) -> DataFrame:
@@ -348,32 +394,31 @@ def similar(index: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame],
     meets in a posting list.  ``sets_of`` gives (node, mers) of the nodes of a
     frame.  Each member of a list meets the least of its list, and postings
     shared with it are counted over all lists; a node is first held against the
-    one that it shares most with.  That joins a dense group at the cost of a pair
-    for each member.  Then lists that still hold several components are compared
-    in full, between components alone, in blocks of bounded size.  Fingerprints
-    rule out pairs that meet by chance; the others are verified by their sets.
+    one that it shares most with.  Then lists that still hold several components
+    are compared in full, between components alone, in blocks of bounded size,
+    pairs of near fingerprints first.  Fingerprints rule out pairs that meet by
+    chance; the others are verified by their sets.
     """
-    most = candidate_bits(similarity)
+    most, name = candidate_bits(similarity), "simhash-similar"
     met = materialize(_met(index), "simhash-met")
-    counted = met.groupBy("node", "first").agg(F.count("*").alias("shared"))
-    star = counted.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("shared", (-F.col("first")).alias("less"))).alias("best")).select("a", (-F.col("best.less")).alias("b"))
+    shared = materialize(met.groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("shared")), "simhash-shared")
 
-    def checked(candidates: DataFrame, name: str) -> DataFrame:
+    def checked(candidates: DataFrame) -> DataFrame:
         candidates = materialize(candidates, f"{name}-pairs")
         named = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-        sets = materialize(sets_of(named), f"{name}-sets")
-        return materialize(_verified(candidates, sets, similarity), name)
+        return materialize(_verified(candidates, materialize(sets_of(named), f"{name}-sets"), similarity), f"{name}-found")
 
-    found = checked(_likely(star, prints, most, similarity), "simhash-found")
-    parts = materialize(connected_components(found, "simhash-wide"), "simhash-parts")
-    members = met.select("key", "node").union(met.select("key", F.col("first").alias("node")).distinct())
-    placed = materialize(members.join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part")), "simhash-placed")
+    best = shared.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("less"))).alias("best")).select("a", (-F.col("best.less")).alias("b"))
+    found = checked(_likely(best, prints, most, similarity))
+    parts = materialize(connected_components(found, name), f"{name}-parts")
+    members = materialize(met.select("key", "node").union(met.select("key", F.col("first").alias("node")).distinct()), f"{name}-members")
+    placed = materialize(members.join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part")), f"{name}-placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    lists = materialize(placed.join(mixed, "key").join(prints, "node"), "simhash-listed")
-    more = materialize(_between(lists, most, similarity), "simhash-between")
+    lists = materialize(placed.join(mixed, "key").join(prints, "node"), f"{name}-listed")
+    more = materialize(_between(lists, sets_of, most, similarity), f"{name}-between")
     if more.isEmpty():
         return parts
-    return connected_components(found.unionByName(checked(more, "simhash-more")), "simhash-wide2")
+    return connected_components(found.unionByName(more), f"{name}-last")
 
 
 def row_digest(columns: list[str], text: str) -> Column:
