@@ -14,6 +14,8 @@ A hot source is spread over its buckets like any other rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +36,17 @@ def order_of(rows: DataFrame, source: str, key: str, seed: str = SEED) -> DataFr
     and __n, the number of rows.
 
     ``key`` seeds the shuffle; rows of equal key stand by all columns, so that
-    only identical rows may change places.
+    only identical rows may change places.  Where over ``BUCKET_ROWS`` rows share a
+    key, or are null there, they are shuffled by all their columns, and such as
+    are alike in all of them anyhow, so that no key and no row is one task.
     """
     ties = [c for c in rows.columns if c != source]
     own = rows.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-")))
     own = own.withColumn("__digest", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))))
-    own = materialize(own, "shard-rows")
+    own = materialize(own.withColumn("__part", F.spark_partition_id()), "shard-rows")
     n = own.count()
+    own = _spread(own, lambda rows: rows.withColumn("__mix", F.to_json(F.struct(*ties))))
+    own = _spread(own, _counted).drop("__part")
     buckets = max(1, -(-n // BUCKET_ROWS))
     own = own.withColumn("__bucket", F.floor(_unit("__digest") * buckets).cast("int"))
     cells = own.groupBy("__source", "__bucket").agg(F.count("*").alias("__here"))
@@ -65,6 +71,30 @@ def order_of(rows: DataFrame, source: str, key: str, seed: str = SEED) -> DataFr
     return out.withColumn("__place", F.col("__ahead") + F.col("__nth") - 1).withColumn("__n", F.lit(n).cast("long")).drop("__slice", "__share", "__nth", "__ahead", "__source", "__digest")
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """``rows`` with __mix, the number of each among those of its digest, counted by
+    the parts that the rows were read in."""
+    key = ["__source", "__digest"]
+    parts = rows.groupBy(*key, "__part").agg(F.count("*").alias("__here"))
+    ahead = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*key, "__part", F.coalesce(F.sum("__here").over(ahead), F.lit(0)).alias("__ahead"))
+    inner = Window.partitionBy(*key, "__part").orderBy(F.lit(0))
+    numbered = rows.withColumn("__nth", F.row_number().over(inner)).join(parts, [*key, "__part"])
+    return numbered.withColumn("__mix", (F.col("__ahead") + F.col("__nth")).cast("string")).drop("__ahead", "__nth")
+
+
+def _spread(own: DataFrame, mixed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``own`` with other digests where a source has over ``BUCKET_ROWS`` rows of one:
+    ``mixed`` adds to such rows what their digests are mixed with, as __mix."""
+    full = own.groupBy("__source", "__digest").agg(F.count("*").alias("__rows")).where(F.col("__rows") > BUCKET_ROWS)
+    full = materialize(full.select("__source", "__digest"), "shard-full")
+    if full.isEmpty():
+        return own
+    key = ["__source", "__digest"]
+    new = mixed(own.join(full, key, "left_semi")).withColumn("__digest", F.md5(F.concat_ws("|", "__digest", "__mix"))).drop("__mix")
+    return materialize(own.join(full, key, "left_anti").unionByName(new), "shard-spread")
+
+
 def assign_shards(docs: DataFrame, shards: int = 40, text: str = "text", source: str = "source", key: str = "doc_id", keep: list[str] | None = None, seed: str = SEED) -> DataFrame:
     """Put every row into one of ``shards`` shards whose counts differ by one at
     most and whose sources stand in the proportions of the whole.

@@ -32,6 +32,24 @@ def test_nulls_repeats_and_few_rows(spark):
     assert sharding.assign_shards(docs.limit(0), 40).count() == 0
 
 
+def test_hot_keys_are_spread(spark, monkeypatch):
+    """A third of the rows without id, a third of one id, half of these alike in all columns."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 20)
+    rows = [(None, f"t{i}", "s") for i in range(300)] + [(7, "same" if i % 2 else f"u{i}", "s") for i in range(300)] + [(1_000 + i, "x", "r") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string").repartition(3)
+    placed = sharding.order_of(docs.withColumnRenamed("doc_id", "k"), "source", "k")
+    assert sorted(r["__place"] for r in placed.collect()) == list(range(900))
+    got = sharding.assign_shards(docs, 9).collect()
+    for s in range(9):
+        own = [r for r in got if r["shard"] == s]
+        assert sorted(r["slot"] for r in own) == list(range(100)) and abs(sum(r["source"] == "r" for r in own) - 33) <= 2
+        # The hot rows lie in every shard: no run of one key.
+        assert 15 <= sum(r["doc_id"] is None for r in own) <= 55 and 15 <= sum(r["doc_id"] == 7 for r in own) <= 55
+    again = sharding.assign_shards(docs.repartition(5), 9).collect()
+    of = lambda rows: sorted((str(r["doc_id"]), r["text"], r["shard"], r["slot"]) for r in rows)
+    assert of(got) == of(again)
+
+
 def test_sql(spark, small):
     found = duck(small).execute(sharding.ORACLE_SQL)
     names = [c[0] for c in found.description]
