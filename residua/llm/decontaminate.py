@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm._shared import held
+from residua.llm._shared import held, materialize
 
 RATE = 0.08
 BLOCK_CHARS = 4_000_000
@@ -46,14 +46,13 @@ def masks(pattern: str) -> dict[str, int]:
     return dict(out)
 
 
-def myers(places: dict[str, int], size: int, text: str) -> tuple[int, int]:
-    """The least edit distance of a pattern of ``size`` characters to any
-    substring of ``text``, and the end of the first substring that has it."""
+def distances(places: dict[str, int], size: int, text: str) -> list[int]:
+    """For each end in ``text`` (0 to its length) the least edit distance of a
+    pattern of ``size`` characters to a substring that ends there."""
     full, top = (1 << size) - 1, 1 << (size - 1)
     plus, minus, distance = full, 0, size
-    best, end = size, 0
-    get = places.get
-    for j, c in enumerate(text, 1):
+    out, get = [size], places.get
+    for c in text:
         eq = get(c, 0)
         vertical = eq | minus
         across = (((eq & plus) + plus) ^ plus) | eq
@@ -64,9 +63,16 @@ def myers(places: dict[str, int], size: int, text: str) -> tuple[int, int]:
             distance -= 1
         up, down = up << 1, down << 1
         plus, minus = (down | ~(vertical | up)) & full, up & vertical & full
-        if distance < best:
-            best, end = distance, j
-    return best, end
+        out.append(distance)
+    return out
+
+
+def myers(places: dict[str, int], size: int, text: str) -> tuple[int, int]:
+    """The least edit distance of a pattern of ``size`` characters to any
+    substring of ``text``, and the end of the first substring that has it."""
+    found = distances(places, size, text)
+    best = min(found)
+    return best, found.index(best)
 
 
 class Matcher:
@@ -94,9 +100,27 @@ class Matcher:
         if places:
             self.pieces.make_automaton()
 
+    def _occurrences(self, i: int, own: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        """(distance, start, end) of the matches of item i in a stretch of a normal
+        text: the best one, the first of equals, and those beside it that do not
+        overlap it."""
+        size, most, todo = len(self.texts[i]), self.budgets[i], [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            if b - a < size - most:
+                continue
+            distance, length = myers(self.bits[i], size, own[a:b])
+            if distance > most:
+                continue
+            end = a + length
+            # The same pattern backwards from the end gives the start.
+            _, back = myers(self.back[i], size, own[max(a, end - size - most) : end][::-1])
+            yield distance, end - back, end
+            todo += [(a, end - back), (end, b)]
+
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item key, distance, start, end in the text) of the best match of each
-        item found; the first of equally good ones."""
+        """(item key, distance, start, end in the text) of every occurrence of every
+        item; of overlapping ones the best, the first of equals."""
         own = normal(text)
         if not own or not self.texts:
             return []
@@ -104,30 +128,25 @@ class Matcher:
         for last, (size, places) in self.pieces.iter(own):
             for i, offset in places:
                 starts[i].append(last + 1 - size - offset)
-        best: dict[int, tuple[int, int, int]] = {}
-        for i, found in starts.items():
+        found: list[tuple[int, int, int, int]] = []
+        for i, hits in starts.items():
             size, most = len(self.texts[i]), self.budgets[i]
-            found.sort()
-            low = high = found[0]
-            for at in [*found[1:], None]:
+            hits.sort()
+            low = high = hits[0]
+            for at in [*hits[1:], None]:
                 if at is not None and at - high <= 2 * most + size:
                     high = at
                     continue
-                a, b = max(0, low - most), min(len(own), high + size + most)
-                distance, end = myers(self.bits[i], size, own[a:b])
-                if distance <= most and (i not in best or distance < best[i][0]):
-                    # The same pattern backwards from the end gives the start.
-                    _, length = myers(self.back[i], size, own[max(0, a + end - size - most) : a + end][::-1])
-                    best[i] = (distance, a + end - length, a + end)
+                found += [(i, *m) for m in self._occurrences(i, own, max(0, low - most), min(len(own), high + size + most))]
                 low = high = at
-        if not best:
+        if not found:
             return []
         words = [m.span() for m in _WORD.finditer(text)]
         firsts, at = [], 0
         for a, b in words:
             firsts.append(at)
             at += len(text[a:b].lower()) + 1
-        return sorted((key, distance, self._place(words, firsts, a, False), self._place(words, firsts, b, True)) for i, (distance, a, b) in best.items() for key in self.keys[i])
+        return sorted((key, distance, self._place(words, firsts, a, False), self._place(words, firsts, b, True)) for i, distance, a, b in found for key in self.keys[i])
 
     @staticmethod
     def _place(words: list[tuple[int, int]], firsts: list[int], at: int, is_end: bool) -> int:
@@ -169,21 +188,25 @@ def with_matches(docs: DataFrame, block: list[tuple[int, str]], text: str, rate:
 
 
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str] | None = None, item_key: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
-    """One row for each document and item that it holds.
+    """One row for each occurrence of an item in a document.
 
     Returns ``keep`` (all columns of ``docs`` if None), item_id, distance (int,
-    edits), start and end (of the best match in the text; code points, end
-    exclusive).  Items are read in blocks of bounded size, each of which meets
-    all documents.  Null and empty texts hold nothing; null and empty items, or
-    items with a null id, are in nothing; items of equal text are each
-    reported, repeated rows each searched; an empty table on either side gives
-    an empty result; columns named like the new ones are replaced.
+    edits), start and end (of the match in the text; code points, end exclusive);
+    of occurrences that overlap the best is given, the first of equals.  Items are
+    read in blocks of bounded size, each of which meets all documents: one block
+    goes to the tasks with the plan; of several, each is a job of its own, so that
+    no task and no driver holds more than one.  Null and empty texts hold nothing;
+    null and empty items, or items with a null id, are in nothing; items of equal
+    text are each reported, repeated rows each searched; an empty table on either
+    side gives an empty result; columns named like the new ones are replaced.
     """
     new = ["item_id", "distance", "start", "end"]
     held = [c for c in (docs.columns if keep is None else keep) if c not in new]
     out = None
-    for block in item_blocks(items, item_key, item_text):
+    for block, last in _with_last(item_blocks(items, item_key, item_text)):
         part = with_matches(docs, block, text, rate, held).where(F.size("__found") > 0).select(*[F.col(f"`{c}`") for c in held], F.inline("__found"))
+        if out is not None or not last:
+            part = materialize(part, "leaks-block", keep=True)
         out = part if out is None else out.unionByName(part)
     if out is None:
         none = F.expr("cast(array() as array<struct<item_id:bigint,distance:int,start:bigint,end:bigint>>)")
@@ -192,8 +215,22 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str]
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", rate: float = RATE, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item; all columns, nothing shuffled."""
+    """The rows of ``docs`` that hold no item; all columns, nothing shuffled.
+
+    Rows with null and empty texts stay, repeated rows stay or go together, an
+    empty table on either side leaves the rows as they are.  Of several blocks of
+    items each but the last is a job of its own.
+    """
     out, columns = docs, docs.columns
-    for block in item_blocks(items, item_key, item_text):
+    for block, last in _with_last(item_blocks(items, item_key, item_text)):
         out = with_matches(out, block, text, rate, columns).where(F.size("__found") == 0).drop("__found")
+        out = out if last else materialize(out, "leaks-left", keep=True)
     return out
+
+
+def _with_last(blocks: Iterator) -> Iterator[tuple]:
+    """Each of an iterator with whether it is the last, one ahead."""
+    ahead = next(blocks, None)
+    while ahead is not None:
+        block, ahead = ahead, next(blocks, None)
+        yield block, ahead is None

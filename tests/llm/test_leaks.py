@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from residua.llm import decontaminate as D
 
 ITEM = "The quick brown fox jumps over the lazy dog while seven wizards quietly brew potions near the old mill"
@@ -49,3 +51,45 @@ def test_spans_and_edges(spark):
 def test_items_in_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(k, f"item number {k} " + "abcdefgh"[k] * 30) for k in range(6)], "item_id long, text string")
     assert len(list(D.item_blocks(items, "item_id", "text", 100))) == 3
+    docs = spark.createDataFrame([(k, f"so item number {k} {'abcdefgh'[k] * 30} or item number {k + 1} {'abcdefgh'[k + 1] * 30}") for k in range(7)] + [(9, "none of them")], "doc_id int, text string")
+    one = sorted((r["doc_id"], r["item_id"], r["distance"], r["start"], r["end"]) for r in D.leaks(docs, items).collect())
+    left = sorted(r["doc_id"] for r in D.without_leaks(docs, items).collect())
+    assert left == [9] or left == [6, 9]
+    monkeypatch.setattr(D, "item_blocks", lambda items, key, text, own=D.item_blocks: own(items, key, text, 100))
+    assert one == sorted((r["doc_id"], r["item_id"], r["distance"], r["start"], r["end"]) for r in D.leaks(docs, items).collect())
+    assert left == sorted(r["doc_id"] for r in D.without_leaks(docs, items).collect())
+
+
+def test_every_occurrence_is_reported():
+    m = D.Matcher([(1, ITEM)])
+    changed = ITEM.replace("lazy", "l4zy")
+    text = f"{ITEM} {changed} and {ITEM}{ITEM}"
+    found = m.find(text)
+    assert [(text[a:b], d) for _, d, a, b in sorted(found, key=lambda f: f[2])] == [(ITEM, 0), (changed, 1), (ITEM, 0), (ITEM, 0)]
+
+
+def test_ties_go_to_the_first():
+    found = D.Matcher([(1, "abcdefghijklmnopqrstuvwxyz")]).find("abcdefghijklmnopqrstuvwxy abcdefghijklmnopqrstuvwxy!")
+    assert sorted(f[1:3] for f in found) == [(1, 0), (1, 26)]
+
+
+def test_documents_against_dynamic_programming(spark, small):
+    """The items that each document holds, by plain dynamic programming over all of its text."""
+    items = [(r["item_id"], D.normal(r["text"])) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(docs, spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
+
+    def least(p, t):  # by columns of the pattern, all ends at once
+        t = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        row, steps = np.zeros(len(t) + 1, np.int64), np.arange(len(t) + 1)
+        for i, c in enumerate(p, 1):
+            new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (t != ord(c)))])
+            row = np.minimum.accumulate(new - steps) + steps
+        return int(row.min())
+
+    texts = [(r["doc_id"], D.normal(r["text"])) for r in docs.collect()]
+    texts = [t for t in texts if t[0] in {d for d, _ in got}] + [t for t in texts if len(t[1]) < 2_000][:60]
+    assert len(got) >= 3
+    for doc, text in texts:
+        for key, item in items:
+            assert (least(item, text) <= D.budget(item)) == ((doc, key) in got)
