@@ -114,6 +114,14 @@ def let_go() -> None:
     held("nothing", object)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8_size(column: str):
     """Bytes of the column's UTF-8 text; null counts as none."""
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("long")

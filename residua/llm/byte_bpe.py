@@ -232,8 +232,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     of ``docs`` named like the new ones are replaced.  No shuffle.
     """
     held = [c for c in (docs.columns if keep is None else keep) if c not in ("bpe_ids", "bpe_text")]
-    frame = docs.select(*[F.col(f"`{c}`") for c in held], F.col(text).alias("__text"))
-    schema = frame.drop("__text").withColumns({"bpe_ids": F.array(F.lit(0)), "bpe_text": F.lit(b"")}).schema
+    frame = docs.select(*[F.col(f"`{c}`") for c in held], F.col(text).alias("__residua_text"))
+    schema = frame.drop("__residua_text").withColumns({"bpe_ids": F.array(F.lit(0)), "bpe_text": F.lit(b"")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern, cache_words)
@@ -258,8 +258,8 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     """
     new = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     held = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    frame = docs.select(*[F.col(f"`{c}`") for c in held], F.col(text).alias("__text"))
-    schema = frame.drop("__text").withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit(""), **({"ids": F.array(F.lit(0))} if with_ids else {})}).schema
+    frame = docs.select(*[F.col(f"`{c}`") for c in held], F.col(text).alias("__residua_text"))
+    schema = frame.drop("__residua_text").withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit(""), **({"ids": F.array(F.lit(0))} if with_ids else {})}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern, cache_words)

@@ -174,15 +174,15 @@ _FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()),
 
 def with_matches(docs: DataFrame, block: list[tuple[int, str]], text: str, rate: float, keep: list[str]) -> DataFrame:
     """``keep`` and __found, the matches of one block of items in each row."""
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
-    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in frame.drop("__text").schema], "__found array<struct<item_id:bigint,distance:int,start:bigint,end:bigint>>"])
+    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__residua_text"))
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in frame.drop("__residua_text").schema], "__residua_found array<struct<item_id:bigint,distance:int,start:bigint,end:bigint>>"])
     name = ("matcher", rate, len(block), hash(tuple(block)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held(name, lambda: Matcher(block, rate))
         for batch in batches:
             found = [[dict(zip(("item_id", "distance", "start", "end"), m, strict=True)) for m in own.find(x.as_py())] for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, _FOUND)], names=[*keep, "__found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, _FOUND)], names=[*keep, "__residua_found"])
 
     return frame.mapInArrow(run, fields)
 
@@ -204,7 +204,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str]
     held = [c for c in (docs.columns if keep is None else keep) if c not in new]
     out = None
     for block, last in _with_last(item_blocks(items, item_key, item_text)):
-        part = with_matches(docs, block, text, rate, held).where(F.size("__found") > 0).select(*[F.col(f"`{c}`") for c in held], F.inline("__found"))
+        part = with_matches(docs, block, text, rate, held).where(F.size("__residua_found") > 0).select(*[F.col(f"`{c}`") for c in held], F.inline("__residua_found"))
         if out is not None or not last:
             part = materialize(part, "leaks-block", keep=True)
         out = part if out is None else out.unionByName(part)
@@ -223,7 +223,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", rate: f
     """
     out, columns = docs, docs.columns
     for block, last in _with_last(item_blocks(items, item_key, item_text)):
-        out = with_matches(out, block, text, rate, columns).where(F.size("__found") == 0).drop("__found")
+        out = with_matches(out, block, text, rate, columns).where(F.size("__residua_found") == 0).drop("__residua_found")
         out = out if last else materialize(out, "leaks-left", keep=True)
     return out
 

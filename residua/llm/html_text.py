@@ -258,8 +258,8 @@ def main_text(pages: DataFrame, html: str = "html", keep: list[str] | None = Non
     task holds one batch of pages and the lines of one page.
     """
     held = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars")]
-    frame = pages.select(*[F.col(f"`{c}`") for c in held], F.col(html).alias("__html"))
-    schema = frame.drop("__html").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
+    frame = pages.select(*[F.col(f"`{c}`") for c in held], F.col(html).alias("__residua_html"))
+    schema = frame.drop("__residua_html").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()

@@ -186,9 +186,9 @@ _MARK = "struct<start:bigint,kind:int,end:bigint,instance:string,patterns:array<
 
 def _scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """For each row: keep, __row, __base, __sha, __marks (seeds of a kind, and runs of kind -1, with patterns)."""
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
-    held = frame.drop("__text").schema
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in held], "__row string", f"__base array<{_SPAN}>", "__sha string", f"__marks array<{_MARK}>"])
+    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__residua_text"))
+    held = frame.drop("__residua_text").schema
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in held], "__residua_row string", f"__residua_base array<{_SPAN}>", "__residua_sha string", f"__residua_marks array<{_MARK}>"])
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     mark = pa.struct([*span, pa.field("instance", pa.string()), pa.field("patterns", pa.list_(pa.string()))])
 
@@ -215,7 +215,7 @@ def _scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
                 shas.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest())
                 all_marks.append(marks(own, base))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.string()), pa.array(bases, pa.list_(span)), pa.array(shas, pa.string()), pa.array(all_marks, pa.list_(mark))], names=[*held.names, "__row", "__base", "__sha", "__marks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.string()), pa.array(bases, pa.list_(span)), pa.array(shas, pa.string()), pa.array(all_marks, pa.list_(mark))], names=[*held.names, "__residua_row", "__residua_base", "__residua_sha", "__residua_marks"])
 
     return frame.mapInArrow(run, schema)
 
@@ -265,29 +265,29 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     held = [c for c in (docs.columns if keep is None else keep) if c not in new]
     with scratch(docs.sparkSession):
         found = materialize(_scan(docs, text, held), "pii-found", keep=True)
-        marks = found.where(F.size("__marks") > 0).select("__row", F.explode("__marks").alias("m")).select("__row", "m.start", "m.end", "m.kind", "m.instance", F.explode("m.patterns").alias("pattern"))
+        marks = found.where(F.size("__residua_marks") > 0).select("__residua_row", F.explode("__residua_marks").alias("m")).select("__residua_row", "m.start", "m.end", "m.kind", "m.instance", F.explode("m.patterns").alias("pattern"))
         marks = materialize(marks, "pii-marks")
         graph = materialize(marks.select("pattern", "instance", F.col("kind").alias("own")).distinct(), "pii-graph")
         scored, believed = score_graph(graph)
         good = scored.where(F.col("confidence") >= CONFIDENCE).select("pattern", F.col("kind").alias("as"))
         spans = marks.where("kind < 0").join(good, "pattern").join(believed.where(F.col("belief") >= BELIEF).select("instance", F.col("kind").alias("as"), "belief"), ["instance", "as"])
         # One span is extracted once, as the kind of highest belief, the first of equals.
-        best = spans.groupBy("__row", "start", "end").agg(F.max(F.struct("belief", (-F.col("as")).alias("less"))).alias("best"))
-        added = materialize(best.groupBy("__row").agg(F.collect_list(F.struct(F.col("start"), (-F.col("best.less")).alias("kind"), F.col("end"))).alias("__added")), "pii-added", keep=True)
+        best = spans.groupBy("__residua_row", "start", "end").agg(F.max(F.struct("belief", (-F.col("as")).alias("less"))).alias("best"))
+        added = materialize(best.groupBy("__residua_row").agg(F.collect_list(F.struct(F.col("start"), (-F.col("best.less")).alias("kind"), F.col("end"))).alias("__residua_added")), "pii-added", keep=True)
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
-    maybe = F.exists("__marks", lambda m: m["kind"] < 0)
-    both = found.where(~maybe).withColumn("__added", none).unionByName(found.where(maybe).join(added, "__row", "left").withColumn("__added", F.coalesce("__added", none)))
-    secrets = F.transform(F.filter("__marks", lambda m: m["kind"] == SECRET), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
-    every = F.array_sort(F.concat("__base", secrets, "__added"))
+    maybe = F.exists("__residua_marks", lambda m: m["kind"] < 0)
+    both = found.where(~maybe).withColumn("__residua_added", none).unionByName(found.where(maybe).join(added, "__residua_row", "left").withColumn("__residua_added", F.coalesce("__residua_added", none)))
+    secrets = F.transform(F.filter("__residua_marks", lambda m: m["kind"] == SECRET), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
+    every = F.array_sort(F.concat("__residua_base", secrets, "__residua_added"))
     count = lambda spans, k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
-    return both.withColumn("__all", every).select(
+    return both.withColumn("__residua_all", every).select(
         *[F.col(f"`{c}`") for c in held],
-        *[count("__base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
-        F.col("__sha").alias("base_sha256"),
-        F.col("__all").alias("pii_spans"),
-        count("__all", SECRET).alias("n_secret"),
-        F.size("__added").cast("long").alias("n_added"),
-        F.size("__all").cast("long").alias("n_found"),
+        *[count("__residua_base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        F.col("__residua_sha").alias("base_sha256"),
+        F.col("__residua_all").alias("pii_spans"),
+        count("__residua_all", SECRET).alias("n_secret"),
+        F.size("__residua_added").cast("long").alias("n_added"),
+        F.size("__residua_all").cast("long").alias("n_found"),
     )
 
 

@@ -2,8 +2,8 @@
 
 Each class is a Gaussian over transformed statistics of the text.  Its
 covariance is shrunk towards the pooled one and then towards a multiple of the
-identity; the log-density difference comes from Mahalanobis distances by
-triangular solves with Cholesky factors that are computed once.  Class sums and
+identity; the log-density difference comes from Mahalanobis distances by forward
+substitution with Cholesky factors that are computed once.  Class sums and
 second moments are added up over all labelled rows; only those sums, a fixed
 number of them, reach the driver.
 """
@@ -50,19 +50,27 @@ def statistics(text: str | None) -> list[float]:
 
 def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all columns if None) and __x, the statistics as array<double>."""
-    held = [c for c in (docs.columns if keep is None else keep) if c != "__x"]
-    frame = docs.select(*[F.col(f"`{c}`") for c in held], F.col(text).alias("__text"))
-    schema = frame.drop("__text").withColumn("__x", F.array(F.lit(0.0))).schema
+    held = [c for c in (docs.columns if keep is None else keep) if c != "__residua_x"]
+    frame = docs.select(*[F.col(f"`{c}`") for c in held], F.col(text).alias("__residua_text"))
+    schema = frame.drop("__residua_text").withColumn("__residua_x", F.array(F.lit(0.0))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
             found = [statistics(x.as_py()) for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "__x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "__residua_x"])
 
     return frame.mapInArrow(run, schema)
 
 
+def forward(factor: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution y of L y = right for a lower triangular L, row after row."""
+    out = np.empty_like(right)
+    for i in range(len(factor)):
+        out[i] = (right[i] - factor[i, :i] @ out[:i]) / factor[i, i]
+    return out
+
+
 @dataclass(frozen=True)
 class Discriminant:
     """Centre and scale of the statistics; mean, Cholesky factor and offset of each class."""
@@ -76,7 +84,7 @@ class Discriminant:
     def difference(self, x: np.ndarray) -> np.ndarray:
         """The log-density of class 1 less that of class 0, for rows of statistics."""
         z = ((x - self.centre) / self.scale).T
-        logs = [offset - 0.5 * (np.linalg.solve(factor, z - mean[:, None]) ** 2).sum(axis=0) for mean, factor, offset in zip(self.means, self.factors, self.offsets, strict=True)]
+        logs = [offset - 0.5 * (forward(factor, z - mean[:, None]) ** 2).sum(axis=0) for mean, factor, offset in zip(self.means, self.factors, self.offsets, strict=True)]
         return logs[1] - logs[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -119,7 +127,7 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     """
     d = len(STATISTICS)
     marks = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).where(F.col("__label").isin(0, 1))
-    known = rows.where(~held_out(key)).select(F.col(key).alias("__key"), "__x").join(marks, "__key").select("__label", "__x")
+    known = rows.where(~held_out(key)).select(F.col(key).alias("__key"), "__residua_x").join(marks, "__key").select("__label", "__residua_x")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, 1 + d + d * d))
@@ -143,9 +151,9 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
 def score(rows: DataFrame, model: Discriminant | None) -> DataFrame:
     """``rows`` without __x, and score and predicted (1 if the score is 0.5 or
     more).  Without a model (no labels of a class) every score is 0.5."""
-    schema = rows.drop("__x").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
-    kept = [c for c in rows.columns if c != "__x"]
-    ordered = rows.select(*[F.col(f"`{c}`") for c in kept], "__x")
+    schema = rows.drop("__residua_x").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    kept = [c for c in rows.columns if c != "__residua_x"]
+    ordered = rows.select(*[F.col(f"`{c}`") for c in kept], "__residua_x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -177,6 +185,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     """The rows of ``docs`` that ``classify`` would predict as class 1, all columns.
 
     Texts are read twice, for the fit and for the choice, and never shuffled.
+    Null and empty texts are judged like any other, repeated rows alike; without
+    labels of both classes all rows stay; an empty table gives an empty result.
     """
     model, columns = fit(with_statistics(docs, text, [key]), labels, key, label), docs.columns
     place = columns.index(text)

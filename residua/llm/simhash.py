@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm._shared import let_go, materialize, scratch
+from residua.llm._shared import let_go, materialize, scratch, unused
 from residua.llm.components import connected_components
 
 BYTES, BITS = 8, 64
@@ -204,12 +204,6 @@ def wide_of(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<i8").ravel()
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """The wide fingerprint of a text with its repeats, as ``fingerprint`` has them;
-    candidates for a Jaccard similarity take that of the set."""
-    return wide_of(shingle_hashes(text, shingle, seed))
-
-
 def candidate_bits(similarity: float) -> int:
     """Differing bits that a pair of the similarity has next to never more of.
 
@@ -439,8 +433,9 @@ def one_of_each(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
     and the chosen ones are joined with ``docs`` at the end.
     """
     spark, columns = docs.sparkSession, docs.columns
-    whole = docs.withColumn("__digest", row_digest(columns, text))
-    frame = whole.select("__digest", F.col("doc_id").cast("long").alias("id"), F.col(text).alias("__text"))
+    mark = unused(columns, "__digest")
+    whole = docs.withColumn(mark, row_digest(columns, text))
+    frame = whole.select(F.col(mark).alias("__digest"), F.col("doc_id").cast("long").alias("id"), F.col(text).alias("__text"))
     prints = [f"w{k}" for k in range(WIDE)]
     schema = ", ".join(["node long, digest string, id long", *[f"{c} long" for c in prints], "n int, mark string, keys array<bigint>"])
 
@@ -489,11 +484,11 @@ def one_of_each(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
         twins, alike = alike, not alike.isEmpty()
         roots = similar(index, narrow.select("node", *prints, "n"), sets_of, similarity)
         kept = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-        chosen = materialize(kept.select(F.col("first.digest").alias("__digest")), "simhash-chosen", keep=True)
+        chosen = materialize(kept.select(F.col("first.digest").alias(mark)), "simhash-chosen", keep=True)
         if alike:
-            twins = materialize(chosen.join(twins.withColumnRenamed("digest", "__digest"), "__digest", "left_semi"), "simhash-twins", keep=True)
-    stay = whole.join(chosen, "__digest", "left_semi")
+            twins = materialize(chosen.join(twins.withColumnRenamed("digest", mark), mark, "left_semi"), "simhash-twins", keep=True)
+    stay = whole.join(chosen, mark, "left_semi")
     if alike:
-        both = whole.join(twins, "__digest", "left_semi").dropDuplicates(["__digest"])
-        stay = whole.join(chosen.join(twins, "__digest", "left_anti"), "__digest", "left_semi").unionByName(both)
+        both = whole.join(twins, mark, "left_semi").dropDuplicates([mark])
+        stay = whole.join(chosen.join(twins, mark, "left_anti"), mark, "left_semi").unionByName(both)
     return stay.select(*[F.col(f"`{c}`") for c in columns])

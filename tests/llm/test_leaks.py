@@ -73,20 +73,22 @@ def test_ties_go_to_the_first():
     assert sorted(f[1:3] for f in found) == [(1, 0), (1, 26)]
 
 
+def least(p, t):
+    """The least edit distance of a pattern to any substring, by columns of the pattern, all ends at once."""
+    t = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    row, steps = np.zeros(len(t) + 1, np.int64), np.arange(len(t) + 1)
+    for i, c in enumerate(p, 1):
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (t != ord(c)))])
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min())
+
+
 def test_documents_against_dynamic_programming(spark, small):
     """The items that each document holds, by plain dynamic programming over all of its text."""
     items = [(r["item_id"], D.normal(r["text"])) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     got = {(r["doc_id"], r["item_id"]) for r in D.leaks(docs, spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
 
-    def least(p, t):  # by columns of the pattern, all ends at once
-        t = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-        row, steps = np.zeros(len(t) + 1, np.int64), np.arange(len(t) + 1)
-        for i, c in enumerate(p, 1):
-            new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (t != ord(c)))])
-            row = np.minimum.accumulate(new - steps) + steps
-        return int(row.min())
-
     texts = [(r["doc_id"], D.normal(r["text"])) for r in docs.collect()]
     texts = [t for t in texts if t[0] in {d for d, _ in got}] + [t for t in texts if len(t[1]) < 2_000][:60]
     assert len(got) >= 3
