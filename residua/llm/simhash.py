@@ -308,25 +308,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
+def _different(members: DataFrame) -> DataFrame:
+    """Of the lists of ``members(key, node, part)`` that hold several parts one key for
+    each set of members: lists of the same members hold the same pairs.  Sets are
+    told apart by their size and 128 bits of their members' hashes."""
+    of = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}")
+    sets = members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size"), of(1), of(2)).where("low < high")
+    return sets.groupBy("x1", "x2", "size").agg(F.min("key").alias("key")).select("key")
+
+
 def _dealt(lists: DataFrame, most: int, similarity: float) -> DataFrame:
     """Of ``lists(key, node, part, w0.., n)`` the members that have a candidate of
     another part there: (key, low, high, node, part, w0.., n, keys).
 
-    A pair counts in the least of the lists that both are in, so that it is looked
-    at once.  Lists of over ``BLOCK`` members are dealt over pairs of blocks, low
-    and high.  The join is a semi-join: it gives members, not pairs.
+    Lists of over ``BLOCK`` members are dealt over pairs of blocks, low and high.
+    Two semi-joins give members, never pairs: the first leaves those with a
+    candidate by fingerprint; their lists are the ``keys`` of a node, and the second
+    leaves those with a candidate that counts here, which is in the least of the
+    lists that both are in, so that a pair is looked at once.
     """
-    sized = lists.groupBy("key").agg(F.count("*").alias("members"))
-    keys = lists.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    rest = lists.join(sized, "key").join(keys, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = materialize(rest, "simhash-dealt")
-    across = F.sequence(F.lit(0), F.col("blocks") - 1)
+    sized = lists.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rest = materialize(lists.join(sized, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "simhash-dealt")
     prints = [f"w{k}" for k in range(WIDE)]
-    left = rest.select("key", "node", "part", "keys", *prints, "n", F.col("block").alias("i"), F.explode(across).alias("j"))
-    right = rest.select(F.col("key").alias("key2"), F.col("part").alias("part2"), F.col("keys").alias("keys2"), *[F.col(c).alias(c.replace("w", "v")) for c in prints], F.col("n").alias("m"), F.explode(across).alias("i2"), F.col("block").alias("j2"))
+    rows = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "i", "j", "node", "part", *prints, "n")
+
+    def facing(rows: DataFrame, *more: str) -> DataFrame:
+        """The same rows as partners: those of block j for block i."""
+        return rows.select(F.col("key").alias("key2"), F.col("j").alias("i2"), F.col("i").alias("j2"), F.col("part").alias("part2"), *[F.col(c).alias(c.replace("w", "v")) for c in prints], F.col("n").alias("m"), *[F.col(c).alias(f"{c}2") for c in more])
+
+    on = (F.col("key") == F.col("key2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("part") != F.col("part2")) & _alike(most, similarity)
+    near = materialize(rows.join(facing(rows), on, "left_semi"), "simhash-near")
+    own = near.select("key", "node", "part").distinct()
+    own = materialize(own.join(_different(own), "key"), "simhash-own")
+    keys = own.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    named = materialize(near.join(own.select("key").distinct(), "key").join(keys, "node"), "simhash-keyed")
     once = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")
-    on = (F.col("key") == F.col("key2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("part") != F.col("part2")) & _alike(most, similarity) & once
-    return left.join(right, on, "left_semi").select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "node", "part", *prints, "n", "keys")
+    active = named.join(facing(named, "keys"), on & once, "left_semi")
+    return active.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "node", "part", *prints, "n", "keys")
 
 
 def _linked_within(key: int, nodes: np.ndarray, parts: np.ndarray, prints: np.ndarray, sizes: np.ndarray, keys: list[set[int]], sets: list[np.ndarray], most: int, similarity: float) -> list[tuple[int, int]]:
@@ -407,8 +425,7 @@ def similar(index: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame],
     parts = materialize(connected_components(found, name), f"{name}-parts")
     members = materialize(met.select("key", "node").union(met.select("key", F.col("first").alias("node")).distinct()), f"{name}-members")
     placed = materialize(members.join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part")), f"{name}-placed")
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    lists = materialize(placed.join(mixed, "key").join(prints, "node"), f"{name}-listed")
+    lists = materialize(placed.join(_different(placed), "key").join(prints, "node"), f"{name}-listed")
     more = materialize(_between(lists, sets_of, most, similarity), f"{name}-between")
     if more.isEmpty():
         return parts
