@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions.numeric import is_finite
@@ -65,6 +65,57 @@ def forbidden(names: DataFrame, *allowed: DataFrame) -> DataFrame:
     return names.select("name").distinct().join(union.distinct(), "name", "left_anti")
 
 
+def common(*names: DataFrame) -> DataFrame:
+    """Names that are in every one of the sets: (name)."""
+    out = names[0].select("name").distinct()
+    for more in names[1:]:
+        out = out.join(more.select("name").distinct(), "name", "left_semi")
+    return out
+
+
+def merged(first: Column, second: Column) -> Column:
+    """The map of both maps' fields; where both have one, that of the second."""
+    return F.map_concat(F.map_filter(first, lambda k, _: ~F.array_contains(F.map_keys(second), k)), second)
+
+
+def _flagged(rows: DataFrame, key: str, rules: list[tuple[str, Column]]) -> DataFrame:
+    return rows.select(key, F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))).alias("rule"))
+
+
+def execution_violations(executions: DataFrame) -> DataFrame:
+    """(case_id, rule) of executions(case_id, returncode, wall_seconds, diagnostics)
+    that no process can have left."""
+    c = F.col
+    return _flagged(executions, "case_id", [
+        ("there is no return code", c("returncode").isNull()),
+        ("seconds are not finite and positive", ~F.coalesce(is_finite(c("wall_seconds")) & (c("wall_seconds") >= 0), F.lit(False))),
+        ("there are no diagnostics", c("diagnostics").isNull()),
+    ])
+
+
+def input_violations(cases: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(case_id, rule) of cases(case_id, n, tolerance) whose id, tolerance or
+    vectors(case_id, i, b, x0) are not fit for a solver."""
+    c = F.col
+    found = vectors.groupBy("case_id").agg(F.count("*").alias("rows"), F.min("i").alias("first"), F.max("i").alias("last"), F.countDistinct("i").alias("places"), F.bool_and(is_finite(c("b")) & is_finite(c("x0"))).alias("finite"))
+    whole = (c("rows") == c("n")) & (c("places") == c("n")) & (c("first") == 0) & (c("last") == c("n") - 1)
+    return _flagged(cases.join(found, "case_id", "left"), "case_id", [
+        ("id is not ASCII", ~F.coalesce(c("case_id").rlike(r"^[\x00-\x7f]+$"), F.lit(False))),
+        ("tolerance is not between 0 and 1", ~F.coalesce((c("tolerance") > 0) & (c("tolerance") < 1), F.lit(False))),
+        ("vectors are not as long as the matrix", ~F.coalesce(whole, F.lit(False))),
+        ("vectors are not finite", ~F.coalesce(c("finite"), F.lit(True))),
+    ])
+
+
+def resource_violations(executions: DataFrame, unit: int = 1 << 20) -> DataFrame:
+    """(name, rule) of machines(name, cpus, memory_bytes) that cannot be asked for."""
+    c = F.col
+    return _flagged(executions, "name", [
+        ("cpus are not positive", ~F.coalesce(is_finite(c("cpus")) & (c("cpus") > 0), F.lit(False))),
+        ("memory is not a positive multiple of a mebibyte", ~F.coalesce((c("memory_bytes") > 0) & (c("memory_bytes") % unit == 0), F.lit(False))),
+    ])
+
+
 def changed_metadata(stated: DataFrame, found: DataFrame, key: str = "case_id") -> DataFrame:
     """Fields in which two tables of the same columns differ, null-safe: (key, field)."""
     fields = [f for f in stated.columns if f != key]

@@ -88,6 +88,14 @@ def best_candidates(rows: DataFrame, keys: list[str], value: str, ties: list[str
     return rows.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
 
 
+def statistics(runs: DataFrame) -> DataFrame:
+    """(role, passed, runs, total_seconds, longest_seconds, share) of
+    runs(role, passed, seconds): share of the seconds of all runs."""
+    own = runs.groupBy("role", "passed").agg(F.count("*").alias("runs"), F.sum("seconds").alias("total_seconds"), F.max("seconds").alias("longest_seconds"))
+    whole = own.agg(F.sum("total_seconds").alias("whole"))
+    return own.crossJoin(whole).withColumn("share", F.try_divide("total_seconds", "whole")).drop("whole")  # a row for each role and outcome, and one
+
+
 def report(summary: DataFrame, head: dict, rows: DataFrame | None = None, official_venue: str = "", venue: str = "local") -> str:
     """A report as JSON text: sorted keys, two spaces, and null in the place of
     numbers that are not finite."""

@@ -528,3 +528,158 @@ def matrix_digest(spark, d):
 @query
 def vector_digest(spark, d):
     return digests.vector_digests(D.rhs(spark, d, 7))
+
+
+@query
+def solve_multigrid(spark, d):
+    return _rounded_solution(_grouped(spark, d, "multigrid_bicgstab"))
+
+
+@query
+def solve_chebyshev(spark, d):
+    return _rounded_solution(_grouped(spark, d, "chebyshev_cg", symmetric=True))
+
+
+@query
+def solve_cheapest(spark, d):
+    return _rounded_solution(_grouped(spark, d, "cheapest_cg", symmetric=True))
+
+
+@query
+def verdict_fail_closed(spark, d):
+    """Solutions that are empty, short, doubled in a place, too long, not finite, or
+    whole: each case has a verdict (case_id, passed, failure)."""
+    c, i = F.col("case_id"), F.col("i")
+    n = D.size(spark, d)
+    x = D.target(spark, d, 7)
+    kept = x.where((c != "1") & ~((c == "2") & (i == n - 1)) & ~((c == "3") & (i == 0)))
+    extra = x.where((c == "3") & (i == 1)).unionByName(x.where((c == "4") & (i == 0)).withColumn("i", F.lit(n).cast("long")))
+    x = kept.unionByName(extra).withColumn("x", F.when((c == "5") & (i == 2), F.lit(float("nan"))).otherwise(F.col("x")))
+    a, sizes = _system(spark, d, 7)
+    return J.accuracy(E.metrics(a, x, D.rhs(spark, d, 7), sizes, D.target(spark, d, 7)), D.case_table(spark, d))
+
+
+@query
+def case_pipeline(spark, d):
+    """The seven systems packed as archives of a manifest and loaded again: the sums
+    of what came back, and what is wrong.  Case 5 states another number of entries,
+    case 6 lies under another digest, case 7 has no archive."""
+    import hashlib
+
+    from residua.functions.digests import matrix_digests
+    from residua.sources import loading
+
+    def pack(key, own):
+        import io
+        import tarfile
+
+        import numpy as np
+        import pyarrow as pa
+
+        case = key[0].as_py()
+        rows, cols, vals = (own[c].to_numpy() for c in ("row", "col", "val"))
+        n = int(own["n"][0].as_py())
+        head = f"%%MatrixMarket matrix coordinate real general\n{n} {n} {len(vals)}\n".encode()
+        body = io.BytesIO()
+        np.savetxt(body, np.column_stack([rows + 1, cols + 1, vals]), fmt=["%d", "%d", "%.17g"])
+        data, out = head + body.getvalue(), io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz", compresslevel=1) as archive:
+            info = tarfile.TarInfo(f"m{case}/m{case}.mtx")
+            info.size = len(data)
+            archive.addfile(info, io.BytesIO(data))
+        return pa.table({"case_id": [case], "content": pa.array([out.getvalue()], pa.binary())})
+
+    a, sizes = _system(spark, d, 7)
+    archives = a.where("case_id <> '7'").join(sizes, "case_id").groupBy("case_id").applyInArrow(pack, "case_id string, content binary")
+    stated = a.groupBy("case_id").agg(F.count("*").alias("nnz")).join(matrix_digests(a, sizes), "case_id").join(sizes, "case_id").orderBy("case_id").collect()
+    cases = [{"index": k, "case_id": r["case_id"], "n": r["n"], "nnz": r["nnz"] + (r["case_id"] == "5"), "tolerance": D.TOLERANCE, "source": {"name": f"m{r['case_id']}", "matrix_sha256": "0" * 64 if r["case_id"] == "6" else r["matrix_sha256"]}} for k, r in enumerate(stated)]
+    rhs = {"scheme": "rademacher-hmac-sha256-v2", "public_key_hex": D.KEY.hex(), "key_id": hashlib.sha256(D.KEY).hexdigest(), "draw_index": 0}
+    loaded, rules = loading.load(spark, {"family": "mesh", "release_id": "fixture", "rhs": rhs, "cases": cases}, archives)
+    sums = loaded.entries.groupBy("case_id").agg(F.count("*").alias("entries"), F.sum("val").alias("sum_val"))
+    signs = loaded.target.groupBy("case_id").agg(F.sum(F.abs("x")).alias("signs"))
+    # A row of A sums to b where the target is one, so b = A target is told by its parity of signs: by A again.
+    again = M.matvec(loaded.entries, loaded.target, loaded.cases.select("case_id", "n"), "y").join(loaded.b, ["case_id", "i"]).groupBy("case_id").agg(F.bool_and(F.col("y") == F.col("x")).alias("b_holds"))
+    wrong = rules.groupBy("case_id").agg(F.concat_ws("; ", F.array_sort(F.collect_list("rule"))).alias("wrong"))
+    out = loaded.cases.select("case_id", "n", F.length("input_sha256").alias("identity"))
+    for part in (sums, signs, again, wrong):
+        out = out.join(part, "case_id", "left")
+    return out
+
+
+@query
+def matrix_market_load(spark, d):
+    """The first system written as Matrix Market text in many files' worth of splits, and read again."""
+    from residua.operators.storage import shared_dir
+    from residua.sources.matrix_market import read_matrix_market
+
+    a, sizes = _system(spark, d)
+    n, nnz = D.size(spark, d), a.count()
+    import uuid
+
+    folder = f"{shared_dir(spark)}/residua/market-{uuid.uuid4().hex}"
+    head = spark.range(1).select(F.concat(F.lit("%%MatrixMarket matrix coordinate real general\n"), F.repeat(F.lit("% a comment\n"), 500), F.lit(f"{n} {n} {nnz}")).alias("value"))
+    body = a.select(F.format_string("%d %d %.17g", F.col("row") + 1, F.col("col") + 1, F.col("val")).alias("value"), F.col("row"), F.col("col"))
+    # One file: the head, and after it the entries in order.
+    whole = head.select("value", F.lit(-1).cast("long").alias("row"), F.lit(-1).cast("long").alias("col")).unionByName(body).coalesce(1).sortWithinPartitions("row", "col").select("value")
+    whole.write.text(folder)
+    path = [f for f in spark.read.text(folder).inputFiles() if "/part-" in f][0]
+    entries, _ = read_matrix_market(spark, path, "0")
+    return entries
+
+
+@query
+def execution_violations(spark, d):
+    """Executions and inputs that break a rule, over records made of orders."""
+    k = F.col("o_orderkey")
+    rows = D.table(spark, d, "orders").select(
+        k.cast("string").alias("case_id"), F.when(k % 7 == 0, F.lit(None)).otherwise(k % 3).cast("int").alias("returncode"),
+        F.when(k % 11 == 0, F.lit(float("nan"))).when(k % 13 == 0, F.lit(-1.0)).otherwise(F.lit(0.5)).alias("wall_seconds"), F.when(k % 17 == 0, F.lit(None)).otherwise(F.lit("said")).alias("diagnostics"),
+    )
+    return C.execution_violations(rows)
+
+
+@query
+def input_violations(spark, d):
+    """Vectors that are not as long as their matrix, or hold what is not finite."""
+    o = D.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    cases = o.select(F.when(k % 19 == 0, F.lit("caf\u00e9")).otherwise(k.cast("string")).alias("case_id"), k.alias("key"), (1 + k % 3).alias("n"), F.when(k % 5 == 0, F.lit(1.0)).otherwise(F.lit(0.5)).alias("tolerance"))
+    vectors = cases.select("case_id", "key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - F.when(F.col("key") % 7 == 0, 0).otherwise(1))).alias("i")).select("case_id", "i", F.when(F.col("key") % 11 == 0, F.lit(float("inf"))).otherwise(F.lit(1.0)).alias("b"), F.lit(0.0).alias("x0"))
+    return C.input_violations(cases.where("key % 19 <> 0").select("case_id", "n", "tolerance").unionByName(cases.where("key % 19 = 0").select("case_id", F.lit(1).cast("long").alias("n"), F.lit(0.5).alias("tolerance")).distinct()), vectors.where("case_id <> 'caf\u00e9'").unionByName(spark.range(1).select(F.lit("caf\u00e9").alias("case_id"), F.col("id").alias("i"), F.lit(1.0).alias("b"), F.lit(0.0).alias("x0"))))
+
+
+@query
+def resource_violations(spark, d):
+    o = D.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    return C.resource_violations(o.select(k.cast("string").alias("name"), F.when(k % 5 == 0, F.lit(0.0)).otherwise(F.lit(2.0)).alias("cpus"), F.when(k % 7 == 0, F.lit(1000)).otherwise(F.lit(1 << 30)).cast("long").alias("memory_bytes")))
+
+
+@query
+def common_names(spark, d):
+    """Names that all lists have: an intersection of sets."""
+    li = D.table(spark, d, "lineitem")
+    return C.common(*[li.where(F.col("l_linenumber") == k).select(F.col("l_partkey").cast("string").alias("name")) for k in (1, 2, 3)])
+
+
+@query
+def merged_identities(spark, d):
+    """Two maps of fields merged, the second before the first, and their keys."""
+    n = D.table(spark, d, "nation")
+    first = F.create_map(F.lit("name"), F.col("n_name"), F.lit("key"), F.col("n_nationkey").cast("string"))
+    second = F.create_map(F.lit("name"), F.lower("n_name"), F.lit("region"), F.col("n_regionkey").cast("string"))
+    merged = n.select("n_nationkey", C.merged(first, second).alias("m"))
+    return merged.select("n_nationkey", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"), F.col("m")["name"].alias("name"), F.col("m")["key"].alias("key"), F.col("m")["region"].alias("region"))
+
+
+@query
+def reference_gate(spark, d):
+    """Cases whose fixed reference failed: any makes an evaluation void."""
+    rows = D.runs(spark, d).withColumn("reference_passed", F.col("case_id").cast("int") % 17 != 3)
+    return R.reference_failures(rows)
+
+
+@query
+def execution_statistics(spark, d):
+    """Counts and seconds of runs by role and outcome, with the share of the whole."""
+    return R.statistics(D.runs(spark, d).select("case_id", "role", "passed", (F.col("candidate_ns") / 1e9).alias("seconds"))).select("role", "passed", "runs", F.round("total_seconds", 6).alias("total_seconds"), F.round("longest_seconds", 6).alias("longest_seconds"), F.round("share", 9).alias("share"))

@@ -134,4 +134,20 @@ select doc_id::varchar as name, 'too long' as rule from s where octet_length(enc
 union all select doc_id::varchar, 'must include exactly one header' from s where len(regexp_extract_all(t, '(?m)^[ \\t]*#[ \\t]*include\\b')) <> 1""",
     "submission_audit": "select (case when c_custkey % 7 = 0 then 'Bad Name' else 'solver-' end) || c_custkey::varchar as name, 'name is malformed' as rule from customer where c_custkey % 7 = 0 union all select (case when c_custkey % 7 = 0 then 'Bad Name' else 'solver-' end) || c_custkey::varchar, 'submitter is blank' from customer where c_custkey % 11 = 0 union all select (case when c_custkey % 7 = 0 then 'Bad Name' else 'solver-' end) || c_custkey::varchar, 'unknown family' from customer where c_custkey % 13 = 0",
     "wire_roundtrip": _IDENT + "select a.case_id, any_value(n) as n, count(*)::bigint as nnz, sum(val) as sum_val, any_value(sb) as sum_b from a join sizes using (case_id) join (select case_id, sum(x) as sb from rhs group by all) using (case_id) group by all",
+    "solve_multigrid": _IDENT + _ROUNDED,
+    "solve_chebyshev": _ONE + _ROUNDED,
+    "solve_cheapest": _ONE + _ROUNDED,
+    "verdict_fail_closed": f"select k::varchar as case_id, k >= 6 as passed, case when k < 6 then 'invalid {METRICS[0]}' end as failure from range(1, 8) r(k)",
+    "case_pipeline": _IDENT + """, s as (select case_id, count(*)::bigint as entries, sum(val) as sum_val from a group by all)
+select case_id, n, case when case_id < '5' then 64 end::int as identity, case when case_id < '5' then entries end as entries, case when case_id < '5' then sum_val end as sum_val,
+ case when case_id < '5' then n::double end as signs, case when case_id < '5' then true end as b_holds,
+ case case_id when '5' then 'fault: the number of entries is not that of the manifest' when '6' then 'fault: the matrix is not that of the manifest' when '7' then 'there is no archive' end as wrong from sizes join s using (case_id)""",
+    "matrix_market_load": _ONE + "select case_id, row, col, val from a",
+    "execution_violations": "select o_orderkey::varchar as case_id, 'there is no return code' as rule from orders where o_orderkey % 7 = 0 union all select o_orderkey::varchar, 'seconds are not finite and positive' from orders where o_orderkey % 11 = 0 or o_orderkey % 13 = 0 union all select o_orderkey::varchar, 'there are no diagnostics' from orders where o_orderkey % 17 = 0",
+    "input_violations": "with o as (select o_orderkey as k from orders where o_orderkey % 19 <> 0) select k::varchar as case_id, 'tolerance is not between 0 and 1' as rule from o where k % 5 = 0 union all select k::varchar, 'vectors are not as long as the matrix' from o where k % 7 = 0 union all select k::varchar, 'vectors are not finite' from o where k % 11 = 0 union all select distinct 'caf\u00e9', 'id is not ASCII' from orders where o_orderkey % 19 = 0",
+    "resource_violations": "select o_orderkey::varchar as name, 'cpus are not positive' as rule from orders where o_orderkey % 5 = 0 union all select o_orderkey::varchar, 'memory is not a positive multiple of a mebibyte' from orders where o_orderkey % 7 = 0",
+    "common_names": "select l_partkey::varchar as name from lineitem where l_linenumber = 1 intersect select l_partkey::varchar from lineitem where l_linenumber = 2 intersect select l_partkey::varchar from lineitem where l_linenumber = 3",
+    "merged_identities": "select n_nationkey, 'key,name,region' as keys, lower(n_name) as name, n_nationkey::varchar as key, n_regionkey::varchar as region from nation",
+    "reference_gate": "select distinct user_id::varchar as case_id from events where user_id % 17 = 3",
+    "execution_statistics": f"with {_RUNS} select role, passed, count(*)::bigint as runs, round(sum(candidate_ns / 1e9), 6) as total_seconds, round(max(candidate_ns / 1e9), 6) as longest_seconds, round(sum(candidate_ns / 1e9) / (select sum(candidate_ns / 1e9) from runs), 9) as share from runs group by all",
 }

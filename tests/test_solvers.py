@@ -95,3 +95,50 @@ def test_distributed_solver_tells_when_it_has_not_converged(spark):
     assert solve.solve_distributed(a, b, sizes, 1e-9)[2] <= 1.01e-9
     with pytest.raises(ArithmeticError):
         solve.solve_distributed(a, b, sizes, 1e-9, most=2)
+
+
+def test_ritz_extremes_equal_the_eigenvalues_of_the_lanczos_matrix():
+    rng = np.random.default_rng(4)
+    diag = 1 + np.sort(rng.random(80)) * 50
+    found = K.cg(lambda x: diag * x, np.ones(80), np.zeros(80), lambda r: r, 1e-13, most=25)
+    d, off = P.lanczos(found.alphas, found.betas)
+    want = np.linalg.eigvalsh(np.diag(d) + np.diag(off, 1) + np.diag(off, -1))
+    assert np.allclose(P.extremes(found.alphas, found.betas), (want[0], want[-1]), rtol=1e-9)
+
+
+def test_envelope_bounds_the_error_of_cg():
+    diag = np.linspace(1, 100, 200)
+    x = np.cos(np.arange(200.0))
+    b = diag * x
+    for steps in (1, 5, 20):
+        found = K.cg(lambda v: diag * v, b, np.zeros(200), lambda r: r, 1e-30, most=steps)
+        error, first = found.x - x, -x
+        assert np.sqrt(error @ (diag * error)) <= 1.0001 * 2 * P.envelope(100.0, steps) * np.sqrt(first @ (diag * first))
+
+
+def test_bicgstab_goes_back_to_its_best_point():
+    rng = np.random.default_rng(0)
+    a = np.eye(60) * 4 + rng.standard_normal((60, 60))
+    b = a @ np.ones(60)
+    found = K.bicgstab(lambda x: a @ x, b, np.zeros(60), lambda r: r, 1e-9)
+    assert found.status != 0 or np.allclose(found.x, 1, atol=1e-5)
+
+
+def test_broken_systems_raise_when_solved_over_the_cluster(spark):
+    entries = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 1, 1, -1.0)], "case_id string, row bigint, col bigint, val double")
+    b = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 1.0)], "case_id string, i bigint, x double")
+    sizes = spark.createDataFrame([("a", 2)], "case_id string, n bigint")
+    with pytest.raises(ArithmeticError):
+        S.solve_distributed(entries, b, sizes, 1e-10)
+
+
+def test_setups_are_used_again_for_the_same_matrix_only():
+    def of(scale):
+        return S.Csr(3, np.arange(3), np.arange(3), np.full(3, scale))
+
+    one, two, three = (S.SOLVERS["cg"](1e-9) for _ in range(3))
+    one.setup(of(2.0), np.ones(3), np.zeros(3))
+    two.setup(of(2.0), np.ones(3), np.zeros(3))
+    three.setup(of(4.0), np.ones(3), np.zeros(3))
+    assert one.precondition is two.precondition and three.precondition is not two.precondition
+    assert np.allclose(three.solve().x, 0.25)
