@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.llm._shared import let_go, materialize
+from residua.llm._shared import let_go, materialize, scratch
 
 TABLES, WIDE, CELL = 16, 20, 3.5
 SAMPLE, SAMPLE_QUERIES, TARGET, MOST_PROBES = 8_192, 256, 0.94, 2_048
@@ -318,7 +318,7 @@ _RESULT = "query_id long, rank int, vec_id long, score double"
 
 def _search(rows: DataFrame, size: int, top: int) -> DataFrame:
     """``search`` over ``rows(id, v, ask)`` of one length."""
-    rows = materialize(rows.where(F.size("v") == size).withColumn("mark", F.md5(F.col("v").cast("string"))), "ann-rows")
+    rows = materialize(rows.where(F.size("v") == size).withColumn("mark", F.md5(F.col("v").cast("string"))), "ann-rows", keep=True)
     # At most top + 1 ids of a vector can be asked for; the limit works before the shuffle too.
     first = rows.withColumn("place", F.row_number().over(Window.partitionBy("mark").orderBy("id"))).where(F.col("place") <= top + 1)
     merged = first.groupBy("mark").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids"))
@@ -341,7 +341,7 @@ def _search(rows: DataFrame, size: int, top: int) -> DataFrame:
         more = _best(_ranked(everywhere, entries, asked, size, blocks, crowds, top + 1), top + 1)
         best = best.join(short, "ask", "left_anti").select("ask", "ids", "score").unionAll(materialize(more, "ann-more").select("ask", "ids", "score"))
     lists = best.groupBy("ask").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
-    lists = materialize(lists.join(asked.select(F.col("nth").alias("ask"), "mark"), "ask").select("mark", "found"), "ann-lists")
+    lists = materialize(lists.join(asked.select(F.col("nth").alias("ask"), "mark"), "ask").select("mark", "found"), "ann-lists", keep=True)
     queries = rows.where("ask").select(F.col("id").alias("query_id"), "mark")
     pairs = F.flatten(F.transform("found", lambda f: F.transform(f["ids"], lambda i: F.struct((-f["score"]).alias("less"), i.alias("vec_id")))))
     others = F.slice(F.array_sort(F.filter("pairs", lambda p: p["vec_id"] != F.col("query_id"))), 1, top)
@@ -368,6 +368,7 @@ def search(table: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     out = None
     # One row for each length of vectors that a query has.
     for r in rows.groupBy(F.size("v").alias("size")).agg(F.bool_or("ask").alias("asked")).where("asked").orderBy("size").collect():
-        part = _search(rows, r["size"], top)
+        with scratch(spark):
+            part = _search(rows, r["size"], top)
         out = part if out is None else out.unionAll(part)
     return spark.createDataFrame([], _RESULT) if out is None else out

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.llm._shared import materialize, utf8_size
+from residua.llm._shared import materialize, scratch, utf8_size
 
 BUCKET_ROWS, SPAN = 1_024, 4_096
 HEX = 13  # digits of a digest that a double holds exactly
@@ -40,6 +40,11 @@ def order_of(rows: DataFrame, source: str, key: str, seed: str = SEED) -> DataFr
     key, or are null there, they are shuffled by all their columns, and such as
     are alike in all of them anyhow, so that no key and no row is one task.
     """
+    with scratch(rows.sparkSession):
+        return _order_of(rows, source, key, seed)
+
+
+def _order_of(rows: DataFrame, source: str, key: str, seed: str) -> DataFrame:
     ties = [c for c in rows.columns if c != source]
     own = rows.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-")))
     own = own.withColumn("__digest", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))))
@@ -57,7 +62,7 @@ def order_of(rows: DataFrame, source: str, key: str, seed: str = SEED) -> DataFr
     offset = _unit(F.md5(F.concat_ws("|", F.lit(seed), F.col("__source"))))
     placed = ranked.withColumn("__share", (F.col("__before") + F.col("__local") - 1 + offset) / F.col("__all"))
     placed = placed.withColumn("__slice", F.least(F.floor(F.col("__share") * buckets).cast("int"), F.lit(buckets - 1)))
-    placed = materialize(placed.drop("__bucket", "__before", "__local", "__all"), "shard-placed")
+    placed = materialize(placed.drop("__bucket", "__before", "__local", "__all"), "shard-placed", keep=True)
     slices = placed.groupBy("__slice").agg(F.count("*").alias("__here"))
     # Rows ahead of a slice: of earlier spans of slices, and of earlier slices in its
     # span; the window without partitions has n / (BUCKET_ROWS * SPAN) rows.
@@ -67,7 +72,7 @@ def order_of(rows: DataFrame, source: str, key: str, seed: str = SEED) -> DataFr
     within = F.sum("__here").over(Window.partitionBy("__span").orderBy("__slice")) - F.col("__here")
     slices = slices.withColumn("__within", within).join(spans, "__span").withColumn("__ahead", F.col("__passed") + F.col("__within")).select("__slice", "__ahead")
     inner = Window.partitionBy("__slice").orderBy("__share", "__source", "__digest", *ties)
-    out = placed.withColumn("__nth", F.row_number().over(inner)).join(materialize(slices, "shard-ahead"), "__slice")
+    out = placed.withColumn("__nth", F.row_number().over(inner)).join(materialize(slices, "shard-ahead", keep=True), "__slice")
     return out.withColumn("__place", F.col("__ahead") + F.col("__nth") - 1).withColumn("__n", F.lit(n).cast("long")).drop("__slice", "__share", "__nth", "__ahead", "__source", "__digest")
 
 
