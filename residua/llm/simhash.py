@@ -31,7 +31,7 @@ from residua.llm._shared import let_go, materialize, scratch, unused
 from residua.llm.components import connected_components
 
 BYTES, BITS = 8, 64
-BLOCK = 2_000
+BLOCK, PAIRS_AT_ONCE = 1_000, 1 << 15
 HASHES_AT_ONCE = 1 << 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -357,21 +357,28 @@ def _linked_within(key: int, nodes: np.ndarray, parts: np.ndarray, prints: np.nd
             root[p] = p = root[root[p]]
         return p
 
-    pairs = []
+    found: list[tuple[np.ndarray, ...]] = []
     for i in range(len(nodes) - 1):
-        bits = np.bitwise_count(prints[i] ^ prints[i + 1 :]).sum(axis=1, dtype=np.int64)
+        bits = np.bitwise_count(prints[i] ^ prints[i + 1 :]).sum(axis=1, dtype=np.int16)
         low, high = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
         near = np.flatnonzero((bits <= most) & (low >= similarity * high - 1e-9) & (parts[i] != parts[i + 1 :]))
-        pairs.append(np.column_stack([bits[near], np.full(len(near), i), near + i + 1]))
-    out = []
-    for _, i, j in sorted(np.concatenate(pairs).tolist()) if pairs else []:
-        a, b = top(int(parts[i])), top(int(parts[j]))
-        if a == b or min(keys[i] & keys[j]) != key:
-            continue
-        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
-            root[max(a, b)] = min(a, b)
-            out.append((int(nodes[i]), int(nodes[j])))
+        found.append((bits[near], np.full(len(near), i, np.int32), (near + i + 1).astype(np.int32)))
+    if not found:
+        return []
+    bits, left, right = map(np.concatenate, zip(*found, strict=True))
+    order, out = np.argsort(bits, kind="stable"), []
+    for at in range(0, len(order), PAIRS_AT_ONCE):
+        some = order[at : at + PAIRS_AT_ONCE]
+        now = np.array([top(p) for p in parts.tolist()])
+        some = some[now[left[some]] != now[right[some]]]
+        for i, j in zip(left[some].tolist(), right[some].tolist(), strict=True):
+            a, b = top(int(parts[i])), top(int(parts[j]))
+            if a == b or min(keys[i] & keys[j]) != key:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                root[max(a, b)] = min(a, b)
+                out.append((int(nodes[i]), int(nodes[j])))
     return out
 
 
