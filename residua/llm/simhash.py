@@ -319,13 +319,14 @@ def _different(members: DataFrame) -> DataFrame:
 
 def _dealt(lists: DataFrame, most: int, similarity: float) -> DataFrame:
     """Of ``lists(key, node, part, w0.., n)`` the members that have a candidate of
-    another part there: (key, low, high, node, part, w0.., n, keys).
+    another part there: (key, low, high, node, part, w0.., n, before), before being
+    the lesser keys of the node.
 
     Lists of over ``BLOCK`` members are dealt over pairs of blocks, low and high.
     Two semi-joins give members, never pairs: the first leaves those with a
-    candidate by fingerprint; their lists are the ``keys`` of a node, and the second
-    leaves those with a candidate that counts here, which is in the least of the
-    lists that both are in, so that a pair is looked at once.
+    candidate by fingerprint; their lists are the keys of a node, and the second
+    leaves those with a candidate that counts here, which is where the two have no
+    lesser key in common, so that a pair is looked at once.
     """
     sized = lists.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rest = materialize(lists.join(sized, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "simhash-dealt")
@@ -341,13 +342,14 @@ def _dealt(lists: DataFrame, most: int, similarity: float) -> DataFrame:
     own = near.select("key", "node", "part").distinct()
     own = materialize(own.join(_different(own), "key"), "simhash-own")
     keys = own.groupBy("node").agg(F.collect_list("key").alias("keys"))
-    named = materialize(near.join(own.select("key").distinct(), "key").join(keys, "node"), "simhash-keyed")
-    once = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")
-    active = named.join(facing(named, "keys"), on & once, "left_semi")
-    return active.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "node", "part", *prints, "n", "keys")
+    named = near.join(own.select("key").distinct(), "key").join(keys, "node").withColumn("before", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
+    named = materialize(named, "simhash-keyed")
+    once = ~F.arrays_overlap("before", "before2")
+    active = named.join(facing(named, "before"), on & once, "left_semi")
+    return active.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "node", "part", *prints, "n", "before")
 
 
-def _linked_within(key: int, nodes: np.ndarray, parts: np.ndarray, prints: np.ndarray, sizes: np.ndarray, keys: list[set[int]], sets: list[np.ndarray], most: int, similarity: float) -> list[tuple[int, int]]:
+def _linked_within(nodes: np.ndarray, parts: np.ndarray, prints: np.ndarray, sizes: np.ndarray, before: list[set[int]], sets: list[np.ndarray], most: int, similarity: float) -> list[tuple[int, int]]:
     """Links (a, b) that join the parts of one group as all its links would: pairs of
     near fingerprints first, and only pairs whose parts are still apart."""
     root = {p: p for p in set(parts.tolist())}
@@ -373,7 +375,7 @@ def _linked_within(key: int, nodes: np.ndarray, parts: np.ndarray, prints: np.nd
         some = some[now[left[some]] != now[right[some]]]
         for i, j in zip(left[some].tolist(), right[some].tolist(), strict=True):
             a, b = top(int(parts[i])), top(int(parts[j]))
-            if a == b or min(keys[i] & keys[j]) != key:
+            if a == b or not before[i].isdisjoint(before[j]):
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
@@ -392,7 +394,7 @@ def _between(lists: DataFrame, sets_of: Callable[[DataFrame], DataFrame], most:
         let_go()
         lists_of = lambda c: [np.asarray(x.values) for x in group[c].combine_chunks()]
         prints = np.column_stack([np.array(group[c]) for c in names]).view(np.uint64)
-        links = _linked_within(group["key"][0].as_py(), np.array(group["node"]), np.array(group["part"]), prints, np.array(group["n"]), [set(k.tolist()) for k in lists_of("keys")], lists_of("mers"), most, similarity)
+        links = _linked_within(np.array(group["node"]), np.array(group["part"]), prints, np.array(group["n"]), [set(k.tolist()) for k in lists_of("before")], lists_of("mers"), most, similarity)
         return pa.table({"a": pa.array([max(x) for x in links], pa.int64()), "b": pa.array([min(x) for x in links], pa.int64())})
 
     return dealt.join(sets, "node").groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
