@@ -169,7 +169,7 @@ class Codec:
         while True:
             steps = max(2, ROWS_AT_ONCE // len(rows["word"]))
             self.db.register("start", pa.table(rows))
-            found = self.db.execute(_OCCURRENCES, {"steps": steps}).to_arrow_table()
+            found = self.db.sql(_OCCURRENCES.replace("$steps", str(steps))).to_arrow_table()
             self.db.unregister("start")
             rows = {name: found[name].to_numpy() for name in ("word", "place", "token")}
             if not len(rows["word"]) or found["step"][0].as_py() < steps:

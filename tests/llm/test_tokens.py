@@ -78,6 +78,23 @@ def test_codec_equals_tiktoken(codec, tiktoken_encoding):
     assert codec.decode([byte_bpe.parse_ids(x) for x in codec.encode(texts)]) == [t.encode() for t in texts]
 
 
+def test_long_words_equal_tiktoken(codec, tiktoken_encoding):
+    """Words over the length from which several merges are made in a step, of tokens
+    that can be split into parts of which one ranks after the whole: there rank order
+    alone does not tell that merges may be made together."""
+    rnd = random.Random(3)
+    ranks = codec.ranks
+    risky = [p for p, r in ranks.items() if p.isalpha() and p.isascii() and any(max(ranks.get(p[:k], -1), ranks.get(p[k:], -1)) > r and p[:k] in ranks and p[k:] in ranks for k in range(1, len(p)))]
+    assert len(risky) > 1_000
+    for _ in range(60):
+        pool = rnd.sample(risky, rnd.choice([1, 2, 3, 6]))
+        word = b"".join(rnd.choice(pool) for _ in range(rnd.randint(60, 120)))[rnd.randint(0, 3) :]
+        ids = tiktoken_encoding.encode_ordinary(word.decode())
+        assert len(word) > byte_bpe.LONG_WORD // 2 and codec._contract_long(word) == ",".join(map(str, ids)) == codec._contract([word])[0]
+    for word in (b"a" * 50_000, "é中".encode() * 2_000, bytes(rnd.choice(b"abcdefgh") for _ in range(4_000))):
+        assert byte_bpe.parse_ids(codec._contract_long(word)).tolist() == tiktoken_encoding.encode_ordinary(word.decode())
+
+
 def test_token_file(spark):
     rows = [(3, "c c", "x"), (1, None, "y"), (2, "", None), (5, "long word " * 3000, "z"), (3, "c c", "x"), (None, "n", "n"), (7, "a<|endoftext|>b", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
