@@ -33,8 +33,9 @@ KINDS = ("email", "ip", "card", "phone")
 SECRET = len(KINDS)
 ALL_KINDS = (*KINDS, "secret")
 DAMPING, SUPPORT, CONFIDENCE, BELIEF = 0.9, 2, 0.5, 0.4
-#: Instances believed so much count as support; at rest, all beliefs together rise by less than ``REST``.
-STRONG, REST = 0.8, 1e-4
+#: Instances believed so much count as support; at rest, all beliefs together rise by
+#: less than this share of theirs, or of one if they are less.
+STRONG, REST = 0.8, 1e-3
 #: Words and instances of more characters stand in the graph by a digest.
 LONG = 64
 
@@ -228,20 +229,21 @@ def score_graph(occurrences: DataFrame, damping: float = DAMPING, rest: float =
     instances of a kind, and ``instances(instance, kind, belief)`` of those that
     are no seeds.  Each round is aggregations with partial sums and equi-joins;
     the scores go through the shared folder.  Beliefs only rise, so the rounds
-    end: when a round adds less than ``rest`` to all beliefs together.
+    end: when a round adds less than ``rest`` of all beliefs together to them.
     """
     seeds = occurrences.where("own >= 0").select("instance", F.col("own").alias("kind"), F.lit(1.0).alias("belief")).distinct()
     beliefs, total, k = seeds, 0.0, 0
-    sizes = materialize(occurrences.groupBy("pattern").agg(F.countDistinct("instance").alias("size")), "pii-sizes")
+    pairs = materialize(occurrences.select("pattern", "instance").distinct(), "pii-pairs")
+    sizes = materialize(pairs.groupBy("pattern").agg(F.count("*").alias("size")), "pii-sizes")
     while True:
         # An instance believed of several kinds counts for each; a seed only for its own.
-        stood = occurrences.select("pattern", "instance").distinct().join(beliefs, "instance")
+        stood = pairs.join(beliefs, "instance")
         scored = stood.groupBy("pattern", "kind").agg(F.sum("belief").alias("believed"), F.count_if(F.col("belief") >= STRONG).alias("support")).where(F.col("support") >= SUPPORT)
         scored = materialize(scored.join(sizes, "pattern").select("pattern", "kind", (F.col("believed") / F.col("size")).alias("confidence")), f"pii-patterns-{k}")
         noisy = occurrences.where("own < 0").join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-damping * F.col("confidence"))))).alias("belief"))
         found = materialize(noisy, f"pii-instances-{k}")
         before, total = total, found.agg(F.coalesce(F.sum("belief"), F.lit(0.0))).first()[0]
-        if total - before < rest:
+        if total - before < rest * max(1.0, total):
             return scored, found
         beliefs, k = seeds.unionByName(found), k + 1
 
