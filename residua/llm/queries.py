@@ -1,4 +1,4 @@
-"""The queries ``op1_`` to ``op10_``: each operator over its whole table, and their SQL."""
+"""The queries ``op1_`` to ``op12_``: each operator over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from residua.llm import sharding
+from residua.llm import embedding_links, fill_middle, sharding
 from residua.llm._shared import bound_batches
 
 
@@ -96,6 +96,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op11_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, at a cosine of 0.9 or more."""
+    return embedding_links.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), keep=["vec_id"])
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document cut into lines and rearranged, and of its text restored."""
+    outputs = fill_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return fill_middle.digests(outputs, ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op2_shards": op2_shards,
@@ -107,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_text": op10_html_text,
+    "op11_embedding_links": op11_embedding_links,
+    "op12_fill_middle": op12_fill_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_shards": sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_shards": sharding.ORACLE_SQL, "op11_embedding_links": embedding_links.ORACLE_SQL, "op12_fill_middle": fill_middle.ORACLE_SQL}
