@@ -131,3 +131,11 @@ def asymmetry(entries: DataFrame, least: float = 1e-12) -> DataFrame:
 
 def diagonal(entries: DataFrame) -> DataFrame:
     return entries.where("row = col").select("case_id", F.col("row").alias("i"), F.col("val").alias("x"))
+
+
+def with_dominant_diagonal(off: DataFrame, sizes: DataFrame, weight=lambda total: 1 + total) -> DataFrame:
+    """``off``, which has no diagonal, and a diagonal entry for each row: ``weight`` of
+    the sum of the row's magnitudes, by default one more.  One aggregation by row."""
+    rows = off.select("case_id", F.col("row").alias("i"), F.abs("val").alias("size")).unionByName(dense(sizes).withColumn("size", F.lit(0.0)))
+    total = rows.groupBy("case_id", "i").agg(F.sum("size").alias("total"))
+    return off.unionByName(total.select("case_id", F.col("i").alias("row"), F.col("i").alias("col"), weight(F.col("total")).alias("val")))

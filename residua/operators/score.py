@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,11 +12,11 @@ from residua.functions.numeric import is_finite
 from residua.operators.matrix import SPAN
 
 
-def paired(results: DataFrame) -> DataFrame:
-    """One row a case from ``results(case_id, role, passed, failure, elapsed_ns)``,
-    role being 'reference' or 'candidate'."""
+def paired(results: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
+    """One row for each of ``keys``, by default the case, from ``results(keys..., role,
+    passed, failure, elapsed_ns)``, role being 'reference' or 'candidate'."""
     pick = lambda role, column: F.max(F.when(F.col("role") == role, F.col(column)))
-    return results.groupBy("case_id").agg(pick("candidate", "passed").alias("passed"), pick("candidate", "elapsed_ns").alias("candidate_ns"), pick("candidate", "failure").alias("failure"), pick("reference", "elapsed_ns").alias("reference_ns"), pick("reference", "passed").alias("reference_passed"))
+    return results.groupBy(*keys).agg(pick("candidate", "passed").alias("passed"), pick("candidate", "elapsed_ns").alias("candidate_ns"), pick("candidate", "failure").alias("failure"), pick("reference", "elapsed_ns").alias("reference_ns"), pick("reference", "passed").alias("reference_passed"))
 
 
 def reference_failures(rows: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ PREFIX = domain(FIELDS, "0" * 64)
 TOLERANCE = 1e-10
 #: Perturbations of case k: powers of two, none for the last case.
 STEPS = (4, 12, 20, 28, 36, 40, None)
+#: Diagonals other than the default: the power of two above twice a row's sum.
+WEIGHTS = {"dominant": (), "dyadic": (lambda total: F.pow(F.lit(2.0), F.ceil(F.log2(1 + 2 * total))),)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,26 +60,18 @@ def entries(spark: SparkSession, sf_dir: str, cases: int = 1, diagonal: str = "d
 
     def make() -> DataFrame:
         off = M.canonicalize(raw_entries(spark, sf_dir, cases).where("row <> col"))
-        return stored(_with_diagonal(off, sizes(spark, sf_dir, cases), diagonal), "system")
+        return stored(M.with_dominant_diagonal(off, sizes(spark, sf_dir, cases), *WEIGHTS[diagonal]), "system")
 
     return once(spark, sf_dir, f"entries {cases} {diagonal}", ("part", "lineitem"), make)
 
 
-def _with_diagonal(off: DataFrame, own: DataFrame, diagonal: str) -> DataFrame:
-    """``off`` and a diagonal entry for each row, in one aggregation by row."""
-    rows = off.select("case_id", F.col("row").alias("i"), F.abs("val").alias("size")).unionByName(M.dense(own).withColumn("size", F.lit(0.0)))
-    total = rows.groupBy("case_id", "i").agg(F.sum("size").alias("total"))
-    weight = F.pow(F.lit(2.0), F.ceil(F.log2(1 + 2 * F.col("total")))) if diagonal == "dyadic" else 1 + F.col("total")
-    return off.unionByName(total.select("case_id", F.col("i").alias("row"), F.col("i").alias("col"), weight.alias("val")))
-
-
 def symmetric_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The off-diagonal part plus its transpose, with a dominant diagonal."""
 
     def make() -> DataFrame:
         off = raw_entries(spark, sf_dir).where("row <> col")
         both = M.canonicalize(off.unionByName(M.transpose(off)))
-        return stored(_with_diagonal(both, sizes(spark, sf_dir), "dominant"), "symmetric")
+        return stored(M.with_dominant_diagonal(both, sizes(spark, sf_dir)), "symmetric")
 
     return once(spark, sf_dir, "symmetric", ("part", "lineitem"), make)
 
