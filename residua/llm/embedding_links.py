@@ -7,7 +7,7 @@ into subspaces, each coded by its nearest codeword, and the error of the code is
 kept with it.  A vector probes every list that can hold one within t of it: a list
 whose boundary (the plane half-way to its own centre) and whose radius are near
 enough, by the triangle inequality.  Distances to a list's codes are asymmetric
-sums of table look-ups, and a code is a candidate unless it is farther than t plus
+sums of look-ups in tables that a query makes once, and a code is a candidate unless it is farther than t plus
 its own error.  Candidates are reranked by their exact cosines.  No step can lose a
 link, whatever the fit; a poor fit only leaves more to rerank.
 
@@ -41,6 +41,8 @@ LISTS, PARTS, CODES, ROUNDS = 1_024, 8, 256, 8
 #: Vectors of a piece at most, and bytes at most; queries that meet a list at once.
 PIECE, PIECE_BYTES, STRIP = 4_096, 16 << 20, 512
 SLACK = 1e-9
+#: What single precision may lose of a squared distance.
+ROUNDING = 1e-4
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -99,22 +101,33 @@ class Quantiser:
         own = _nearest(u, self.centres)
         rest = u - self.centres[own]
         codes = np.stack([_nearest(part, words) for part, words in zip(self.parts(rest), self.words, strict=True)], axis=1)
-        coded = np.concatenate([words[codes[:, m]] for m, words in enumerate(self.words)], axis=1)
-        return own, np.sqrt((rest * rest).sum(axis=1)), codes.astype(np.uint8), np.sqrt(((rest - coded) ** 2).sum(axis=1))
-
-    def distances(self, u: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """From each of ``u`` to each coded place of list ``at``: sums of look-ups."""
-        total = np.zeros((len(u), len(codes)))
-        for m, (part, words) in enumerate(zip(self.parts(u - self.centres[at]), self.words, strict=True)):
-            total += _squares(part, words)[:, codes[:, m]]
-        return np.sqrt(total)
-
-    def probes(self, u: np.ndarray, own: np.ndarray, radii: np.ndarray, reach: float) -> np.ndarray:
+        codes = codes.astype(np.uint8)
+        return own, np.sqrt((rest * rest).sum(axis=1)), codes, np.sqrt(((u - self.coded(own, codes)) ** 2).sum(axis=1))
+
+    def coded(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The places that codes stand for."""
+        return self.centres[own] + np.concatenate([words[codes[:, m]] for m, words in enumerate(self.words)], axis=1)
+
+    def tables(self, u: np.ndarray) -> list[np.ndarray]:
+        """For each subspace what a codeword (row) takes off the squared distance of
+        each of ``u`` (column): the same for every list, so made once for a query."""
+        return [(2 * words @ part.T).astype(np.float32) for part, words in zip(self.parts(u), self.words, strict=True)]
+
+    def distances(self, u: np.ndarray, tables: list[np.ndarray], at: int, codes: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        """Squared distances of the coded places of list ``at`` (rows; ``squares`` are
+        their squared norms) from each of ``u`` (columns): sums of looked-up rows."""
+        total = (squares[:, None] + (1 - 2 * (u @ self.centres[at]))).astype(np.float32)
+        for m, table in enumerate(tables):
+            total -= table[codes[:, m]]
+        return total
+
+    def probes(self, u: np.ndarray, own: np.ndarray, radii: np.ndarray, reach: float, margin: float = 1.0) -> np.ndarray:
         """For each vector and each list from its own on, whether the list may hold a
-        vector within ``reach``.  ``radii`` are those of the lists, negative for none."""
+        vector within ``reach``: whether its boundary is within ``margin`` times that.
+        ``radii`` are those of the lists, negative for none."""
         far = _squares(u, self.centres)
         apart = np.sqrt(_squares(self.centres, self.centres))[own]
-        near = far - far[np.arange(len(u)), own][:, None] <= 2 * reach * apart + SLACK
+        near = far - far[np.arange(len(u)), own][:, None] <= 2 * margin * reach * apart + SLACK
         near &= (np.sqrt(far) <= radii + reach + SLACK) & (radii >= 0) & (np.arange(len(radii)) >= own[:, None])
         near[np.arange(len(u)), own] = True
         return near
@@ -162,7 +175,7 @@ def _coded(entries: DataFrame, quantiser: Quantiser, size: int, kind: str) -> Da
     return entries.select("nth", "v", "copies").mapInArrow(run, f"nth long, v array<{kind}>, copies long, list int, radius double, codes binary, error double")
 
 
-def _routed(coded: DataFrame, quantiser: Quantiser, layout: Layout, radii: np.ndarray, reach: float, size: int, kind: str) -> DataFrame:
+def _routed(coded: DataFrame, quantiser: Quantiser, layout: Layout, radii: np.ndarray, reach: float, margin: float, size: int, kind: str) -> DataFrame:
     """For each vector and each piece that it meets: own piece, that piece, and which of its lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +185,7 @@ def _routed(coded: DataFrame, quantiser: Quantiser, layout: Layout, radii: np.nd
                 part = batch.slice(a, 1_024)
                 nth, own = np.array(part.column(0)), np.array(part.column(3), np.int64)
                 mine = layout.piece(own, nth)
-                row, at = np.nonzero(quantiser.probes(_matrix(part.column(1), size), own, radii, reach))
+                row, at = np.nonzero(quantiser.probes(_matrix(part.column(1), size), own, radii, reach, margin))
                 times = layout.parts[at]
                 row, at = np.repeat(row, times), np.repeat(at, times)
                 piece = layout.first[at] + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
@@ -237,17 +250,34 @@ def _met(asked: DataFrame, stored: DataFrame, quantiser: Quantiser, size: int, s
         codes, error = np.frombuffer(b"".join(stored["codes"].to_pylist()), np.uint8).reshape(len(x), -1), np.array(stored["error"])
         lists = asked["lists"].combine_chunks()
         flat, of = np.array(lists.flatten()), np.repeat(np.arange(len(q)), np.array(lists.value_lengths()))
-        linked = np.zeros((len(q), len(x)), bool)
-        for at in np.unique(x_list).tolist():
-            members, askers = np.flatnonzero(x_list == at), of[flat == at]
-            for a in range(0, len(askers), STRIP):
-                some = askers[a : a + STRIP]
-                maybe = quantiser.distances(q[some], at, codes[members]) <= reach + error[members] + SLACK
+        squares, limit = (quantiser.coded(x_list, codes) ** 2).sum(axis=1), (reach + error) ** 2 + ROUNDING
+        wanted, at_list = np.unique(x_list, return_inverse=True)
+        members = [np.flatnonzero(at_list == k) for k in range(len(wanted))]
+        asks = np.zeros((len(q), len(quantiser.centres)), bool)
+        asks[of, flat] = True
+        linked = np.zeros((len(x), len(q)), bool)
+        for a in range(0, len(q), STRIP):
+            strip = np.arange(a, min(a + STRIP, len(q)))
+            tables = quantiser.tables(q[strip])
+            for at, own_members in zip(wanted.tolist(), members, strict=True):
+                some = np.flatnonzero(asks[strip, at])
+                if 2 * len(some) < len(strip):
+                    if not len(some):
+                        continue
+                    askers, looked = strip[some], [t[:, some] for t in tables]
+                    maybe = quantiser.distances(q[askers], looked, at, codes[own_members], squares[own_members]) <= limit[own_members, None]
+                else:
+                    askers = strip
+                    maybe = quantiser.distances(q[askers], tables, at, codes[own_members], squares[own_members]) <= limit[own_members, None]
+                    maybe &= asks[strip, at]
+                if not maybe.any():
+                    continue
                 if same:  # inside a list each pair is met from its first
-                    maybe &= (own[some] != at)[:, None] | (nth[some][:, None] < x_nth[members])
+                    maybe &= (own[askers] != at) | (nth[askers] < x_nth[own_members, None])
                 i, j = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
                 if len(i):
-                    linked[np.ix_(some[i], members[j])] = maybe[np.ix_(i, j)] & _cosines(q[some[i]], x[members[j]], similarity)
+                    linked[np.ix_(own_members[i], askers[j])] = maybe[np.ix_(i, j)] & _cosines(x[own_members[i]], q[askers[j]], similarity)
+        linked = np.ascontiguousarray(linked.T)
         i, j = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
         if not len(i):
             return schema.empty_table()
@@ -274,7 +304,7 @@ def _placed(coded: DataFrame, layout: Layout) -> DataFrame:
     return coded.select("nth", "v", "copies", "list", "codes", "error").mapInArrow(run, schema.add("to2", "long"))
 
 
-def _linked(rows: DataFrame, size: int, kind: str, similarity: float) -> DataFrame:
+def _linked(rows: DataFrame, size: int, kind: str, similarity: float, margin: float) -> DataFrame:
     """(mark, others, component) of each distinct vector of one length, from rows(id, v, mark)."""
     distinct = rows.groupBy("mark").agg(F.first("v").alias("v"), F.min("id").alias("low"), F.count("*").alias("copies"))
     entries = materialize(distinct.withColumn("nth", F.monotonically_increasing_id()), "links-entries", keep=True)
@@ -289,7 +319,7 @@ def _linked(rows: DataFrame, size: int, kind: str, similarity: float) -> DataFra
         counts[r["list"]], radii[r["list"]] = r["n"], r["radius"]
     layout = Layout.pack(counts, max(1, min(PIECE, PIECE_BYTES // (8 * size))))
     reach = float(np.sqrt(max(0.0, 2 - 2 * similarity)))
-    asked = materialize(_routed(coded, quantiser, layout, radii, reach, size, kind), "links-probes")
+    asked = materialize(_routed(coded, quantiser, layout, radii, reach, margin, size, kind), "links-probes")
     pairs = asked.select(F.col("of").alias("of2"), F.col("to").alias("to2")).distinct()
     stored = _placed(coded, layout).join(pairs, "to2")
     found = materialize(_met(asked, stored, quantiser, size, similarity), "links-found")
@@ -302,7 +332,7 @@ def _linked(rows: DataFrame, size: int, kind: str, similarity: float) -> DataFra
     return out.select("mark", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("others"), F.coalesce("component", "low").alias("component"))
 
 
-def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", similarity: float = SIMILARITY, keep: list[str] | None = None) -> DataFrame:
+def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", similarity: float = SIMILARITY, keep: list[str] | None = None, margin: float = 1.0) -> DataFrame:
     """Links between all vectors whose cosine, in double precision, is at least
     ``similarity``, and the components that they make.
 
@@ -314,6 +344,11 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     which are kept) or vectors of different lengths.  Rows repeated under one key
     are rows of their own; an empty table gives an empty result; columns named like
     the new ones are replaced.
+
+    At a ``margin`` of 1 no link is lost.  The bounds leave out little where vectors
+    are spread evenly in many dimensions; there a smaller margin trades links for
+    time: for vectors of 64 components, 0.45 visits a seventh to a twenty-fifth of
+    the lists and misses 2 of 1,000 pairs that are exactly at a cosine of 0.9.
     """
     new = ["n_links", "component_id", "kept"]
     held = [c for c in (table.columns if keep is None else keep) if c not in new]
@@ -327,7 +362,7 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     out = alone.select(*held, key_, F.lit(0).cast("long").alias("n_links"), F.col(key_).alias("component_id"))
     for r in own.select(F.size("v").alias("size")).distinct().orderBy("size").collect():  # a row for each length of vectors
         with scratch(table.sparkSession):
-            found = materialize(_linked(own.where(F.size("v") == r["size"]), r["size"], kind, similarity), "links-classes", keep=True)
+            found = materialize(_linked(own.where(F.size("v") == r["size"]), r["size"], kind, similarity, margin), "links-classes", keep=True)
         joined = marked.where(F.size(v_) == r["size"]).drop(v_).join(found.withColumnRenamed("mark", mark), mark)
         out = out.unionByName(joined.select(*held, key_, F.col("others").alias("n_links"), F.col("component").alias("component_id")))
     return out.select(*[F.col(f"`{c}`") for c in held], "n_links", "component_id", F.col(key_).eqNullSafe(F.col("component_id")).alias("kept"))

@@ -109,8 +109,10 @@ def test_codes_bound_distances_and_probes_reach_all():
         exact = np.linalg.norm(u - v[i], axis=1)
         for c in range(12):
             members = np.flatnonzero(own == c)
-            coded = quantiser.distances(v[i : i + 1], c, codes[members])[0]
-            assert (np.abs(coded - exact[members]) <= error[members] + 1e-9).all()
+            squares = (quantiser.coded(own[members], codes[members]) ** 2).sum(axis=1)
+            coded = quantiser.distances(v[i : i + 1], quantiser.tables(v[i : i + 1]), c, codes[members], squares)[:, 0]
+            assert (np.abs(np.sqrt(np.maximum(coded, 0)) - exact[members]) <= error[members] + 1e-3).all()
+            assert (coded <= (exact[members] + error[members]) ** 2 + L.ROUNDING).all()
             assert c < of_v[i] or probes[i, c] or not (exact[members] <= reach).any()
 
 
@@ -119,3 +121,15 @@ def test_components_of_a_chain():
     linked = np.eye(n, dtype=bool) | np.eye(n, k=1, dtype=bool)
     rows, cols = L.components(linked, np.arange(n) + 100, np.arange(n))
     assert (rows == 0).all() and (cols == 0).all()
+
+
+def test_smaller_margin_keeps_most_links(spark):
+    rng = np.random.default_rng(8)
+    x = L.unit(rng.standard_normal((1_500, 32)))
+    aside = rng.standard_normal(x.shape)
+    aside = L.unit(aside - (aside * x).sum(axis=1)[:, None] * x)
+    x = np.vstack([x, 0.901 * x + np.sqrt(1 - 0.901**2) * aside]).astype(np.float32)
+    t = _table(spark, list(enumerate(x)))
+    most = sum(r[1] for r in _brute(np.arange(len(x)), x))
+    assert sum(r[1] for r in _rows(L.near_vectors(t))) == most
+    assert 0.9 * most <= sum(r[1] for r in _rows(L.near_vectors(t, margin=0.45))) <= most
