@@ -7,9 +7,13 @@ links to tags, smoothed with a Gaussian along the lines of a section, is split
 by a threshold into two clusters, content and the rest.  The content lines
 select the regions: the smallest section that holds them all, without those
 smaller ones in it that hold no content line and stand before the first or after
-the last one.  An article or main element is selected as a whole.  Every line of a selected region is main text, short ones too.
-Lines inside menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments, by element, role or name, weigh nothing and are never content.
+the last one.  An article or main element is selected as a whole.  Every line of a
+selected region is main text, short ones too.  Lines inside menus, headers, footers,
+sidebars and forms, by element or role, weigh nothing and are never content.
+
+Names decide nothing by themselves: a container whose class or id calls it an advert,
+a notice, comments and the like makes its text weigh less, and is left out where the
+clusters then find no content in it.
 """
 
 from __future__ import annotations
@@ -35,8 +39,12 @@ BOILER = frozenset("nav footer aside form dialog menu".split())
 HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template head html".split())
 # Elements that divide a page into sections.
 SECTIONS = frozenset("html body div section article main header hgroup address center details table nav footer aside form dialog menu".split())
-# Words by which pages name what is not their article.
+# Words by which pages name what is not their article, and words that
+# stand beside them in such names; a name of which any other word is part says nothing.
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments discussion disqus replies responses widget toolbar pagination pager copyright disclaimer".split())
+BESIDE = frozenset("the site page main top bottom left right inner outer box bar block area list item items wrapper container section content link links form panel primary secondary global web user reader post article".split())
+# Elements that hold a block of text of their own: their names are anchors.
+ANCHORED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dt dd figure figcaption caption td th tr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 # Elements that close an open element of the same kind, or a paragraph.
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -45,6 +53,8 @@ LISTS, BLOCKS = ("ul", "ol", "dl", "table", "menu"), ("div", "article", "section
 # A header in one of these is that of the text, not of the page; their own names say nothing.
 TEXTS = ("article", "main")
 SIGMA, ALIKE = 2.0, 0.7
+#: What text in a container with a name of ``NAMES`` weighs.
+NAMED = 0.05
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -62,8 +72,9 @@ class Lines(HTMLParser):
         self.linked: list[int] = []
         self.inside: list[int] = []  # the innermost container of each line
         self.dropped: list[bool] = []
-        # Of each container; the first is the page.  ``whole`` is the outermost text that it is in, or 0.
-        self.parents, self.is_section, self.whole = [-1], [True], [0]
+        # Of each container; the first is the page.  ``whole`` is the outermost text that it is in, or 0,
+        # and ``named`` the outermost container with a name of NAMES.
+        self.parents, self.is_section, self.whole, self.named = [-1], [True], [0], [0]
         self.open: list[tuple[str, int, bool, bool]] = []  # name, container, silent, boiler
         self.places: dict[str, list[int]] = defaultdict(list)  # of open elements, by name
         self.parts: list[str] = []
@@ -117,13 +128,16 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         container, silent, boiler = self._state()
+        plain = tag not in TEXTS and tag not in ("body", "html")
         if tag not in INLINE and tag != "p":
+            named = plain and tag not in ANCHORED and self._named(attrs)
             self.parents.append(container)
-            self.is_section.append(tag in SECTIONS)
+            self.is_section.append(named or tag in SECTIONS)
             self.whole.append(self.whole[container] or len(self.whole) * (tag in TEXTS))
+            self.named.append(self.named[container] or len(self.named) * named)
             container = len(self.parents) - 1
-        if not boiler and tag not in TEXTS and tag not in ("body", "html"):
-            boiler = tag in BOILER or tag == "header" and self._last(TEXTS) < 0 or self._named(attrs)
+        if not boiler and plain:
+            boiler = tag in BOILER or tag == "header" and self._last(TEXTS) < 0 or self._hidden(attrs)
         self.places[tag].append(len(self.open))
         self.open.append((tag, container, silent or tag in SILENT, boiler))
         self.muted += tag in SILENT and tag != "head"
@@ -136,12 +150,17 @@ class Lines(HTMLParser):
     @staticmethod
     def _named(attrs) -> bool:
         for key, value in attrs:
-            if key in ("class", "id") and value and not NAMES.isdisjoint(_WORD.findall(value.lower())):
-                return True
-            if key == "role" and value and value.lower() in ROLES or key == "hidden":
-                return True
+            if key in ("class", "id") and value:
+                for name in value.lower().split():
+                    words = _WORD.findall(name)
+                    if not NAMES.isdisjoint(words) and all(w in NAMES or w in BESIDE or w.isdigit() for w in words):
+                        return True
         return False
 
+    @staticmethod
+    def _hidden(attrs) -> bool:
+        return any(key == "hidden" or key == "role" and value and value.lower() in ROLES for key, value in attrs)
+
     def handle_endtag(self, tag):
         self.count += 1
         if self.places[tag]:
@@ -194,7 +213,8 @@ def content_lines(page: Lines) -> np.ndarray:
     section = list(range(len(page.parents)))
     for c in range(1, len(section)):
         section[c] = c if page.is_section[c] else section[page.parents[c]]
-    ratio = np.where(dropped, 0.0, plain / np.maximum(page.tags, 1))
+    named = np.array([page.named[c] > 0 for c in page.inside])
+    ratio = np.where(dropped, 0.0, plain / np.maximum(page.tags, 1)) * np.where(named, NAMED, 1.0)
     level = smooth_by_section(ratio, np.array([section[c] for c in page.inside]))
     candidates = ~dropped & (ratio > 0)
     if not candidates.any():
@@ -246,7 +266,9 @@ def extract(html: str | None) -> str:
     if not content.any():
         return ""
     ok = regions(page, content)
-    return " ".join(t for t, c, gone in zip(page.texts, page.inside, page.dropped, strict=True) if ok[c] and not gone)
+    # Named containers stay where the clusters have found content in them.
+    stays = {0, *(page.named[c] for c, is_content in zip(page.inside, content, strict=True) if is_content)}
+    return " ".join(t for t, c, gone in zip(page.texts, page.inside, page.dropped, strict=True) if ok[c] and not gone and page.named[c] in stays)
 
 
 def main_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -81,3 +81,26 @@ def test_second_block_of_a_long_page():
     for n in (50, 110):
         html = f"<body><div id=menu><a>Home</a></div><div id=content><div class=body>{f'<p>{LONG}</p>' * n}</div><div class=more>{f'<p>{more}</p>' * 6}</div></div></body>"
         assert extract(html) == " ".join([LONG] * n + [more] * 6)
+
+
+def test_names_alone_delete_nothing():
+    prose = "Prose of some length about the work of others, which a name should not hide from the reader of the article. " * 3
+    prose = prose.strip()
+    for inner, want in [
+        ('<h2 id="search">Search</h2>', "Search"), (f'<div class="related-work"><p>{prose}</p></div>', prose), (f'<section id="alert-levels"><p>{prose}</p></section>', prose),
+        ('<p class="notice">Short.</p>', "Short."), (f'<section id="search"><h2>Search</h2>{f"<p>{prose}</p>" * 2}</section>', None),
+    ]:
+        got = extract(f"<body><article><h1>T</h1><p>{LONG}</p>{inner}<p>{LONG}</p></article></body>")
+        if want is not None:
+            assert got == f"T {LONG} {want} {LONG}"
+    # Where the clusters find nothing else that is content, a name does not empty the page.
+    assert extract(f"<body><div class=search><p>{LONG}</p></div></body>") == LONG
+    # Names of nothing but listed words weigh, in the middle of a text too.
+    for name in ("ad", "comment-list", "cookie_notice top", "site-sidebar"):
+        assert extract(f"<body><div><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div><p>{LONG}</p></div></body>") == f"{LONG} {LONG}"
+
+
+def test_clusters_decide_on_pages_as_they_are(spark, small, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").select("html").collect()]
+    monkeypatch.setattr(html_text, "smooth_by_section", lambda values, sections: np.ones(len(values)))
+    assert sum(extract(p) != _article(p) for p in pages) > 0.5 * len(pages)
