@@ -13,7 +13,9 @@ spans are of the original text.
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -103,20 +105,32 @@ class Matcher:
     def _occurrences(self, i: int, own: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
         """(distance, start, end) of the matches of item i in a stretch of a normal
         text: the best one, the first of equals, and those beside it that do not
-        overlap it."""
-        size, most, todo = len(self.texts[i]), self.budgets[i], [(a, b)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < size - most:
+        overlap it.
+
+        One pass gives the distance at every end.  Ends are taken from the best on; an
+        end's start comes from the same pattern backwards, not beyond the match
+        before it, and an end that is dearer for that waits for its turn."""
+        size, most = len(self.texts[i]), self.budgets[i]
+        waiting = [(distance, end) for end, distance in enumerate(distances(self.bits[i], size, own[a:b]), a) if distance <= most]
+        heapq.heapify(waiting)
+        starts: list[int] = []
+        ends: list[int] = []
+        while waiting:
+            distance, end = heapq.heappop(waiting)
+            k = bisect_left(ends, end)  # the matches before this end are those before k
+            if k < len(ends) and starts[k] < end:
                 continue
-            distance, length = myers(self.bits[i], size, own[a:b])
-            if distance > most:
+            floor = ends[k - 1] if k else a
+            if end - floor < size - most:
                 continue
-            end = a + length
-            # The same pattern backwards from the end gives the start.
-            _, back = myers(self.back[i], size, own[max(a, end - size - most) : end][::-1])
+            least, back = myers(self.back[i], size, own[max(floor, end - size - most) : end][::-1])
+            if least > distance:
+                if least <= most:
+                    heapq.heappush(waiting, (least, end))
+                continue
+            starts.insert(k, end - back)
+            ends.insert(k, end)
             yield distance, end - back, end
-            todo += [(a, end - back), (end, b)]
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item key, distance, start, end in the text) of every occurrence of every
@@ -150,8 +164,6 @@ class Matcher:
 
     @staticmethod
     def _place(words: list[tuple[int, int]], firsts: list[int], at: int, is_end: bool) -> int:
-        from bisect import bisect_right
-
         k = bisect_right(firsts, at - is_end) - 1
         return min(words[k][0] + at - firsts[k], words[k][1])
 

@@ -95,3 +95,70 @@ def test_documents_against_dynamic_programming(spark, small):
     for doc, text in texts:
         for key, item in items:
             assert (least(item, text) <= D.budget(item)) == ((doc, key) in got)
+
+
+def _by_parts(p, text, most):
+    """Best occurrence first, then those in what is left on either side."""
+    todo, out = [(0, len(text))], []
+    places, back = D.masks(p), D.masks(p[::-1])
+    while todo:
+        a, b = todo.pop()
+        if b - a < len(p) - most:
+            continue
+        distance, length = D.myers(places, len(p), text[a:b])
+        if distance <= most:
+            end = a + length
+            start = end - D.myers(back, len(p), text[max(a, end - len(p) - most) : end][::-1])[1]
+            out.append((distance, start, end))
+            todo += [(a, start), (end, b)]
+    return sorted(out)
+
+
+def test_occurrences_equal_those_found_part_by_part():
+    rnd = random.Random(2)
+    for _ in range(400):
+        p = "".join(rnd.choice("abc") for _ in range(rnd.randint(12, 30)))
+        text = ""
+        for _ in range(rnd.randint(1, 6)):
+            s = list(p)
+            for _ in range(rnd.randint(0, 3)):
+                j = rnd.randrange(len(s))
+                s[j : j + rnd.randint(0, 1)] = rnd.choice(["a", "", "b"])
+            text += "".join(s) + "".join(rnd.choice("abc ") for _ in range(rnd.choice([0, 1, 9])))
+        m = D.Matcher([(1, p)], 0.15)
+        own = D.normal(p)
+        if own != p:
+            continue
+        assert sorted(m._occurrences(0, text, 0, len(text))) == _by_parts(p, text, m.budgets[0])
+
+
+def test_time_is_linear_in_occurrences():
+    import time
+
+    def seconds(n):
+        text = " ".join([ITEM] * n)
+        began = time.process_time()
+        assert len(D.Matcher([(1, ITEM)]).find(text)) == n
+        return time.process_time() - began
+
+    assert seconds(4_000) < 8 * max(seconds(1_000), 0.05)
+
+
+def test_items_of_several_kinds_in_long_documents(spark):
+    """Items with edits in texts of 2,000 to 60,000 characters, against dynamic programming."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    items = [(k, " ".join(word() for _ in range(rnd.randint(6, 30)))) for k in range(12)]
+    rows = []
+    for i in range(14):
+        own = [word() for _ in range(rnd.choice([400, 2_000, 10_000]))]
+        for _ in range(rnd.randint(0, 4)):
+            s = list(rnd.choice(items)[1])
+            for _ in range(rnd.randint(0, len(s) // 8)):
+                j = rnd.randrange(len(s))
+                s[j : j + rnd.randint(0, 1)] = rnd.choice(["x", "", " "])
+            own.insert(rnd.randrange(len(own)), "".join(s))
+        rows.append((i, " ".join(own)))
+    docs, table = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(docs, table).collect()}
+    assert got == {(i, k) for i, text in rows for k, item in items if least(D.normal(item), D.normal(text)) <= D.budget(D.normal(item))}
