@@ -24,7 +24,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residua.llm._shared import let_go, materialize, scratch
@@ -226,25 +226,28 @@ def score_graph(occurrences: DataFrame, damping: float = DAMPING, rest: float =
     ``own`` is the kind of a seed and -1 for any other instance.
 
     Returns ``patterns(pattern, kind, confidence)``, those with enough strong
-    instances of a kind, and ``instances(instance, kind, belief)`` of those that
-    are no seeds.  Each round is aggregations with partial sums and equi-joins;
-    the scores go through the shared folder.  Beliefs only rise, so the rounds
-    end: when a round adds less than ``rest`` of all beliefs together to them.
+    instances of a kind, and ``instances(instance, kind, belief)``, seeds too.  An
+    instance that is a seed anywhere is one everywhere, with belief one in its own
+    kinds and in no other, so that there is one belief for each instance and kind
+    and no confidence is above one.  Each round is aggregations with partial sums and
+    equi-joins; the scores go through the shared folder.  Beliefs only rise, so the
+    rounds end: when a round adds less than ``rest`` of all beliefs together to them.
     """
-    seeds = occurrences.where("own >= 0").select("instance", F.col("own").alias("kind"), F.lit(1.0).alias("belief")).distinct()
+    seeds = materialize(occurrences.where("own >= 0").select("instance", F.col("own").alias("kind")).distinct().withColumn("belief", F.lit(1.0)), "pii-seeds")
     beliefs, total, k = seeds, 0.0, 0
     pairs = materialize(occurrences.select("pattern", "instance").distinct(), "pii-pairs")
     sizes = materialize(pairs.groupBy("pattern").agg(F.count("*").alias("size")), "pii-sizes")
+    unknown = materialize(pairs.join(seeds.select("instance").distinct(), "instance", "left_anti"), "pii-unknown")
     while True:
         # An instance believed of several kinds counts for each; a seed only for its own.
         stood = pairs.join(beliefs, "instance")
         scored = stood.groupBy("pattern", "kind").agg(F.sum("belief").alias("believed"), F.count_if(F.col("belief") >= STRONG).alias("support")).where(F.col("support") >= SUPPORT)
-        scored = materialize(scored.join(sizes, "pattern").select("pattern", "kind", (F.col("believed") / F.col("size")).alias("confidence")), f"pii-patterns-{k}")
-        noisy = occurrences.where("own < 0").join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-damping * F.col("confidence"))))).alias("belief"))
+        scored = materialize(scored.join(sizes, "pattern").select("pattern", "kind", F.least(F.col("believed") / F.col("size"), F.lit(1.0)).alias("confidence")), f"pii-patterns-{k}")
+        noisy = unknown.join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-damping * F.col("confidence"))))).alias("belief"))
         found = materialize(noisy, f"pii-instances-{k}")
         before, total = total, found.agg(F.coalesce(F.sum("belief"), F.lit(0.0))).first()[0]
         if total - before < rest * max(1.0, total):
-            return scored, found
+            return scored, seeds.unionByName(found)
         beliefs, k = seeds.unionByName(found), k + 1
 
 
@@ -300,19 +303,25 @@ def spans_text(spans: str = "pii_spans"):
     return F.array_join(F.transform(personal, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def mask(text: str = "text", spans: str = "pii_spans"):
+def hidden(text: str, spans: list[dict]) -> str:
+    """``text`` with each span, in order of their starts, replaced by its kind in square
+    brackets; spans that overlap an earlier one go with it.  Linear in both."""
+    out, at = [], 0
+    for span in spans:
+        if span["start"] >= at:
+            out += [text[at : span["start"]], f"[{ALL_KINDS[span['kind']]}]"]
+        at = max(at, span["end"])
+    return "".join([*out, text[at:]])
+
+
+def _hidden(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else hidden(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+
+
+def mask(text: str = "text", spans: str = "pii_spans") -> Column:
     """The text with each span replaced by its kind in square brackets, e.g.
-    ``[email]``; spans that overlap an earlier one go with it.  Null stays null."""
-    size = F.length(text)
-    kinds = F.array(*[F.lit(f"[{k}]") for k in ALL_KINDS])
-
-    def step(acc, s):
-        taken = s["start"] < acc["at"]
-        return F.struct(
-            F.when(taken, acc["out"]).otherwise(F.concat(acc["out"], F.substr(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.element_at(kinds, s["kind"] + 1))).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        )
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    finish = lambda acc: F.concat(acc["out"], F.substr(F.col(text), (acc["at"] + 1).cast("int"), size))
-    return F.when(F.size(spans) > 0, F.aggregate(F.col(spans), start, step, finish)).otherwise(F.col(text))
+    ``[email]``; spans that overlap an earlier one go with it.  Null stays null; only
+    texts with spans go to Python."""
+    some = F.size(spans) > 0
+    masked = F.arrow_udf(_hidden, "string")
+    return F.when(some, masked(F.when(some, F.col(text)), F.when(some, F.col(spans)))).otherwise(F.col(text))

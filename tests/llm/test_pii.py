@@ -132,3 +132,36 @@ def test_precision_and_recall_of_discovery(spark, small):
         hit += want and (value, kind) in added
         wrong += len(added) - (want and (value, kind) in added)
     assert hit >= 0.9 * truth and wrong <= 0.05 * hit, (hit, truth, wrong)
+
+
+def test_seeds_in_plain_places_have_one_belief(spark):
+    values = [f"zq{k}x-77-hidden{k}" for k in range(4)]
+    rows = [(k, f'config password = "{v}" set') for k, v in enumerate(values[:3])] + [(10 + k, f"the unlock code {v} works well") for k, v in enumerate(values)] + [(20, "version 4.4-rc was built")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r["doc_id"]: r["m"] for r in pii.find(docs).select("doc_id", pii.mask().alias("m")).collect()}
+    assert all(got[10 + k] == "the unlock code [secret] works well" for k in range(4)) and got[20] == "version 4.4-rc was built"
+    graph = [("p", v, pii.SECRET) for v in values[:3]] + [("q", v, -1) for v in values] + [("p", "a@b.c", 0), ("q", "a@b.c", 0), ("q", "a@b.c", pii.SECRET)]
+    scored, believed = pii.score_graph(spark.createDataFrame(graph, "pattern string, instance string, own int"))
+    assert all(0 <= r["confidence"] <= 1 for r in scored.collect())
+    rows = [(r["instance"], r["kind"], r["belief"]) for r in believed.collect()]
+    assert len({r[:2] for r in rows}) == len(rows) and all(0 <= r[2] <= 1 for r in rows)
+    assert {r[:2] for r in rows if r[0] == "a@b.c"} == {("a@b.c", 0), ("a@b.c", pii.SECRET)}
+
+
+def test_masks_of_many_and_overlapping_spans(spark):
+    text = "1.2.3.4 " * 50_000
+    spans = [{"start": a, "kind": k, "end": b} for a, k, b in pii.base_spans(text)]
+    assert pii.hidden(text, spans) == "[ip] " * 50_000
+    rnd = random.Random(1)
+    for _ in range(200):
+        some = sorted((rnd.randrange(40), rnd.randrange(5), 0) for _ in range(rnd.randrange(8)))
+        some = [(a, k, a + rnd.randint(1, 12)) for a, k, _ in some]
+        own, want, at = "abcdefghij" * 5, "", 0
+        for a, k, b in some:
+            if a >= at:
+                want += own[at:a] + f"[{pii.ALL_KINDS[k]}]"
+            at = max(at, b)
+        assert pii.hidden(own, [{"start": a, "kind": k, "end": b} for a, k, b in some]) == want + own[at:]
+    rows = [(1, None), (2, ""), (3, "nothing"), (4, "é 1.2.3.4 ü 1.2.3.4")]
+    got = {r["doc_id"]: r["m"] for r in pii.find(spark.createDataFrame(rows, "doc_id int, text string")).select("doc_id", pii.mask().alias("m")).collect()}
+    assert got == {1: None, 2: "", 3: "nothing", 4: "é [ip] ü [ip]"}
