@@ -32,6 +32,8 @@ from residua.llm.components import connected_components
 
 BYTES, BITS = 8, 64
 BLOCK, PAIRS_AT_ONCE = 1_000, 1 << 15
+#: Shingles of the sets of a block at most, so that long texts make small blocks.
+BLOCK_SHINGLES = 2_000_000
 HASHES_AT_ONCE = 1 << 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -265,23 +267,10 @@ def _frequent(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.
 
 def _met(index: DataFrame) -> DataFrame:
     """(key, node, first) of every member of a posting list of ``index(key, node)``
-    but its first, the least node.  Lists are read in order and not held."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        last_key, last_first = None, 0
-        for batch in batches:
-            key, node = np.array(batch.column(0)), np.array(batch.column(1))
-            if not len(key):
-                continue
-            fresh = np.concatenate([[key[0] != last_key or last_key is None], key[1:] != key[:-1]])
-            begins = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
-            first = np.where(begins >= 0, node[np.maximum(begins, 0)], last_first)
-            more = ~fresh
-            yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (key, node, first)], names=["key", "node", "first"])
-            last_key, last_first = key[-1], first[-1]
-
-    return index.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, first long")
+    but its first, the least node.  The least nodes are partial aggregates, so that a
+    long list is split like any other skewed side of a join."""
+    first = materialize(index.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last"), "simhash-first")
+    return index.join(first, "key").where("node <> first")
 
 
 def _alike(most: int, similarity: float) -> Column:
@@ -322,13 +311,14 @@ def _dealt(lists: DataFrame, most: int, similarity: float) -> DataFrame:
     another part there: (key, low, high, node, part, w0.., n, before), before being
     the lesser keys of the node.
 
-    Lists of over ``BLOCK`` members are dealt over pairs of blocks, low and high.
+    Lists of over ``BLOCK`` members, or whose sets hold over ``BLOCK_SHINGLES``, are
+    dealt over pairs of blocks, low and high.
     Two semi-joins give members, never pairs: the first leaves those with a
     candidate by fingerprint; their lists are the keys of a node, and the second
     leaves those with a candidate that counts here, which is where the two have no
     lesser key in common, so that a pair is looked at once.
     """
-    sized = lists.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = lists.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     rest = materialize(lists.join(sized, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "simhash-dealt")
     prints = [f"w{k}" for k in range(WIDE)]
     rows = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "i", "j", "node", "part", *prints, "n")

@@ -132,3 +132,25 @@ def test_candidate_bits_hold_pairs_at_the_threshold():
             mers = rnd.integers(0, 1 << 64, common + left + right, np.uint64)
             one, two = S.wide_of(mers[: common + left]), S.wide_of(np.concatenate([mers[:common], mers[common + left :]]))
             assert sum(int(x).bit_count() for x in (one ^ two).view(np.uint64)) <= most
+
+
+def test_blocks_by_shingles_and_by_members_do_not_change_groups(spark, monkeypatch):
+    import random
+
+    from residua.llm import simhash
+
+    rnd = random.Random(7)
+    base = [f"w{rnd.randrange(10_000)}" for _ in range(400)]
+    rows = []
+    for i in range(60):
+        own = list(base) if i % 2 else [f"v{rnd.randrange(10_000)}" for _ in range(300)] + base[:20]
+        for _ in range(rnd.randint(0, 12)):
+            own[rnd.randrange(len(own))] = f"x{rnd.randrange(10_000)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for members, shingles in ((1_000, 2_000_000), (7, 2_000_000), (1_000, 900)):
+        monkeypatch.setattr(simhash, "BLOCK", members)
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
+        found.append(sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) >= 30
