@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes inside are deleted at the end, but for those with
+    ``keep``, which belong to the scope around this one, or stay if there is none."""
+    scopes = _scopes.__dict__.setdefault("open", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there,
     and a lost executor costs a re-read."""
     path = f"{shared_dir(df.sparkSession)}/residua/{name}-{uuid.uuid4().hex}"
+    if len(scopes := _scopes.__dict__.get("open", [])) > keep:
+        scopes[-1 - keep].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

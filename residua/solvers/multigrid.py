@@ -15,6 +15,10 @@ import numpy as np
 
 Apply = Callable[[np.ndarray], np.ndarray]
 STRONG, DAMPING, SWEEPS, COARSEST, LEVELS = 0.25, 0.67, 2, 200, 20
+#: A level must have fewer unknowns than this share of the one before.
+FEWER = 0.9
+#: Unknown i stands at place i * ORDER mod 2**32 in the order of founders: an odd factor, so all places differ.
+ORDER = 2_654_435_761
 
 
 @dataclass
@@ -46,7 +50,7 @@ def aggregates(n: int, rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, str
     keep = off & (size >= strong * most[rows]) & (size > 0)
     # A coupling that is strong one way counts both ways.
     r, c, s = np.concatenate([rows[keep], cols[keep]]), np.concatenate([cols[keep], rows[keep]]), np.tile(size[keep], 2)
-    owner, order = np.full(n, -1), np.random.default_rng(0).permutation(n)
+    owner, order = np.full(n, -1), np.arange(n) * ORDER % (1 << 32)
     while True:
         free = owner < 0
         live = free[r] & free[c]
@@ -62,7 +66,7 @@ def aggregates(n: int, rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, str
         near = live & (owner[c] == c) & np.isin(c, founders)
         owner[r[near & (owner[r] < 0)]] = c[near & (owner[r] < 0)]
     rest = (owner[r] < 0) & (owner[c] >= 0)
-    order = np.argsort(s[rest], kind="stable")
+    order = np.lexsort((-c[rest], s[rest]))  # the strongest last, of equals that of the least neighbour
     owner[r[rest][order]] = owner[c[rest][order]]
     alone = owner < 0
     owner[alone] = np.flatnonzero(alone)
@@ -85,7 +89,8 @@ class Multigrid:
         while self.levels[-1].n > COARSEST and len(self.levels) < LEVELS:
             own = self.levels[-1]
             own.owner = aggregates(own.n, own.rows, own.cols, own.vals)
-            if own.owner.max() + 1 > 0.9 * own.n:
+            if own.owner.max() + 1 > FEWER * own.n:
+                own.owner = None
                 break
             self.levels.append(coarsened(own))
         last = self.levels[-1]
