@@ -154,12 +154,12 @@ class Level:
     owners: DataFrame | None = None
 
 
-def hierarchy(entries: DataFrame, sizes: DataFrame, coarsest: int = COARSEST) -> list[Level]:
+def hierarchy(entries: DataFrame, sizes: DataFrame, coarsest: int = COARSEST, strong: float = STRONG) -> list[Level]:
     """The levels of one system, each a table."""
     levels = [Level(sizes, entries, sizes.first()["n"])]
     while levels[-1].n > coarsest and len(levels) < LEVELS:
         own = levels[-1]
-        owners = aggregates(own.entries, own.sizes)
+        owners = aggregates(own.entries, own.sizes, strong)
         n = owners.agg(F.max("owner")).first()[0] + 1
         if n > FEWER * own.n:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from residua.functions import digests
 from residua.operators import cases as C
+from residua.operators import cluster as G
 from residua.operators import matrix as M
 from residua.operators import metrics as E
 from residua.operators import score as R
@@ -326,6 +328,42 @@ def solve_cg_distributed(spark, d):
     return x.select("case_id", "i", F.round("x", 5).alias("x"))
 
 
+@query
+def solve_gmres_distributed(spark, d):
+    """GMRES over the cluster on a nonsymmetric system, with a basis in a table."""
+    a, n = _system(spark, d)
+    x, _, _ = G.solve_gmres(a, D.rhs(spark, d), n, 1e-9)
+    return x.select("case_id", "i", F.round("x", 5).alias("x"))
+
+
+@query
+def multigrid_couplings(spark, d):
+    """Which unknowns are strongly coupled, either way."""
+    return G.couplings(D.entries(spark, d, 7), D.COUPLED)
+
+
+@query
+def multigrid_aggregates(spark, d):
+    """The aggregate of each unknown, founded over the cluster by independent sets."""
+    return G.aggregates(*_system(spark, d), D.COUPLED)
+
+
+@query
+def multigrid_coarse(spark, d):
+    """The matrix between aggregates, by sparse products."""
+    a, n = _system(spark, d)
+    return G.coarsened(a, G.aggregates(a, n, D.COUPLED))
+
+
+@query
+def multigrid_levels(spark, d):
+    """Size, entries and sum of magnitudes of each level of a system's hierarchy."""
+    a, n = _system(spark, d)
+    levels = G.hierarchy(a, n, coarsest=20, strong=D.COUPLED)[:2]
+    rows = [level.entries.groupBy("case_id").agg(F.lit(k).alias("level"), F.lit(level.n).cast("long").alias("n"), F.count("*").alias("nnz"), F.sum(F.abs("val")).alias("total")) for k, level in enumerate(levels)]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 @query
 def solver_runs(spark, d):
     """Whether the grouped solves ended well: (case_id, status, returncode, mutated)."""

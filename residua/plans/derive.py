@@ -17,6 +17,8 @@ PREFIX = domain(FIELDS, "0" * 64)
 TOLERANCE = 1e-10
 #: Perturbations of case k: powers of two, none for the last case.
 STEPS = (4, 12, 20, 28, 36, 40, None)
+#: Couplings count as strong from this share of the greatest in a row: the derived graphs have no near and far.
+COUPLED = 0.9
 #: Diagonals other than the default: the power of two above twice a row's sum.
 WEIGHTS = {"dominant": (), "dyadic": (lambda total: F.pow(F.lit(2.0), F.ceil(F.log2(1 + 2 * total))),)}
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from residua.functions.rademacher import INNER, OUTER
-from residua.plans.derive import KEY, PREFIX, STEPS, TOLERANCE
+from residua.plans.derive import COUPLED, KEY, PREFIX, STEPS, TOLERANCE
 from residua.schema import METRICS
+from residua.solvers.multigrid import ORDER
 
 _PAD = KEY.ljust(64, b"\0")
 _IN, _OUT = bytes(b ^ INNER for b in _PAD).hex(), bytes(b ^ OUTER for b in _PAD).hex()
@@ -57,6 +58,37 @@ _SYM = f"""{_system()},
 both_ as (select case_id, row, col, sum(val) as val from (select * from off union all select case_id, col, row, val from off) group by all)"""
 _ROUNDED = "select case_id, i, round(x, 5) as x from target"
 _IDENT = "with " + _system(7) + " "
+#: Rounds of founding that the SQL goes through; the rounds after the last change nothing.
+_ROUNDS = 40
+
+
+def _couplings() -> str:
+    return f"""most as (select case_id, row, max(abs(val)) as most from a where row <> col and val <> 0 group by all),
+strong as (select a.case_id, a.row as i, a.col as j, abs(val) as size from a join most m on m.case_id = a.case_id and m.row = a.row where a.row <> a.col and val <> 0 and abs(val) >= {COUPLED} * most),
+pairs as materialized (select case_id, i, j, max(size) as size from (select * from strong union all select case_id, j, i, size from strong) group by all)"""
+
+
+def _aggregates() -> str:
+    """CTEs up to owners(case_id, i, owner) of the one case '0'."""
+    out, place = [_couplings(), "live0 as materialized (select i, j from pairs)"], lambda i: f"({i} * {ORDER} % {1 << 32})"
+    for k in range(_ROUNDS):
+        out += [
+            f"least{k} as materialized (select i, least(min({place('j')}), {place('i')}) as least from live{k} group by i)",
+            f"near{k} as materialized (select l.i from live{k} l join least{k} n on n.i = l.j group by l.i having min(n.least) = {place('l.i')})",
+            f"new{k} as materialized (select i, i as owner from near{k} union all select l.i, l.j as owner from live{k} l join near{k} n on n.i = l.j)",
+            f"live{k + 1} as materialized (select i, j from live{k} where i not in (select i from new{k}) and j not in (select i from new{k}))",
+        ]
+    out += [
+        "founded as materialized (" + " union all ".join(f"select * from new{k}" for k in range(_ROUNDS)) + ")",
+        "beside as (select p.i, f.owner, row_number() over (partition by p.i order by p.size desc, p.j) as nth from pairs p join founded f on f.i = p.j where p.i not in (select i from founded))",
+        "every as materialized (select idx.case_id, idx.i, coalesce(f.owner, b.owner, idx.i) as owner from idx left join founded f on f.i = idx.i left join beside b on b.i = idx.i and b.nth = 1)",
+        "ranks as (select owner, row_number() over (order by owner) - 1 as rank from (select distinct owner from every))",
+        "owners as materialized (select case_id, i, rank as owner from every join ranks using (owner))",
+        "coarse as materialized (select a.case_id, r.owner as row, c.owner as col, sum(val) as val from a join owners r on r.i = a.row join owners c on c.i = a.col group by all)",
+    ]
+    return ",\n".join(out)
+
+
 _ONE = "with " + _system() + " "
 
 ORACLE_SQL: dict[str, str] = {
@@ -105,6 +137,11 @@ ORACLE_SQL: dict[str, str] = {
     "solve_fgmres": _IDENT + _ROUNDED,
     "solve_pcg": _ONE + _ROUNDED,
     "solve_cg_distributed": _ONE + _ROUNDED,
+    "solve_gmres_distributed": _ONE + _ROUNDED,
+    "multigrid_couplings": "with " + _system(7) + ", " + _couplings() + " select case_id, i, j, size from pairs",
+    "multigrid_aggregates": "with " + _system() + ", " + _aggregates() + " select case_id, i, owner from owners",
+    "multigrid_coarse": "with " + _system() + ", " + _aggregates() + " select case_id, row, col, val from coarse",
+    "multigrid_levels": "with " + _system() + ", " + _aggregates() + " select case_id, 0 as level, any_value(n) as n, count(*) as nnz, sum(abs(val)) as total from a join sizes using (case_id) group by case_id union all select case_id, 1, (select count(distinct owner) from owners), count(*), sum(abs(val)) from coarse group by case_id",
     "solver_runs": "select k::varchar as case_id, 0::int as status, 0::int as returncode, false as mutated from range(1, 8) r(k)",
     "solve_and_verify": "select k::varchar as case_id, true as passed, null::varchar as failure from range(1, 8) r(k)",
     "cost_switch": f"with {_RUNS}, c as (select case_id, 1 + reference_ns / 1e12::double as k from runs), s as (select case_id, greatest(1.0::double, acosh(1e10::double) / -ln((sqrt(k) - 1) / (sqrt(k) + 1))) as steps from c) select case_id, round(steps, 4) as steps, case when steps <= 40 + sqrt(steps) * 5 then 'first' else 'second' end as choice from s",
