@@ -71,12 +71,12 @@ def evaluate(spark: SparkSession, source: str, manifest: dict, archives: DataFra
     loaded = timed("input_prepare", lambda: loading.require(*loading.load(spark, manifest, archives, wanted, capture_kind)))
     vectors = loaded.b.select("case_id", "i", F.col("x").alias("b")).join(loaded.x0.select("case_id", "i", F.col("x").alias("x0")), ["case_id", "i"])
     roles = {CANDIDATE: maker} | ({REFERENCE: solve.SOLVERS[solve.REFERENCE]} if family == loading.REPLAY else {})
+    tell(f"solving by {' and '.join(roles)}")
+    results = timed("solve", lambda: stored(solve.solve_groups(loaded.entries, vectors, loaded.cases, roles), "results"))
     verdicts = {}
-    for role, make in roles.items():
-        tell(f"solving by the {role}")
-        results = timed(f"{role}_solve", lambda make=make, role=role: stored(solve.solve_groups(loaded.entries, vectors, loaded.cases, make, role), "results"))
+    for role in roles:
         tell(f"verifying the {role}")
-        verdicts[role] = timed(f"{role}_verification", lambda results=results: stored(verify(results, loaded), "verdicts"))
+        verdicts[role] = timed(f"{role}_verification", lambda role=role: stored(verify(results.where(F.col("role") == role), loaded), "verdicts"))
     if REFERENCE in verdicts and (failed := verdicts[REFERENCE].where(~F.col("passed")).orderBy("case_id").limit(1).collect()):
         raise RuntimeError(f"the fixed reference failed on {failed[0]['case_id']}: {failed[0]['failure']}")
     rows = loaded.cases.select("case_id", "idx", "role", "input_sha256").join(verdicts[CANDIDATE].select("case_id", "passed", F.col("elapsed_ns").alias("candidate_ns"), F.struct(*RUN).alias(CANDIDATE)), "case_id")

@@ -123,9 +123,9 @@ def test_evaluation_of_mesh_cases(spark, tmp_path):
     manifest, told = _mesh(tmp_path, [_mesh_case(tmp_path, k) for k in range(2)]), []
     report = evaluate.evaluate(spark, "multigrid_bicgstab", manifest, str(tmp_path / "cache"), progress=told.append)
     assert report["complete"] and report["all_passed"] and report["value"] == 2 and not report["official"] and told
-    assert cli.lines_of(report) == ["c0: PASS", "c1: PASS", "cases solved: 2 of 2"]
+    assert list(cli.lines_of(report)) == ["2 solved of 2 cases", "passed c0", "passed c1"]
     report = evaluate.evaluate(spark, "bicgstab", manifest, str(tmp_path / "cache"), ["c1"])
-    assert report["value"] is None and cli.lines_of(report)[-1] == "cases solved: 1 of 1 evaluated (2 in all)"
+    assert report["value"] is None and list(cli.lines_of(report))[0] == "1 solved of 1 cases, a part of 2"
 
 
 HALF = "class S:\n    def setup(self, a, b, x0):\n        self.b = b\n    def solve(self):\n        from residua.solvers.krylov import Outcome\n        return Outcome(%s, 0, 1)\ndef make(tolerance):\n    return S()\n"
@@ -144,10 +144,12 @@ def test_command_line_on_replay_cases(spark, tmp_path, capsys):
     args = ["run", "gmres", "--manifest", str(tmp_path / "m.json"), "--cache", str(tmp_path / "cache"), "--capture-kind", "k", "--output", str(tmp_path / "out" / "r.json")]
     assert cli.main(args) == 0
     report, said = json.loads((tmp_path / "out" / "r.json").read_text()), capsys.readouterr()
-    assert report["value"] > 0 and said.out.startswith("c0: PASS ") and "runtime speedup" in said.out and "verifying the reference" in said.err
+    assert report["value"] > 0 and "times as fast as the reference\npassed c0 at " in said.out and "verifying the reference" in said.err
     assert cli.main([*args, "--case", "nothing"]) == 2 and cli.main([*args, "--pinned", "0" * 64]) == 2
     (tmp_path / "s.py").write_text(HALF % "self.b * 0")
     assert cli.main([args[0], str(tmp_path / "s.py"), *args[2:]]) == 1
+    said = capsys.readouterr().out
+    assert said.startswith("no score") and "failed c0: " in said
 
 
 def test_submissions(tmp_path, capsys):
@@ -156,11 +158,21 @@ def test_submissions(tmp_path, capsys):
     assert cli.main(args) == 0 and cli.main(args) == 2
     assert submission.check(tmp_path / "sub")["families"] == ["mesh"] and cli.main(["check", str(tmp_path / "sub")]) == 0
     (tmp_path / "sub" / "solver.py").write_text("def make(t):\n    return 1\n")
-    with pytest.raises(ValueError, match="another"):
+    with pytest.raises(ValueError, match="source_sha256 does not hold"):
         submission.check(tmp_path / "sub")
     (tmp_path / "sub" / "more").write_text("")
-    with pytest.raises(ValueError, match="folder"):
+    with pytest.raises(ValueError, match="more does not belong there"):
         submission.check(tmp_path / "sub")
+    good = submission.documents(submission.Offer("my-solver", " Me ", ("replay", "mesh", "mesh"), b"def make(t):\n    return 1\n"))
+    assert submission.faults(good) == [] and submission.description(good)["families"] == ["mesh", "replay"]
+    stated = submission.description(good)
+    for name, values in {"name": ["A", "", None, 3], "submitter": ["  ", None], "families": [[], ["x"], ["mesh", "mesh"], "mesh", None], "schema_version": [1, "2"], "source": ["solver.c"], "candidate_abi": [None], "source_sha256": ["0" * 64]}.items():
+        for value in values:
+            assert submission.faults(good | {"submission.json": json.dumps(stated | {name: value}).encode()}) == [f"submission.json: {name} does not hold"]
+    assert submission.faults({}) and submission.faults(good | {"README.md": b" \n"}) == ["README.md is empty"]
+    assert submission.faults(good | {"submission.json": json.dumps(stated | {"more": 1}).encode()}) == ["submission.json: more is unknown"]
+    with pytest.raises(ValueError, match="families"):
+        submission.package(tmp_path / "s.py", tmp_path / "sub2", "my-solver", ["other"], "Me")
     for data in (b"\xff", b"x = 1\n", b"def make(t): return 1\r\n", b"def make(\n"):
         assert submission.source_faults(data)
 
@@ -195,3 +207,52 @@ def test_solvers_on_a_grid(name):
     assert found.status == 0 and np.allclose(found.x, np.cos(i * 1.0), atol=1e-6)
     if "multigrid" in name:
         assert found.iterations < 30
+
+
+def test_every_run_pays_for_its_set_up(monkeypatch):
+    made = []
+    monkeypatch.setitem(solve.PRECONDITIONERS, "counted", lambda a: made.append(a.n) or (lambda r: r))
+    dense, _, _, _ = _system(3)
+    rows, cols = np.nonzero(dense)
+    a, b = solve.Csr(len(dense), rows, cols, dense[rows, cols]), dense @ np.ones(len(dense))
+    maker = lambda tol: solve.Krylov("gmres", tol, preconditioner="counted", restart=40)
+    for role in ("candidate", "reference", "candidate"):
+        assert solve.executed("c", role, maker, a, b, 0 * b, 1e-9)["status"] == 0
+    assert len(made) == 3
+    # One solver uses again what it has for the same matrix, and nothing else.
+    solver = maker(1e-9)
+    for vals in (a.vals, a.vals.copy(), 2 * a.vals):
+        solver.setup(solve.Csr(a.n, rows, cols, vals), b, 0 * b)
+    assert len(made) == 5
+
+
+def test_roles_of_a_case_run_in_one_task_on_their_own_copies(spark):
+    class Spoiler:
+        """Changes what it gets, and then gives the right answer."""
+
+        def __init__(self, tolerance):
+            self.inner = solve.SOLVERS["gmres"](tolerance)
+
+        def setup(self, matrix, b, x0):
+            self.inner.setup(solve.Csr(matrix.n, matrix.rows, matrix.cols, matrix.vals.copy()), b.copy(), x0)
+            matrix.vals[:] = 0
+            b[:] = 0
+
+        def solve(self):
+            return self.inner.solve()
+
+    rows, vectors, names = [], [], [f"case {k}" for k in range(6)]
+    for k, name in enumerate(names):
+        a = _system(k, 12)[0]
+        rows += [(name, int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)]
+        vectors += [(name, i, float(v), 0.0) for i, v in enumerate(a @ np.ones(12))]
+    entries = spark.createDataFrame(rows, "case_id string, row bigint, col bigint, val double")
+    given = spark.createDataFrame(vectors, "case_id string, i bigint, b double, x0 double")
+    cases = spark.createDataFrame([(n, 12, 1e-9) for n in [*names, "none"]], "case_id string, n bigint, tolerance double")
+    found = solve.solve_groups(entries, given, cases, {"candidate": Spoiler, "reference": solve.SOLVERS["gmres"]}).collect()
+    assert len(found) == 12 and all(r["returncode"] == 0 and np.allclose(r["solution"], 1, atol=1e-6) for r in found)
+    assert {r["role"]: r["mutated"] for r in found} == {"candidate": True, "reference": False}
+    first = {r["case_id"]: r["role"] for r in reversed(found)}
+    assert set(first.values()) == {"candidate", "reference"}
+    lost = solve.solve_groups(entries, given.where("case_id <> 'case 1'"), cases, "gmres").where("case_id = 'case 1'").collect()
+    assert [(r["returncode"], r["diagnostics"]) for r in lost] == [(1, "no vectors")]
