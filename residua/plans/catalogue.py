@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -652,8 +653,6 @@ def matrix_market_load(spark, d):
 
     a, sizes = _system(spark, d)
     n, nnz = D.size(spark, d), a.count()
-    import uuid
-
     folder = f"{shared_dir(spark)}/residua/market-{uuid.uuid4().hex}"
     head = spark.range(1).select(F.concat(F.lit("%%MatrixMarket matrix coordinate real general\n"), F.repeat(F.lit("% a comment\n"), 500), F.lit(f"{n} {n} {nnz}")).alias("value"))
     body = a.select(F.format_string("%d %d %.17g", F.col("row") + 1, F.col("col") + 1, F.col("val")).alias("value"), F.col("row"), F.col("col"))
@@ -665,6 +664,54 @@ def matrix_market_load(spark, d):
     return entries
 
 
+@query
+def archive_scan(spark, d):
+    """Three of the seven systems, out of archives that hold them all: cases 1 to 4 in
+    gzipped tar archives of their own, 5 to 7 in one zip archive."""
+    from residua.operators.storage import shared_dir
+    from residua.sources import archive_source
+
+    folder = f"{shared_dir(spark)}/residua/archives-{uuid.uuid4().hex}"
+    archive = F.when(F.col("case_id") < "5", F.concat(F.lit("m"), F.col("case_id"), F.lit(".tar.gz"))).otherwise("rest.zip")
+    a, sizes = _system(spark, d, 7)
+
+    def pack(key, own):
+        import io
+        import tarfile
+        import zipfile
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        members, out = {}, io.BytesIO()
+        for case in sorted(set(own["case_id"].to_pylist())):
+            part = own.filter(pc.equal(own["case_id"], case))
+            body, n = io.BytesIO(), part["n"][0].as_py()
+            np.savetxt(body, np.column_stack([part["row"].to_numpy() + 1, part["col"].to_numpy() + 1, part["val"].to_numpy()]), fmt=["%d", "%d", "%.17g"])
+            members[f"m{case}/m{case}.mtx"] = f"%%MatrixMarket matrix coordinate real general\n{n} {n} {part.num_rows}\n".encode() + body.getvalue()
+        if key[0].as_py().endswith(".zip"):
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as made:
+                for name, data in members.items():
+                    made.writestr(name, data)
+        else:
+            with tarfile.open(fileobj=out, mode="w:gz", compresslevel=1) as made:
+                for name, data in members.items():
+                    info = tarfile.TarInfo(name)
+                    info.size = len(data)
+                    made.addfile(info, io.BytesIO(data))
+        system, path = archive_source.opened(folder)
+        system.create_dir(path, recursive=True)
+        with system.open_output_stream(f"{path}/{key[0].as_py()}", compression=None) as file:
+            file.write(out.getvalue())
+        return pa.table({"archive": [key[0].as_py()]})
+
+    # The systems are small enough for a task each: this is the fixture, the scan is what is tested.
+    a.join(sizes, "case_id").withColumn("archive", archive).groupBy("archive").applyInArrow(pack, "archive string").write.format("noop").mode("overwrite").save()
+    archive_source.register(spark)
+    return spark.read.format(archive_source.NAME).load(folder).where(F.col("case_id").isin("m2", "m5", "m7"))
+
+
 @query
 def execution_violations(spark, d):
     """Executions and inputs that break a rule, over records made of orders."""

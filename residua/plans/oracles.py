@@ -136,6 +136,7 @@ ORACLE_SQL: dict[str, str] = {
     "solve_gmres": _IDENT + _ROUNDED,
     "solve_fgmres": _IDENT + _ROUNDED,
     "solve_pcg": _ONE + _ROUNDED,
+    "archive_scan": _IDENT + "select case when case_id < '5' then 'm' || case_id || '.tar.gz' else 'rest.zip' end as archive, 'm' || case_id as case_id, row, col, val from a where case_id in ('2', '5', '7')",
     "solve_cg_distributed": _ONE + _ROUNDED,
     "solve_gmres_distributed": _ONE + _ROUNDED,
     "multigrid_couplings": "with " + _system(7) + ", " + _couplings() + " select case_id, i, j, size from pairs",

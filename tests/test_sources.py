@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from residua.functions.digests import matrix_sha256, vector_sha256
-from residua.sources import archives, bundles, manifest, matrix_market, replay, wire
+from residua.sources import archive_source, archives, bundles, manifest, market_stream, matrix_market, replay, wire
 
 
 def _tar(files):
@@ -60,12 +60,12 @@ def test_wrong_entries_are_refused(spark, tmp_path, body):
     with pytest.raises(ValueError):
         matrix_market.read_matrix_market(spark, str(tmp_path / "a.mtx"), "a")
     with pytest.raises(ValueError):
-        matrix_market.parse(text)
+        list(market_stream.Entries(io.BytesIO(text.encode())))
 
 
 def test_matrix_market_archive(spark, tmp_path):
     (tmp_path / "m.tar.gz").write_bytes(_tar([("x/x.mtx", SYM.encode()), ("x/readme", b"hi")]))
-    assert matrix_market.read_archives(spark, str(tmp_path / "m.tar.gz")).count() == 4
+    assert archive_source.read_archives(spark, str(tmp_path / "m.tar.gz")).count() == 4
 
 
 @pytest.mark.parametrize("head", ["%%MatrixMarket matrix array real general", "%%MatrixMarket matrix coordinate complex general", "hello"])
@@ -169,3 +169,84 @@ def test_bundles(spark, tmp_path):
     kept, hit = bundles.store_bundle(cases, inputs, str(tmp_path))
     assert not hit and kept.count() == 2
     assert bundles.store_bundle(cases, inputs, str(tmp_path))[1]
+
+
+def _text(a, symmetry="general"):
+    rows, cols = np.nonzero(a)
+    if symmetry != "general":
+        rows, cols = rows[rows >= cols], cols[rows >= cols]
+    lines = [f"%%MatrixMarket matrix coordinate real {symmetry}", "% note", "", f"{len(a)} {len(a)} {len(rows)}", *(f"{i + 1} \t{j + 1}  {a[i, j]:.17g}" for i, j in zip(rows, cols, strict=True))]
+    return "\n".join(lines).encode()
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64, 1 << 20])
+def test_streamed_entries_equal_the_matrix(chunk):
+    rng = np.random.default_rng(chunk)
+    a = np.where(rng.random((30, 30)) < 0.2, rng.standard_normal((30, 30)), 0)
+    for symmetry, whole in (("general", a), ("symmetric", a + a.T), ("skew-symmetric", np.tril(a, -1) - np.tril(a, -1).T)):
+        entries = market_stream.Entries(io.BytesIO(_text(whole, symmetry) + b"\n% end\n\n"), chunk)
+        found = np.zeros((30, 30))
+        for rows, cols, vals in entries:
+            assert len(rows) <= max(2, chunk)
+            np.add.at(found, (rows, cols), vals)
+        assert np.array_equal(found, whole) and entries.n == 30 and entries.symmetry == symmetry
+    pattern = market_stream.Entries(io.BytesIO(b"%%MatrixMarket matrix coordinate pattern general\n2 2 2\n1 2\n2 1\n"), chunk)
+    assert [x.tolist() for x in market_stream.whole(pattern)] == [[0, 1], [1, 0], [1.0, 1.0]]
+    for body in (b"", b"2 2 1\n1.5 1 1\n", b"2 2 1\n1 1 1\n1 2 1\n", b"2 2 2\n1 1 1\n", b"2 2 1\n0 1 1\n", b"2 2 1\n1 1 1 1\n", b"2 2 1\n1 1 inf\n", b"2 2 1\n" + b"9" * 10_000):
+        with pytest.raises(ValueError):
+            list(market_stream.Entries(io.BytesIO(b"%%MatrixMarket matrix coordinate real general\n" + body), chunk))
+    assert [len(x) for x in market_stream.whole(market_stream.Entries(io.BytesIO(b"%%MatrixMarket matrix coordinate real general\n5 5 0\n"), chunk))] == [0, 0, 0]
+
+
+def test_streamed_archives_are_bounded_and_digested():
+    a, b = np.eye(4), 2 * np.eye(3)
+    data = _tar([("a/a.mtx", _text(a)), ("a/a_b.mtx", b"other"), ("readme", b"x"), ("b/b.mtx", _text(b))])
+    sha = hashlib.sha256(data).hexdigest()
+    read = lambda **k: {case: (m.n, market_stream.whole(m)[2].sum()) for case, m in market_stream.matrices(io.BytesIO(data), **k)}
+    assert read(sha256=sha) == {"a": (4, 4.0), "b": (3, 6.0)} and read(wanted={"b"}, sha256=sha) == {"b": (3, 6.0)}
+    with pytest.raises(archives.UnsafeArchive, match="another"):
+        read(sha256="0" * 64)
+    with pytest.raises(archives.UnsafeArchive):
+        read(most_bytes=20)
+    for bad in ([("../a/a.mtx", b"")], [("a/a.mtx", _text(a)), ("a/a.mtx", b"")]):
+        with pytest.raises(archives.UnsafeArchive):
+            [list(m) for _, m in market_stream.matrices(io.BytesIO(_tar(bad)))]
+    with pytest.raises(ValueError):
+        [list(m) for _, m in market_stream.matrices(io.BytesIO(data[: len(data) // 2]))]
+    with pytest.raises(ValueError):
+        list(market_stream.matrices(io.BytesIO(b"no archive")))
+
+
+def test_memory_of_a_stream_is_bounded():
+    import tracemalloc
+
+    lines = 400_000
+    text = b"%%MatrixMarket matrix coordinate real general\n1000 1000 400000\n" + b"123 456 0.125\n" * lines
+    source = io.BytesIO(text)
+    tracemalloc.start()
+    count = sum(len(rows) for rows, _, _ in market_stream.Entries(source, 1 << 18))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == lines and peak < 8 << 20
+
+
+def test_archive_source_plans_by_case(spark, tmp_path):
+    made = {k: np.diag(np.arange(1.0, k + 2)) for k in range(5)}
+    for k in (0, 1):
+        (tmp_path / f"m{k}.tar.gz").write_bytes(_tar([(f"m{k}/m{k}.mtx", _text(made[k])), ("about", b"x")]))
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "more.zip").write_bytes(_zip([(f"m{k}/m{k}.mtx", _text(made[k])) for k in (2, 3, 4)]))
+    (tmp_path / "notes.txt").write_text("not an archive")
+    archive_source.register(spark)
+    frame = spark.read.format("matrix_archives").load(str(tmp_path))
+    assert frame.rdd.getNumPartitions() == 5
+    sums = {r["case_id"]: r["t"] for r in frame.groupBy("case_id").sum("val").withColumnRenamed("sum(val)", "t").collect()}
+    assert sums == {f"m{k}": made[k].sum() for k in range(5)}
+    one = frame.where("case_id = 'm3' and row > 0")
+    assert one.rdd.getNumPartitions() == 3  # one member, and the two archives that may hold it
+    assert one.count() == 3 and {r["archive"] for r in one.collect()} == {"more.zip"}
+    assert frame.where("case_id in ('m0', 'm4')").count() == 6 and frame.where("case_id = 'm0' and case_id = 'm1'").count() == 0
+    named = spark.read.format("matrix_archives").option("named", "true").load(str(tmp_path))
+    assert named.where("case_id = 'm1'").rdd.getNumPartitions() == 1 and named.where("case_id = 'm1'").count() == 2
+    heads = spark.read.format("matrix_archives").option("part", "heads").load(f"{tmp_path}/deep/more.zip")
+    assert sorted((r["case_id"], r["n"], r["stated"]) for r in heads.collect()) == [(f"m{k}", k + 1, k + 1) for k in (2, 3, 4)]
