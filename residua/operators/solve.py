@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from residua.operators import matrix as M
 from residua.operators.storage import scratch, stored
-from residua.solvers import krylov, multigrid, spectrum
+from residua.solvers import ilu, krylov, multigrid, spectrum
 
 RESULT = "case_id string, role string, returncode int, wall_seconds double, diagnostics string, status int, iterations int, elapsed_ns bigint, create_ns bigint, setup_ns bigint, solve_ns bigint, mutated boolean, solution array<double>"
 
@@ -59,6 +59,7 @@ PRECONDITIONERS: dict[str, Callable[[Csr], krylov.Apply]] = {
     "jacobi": lambda a: _diagonal(a),
     "multigrid": lambda a: multigrid.Multigrid(a.n, a.rows, a.cols, a.vals).cycle,
     "chebyshev": lambda a: _chebyshev(a),
+    "ilu": lambda a: ilu.Ilu(a.n, a.rows, a.cols, a.vals).solve,
 }
 
 
@@ -133,6 +134,8 @@ SOLVERS: dict[str, Callable[[float], Solver]] = {
     "multigrid_cg": lambda tol: Krylov("cg", tol, preconditioner="multigrid"),
     "multigrid_gmres": lambda tol: Krylov("gmres", tol, preconditioner="multigrid", restart=50),
     "multigrid_bicgstab": lambda tol: Krylov("bicgstab", tol, preconditioner="multigrid"),
+    "ilu_gmres": lambda tol: Krylov("gmres", tol, preconditioner="ilu", restart=50),
+    "ilu_bicgstab": lambda tol: Krylov("bicgstab", tol, preconditioner="ilu"),
     "chebyshev_cg": lambda tol: Krylov("cg", tol, preconditioner="chebyshev"),
     "cheapest_cg": Cheapest,
 }
@@ -142,7 +145,7 @@ REFERENCE = "multigrid_gmres"
 
 def registry() -> dict[str, str]:
     """The name of each solver and the sha256 of the source it runs."""
-    text = "".join(map(inspect.getsource, (krylov, multigrid, spectrum, Krylov, Cheapest)))
+    text = "".join(map(inspect.getsource, (ilu, krylov, multigrid, spectrum, Krylov, Cheapest)))
     return {name: hashlib.sha256(f"{name}\0{text}".encode()).hexdigest() for name in SOLVERS}
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from residua.functions import digests
+from residua.functions import digests, exact
 from residua.operators import cases as C
 from residua.operators import cluster as G
 from residua.operators import matrix as M
@@ -365,6 +365,32 @@ def multigrid_levels(spark, d):
     return functools.reduce(DataFrame.unionByName, rows)
 
 
+@query
+def solve_ilu(spark, d):
+    """Seven systems by BiCGStab with incomplete factors, each in a task."""
+    return S.solutions(_grouped(spark, d, "ilu_bicgstab")).select("case_id", "i", F.round("x", 5).alias("x"))
+
+
+@query
+def fsai_identity(spark, d):
+    """What defines a factored approximate inverse G of a symmetric system: on the
+    pattern of G, the product G A is zero but for the diagonal, where it is 1 / G."""
+    a = D.symmetric_entries(spark, d)
+    g = stored(G.fsai(a), "fsai")
+    product = g.select("case_id", "row", F.col("col").alias("k"), "val").join(a.select("case_id", F.col("row").alias("k"), "col", F.col("val").alias("a")), ["case_id", "k"])
+    product = product.groupBy("case_id", "row", "col").agg(F.sum(F.col("val") * F.col("a")).alias("ga"))
+    diagonal = g.where("row = col").select("case_id", "row", F.col("val").alias("d"))
+    found = g.join(product, ["case_id", "row", "col"]).join(diagonal, ["case_id", "row"])
+    return found.select("case_id", "row", "col", (F.round(F.col("ga") * F.col("d"), 9) + F.lit(0.0)).alias("identity"))
+
+
+@query
+def exact_sums(spark, d):
+    """Prices summed without rounding on the way, by return flag and line."""
+    own = D.table(spark, d, "lineitem").select("l_returnflag", "l_linenumber", F.col("l_extendedprice").cast("double").alias("price"))
+    return exact.exact_sums(own, ["l_returnflag", "l_linenumber"], "price").withColumn("total", F.round("total", 3))
+
+
 @query
 def solver_runs(spark, d):
     """Whether the grouped solves ended well: (case_id, status, returncode, mutated)."""

@@ -173,6 +173,9 @@ union all select doc_id::varchar, 'must include exactly one header' from s where
     "submission_audit": "select (case when c_custkey % 7 = 0 then 'Bad Name' else 'solver-' end) || c_custkey::varchar as name, 'name is malformed' as rule from customer where c_custkey % 7 = 0 union all select (case when c_custkey % 7 = 0 then 'Bad Name' else 'solver-' end) || c_custkey::varchar, 'submitter is blank' from customer where c_custkey % 11 = 0 union all select (case when c_custkey % 7 = 0 then 'Bad Name' else 'solver-' end) || c_custkey::varchar, 'unknown family' from customer where c_custkey % 13 = 0",
     "wire_roundtrip": _IDENT + "select a.case_id, any_value(n) as n, count(*)::bigint as nnz, sum(val) as sum_val, any_value(sb) as sum_b from a join sizes using (case_id) join (select case_id, sum(x) as sb from rhs group by all) using (case_id) group by all",
     "solve_multigrid": _IDENT + _ROUNDED,
+    "solve_ilu": _IDENT + _ROUNDED,
+    "fsai_identity": "with " + _system() + ", both_ as (select row, col, val from raw where row <> col union all select col, row, val from raw where row <> col), places as (select row, col from both_ where col < row group by row, col having sum(val) <> 0) select '0' as case_id, row, col, 0.0::double as identity from places union all select case_id, i, i, 1.0::double from idx",
+    "exact_sums": f"select l_returnflag, l_linenumber, round(cast(sum(cast(l_extendedprice::double * {1 << 40} as hugeint)) as double) / {1 << 40}, 3) as total from lineitem group by all",
     "solve_chebyshev": _ONE + _ROUNDED,
     "solve_cheapest": _ONE + _ROUNDED,
     "verdict_fail_closed": f"select k::varchar as case_id, k >= 6 as passed, case when k < 6 then 'invalid {METRICS[0]}' end as failure from range(1, 8) r(k)",

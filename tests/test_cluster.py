@@ -137,3 +137,27 @@ def test_dominant_diagonal(spark):
     sizes = spark.createDataFrame([("c", 3)], "case_id string, n bigint")
     found = {(r["row"], r["col"]): r["val"] for r in M.with_dominant_diagonal(off, sizes, lambda t: 2 * F.greatest(t, F.lit(1.0))).collect()}
     assert found == {(0, 1): -2.0, (0, 2): 3.0, (0, 0): 10.0, (1, 1): 2.0, (2, 2): 2.0}
+
+
+def test_approximate_inverse_equals_small_solves_and_speeds_up_gmres(spark, monkeypatch):
+    a = _grid(7, wind=0.0)
+    monkeypatch.setattr(C, "GROUP", 10)
+    entries, sizes = _frame(spark, a)
+    g = np.zeros_like(a)
+    for r in C.fsai(entries).collect():
+        g[r["row"], r["col"]] = r["val"]
+    for i in range(len(a)):
+        places = np.flatnonzero(a[i, : i + 1])
+        y = np.linalg.solve(a[np.ix_(places, places)], np.eye(len(places))[-1])
+        want = np.zeros(len(a))
+        want[places] = y / np.sqrt(y[-1])
+        assert np.allclose(g[i], want, atol=1e-12)
+    target = np.sin(1.0 + np.arange(49.0))
+    b = _vector(spark, a @ target)
+    with scratch(spark):
+        x, steps, _ = C.solve_gmres(entries, b, sizes, 1e-8, precondition=C.factored(stored(C.fsai(entries), "g"), sizes))
+        found = _values(x, 49)
+    plain = C.solve_gmres(entries, b, sizes, 1e-8)[1]
+    assert np.allclose(found, target, atol=1e-6) and steps < plain
+    with pytest.raises(Exception, match="not positive definite"):
+        C.fsai(_frame(spark, np.array([[1.0, 2.0], [2.0, 1.0]]))[0]).collect()

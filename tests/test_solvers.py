@@ -145,3 +145,49 @@ def test_setups_are_used_again_for_the_same_matrix_only():
     assert one.precondition is first
     one.setup(of(4.0), np.ones(3), np.zeros(3))
     assert one.precondition is not first and np.allclose(one.solve().x, 0.25)
+
+
+def _plain_ilu(a):
+    """ILU(0) row by row on the pattern of a dense matrix."""
+    f, pattern = a.copy(), (a != 0) | np.eye(len(a), dtype=bool)
+    for i in range(len(a)):
+        for k in range(i):
+            if pattern[i, k]:
+                f[i, k] /= f[k, k]
+                for j in range(k + 1, len(a)):
+                    if pattern[i, j]:
+                        f[i, j] -= f[i, k] * f[k, j]
+    return f
+
+
+@pytest.mark.parametrize("density", [0.05, 0.3])
+def test_incomplete_factors_equal_plain_ones(density):
+    from residua.solvers.ilu import Ilu, levels_of
+
+    rng = np.random.default_rng(int(100 * density))
+    n = 40
+    a = np.where(rng.random((n, n)) < density, rng.standard_normal((n, n)), 0)
+    a += np.diag(2 + np.abs(a).sum(axis=1))
+    rows, cols = np.nonzero(a)
+    own = Ilu(n, rows, cols, a[rows, cols])
+    want = _plain_ilu(a)
+    assert np.allclose(own.vals, want[own.rows, own.cols])
+    lower, upper = np.tril(want, -1) + np.eye(n), np.triu(want)
+    r = rng.standard_normal(n)
+    assert np.allclose(own.solve(r), np.linalg.solve(upper, np.linalg.solve(lower, r)))
+    level = levels_of(n, rows, cols)
+    assert all(level[i] == max([level[j] + 1 for j in range(i) if a[i, j]], default=0) for i in range(n))
+
+
+def test_incomplete_factors_of_a_band_are_whole_and_weak_pivots_stay_finite():
+    from residua.solvers.ilu import Ilu
+
+    n = 30
+    a = np.diag(np.full(n, 4.0)) + np.diag(np.full(n - 1, -1.0), 1) + np.diag(np.full(n - 1, -2.0), -1)
+    rows, cols = np.nonzero(a)
+    b = np.arange(n, dtype=float)
+    assert np.allclose(Ilu(n, rows, cols, a[rows, cols]).solve(b), np.linalg.solve(a, b))
+    weak = Ilu(3, np.array([0, 0, 1, 2]), np.array([0, 1, 0, 2]), np.array([0.0, 1.0, 1.0, 5.0]))
+    assert np.isfinite(weak.solve(np.ones(3))).all()
+    assert Ilu(0, *[np.zeros(0, int)] * 2, np.zeros(0)).solve(np.zeros(0)).shape == (0,)
+    assert Ilu(2, np.zeros(0, int), np.zeros(0, int), np.zeros(0)).solve(np.ones(2)).tolist() == [1.0, 1.0]
