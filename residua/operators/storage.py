@@ -66,3 +66,10 @@ def state_of(spark: SparkSession, *paths: str) -> tuple:
             inner = [top] if top.isFile() else at.getFileSystem(conf).listStatus(top.getPath())
             found += [(path, f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in inner]
     return tuple(sorted(found))
+
+
+def is_there(df: DataFrame) -> bool:
+    """Whether the files that a stored table is read from are still there."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return all(at.getFileSystem(conf).exists(at) for at in paths)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from residua.functions.rademacher import domain, signs
 from residua.operators import matrix as M
-from residua.operators.storage import state_of, stored
+from residua.operators.storage import is_there, state_of, stored
 
 KEY = b"residua fixture key 0001"
 FIELDS = {"scheme": "rademacher-hmac-sha256-v2", "release_id": "fixture", "family": "mesh", "rhs_kind": "rademacher", "draw_index": 0}
@@ -32,11 +32,20 @@ _kept: dict[tuple, object] = {}
 
 def once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], make: Callable[[], object]) -> object:
     """What ``make`` gives, kept for the application as long as the files of the
-    tables are the same: systems are derived and written once, whatever uses them."""
+    tables are the same and what was written is there: systems are derived and written
+    once, whatever uses them.  ``forget`` lets go of all."""
     key = (spark.sparkContext.applicationId, sf_dir, name, state_of(spark, *[f"{sf_dir}/{t}.parquet" for t in tables]))
-    if key not in _kept:
-        _kept[key] = make()
-    return _kept[key]
+    found = _kept.get(key)
+    if found is None or isinstance(found, DataFrame) and not is_there(found):
+        for old in [k for k in _kept if k[0] != key[0] or k[1:3] == key[1:3]]:
+            del _kept[old]  # of an application that has ended, or of files that have changed
+        found = _kept[key] = make()
+    return found
+
+
+def forget() -> None:
+    """Derive everything anew from now on."""
+    _kept.clear()
 
 
 def size(spark: SparkSession, sf_dir: str) -> int:

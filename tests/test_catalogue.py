@@ -57,3 +57,17 @@ def test_signs_equal_hmac(spark):
 def test_metrics_plan_reads_few_columns(spark, small):
     plan = catalogue.QUERIES["spmv"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "Cartesian" not in plan and "Python" not in plan
+
+
+def test_kept_systems_are_derived_anew_when_their_files_are_gone(spark, small):
+    import shutil
+
+    from residua.plans import derive
+
+    first = derive.entries(spark, small)
+    assert derive.entries(spark, small) is first
+    shutil.rmtree(first.inputFiles()[0].removeprefix("file:").replace("//", "/").rpartition("/")[0])
+    again = derive.entries(spark, small)
+    assert again is not first and again.count() > 0
+    derive.forget()
+    assert derive.entries(spark, small) is not again
