@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from residua.operators import matrix as M
 from residua.operators.storage import scratch, stored
-from residua.solvers import ilu, krylov, multigrid, spectrum
+from residua.solvers import ilu, krylov, multigrid, spectrum, switching
 
 RESULT = "case_id string, role string, returncode int, wall_seconds double, diagnostics string, status int, iterations int, elapsed_ns bigint, create_ns bigint, setup_ns bigint, solve_ns bigint, mutated boolean, solution array<double>"
 
@@ -125,6 +125,33 @@ class Cheapest(Krylov):
         super().setup(matrix, b, x0)
 
 
+class Switching(Krylov):
+    """A method that begins by the diagonal and goes on by multigrid as soon as that is
+    predicted to be done sooner; multigrid is set up only then."""
+
+    def __init__(self, method: str, rtol: float, **options):
+        super().__init__(method, rtol, **options)
+        self.strong: krylov.Apply | None = None
+
+    def setup(self, matrix: Csr, b: np.ndarray, x0: np.ndarray) -> None:
+        before = self.ready
+        super().setup(matrix, b, x0)
+        if self.ready != before:
+            self.strong = None
+
+    def _strong(self, r: np.ndarray) -> np.ndarray:
+        if self.strong is None:
+            self.strong = PRECONDITIONERS["multigrid"](self.matrix)
+        return self.strong(r)
+
+    def solve(self) -> krylov.Outcome:
+        def by(precondition: krylov.Apply) -> Callable:
+            return lambda x, watch: self.METHODS[self.method](lambda v: self.matrix @ v, self.b, x, precondition, self.rtol, self.atol, watch=watch, **self.options)
+
+        found, self.controllers = switching.run([by(self.precondition), by(self._strong)], self.x0)
+        return found
+
+
 #: Makers of solvers by name: called with the tolerance of the case.
 SOLVERS: dict[str, Callable[[float], Solver]] = {
     "cg": lambda tol: Krylov("cg", tol),
@@ -138,6 +165,8 @@ SOLVERS: dict[str, Callable[[float], Solver]] = {
     "ilu_bicgstab": lambda tol: Krylov("bicgstab", tol, preconditioner="ilu"),
     "chebyshev_cg": lambda tol: Krylov("cg", tol, preconditioner="chebyshev"),
     "cheapest_cg": Cheapest,
+    "switching_cg": lambda tol: Switching("cg", tol),
+    "switching_bicgstab": lambda tol: Switching("bicgstab", tol),
 }
 #: What candidates are measured against.
 REFERENCE = "multigrid_gmres"
@@ -145,7 +174,7 @@ REFERENCE = "multigrid_gmres"
 
 def registry() -> dict[str, str]:
     """The name of each solver and the sha256 of the source it runs."""
-    text = "".join(map(inspect.getsource, (ilu, krylov, multigrid, spectrum, Krylov, Cheapest)))
+    text = "".join(map(inspect.getsource, (ilu, krylov, multigrid, spectrum, switching, Krylov, Cheapest, Switching)))
     return {name: hashlib.sha256(f"{name}\0{text}".encode()).hexdigest() for name in SOLVERS}
 
 

@@ -14,6 +14,7 @@ from residua.operators import cases as C
 from residua.operators import cluster as G
 from residua.operators import matrix as M
 from residua.operators import metrics as E
+from residua.operators import schwarz as W
 from residua.operators import score as R
 from residua.operators import solve as S
 from residua.operators import vectors as V
@@ -610,6 +611,33 @@ def solve_cheapest(spark, d):
     return _rounded_solution(_grouped(spark, d, "cheapest_cg", symmetric=True))
 
 
+@query
+def solve_switching(spark, d):
+    """By the diagonal at first, by multigrid once that is predicted to end sooner."""
+    return _rounded_solution(_grouped(spark, d, "switching_cg", symmetric=True))
+
+
+@query
+def solve_switching_nonsymmetric(spark, d):
+    return _rounded_solution(_grouped(spark, d, "switching_bicgstab"))
+
+
+@query
+def schwarz_overlap(spark, d):
+    """Parts of 16 unknowns each, with two layers of strongly coupled neighbours."""
+    n = D.sizes(spark, d, 7)
+    owned = M.dense(n).select("case_id", "i", F.expr("i div 16").alias("part"))
+    return W.overlapping(D.entries(spark, d, 7), owned, 2, D.COUPLED, 6)
+
+
+@query
+def solve_schwarz(spark, d):
+    """GMRES over the cluster with the weighted sum over overlapping parts."""
+    a, n = _system(spark, d)
+    x, _, _ = W.solve_schwarz(a, D.rhs(spark, d), n, 1e-9, strong=D.COUPLED)
+    return x.select("case_id", "i", F.round("x", 5).alias("x"))
+
+
 @query
 def verdict_fail_closed(spark, d):
     """Solutions that are empty, short, doubled in a place, too long, not finite, or

@@ -178,6 +178,15 @@ union all select doc_id::varchar, 'must include exactly one header' from s where
     "exact_sums": f"select l_returnflag, l_linenumber, round(cast(sum(cast(l_extendedprice::double * {1 << 40} as hugeint)) as double) / {1 << 40}, 3) as total from lineitem group by all",
     "solve_chebyshev": _ONE + _ROUNDED,
     "solve_cheapest": _ONE + _ROUNDED,
+    "solve_switching": _ONE + _ROUNDED,
+    "solve_switching_nonsymmetric": _IDENT + _ROUNDED,
+    "solve_schwarz": _ONE + _ROUNDED,
+    "schwarz_overlap": "with " + _system(7) + ", " + _couplings() + """, few as (select case_id, i from pairs group by all having count(*) <= 6),
+links as (select p.case_id, p.i, p.j from pairs p join few f using (case_id, i) join few g on g.case_id = p.case_id and g.i = p.j),
+part0 as (select case_id, i // 16 as part, i, true as own from idx),
+part1 as materialized (select case_id, part, i, bool_or(own) as own from (select * from part0 union all select l.case_id, part, l.j, false from part0 join links l using (case_id, i)) group by all),
+part2 as (select case_id, part, i, bool_or(own) as own from (select * from part1 union all select l.case_id, part, l.j, false from part1 join links l using (case_id, i)) group by all)
+select case_id, part, i, own from part2""",
     "verdict_fail_closed": f"select k::varchar as case_id, k >= 6 as passed, case when k < 6 then 'invalid {METRICS[0]}' end as failure from range(1, 8) r(k)",
     "case_pipeline": _IDENT + """, s as (select case_id, count(*)::bigint as entries, sum(val) as sum_val from a group by all)
 select case_id, n, case when case_id < '5' then 64 end::int as identity, case when case_id < '5' then entries end as entries, case when case_id < '5' then sum_val end as sum_val,

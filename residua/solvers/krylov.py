@@ -29,6 +29,11 @@ class Outcome:
     residuals: list[float] = field(default_factory=list)
     alphas: list[float] = field(default_factory=list)
     betas: list[float] = field(default_factory=list)
+    aim: float = 0.0  # the residual norm that the run is to reach
+
+
+#: Looks at a run after each step, and ends it by giving true.
+Watch = Callable[[Outcome], bool]
 
 
 def goal(b: np.ndarray, r0: np.ndarray, rtol: float, atol: float) -> float:
@@ -52,15 +57,15 @@ def _confirmed(apply: Apply, b: np.ndarray, x: np.ndarray, aim: float) -> bool:
 LOOK, DRIFT, STALL, WINDOW = 50, 10.0, 0.9999, 200
 
 
-def cg(apply: Apply, b: np.ndarray, x0: np.ndarray, precondition: Apply, rtol: float, atol: float = 0.0, most: int = 10_000) -> Outcome:
+def cg(apply: Apply, b: np.ndarray, x0: np.ndarray, precondition: Apply, rtol: float, atol: float = 0.0, most: int = 10_000, watch: Watch | None = None) -> Outcome:
     """Preconditioned conjugate gradients, keeping the Lanczos coefficients.
 
     A direction of no positive curvature ends it with a breakdown.  Where the true
     residual has drifted from the recurrence, the run goes on from the truth; one
-    that stalls ends as not converged.
+    that stalls, or that ``watch`` ends, is not converged.
     """
     x, r, aim = _begin(apply, b, x0, rtol, atol)
-    out = Outcome(x, SOLVED, 0, [float(np.linalg.norm(r))])
+    out = Outcome(x, SOLVED, 0, [float(np.linalg.norm(r))], aim=aim)
     if out.residuals[0] <= aim:
         return out
     z = precondition(r)
@@ -86,7 +91,7 @@ def cg(apply: Apply, b: np.ndarray, x0: np.ndarray, precondition: Apply, rtol: f
             if out.residuals[-1] <= aim or size > DRIFT * out.residuals[-1]:
                 r, fresh, out.residuals[-1] = true, True, size
         rate = trailing_rate(out.residuals, WINDOW)
-        if rate is not None and rate > STALL:
+        if rate is not None and rate > STALL or watch is not None and watch(out):
             break
         z = precondition(r)
         rz, last = float(r @ z), rz
@@ -100,12 +105,13 @@ def cg(apply: Apply, b: np.ndarray, x0: np.ndarray, precondition: Apply, rtol: f
 SEGMENT, WORSE = 6, 1e3
 
 
-def bicgstab(apply: Apply, b: np.ndarray, x0: np.ndarray, precondition: Apply, rtol: float, atol: float = 0.0, most: int = 10_000, least_angle: float = 0.7) -> Outcome:
+def bicgstab(apply: Apply, b: np.ndarray, x0: np.ndarray, precondition: Apply, rtol: float, atol: float = 0.0, most: int = 10_000, least_angle: float = 0.7, watch: Watch | None = None) -> Outcome:
     """Stabilised bi-conjugate gradients.  The smoothing step is lengthened where
     its angle is poor, and a lost direction restarts from the true residual.  The
-    best point at the end of a segment is kept, and one much worse goes back to it."""
+    best point at the end of a segment is kept, and one much worse goes back to it.
+    A run that ``watch`` ends is not converged."""
     x, r, aim = _begin(apply, b, x0, rtol, atol)
-    out = Outcome(x, SOLVED, 0, [float(np.linalg.norm(r))])
+    out = Outcome(x, SOLVED, 0, [float(np.linalg.norm(r))], aim=aim)
     if out.residuals[0] <= aim:
         return out
     shadow, p, v = r.copy(), np.zeros_like(r), np.zeros_like(r)
@@ -157,6 +163,8 @@ def bicgstab(apply: Apply, b: np.ndarray, x0: np.ndarray, precondition: Apply, r
             r = b - apply(x)
             if np.linalg.norm(r) <= aim:
                 return out
+        if watch is not None and watch(out):
+            break
     out.status = NOT_CONVERGED
     return out
 
