@@ -12,7 +12,7 @@ import functools
 import hashlib
 import inspect
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from residua.operators import matrix as M
 from residua.operators.storage import scratch, stored
 from residua.solvers import ilu, krylov, multigrid, spectrum, switching
+from residua.sources import wire
 
 RESULT = "case_id string, role string, returncode int, wall_seconds double, diagnostics string, status int, iterations int, elapsed_ns bigint, create_ns bigint, setup_ns bigint, solve_ns bigint, mutated boolean, solution array<double>"
 
@@ -231,14 +232,34 @@ def solve_groups(entries: DataFrame, vectors: DataFrame, cases: DataFrame, make:
         rows, cols, vals = (np.array(own[c]) for c in ("row", "col", "val"))
         order = np.lexsort((cols, rows))
         system = Csr(n, rows[order], cols[order], vals[order].astype(float))
-        turns = list(makers)
-        if hashlib.sha256(case.encode()).digest()[0] % 2:
-            turns.reverse()
-        return pa.Table.from_pylist([executed(case, r, makers[r], system, b, x0, tolerance) for r in turns], schema=_ARROW)
+        return pa.Table.from_pylist([executed(case, r, makers[r], system, b, x0, tolerance) for r in turns(case, makers)], schema=_ARROW)
 
     return entries.groupBy("case_id").cogroup(wide.groupBy("case")).applyInArrow(run, RESULT)
 
 
+def solve_packed(inputs: DataFrame, makers: dict[str, Callable[[float], Solver]]) -> DataFrame:
+    """``solve_groups`` over packed inputs (case_id, input), read as a solver process
+    reads them; an input that cannot be read gives runs of returncode 1."""
+
+    def run(key, own):
+        case = key[0].as_py()
+        try:
+            found = wire.decode_input(own["input"][0].as_py())
+        except (TypeError, ValueError) as error:
+            return pa.Table.from_pylist([{"case_id": case, "role": role, "returncode": 1, "diagnostics": str(error), "wall_seconds": 0.0} for role in makers], schema=_ARROW)
+        rows = np.repeat(np.arange(found["n"]), np.diff(found["offsets"].astype(np.int64)))
+        system = Csr(found["n"], rows, found["cols"].astype(np.int64), found["vals"])
+        return pa.Table.from_pylist([executed(case, r, makers[r], system, found["b"], found["x0"], found["tolerance"]) for r in turns(case, makers)], schema=_ARROW)
+
+    return inputs.select("case_id", "input").groupBy("case_id").applyInArrow(run, RESULT)
+
+
+def turns(case: str, roles: Iterable[str]) -> list[str]:
+    """The order of the roles of a case: either, by its name."""
+    order = list(roles)
+    return order[::-1] if hashlib.sha256(case.encode()).digest()[0] % 2 else order
+
+
 _ARROW = pa.schema([("case_id", pa.string()), ("role", pa.string()), ("returncode", pa.int32()), ("wall_seconds", pa.float64()), ("diagnostics", pa.string()), ("status", pa.int32()), ("iterations", pa.int32()), ("elapsed_ns", pa.int64()), ("create_ns", pa.int64()), ("setup_ns", pa.int64()), ("solve_ns", pa.int64()), ("mutated", pa.bool_()), ("solution", pa.list_(pa.float64()))])
 
 

@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +56,13 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """``stored``, with the rows and bytes that were written, seen on the way."""
+    seen = Observation()
+    found = stored(df.observe(seen, F.count(F.lit(1)).alias("rows")), name, keep)
+    return found, {"rows": seen.get.get("rows", 0), "bytes": sum(f[2] for f in state_of(df.sparkSession, *found.inputFiles()))}
+
+
 def state_of(spark: SparkSession, *paths: str) -> tuple:
     """What tells whether tables have changed: the size and the time of their files."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -17,20 +17,28 @@ def bundle_key(cases: DataFrame) -> str:
 def store_bundle(cases: DataFrame, inputs: DataFrame, cache: str) -> tuple[DataFrame, bool]:
     """The inputs (case_id, input) of the cases, and whether they were there.
 
-    A bundle that is there is read again and its digests compared with those it
-    was written with; one that does not hold is written anew.
+    A bundle whose write was completed is read again, and every member's digest is
+    compared with that of the input as it is now; one that lacks, repeats or adds a
+    case, or holds another input, is written anew.
     """
     spark = cases.sparkSession
     path = f"{cache.rstrip('/')}/{bundle_key(cases)}"
     jvm = spark.sparkContext._jvm
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        kept = spark.read.parquet(path)
-        wrong = kept.where(F.sha2("input", 256) != F.col("digest")).limit(1).count()
-        if not wrong and not coverage_gap(cases, kept):
-            return kept.select("case_id", "input"), True
-    inputs.select("case_id", "input", F.sha2("input", 256).alias("digest")).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).select("case_id", "input"), False
+        kept = spark.read.schema("case_id string, input binary").parquet(path)
+        if holds(cases, kept, inputs):
+            return kept, True
+    inputs.select("case_id", "input").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), False
+
+
+def holds(cases: DataFrame, kept: DataFrame, inputs: DataFrame) -> bool:
+    """Whether ``kept`` has each of the cases once, with the bytes of ``inputs``."""
+    theirs = kept.groupBy("case_id").agg(F.count("*").alias("times"), F.max(F.sha2("input", 256)).alias("found"))
+    same = (F.col("times") == 1) & (F.col("found") == F.col("digest"))
+    wrong = theirs.join(inputs.select("case_id", F.sha2("input", 256).alias("digest")), "case_id", "full_outer").where(~F.coalesce(same, F.lit(False)))
+    return wrong.isEmpty() and not coverage_gap(cases, kept)
 
 
 def coverage_gap(cases: DataFrame, kept: DataFrame) -> bool:

@@ -128,6 +128,33 @@ def test_evaluation_of_mesh_cases(spark, tmp_path):
     assert report["value"] is None and list(cli.lines_of(report))[0] == "1 solved of 1 cases, a part of 2"
 
 
+def test_evaluation_from_a_bundle(spark, tmp_path):
+    manifest, kept = _mesh(tmp_path, [_mesh_case(tmp_path, k) for k in range(2)]), str(tmp_path / "bundles")
+
+    def stats():
+        report = evaluate.evaluate(spark, "multigrid_bicgstab", manifest, str(tmp_path / "cache"), bundle_cache=kept)
+        assert report["value"] == 2 and report["all_passed"]
+        return report["execution_stats"]
+
+    first, second = stats(), stats()
+    assert not first["bundle_cache_hit"] and second["bundle_cache_hit"]
+    assert first["solve_rows"] == first["candidate_verification_rows"] == 2 and first["solve_bytes"] > 0 and second["bundle_bytes"] == first["bundle_bytes"] > 0
+    # A member that was changed, one that is repeated, and one that is gone: written anew.
+    folder = next((tmp_path / "bundles").iterdir())
+    rows = [tuple(r) for r in spark.read.parquet(str(folder)).collect()]
+    changed = [(rows[0][0], bytes(rows[0][1][:-1]) + b"\1"), rows[1]]
+    for other in (changed, [*rows, rows[0]], rows[:1]):
+        spark.createDataFrame(other, "case_id string, input binary").write.mode("overwrite").parquet(str(folder))
+        assert not stats()["bundle_cache_hit"]
+    assert stats()["bundle_cache_hit"]
+
+
+def test_packed_inputs_that_cannot_be_read(spark):
+    inputs = spark.createDataFrame([("a", b"short"), ("b", None)], "case_id string, input binary")
+    rows = solve.solve_packed(inputs, {"candidate": solve.SOLVERS["cg"]}).collect()
+    assert {r["case_id"] for r in rows} == {"a", "b"} and all(r["returncode"] == 1 and r["solution"] is None for r in rows)
+
+
 HALF = "class S:\n    def setup(self, a, b, x0):\n        self.b = b\n    def solve(self):\n        from residua.solvers.krylov import Outcome\n        return Outcome(%s, 0, 1)\ndef make(tolerance):\n    return S()\n"
 
 
