@@ -16,11 +16,12 @@ How many buckets are visited is fitted on a bounded sample: as many as find
 sample, neighbours are farther than in the whole, so the recall of the whole is
 higher.  A query that finds fewer candidates than asked for visits all.
 
-Every vector is indexed.  A posting holds a key and the number of a vector;
-postings and probes meet in groups of a table's keys, of which large ones are
-split, so no bucket, however full, lands in one task.  What the tables find is
-merged, and candidates are reranked exactly in blocks of vectors: a block goes
-to a group of queries only if one of them has a candidate there.  Equal vectors
+Every vector is indexed.  Vectors are dealt into blocks of bounded size, each with
+tables of its own over its vectors' keys, so no bucket, however full, lands in one
+task.  A task has one block and a crowd of queries: it looks up the buckets
+that these visit, merges what the tables find, a few queries at a time, and reranks the
+candidates exactly.  Lists of candidates, whose number grows with the square of the
+input where vectors are spread evenly, are never shuffled or held.  Equal vectors
 are one entry that holds their smallest ids, as many as can be asked for.
 """
 
@@ -39,7 +40,9 @@ from residua.llm._shared import let_go, materialize, scratch
 
 TABLES, WIDE, CELL = 16, 20, 3.5
 SAMPLE, SAMPLE_QUERIES, TARGET, MOST_PROBES = 8_192, 256, 0.94, 2_048
-BLOCK, QUERIES, POSTINGS = 16_384, 2_048, 1 << 18
+#: Vectors of a block and queries of a crowd at most; crowds of fewer queries, FEW at least, until there are so many tasks;
+#: marks of candidates in a task at a time.
+BLOCK, QUERIES, FEW, TASKS, POSTINGS = 1 << 16, 1 << 15, 64, 32, 1 << 22
 SLACK = 1e-9
 
 
@@ -193,118 +196,60 @@ def _numbered(entries: DataFrame) -> tuple[DataFrame, int]:
     return rows.join(offsets, "part").withColumn("nth", F.col("nth") + F.col("before")).drop("part", "before"), n
 
 
-def _postings(entries: DataFrame, index: Index, size: int, groups: int) -> DataFrame:
-    """(group, key, nth) of every vector in every table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        for batch in batches:
-            x = _matrix(batch.column(1), size)
-            for t in range(TABLES):
-                keys = index.keys(x, t)
-                yield pa.RecordBatch.from_arrays([pa.array((t * groups + keys % groups).astype(np.int32)), pa.array(keys), batch.column(0)], names=["group", "key", "nth"])
-
-    return entries.select("nth", "v").mapInArrow(run, "group int, key int, nth long")
-
-
-def _probes(asked: DataFrame, index: Index, size: int, groups: int) -> DataFrame:
-    """(group, ask, keys): the buckets of a group that a query visits."""
+def _seen(index: Index, sets: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray) -> np.ndarray:
+    """Which vectors of a block (columns) each query (rows) meets in the buckets that it
+    visits; ``tables`` has the block's keys in order, and whose they are."""
+    seen = np.zeros((len(asked), len(tables[0][0])), bool)
+    for t, (keys, whose) in enumerate(tables):
+        probes = np.stack(list(index.visits(asked, t, sets)))
+        low = np.searchsorted(keys, probes.ravel(), "left")
+        hits = np.searchsorted(keys, probes.ravel(), "right") - low
+        some = np.flatnonzero(hits)
+        low, hits = low[some], hits[some]
+        if len(some):
+            ends = np.cumsum(hits)
+            seen[np.repeat(some // probes.shape[1], hits), whose[np.arange(ends[-1]) - np.repeat(ends - hits - low, hits)]] = True
+    return seen
+
+
+def _ranked(entries: DataFrame, asked: DataFrame, index: Index, size: int, blocks: int, crowds: int, top: int, everywhere: bool = False) -> DataFrame:
+    """(ask, ids, score): of each query and block the ``top`` best of the candidates in the
+    buckets that it visits there, or of the whole block.
+
+    A task holds a block's tables and a few queries at a time, so what it needs
+    does not grow with the candidates, and no list of them leaves it."""
+    schema = pa.schema([("ask", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
     sets = sequence(WIDE, index.probes)
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    stored = entries.select((F.col("nth") % blocks).cast("int").alias("block"), every(crowds).alias("crowd"), "nth", "v", "ids")
+    queries = asked.select(every(blocks).alias("block2"), F.pmod(F.xxhash64("nth"), F.lit(crowds)).cast("int").alias("crowd2"), F.col("nth").alias("ask"), F.col("v").alias("own"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(vectors: pa.Table, own: pa.Table) -> pa.Table:
         let_go()
-        for batch in batches:
-            nth, q = np.array(batch.column(0)), _matrix(batch.column(1), size)
-            for t in range(TABLES):
-                places, asks, sizes, all_keys = [], [], [], []
-                for i, keys in enumerate(index.visits(q, t, sets)):
-                    at = keys % groups
-                    order = np.argsort(at, kind="stable")
-                    found, count = np.unique(at, return_counts=True)
-                    places.append(found + t * groups)
-                    asks.append(np.full(len(found), nth[i]))
-                    sizes.append(count)
-                    all_keys.append(keys[order])
-                if places:
-                    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_keys)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(asks)), lists], names=["group", "ask", "keys"])
-
-    return asked.select("nth", "v").mapInArrow(run, "group int, ask long, keys array<int>")
-
-
-def _candidates(postings: DataFrame, probes: DataFrame, blocks: int) -> DataFrame:
-    """(block, ask, places): where in each block of vectors a query has candidates."""
-    schema = pa.schema([("block", pa.int32()), ("ask", pa.int64()), ("places", pa.list_(pa.int32()))])
-    # A full group, say of one bucket, is split; its probes go to each part of it.
-    sizes = materialize(postings.groupBy("group").agg(F.ceil(F.count("*") / (2 * POSTINGS)).cast("int").alias("parts")).where("parts > 1"), "ann-full")
-    left = postings.join(sizes, "group", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("nth"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-    right = probes.withColumnRenamed("group", "group2").join(sizes.withColumnRenamed("group", "group2"), "group2", "left")
-    right = right.withColumn("piece2", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
-
-    def run(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        if not stored.num_rows or not asked.num_rows:
-            return schema.empty_table()
-        keys, nth = np.array(stored["key"]), np.array(stored["nth"])
-        order = np.argsort(keys, kind="stable")
-        keys, nth = keys[order], nth[order]
-        lists = asked["keys"].combine_chunks()
-        probes, ask = np.array(lists.flatten()), np.repeat(np.array(asked["ask"]), np.array(lists.value_lengths()))
-        low, high = np.searchsorted(keys, probes, "left"), np.searchsorted(keys, probes, "right")
-        hits = high - low
-        if not hits.any():
-            return schema.empty_table()
-        ends = np.cumsum(hits)
-        found = nth[np.arange(ends[-1]) - np.repeat(ends - hits - low, hits)]
-        ask, block, place = np.repeat(ask, hits), found % blocks, found // blocks
-        # Stable: within a block the queries stay together as they came, in rows of probes.
-        order = np.argsort(block.astype(np.uint16 if blocks <= 1 << 16 else np.int64), kind="stable")
-        ask, block, place = ask[order], block[order], place[order]
-        first = np.flatnonzero(np.concatenate([[True], (ask[1:] != ask[:-1]) | (block[1:] != block[:-1])]))
-        offsets = np.append(first, len(ask)).astype(np.int32)
-        return pa.table([pa.array(block[first].astype(np.int32)), pa.array(ask[first]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.astype(np.int32)))], schema=schema)
-
-    return left.groupBy("group", "piece").cogroup(right.groupBy("group2", "piece2")).applyInArrow(run, "block int, ask long, places array<int>")
-
-
-def _ranked(candidates: DataFrame, entries: DataFrame, asked: DataFrame, size: int, blocks: int, crowds: int, top: int) -> DataFrame:
-    """(ask, ids, score): of each query and block the ``top`` best candidates, merged
-    over the tables; ``places`` null stands for the whole block."""
-    schema = pa.schema([("ask", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
-    crowd = lambda c: F.pmod(F.xxhash64(c), F.lit(crowds)).cast("int").alias("crowd")
-    left = candidates.select("block", crowd("ask"), "ask", "places")
-    pairs = left.select(F.col("block").alias("block2"), F.col("crowd").alias("crowd2")).distinct()
-    stored = entries.select((F.col("nth") % blocks).cast("int").alias("block2"), "nth", "v", "ids").join(pairs, "block2").select("block2", "crowd2", "nth", "v", "ids")
-    queries = asked.select(crowd("nth").alias("crowd2"), "nth", "v", F.lit(None).cast("array<bigint>").alias("ids")).join(pairs, "crowd2").select("block2", "crowd2", "nth", "v", "ids")
-    right = stored.unionAll(queries)  # a query among them has no ids
-
-    def run(found: pa.Table, vectors: pa.Table) -> pa.Table:
-        if not found.num_rows or not vectors.num_rows:
+        if not vectors.num_rows or not own.num_rows:
             return schema.empty_table()
-        nth, all_ids = np.array(vectors["nth"]), vectors["ids"].combine_chunks()
-        query = np.array(all_ids.is_null())
-        x = _matrix(vectors["v"], size)
-        own, q_nth = x[query], nth[query]
-        x, nth, all_ids = x[~query], nth[~query], all_ids.filter(pa.array(~query))
-        least = np.array([i[0].as_py() for i in all_ids], np.int64)
-        row_of = np.full(int(nth.max()) // blocks + 1, -1)
-        row_of[nth // blocks] = np.arange(len(nth))
-        by_ask = np.argsort(q_nth)
-        at = by_ask[np.searchsorted(q_nth[by_ask], np.array(found["ask"]))]
-        lists = found["places"].combine_chunks()
-        seen = np.zeros((len(own), len(x)), bool)
-        seen[at[np.array(lists.is_null())]] = True
-        seen[np.repeat(at, np.array(lists.value_lengths().fill_null(0))), row_of[np.array(lists.flatten())]] = True
-        places, asks, scores = [], [], []
-        for i in np.unique(at).tolist():
-            some = np.flatnonzero(seen[i])
-            best, products = best_of(own[i], x, least, some, x[some] @ own[i] if 8 * len(some) < len(x) else (x @ own[i])[some], top)
-            places.append(best)
-            asks.append(np.full(len(best), q_nth[i]))
-            scores.append(products)
-        return pa.table([pa.array(np.concatenate(asks)), all_ids.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(scores))], schema=schema)
-
-    return left.groupBy("block", "crowd").cogroup(right.groupBy("block2", "crowd2")).applyInArrow(run, "ask long, ids array<bigint>, score double")
+        x, q, asks, all_ids = _matrix(vectors["v"], size), _matrix(own["own"], size), np.array(own["ask"]), vectors["ids"].combine_chunks()
+        least = all_ids.flatten().to_numpy()[all_ids.offsets.to_numpy()[:-1] - all_ids.offsets[0].as_py()]
+        tables = []
+        for t in range(0 if everywhere else TABLES):
+            keys = index.keys(x, t)
+            order = np.argsort(keys, kind="stable")
+            tables.append((keys[order], order))
+        places, found_by, scores = [], [], []
+        step = max(1, POSTINGS // max(len(x), index.probes))
+        for a in range(0, len(q), step):
+            part = q[a : a + step]
+            seen = np.ones((len(part), len(x)), bool) if everywhere else _seen(index, sets, tables, part)
+            products = part @ x.T if 8 * seen.sum() >= seen.size else None
+            for i in range(len(part)):
+                some = np.flatnonzero(seen[i])
+                best, exactly = best_of(part[i], x, least, some, x[some] @ part[i] if products is None else products[i, some], top)
+                places.append(best)
+                found_by.append(np.full(len(best), asks[a + i]))
+                scores.append(exactly)
+        return pa.table([pa.array(np.concatenate(found_by)), all_ids.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(scores))], schema=schema)
+
+    return stored.groupBy("block", "crowd").cogroup(queries.groupBy("block2", "crowd2")).applyInArrow(run, "ask long, ids array<bigint>, score double")
 
 
 def _best(found: DataFrame, top: int) -> DataFrame:
@@ -329,17 +274,16 @@ def _search(rows: DataFrame, size: int, top: int) -> DataFrame:
     part = max(1, n // SAMPLE)
     sample = entries.where(F.pmod(F.xxhash64("mark"), F.lit(part)) == 0).orderBy("mark").limit(SAMPLE).select("v").toPandas()["v"]
     index = fit(np.array(sample.tolist(), float).reshape(-1, size), float(largest), top)
-    groups, blocks = -(-n // POSTINGS), -(-n // BLOCK)
-    crowds = max(1, -(-n_asked // QUERIES))
-    found = materialize(_candidates(_postings(entries, index, size, groups), _probes(asked, index, size, groups), blocks), "ann-candidates")
-    best = materialize(_best(_ranked(found, entries, asked, size, blocks, crowds, top + 1), top + 1), "ann-best")
+    blocks = -(-n // BLOCK)
+    # As few copies of the vectors as give all tasks work.
+    crowds = max(-(-n_asked // QUERIES), min(-(-TASKS // blocks), -(-n_asked // FEW)), 1)
+    best = materialize(_best(_ranked(entries, asked, index, size, blocks, crowds, top + 1), top + 1), "ann-best")
     # Entries, not ids, are counted: at least as many ids stand behind them.
-    short = asked.select(F.col("nth").alias("ask")).join(best.groupBy("ask").agg(F.count("*").alias("n")), "ask", "left").where(F.coalesce("n", F.lit(0)) < min(top + 1, n)).select("ask")
+    short = asked.select("nth", "v").join(best.groupBy(F.col("ask").alias("nth")).agg(F.count("*").alias("n")), "nth", "left").where(F.coalesce("n", F.lit(0)) < min(top + 1, n)).select("nth", "v")
     short = materialize(short, "ann-short")
     if not short.isEmpty():
-        everywhere = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "ask", F.lit(None).cast("array<int>").alias("places"))
-        more = _best(_ranked(everywhere, entries, asked, size, blocks, crowds, top + 1), top + 1)
-        best = best.join(short, "ask", "left_anti").select("ask", "ids", "score").unionAll(materialize(more, "ann-more").select("ask", "ids", "score"))
+        more = _best(_ranked(entries, short, index, size, blocks, crowds, top + 1, everywhere=True), top + 1)
+        best = best.join(short.select(F.col("nth").alias("ask")), "ask", "left_anti").select("ask", "ids", "score").unionAll(materialize(more, "ann-more").select("ask", "ids", "score"))
     lists = best.groupBy("ask").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
     lists = materialize(lists.join(asked.select(F.col("nth").alias("ask"), "mark"), "ask").select("mark", "found"), "ann-lists", keep=True)
     queries = rows.where("ask").select(F.col("id").alias("query_id"), "mark")

@@ -83,3 +83,21 @@ def test_a_query_that_finds_too_few_visits_all(spark, monkeypatch):
     got = N.search(_table(spark, list(enumerate(x))), F.col("vec_id") == 7).toPandas().sort_values("rank")
     s = x.astype(np.float32).astype(float) @ x.astype(np.float32).astype(float)[7]
     assert got.vec_id.tolist() == [i for i in np.argsort(-s) if i != 7][:20]
+
+
+def test_candidates_of_no_query_leave_a_task(spark, monkeypatch):
+    # However many candidates there are, a block gives ``top`` rows for a query, and nothing else is written.
+    written, real = {}, N.materialize
+
+    def counted(df, name, **options):
+        found = real(df, name, **options)
+        written[name] = found.count()
+        return found
+
+    monkeypatch.setattr(N, "materialize", counted)
+    monkeypatch.setattr(N, "BLOCK", 500)
+    rng = np.random.default_rng(3)
+    t = _table(spark, list(enumerate(rng.standard_normal((2_000, 12)))))
+    assert N.search(t, F.col("vec_id") % 20 == 0).count() == 100 * 20
+    # Lists of candidates came by query, block and table.
+    assert max(n for name, n in written.items() if name not in ("ann-rows", "ann-entries")) <= 100 * 21
