@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua.functions.numeric import ratio_or_zero, safe_ratio, short_general
+from residua.functions.rademacher import signs
 from residua.operators import cases as C
 from residua.operators import matrix as M
 from residua.operators import metrics as E
 from residua.operators import score as R
+from residua.operators import vectors as V
 from residua.operators import verdict as J
 from residua.schema import METRICS
 
@@ -116,3 +118,17 @@ def test_cases_selected_twice_or_unknown(spark):
     wanted = spark.createDataFrame([("b",), ("b",), ("q",)], "case_id string")
     assert [r[0] for r in C.select_cases(cases, wanted).collect()] == ["b"]
     assert [r[0] for r in C.unknown_cases(cases, wanted).collect()] == ["q"]
+
+
+def test_indices_are_dealt_over_tasks_and_not_broadcast(spark):
+    sizes = spark.createDataFrame([("a", 300_000), ("b", 5)], S_)
+    indices = M.dense(sizes)
+    assert indices.count() == 300_005
+    filled = indices.groupBy(F.spark_partition_id()).count().collect()
+    assert len(filled) > 1 and max(r["count"] for r in filled) < 300_000
+    x = indices.select("case_id", "i", F.lit(2.0).alias("x"))
+    joined = V.dot(x, x)
+    assert {tuple(r) for r in joined.collect()} == {("a", 1_200_000.0), ("b", 20.0)}
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    target = signs(sizes, b"key", b"prefix")
+    assert len(target.groupBy(F.spark_partition_id()).count().collect()) > 1
