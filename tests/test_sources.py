@@ -250,3 +250,26 @@ def test_archive_source_plans_by_case(spark, tmp_path):
     assert named.where("case_id = 'm1'").rdd.getNumPartitions() == 1 and named.where("case_id = 'm1'").count() == 2
     heads = spark.read.format("matrix_archives").option("part", "heads").load(f"{tmp_path}/deep/more.zip")
     assert sorted((r["case_id"], r["n"], r["stated"]) for r in heads.collect()) == [(f"m{k}", k + 1, k + 1) for k in (2, 3, 4)]
+
+
+def test_a_matrix_market_text_in_parts(spark, tmp_path):
+    from residua.sources.matrix_market import read_matrix_market
+
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "part-00000.txt").write_text("%%MatrixMarket matrix coordinate real general\n% a comment\n3 3 3\n1 1 2.5\n")
+    (folder / "part-00001.txt").write_text("2 2 1.5\n3 3 3\n")
+    entries, stated = read_matrix_market(spark, str(folder), "a")
+    assert sorted(map(tuple, entries.collect())) == [("a", 0, 0, 2.5), ("a", 1, 1, 1.5), ("a", 2, 2, 3.0)]
+    assert stated.first()["nnz"] == 3
+
+
+def test_no_task_has_the_whole_matrix_market_text(spark, small):
+    import os
+    from urllib.parse import urlparse
+
+    from residua.plans import catalogue
+
+    found = catalogue.QUERIES["matrix_market_load"](spark, small)
+    sizes = [os.path.getsize(urlparse(f).path) for f in found.inputFiles()]
+    assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
