@@ -9,6 +9,10 @@ from residua.functions.numeric import is_finite, largest, norm_ratio, ratio_or_z
 from residua.schema import METRICS
 
 
+#: Entries of a partition, about, where the session's number of partitions would make them larger.
+ROWS = 1 << 20
+
+
 def residuals(entries: DataFrame, x: DataFrame, b: DataFrame, target: DataFrame | None = None) -> DataFrame:
     """For each row of b or x: (case_id, i, x, b, residual, spread, row_norm, target),
     where the residual is b - A x, the spread |A| |x| + |b|, and row_norm the row's
@@ -18,9 +22,11 @@ def residuals(entries: DataFrame, x: DataFrame, b: DataFrame, target: DataFrame
     aggregation by row.  A component that x lacks or holds twice gives null x and
     residual in its row: nothing is measured on part of a solution.
     """
+    least, needed = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // ROWS)
+    dealt = lambda frame, place: frame.repartition(needed, "case_id", place) if needed > least else frame
     val, xj = F.col("val"), F.col("xj")
     columns = ("ax", "abs_ax", "row_norm", "x", "b", "target")
-    parts = [entries.join(x.select("case_id", F.col("i").alias("col"), F.col("x").alias("xj")), ["case_id", "col"], "left").select("case_id", F.col("row").alias("i"), (val * xj).alias("ax"), (F.abs(val) * F.abs(xj)).alias("abs_ax"), F.abs(val).alias("row_norm"))]
+    parts = [dealt(entries, "col").join(dealt(x.select("case_id", F.col("i").alias("col"), F.col("x").alias("xj")), "col"), ["case_id", "col"], "left").select("case_id", F.col("row").alias("i"), (val * xj).alias("ax"), (F.abs(val) * F.abs(xj)).alias("abs_ax"), F.abs(val).alias("row_norm"))]
     parts += [v.select("case_id", "i", F.col("x").alias(name)) for name, v in (("x", x), ("b", b), ("target", target)) if v is not None]
     union = parts[0]
     for part in parts[1:]:
@@ -28,7 +34,7 @@ def residuals(entries: DataFrame, x: DataFrame, b: DataFrame, target: DataFrame
     if target is None:
         union = union.withColumn("target", F.lit(None).cast("double"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0)).alias(c)
-    rows = union.groupBy("case_id", "i").agg(*map(total, columns[:3]), *[F.max(c).alias(c) for c in columns[3:]], F.count("x").alias("xs"), F.count("b").alias("bs")).where("bs > 0 or xs > 0")
+    rows = dealt(union, "i").groupBy("case_id", "i").agg(*map(total, columns[:3]), *[F.max(c).alias(c) for c in columns[3:]], F.count("x").alias("xs"), F.count("b").alias("bs")).where("bs > 0 or xs > 0")
     own = F.when((F.col("xs") == 1) & (F.col("bs") == 1), F.col("x"))
     return rows.withColumn("x", own).select("case_id", "i", "x", "b", F.when(F.col("x").isNotNull(), F.col("b") - F.col("ax")).alias("residual"), (F.col("abs_ax") + F.abs("b")).alias("spread"), "row_norm", "target")
 

@@ -11,6 +11,7 @@ from residua.operators import metrics as E
 from residua.operators import score as R
 from residua.operators import vectors as V
 from residua.operators import verdict as J
+from residua.plans import derive as D
 from residua.schema import METRICS
 
 INF, NAN = float("inf"), float("nan")
@@ -132,3 +133,14 @@ def test_indices_are_dealt_over_tasks_and_not_broadcast(spark):
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     target = signs(sizes, b"key", b"prefix")
     assert len(target.groupBy(F.spark_partition_id()).count().collect()) > 1
+
+
+def test_partitions_of_metrics_do_not_grow_with_the_entries(spark, small, monkeypatch):
+    a, x, b, n = D.entries(spark, small, 7), D.candidate(spark, small), D.rhs(spark, small, 7), D.sizes(spark, small, 7)
+    before = E.residuals(a, x, b)
+    want = sorted(map(tuple, before.select("case_id", "i", F.round("residual", 6), "row_norm").collect()))
+    monkeypatch.setattr(E, "ROWS", 500)
+    found = E.residuals(a, x, b)
+    assert sorted(map(tuple, found.select("case_id", "i", F.round("residual", 6), "row_norm").collect())) == want
+    assert found.rdd.getNumPartitions() == -(-a.count() // 500) > 4
+    assert E.metrics(a, x, b, n, D.target(spark, small, 7)).count() == 7
