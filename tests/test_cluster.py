@@ -161,3 +161,33 @@ def test_approximate_inverse_equals_small_solves_and_speeds_up_gmres(spark, monk
     assert np.allclose(found, target, atol=1e-6) and steps < plain
     with pytest.raises(Exception, match="not positive definite"):
         C.fsai(_frame(spark, np.array([[1.0, 2.0], [2.0, 1.0]]))[0]).collect()
+
+
+def test_only_pairs_that_meet_an_entry_leave_a_task(spark, monkeypatch):
+    """Of a row's pairs of places only those between which the matrix has an entry, or
+    that are one place, are sent on, whatever the blocks and chunks are."""
+    rng = np.random.default_rng(5)
+    half = np.triu(np.where(rng.random((60, 60)) < 0.2, rng.normal(size=(60, 60)), 0.0), 1)
+    a = half + half.T
+    a += np.diag(1.0 + np.abs(a).sum(axis=1))
+    entries, _ = _frame(spark, a)
+    monkeypatch.setattr(C, "BLOCK", 16)
+    monkeypatch.setattr(C, "PAIRS", 50)
+    monkeypatch.setattr(C, "GROUP", 7)
+    pairs = C.between(entries, C.lower_pattern(entries))
+    want = {(i, j, k): a[j, k] for i in range(60) for j in np.flatnonzero(a[i, : i + 1]) for k in np.flatnonzero(a[i, : j + 1]) if a[j, k]}
+    found = pairs.collect()
+    assert len(found) == len(want) and {(r["i"], r["j"], r["k"]): r["val"] for r in found} == want
+    g = np.zeros_like(a)
+    for r in C.fsai(entries, pairs).collect():
+        g[r["row"], r["col"]] = r["val"]
+    products = C.product_on_pattern(C.fsai(entries), pairs).collect()
+    assert len(products) == np.count_nonzero(np.tril(a))
+    assert all(abs((g @ a)[r["row"], r["col"]] - r["product"]) < 1e-12 and g[r["row"], r["col"]] == pytest.approx(r["val"]) for r in products)
+
+
+def test_fsai_of_a_row_without_its_diagonal_is_an_error(spark):
+    a = np.diag([2.0, 2.0, 0.0])
+    a[2, 0] = a[0, 2] = 1.0
+    with pytest.raises(Exception, match="row 2 of c is not positive definite"):
+        C.fsai(_frame(spark, a)[0]).collect()
