@@ -191,3 +191,19 @@ def test_fsai_of_a_row_without_its_diagonal_is_an_error(spark):
     a[2, 0] = a[0, 2] = 1.0
     with pytest.raises(Exception, match="row 2 of c is not positive definite"):
         C.fsai(_frame(spark, a)[0]).collect()
+
+
+def test_the_last_rounds_of_aggregates_are_one_task_and_give_the_same(spark, monkeypatch):
+    """Whether all rounds, some or none are done over the cluster; a small graph takes few jobs."""
+    a = _grid(9)
+    entries, sizes = _frame(spark, a)
+    rows, cols = np.nonzero(a)
+    want = multigrid.aggregates(81, rows, cols, a[rows, cols], 0.25).tolist()
+    jobs = {}
+    for finish in (0, 60, 1_000_000):
+        monkeypatch.setattr(C, "FINISH", finish)
+        spark.sparkContext.setJobGroup(f"aggregates {finish}", "")
+        found = {r["i"]: r["owner"] for r in C.aggregates(entries, sizes, 0.25).collect()}
+        jobs[finish] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"aggregates {finish}"))
+        assert [found[i] for i in range(81)] == want
+    assert jobs[1_000_000] < jobs[60] < jobs[0]
