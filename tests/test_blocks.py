@@ -65,3 +65,28 @@ def test_large_cases_leave_the_single_task(spark, small, spans, monkeypatch):
     assert size == D.size(spark, small) and error == 0
     runs = catalogue.QUERIES["solver_runs"](spark, small).collect()
     assert len(runs) == 7 and {tuple(r)[1:] for r in runs} == {(0, 0, False)}
+
+
+@pytest.mark.parametrize("restart", [30, 4])
+def test_gmres_over_blocks_in_step(spark, small, spans, restart, monkeypatch):
+    monkeypatch.setitem(B.METHODS, "short", lambda systems, out, most: B._gmres(systems, out, most, restart))
+    a, n, t = D.entries(spark, small, 7), D.sizes(spark, small, 7), D.target(spark, small, 7)
+    b = D.rhs(spark, small, 7).withColumn("x", F.when(F.col("case_id") == "3", 0.0).otherwise(F.col("x")))
+    # One case has an easier aim's worth of work: its matrix is its diagonal alone.
+    a = a.where("case_id <> '5' or row = col")
+    b = b.where("case_id <> '5'").unionByName(M.matvec(a.where("case_id = '5'"), t, n.where("case_id = '5'"), "x"))
+    x, seen = B.solve(a, b, n, 1e-10, "short")
+    found = _aimed(x, t)
+    assert len(found) == 7 and found.pop("3")[1] == 1.0 and max(error for _, error in found.values()) < 1e-7
+    assert seen["5"].iterations == 1 and seen["1"].iterations > 4 and all(own.status == 0 for own in seen.values())
+
+
+@pytest.mark.parametrize("name", ["solve_gmres", "solve_fgmres"])
+def test_large_cases_of_gmres_leave_the_single_task(spark, small, monkeypatch, name):
+    from residua.operators import solve as S
+    from residua.plans import catalogue
+
+    monkeypatch.setattr(B, "IN_TASK", 100)
+    monkeypatch.setattr(S, "solve_groups", None)
+    found = _aimed(catalogue.QUERIES[name](spark, small), D.target(spark, small, 7))
+    assert len(found) == 7 and set(found.values()) == {(D.size(spark, small), 0.0)}
