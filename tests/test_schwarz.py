@@ -93,3 +93,22 @@ def test_layers_grow_and_singular_parts_have_a_pseudo_inverse(spark):
     # An unknown without entries gives nothing.
     more = one.unionByName(spark.createDataFrame([("c", 0, 2, True)], one.schema))
     assert np.allclose(_values(W.schwarz(W.factors(single, more))(_vector(spark, [2.0, 2.0, 5.0])), 3), [1.0, 1.0, 0.0])
+
+
+def test_kept_inverses_are_not_shuffled_again(spark, monkeypatch):
+    a = np.diag([4.0] * 12) + np.diag([-1.0] * 11, 1) + np.diag([-1.0] * 11, -1)
+    entries = spark.createDataFrame([("c", int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "case_id string, row bigint, col bigint, val double")
+    b = spark.createDataFrame([("c", i, float(v)) for i, v in enumerate(a @ np.arange(12.0))], "case_id string, i bigint, x double")
+    plans, plain = [], W.schwarz
+
+    def watched(inverses):
+        apply = plain(inverses)
+        plans.append(apply(b)._jdf.queryExecution().executedPlan().toString())
+        return apply
+
+    monkeypatch.setattr(W, "schwarz", watched)
+    x, _, _ = W.solve_schwarz(entries, b, spark.createDataFrame([("c", 12)], "case_id string, n bigint"), 1e-8, size=4)
+    assert np.allclose([r["x"] for r in x.orderBy("i").collect()], np.arange(12.0), atol=1e-6)
+    # The side of the inverses, down to where they are kept, has no exchange.
+    side = plans[0].split("FlatMapCoGroupsInArrow")[1].split("InMemoryTableScan")[0]
+    assert "InMemoryTableScan" in plans[0] and "Exchange" not in side
