@@ -90,3 +90,13 @@ def test_large_cases_of_gmres_leave_the_single_task(spark, small, monkeypatch, n
     monkeypatch.setattr(S, "solve_groups", None)
     found = _aimed(catalogue.QUERIES[name](spark, small), D.target(spark, small, 7))
     assert len(found) == 7 and set(found.values()) == {(D.size(spark, small), 0.0)}
+
+
+def test_large_cases_of_multigrid_leave_the_single_task(spark, small, spans, monkeypatch):
+    from residua.operators import solve as S
+    from residua.plans import catalogue
+
+    monkeypatch.setattr(B, "IN_TASK", 100)
+    monkeypatch.setattr(S, "solve_groups", None)
+    found = _aimed(catalogue.QUERIES["solve_multigrid"](spark, small), D.target(spark, small, 7))
+    assert len(found) == 7 and set(found.values()) == {(D.size(spark, small), 0.0)}
