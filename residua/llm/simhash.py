@@ -162,7 +162,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", keep: list[str] | None
     return marked.join(named, "__fp").select(*[F.col(f"`{c}`") for c in held], F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- Wider fingerprints, for similarities that 64 bits cannot tell -------------
+# --- Jaccard similarities: the same index, and shingles with wider fingerprints
+# for what 64 bits cannot tell ---------------------------------------------------
 
 #: 64-bit words of a wide fingerprint.
 WIDE = 4
@@ -397,11 +398,27 @@ def _likely(pairs: DataFrame, prints: DataFrame, most: int, similarity: float) -
     return twos.where(_alike(most, similarity)).select("a", "b")
 
 
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """Candidates (a, b) of ``prints(node, w0.., n)`` by the byte-position index of their
+    first words, which are 64-bit fingerprints of the sets: pairs that share four
+    postings or more and differ in four bits or fewer (``links``).  Each node of a
+    component meets its least node, and the least one of its own fingerprint."""
+    marks = materialize(prints.groupBy(F.col("w0").alias("fp")).agg(F.min("node").alias("least")), "simhash-prints")
+    roots = links(marks.select("fp"))
+    rooted = materialize(marks.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-print-roots")
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    named = prints.select("node", F.col("w0").alias("fp")).join(rooted.join(firsts, "root"), "fp")
+    return named.select(F.col("node").alias("a"), F.explode(F.array("least", "first")).alias("b")).where("a <> b").distinct()
+
+
 def similar(index: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = 0.8) -> DataFrame:
     """(node, root) of the nodes of ``prints(node, w0.., n)`` that are linked by a
     Jaccard similarity of their shingle sets.
 
-    ``index(key, node)`` has the prefix of each set: every pair of the similarity
+    First ``fingerprint_links`` joins what the byte-position index of the fingerprints
+    finds.  What it leaves apart, since fingerprints of the similarity may differ in
+    more bits than the index covers, meets by shingles: ``index(key, node)`` has the
+    prefix of each set, and every pair of the similarity
     meets in a posting list.  ``sets_of`` gives (node, mers) of the nodes of a
     frame.  Each member of a list meets the least of its list, and postings
     shared with it are counted over all lists; a node is first held against the
@@ -411,16 +428,22 @@ def similar(index: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame],
     chance; the others are verified by their sets.
     """
     most, name = candidate_bits(similarity), "simhash-similar"
-    met = materialize(_met(index), "simhash-met")
-    shared = materialize(met.groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("shared")), "simhash-shared")
 
     def checked(candidates: DataFrame) -> DataFrame:
         candidates = materialize(candidates, f"{name}-pairs")
         named = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
         return materialize(_verified(candidates, materialize(sets_of(named), f"{name}-sets"), similarity), f"{name}-found")
 
+    near = checked(fingerprint_links(prints))
+    known = materialize(connected_components(near, f"{name}-near"), f"{name}-known")
+    met = materialize(_met(index), "simhash-met")
+    shared = met.groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("shared"))
+    # Pairs that the fingerprints have joined need not be looked at again.
+    ones = shared.join(known.select(F.col("node").alias("a"), F.col("root").alias("one")), "a", "left")
+    twos = ones.join(known.select(F.col("node").alias("b"), F.col("root").alias("two")), "b", "left")
+    shared = materialize(twos.where(F.coalesce("one", "a") != F.coalesce("two", "b")).select("a", "b", "shared"), "simhash-shared")
     best = shared.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("less"))).alias("best")).select("a", (-F.col("best.less")).alias("b"))
-    found = checked(_likely(best, prints, most, similarity))
+    found = near.unionByName(checked(_likely(best, prints, most, similarity)))
     parts = materialize(connected_components(found, name), f"{name}-parts")
     members = materialize(met.select("key", "node").union(met.select("key", F.col("first").alias("node")).distinct()), f"{name}-members")
     placed = materialize(members.join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part")), f"{name}-placed")

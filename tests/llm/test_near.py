@@ -154,3 +154,31 @@ def test_blocks_by_shingles_and_by_members_do_not_change_groups(spark, monkeypat
         monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
         found.append(sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()))
     assert found[0] == found[1] == found[2] and len(found[0]) >= 30
+
+
+def test_fingerprint_index_joins_before_shingles_meet(spark, monkeypatch):
+    """Near duplicates come through the byte-position index of their fingerprints; shingles meet for the rest alone."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for _ in range(12):
+        base = [word() for _ in range(900)]
+        rows += [base, [*base, word()], [word(), *base[1:]]]
+    seen, likely, links = [], S._likely, S.links
+
+    def counted(pairs, *more):
+        seen.append({frozenset((r["a"], r["b"])) for r in pairs.collect()})
+        return likely(pairs, *more)
+
+    def indexed(marks, *more):
+        seen.append(marks.count())
+        return links(marks, *more)
+
+    monkeypatch.setattr(S, "_likely", counted)
+    monkeypatch.setattr(S, "links", indexed)
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in S.one_of_each(docs).collect()) == list(range(0, 36, 3))
+    # All pairs that the index covers are joined before.
+    marks = [int(S.wide_of(S.shingle_set(" ".join(r)))[0]) & (1 << 64) - 1 for r in rows]
+    apart = [(a, b) for k in range(0, 36, 3) for a, b in ((k, k + 1), (k, k + 2)) if (marks[a] ^ marks[b]).bit_count() > 4]
+    assert seen[0] == len(set(marks)) and len(seen[1]) <= len(apart) < 6
