@@ -100,3 +100,24 @@ def test_large_cases_of_multigrid_leave_the_single_task(spark, small, spans, mon
     monkeypatch.setattr(S, "solve_groups", None)
     found = _aimed(catalogue.QUERIES["solve_multigrid"](spark, small), D.target(spark, small, 7))
     assert len(found) == 7 and set(found.values()) == {(D.size(spark, small), 0.0)}
+
+
+def test_a_step_neither_shuffles_nor_rewrites_what_stays(spark, small, spans):
+    from residua.operators.storage import scratch
+
+    a, n, t = D.entries(spark, small), D.sizes(spark, small), D.target(spark, small)
+    with scratch(spark):
+        systems = B.Systems(spark, {"0": D.size(spark, small)})
+        systems.load(a)
+        systems.take(t, "t")
+        systems.take(M.diagonal(a), "d")
+        systems.step(["t", "d", "y"], {}, product=("t", "y"))
+        before, kept = dict(systems.state["0"]), ["t", "d", "y", "w"]
+        found = systems.step(kept, {"tz": ("t", "z")}, before=lambda v, s: v.update(z=2 * v["y"]), product=("z", "w"))
+        assert sorted(systems.state["0"]) == sorted(kept) and all(systems.state["0"][name] == before[name] for name in before)
+        assert systems.folders == set(systems.state["0"].values())
+        y = systems.table("y", ["0"])
+        assert "Exchange" not in y._jdf.queryExecution().executedPlan().toString()
+        both = y.join(D.rhs(spark, small).withColumnRenamed("x", "b"), ["case_id", "i"]).join(t.withColumnRenamed("x", "t"), ["case_id", "i"]).toPandas()
+        assert len(both) == D.size(spark, small) and np.allclose(both.x, both.b)
+        assert np.isclose(found["0"]["tz"], 2 * both.x @ both.t)
