@@ -121,3 +121,21 @@ def test_a_step_neither_shuffles_nor_rewrites_what_stays(spark, small, spans):
         both = y.join(D.rhs(spark, small).withColumnRenamed("x", "b"), ["case_id", "i"]).join(t.withColumnRenamed("x", "t"), ["case_id", "i"]).toPandas()
         assert len(both) == D.size(spark, small) and np.allclose(both.x, both.b)
         assert np.isclose(found["0"]["tz"], 2 * both.x @ both.t)
+
+
+def test_an_approximate_inverse_is_measured_without_pairs(spark, small, spans, monkeypatch):
+    from residua.operators import cluster as G
+    from residua.operators import inverses as N
+    from residua.plans import catalogue
+
+    monkeypatch.setattr(G, "GROUP", 8)
+    monkeypatch.setattr(G, "PAIRS", 50)
+    monkeypatch.setattr(N, "PLACES", 100)
+    a = D.symmetric_entries(spark, small)
+    pairs = G.between(a, G.lower_pattern(a))
+    want = G.product_on_pattern(G.fsai(a, pairs), pairs).toPandas().sort_values(["row", "col"])
+    found = N.fsai_products(a, D.sizes(spark, small)).toPandas().sort_values(["row", "col"])
+    assert (found[["row", "col"]].to_numpy() == want[["row", "col"]].to_numpy()).all() and np.allclose(found[["val", "product"]], want[["val", "product"]])
+    monkeypatch.setattr(G, "between", None)
+    own = catalogue.QUERIES["fsai_identity"](spark, small)
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString() and own.count() == len(want)
