@@ -139,3 +139,13 @@ def test_an_approximate_inverse_is_measured_without_pairs(spark, small, spans, m
     monkeypatch.setattr(G, "between", None)
     own = catalogue.QUERIES["fsai_identity"](spark, small)
     assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString() and own.count() == len(want)
+
+
+def test_large_cases_of_incomplete_factors_leave_the_single_task(spark, small, spans, monkeypatch):
+    from residua.operators import solve as S
+    from residua.plans import catalogue
+
+    monkeypatch.setattr(B, "IN_TASK", 100)
+    monkeypatch.setattr(S, "solve_groups", None)
+    found = _aimed(catalogue.QUERIES["solve_ilu"](spark, small), D.target(spark, small, 7))
+    assert len(found) == 7 and set(found.values()) == {(D.size(spark, small), 0.0)}
