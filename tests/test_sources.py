@@ -273,3 +273,28 @@ def test_no_task_has_the_whole_matrix_market_text(spark, small):
     found = catalogue.QUERIES["matrix_market_load"](spark, small)
     sizes = [os.path.getsize(urlparse(f).path) for f in found.inputFiles()]
     assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
+
+
+def test_inputs_in_pieces_are_those_of_whole_cases(spark, small, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from residua.plans import catalogue
+    from residua.plans import derive as D
+
+    monkeypatch.setattr(wire, "SPAN", 37)
+    a, n = D.entries(spark, small, 7).where("row < 37 or row >= 111"), D.sizes(spark, small, 7).withColumn("tolerance", F.lit(1e-6))
+    vecs = D.rhs(spark, small, 7).select("case_id", "i", F.col("x").alias("b"), F.lit(0.5).alias("x0"))
+    whole = {r["case_id"]: bytes(r["input"]) for r in wire.encode_inputs(a, vecs, n).collect()}
+    pieces = wire.write_inputs(a, vecs, n)
+    found = {}
+    for r in sorted(pieces.collect(), key=lambda r: r["at"]):
+        with open(r["path"], "rb") as file:
+            found[r["case_id"]] = found.get(r["case_id"], b"") + file.read()
+    assert found == whole and pieces.count() > 7 * 5 * 5
+    read = {r["case_id"]: (r["n"], r["nnz"], r["sum_val"]) for r in wire.read_inputs(pieces).collect()}
+    decoded = {case: wire.decode_input(data) for case, data in whole.items()}
+    assert read == {case: (d["n"], len(d["vals"]), d["vals"].sum()) for case, d in decoded.items()}
+    with pytest.raises(Exception, match="wrong size"):
+        wire.read_inputs(pieces.where("not (case_id = '2' and at > 1000)")).collect()
+    monkeypatch.setattr(wire, "encode_input", None)
+    assert catalogue.QUERIES["wire_roundtrip"](spark, small).count() == 7
