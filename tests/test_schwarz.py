@@ -112,3 +112,32 @@ def test_kept_inverses_are_not_shuffled_again(spark, monkeypatch):
     # The side of the inverses, down to where they are kept, has no exchange.
     side = plans[0].split("FlatMapCoGroupsInArrow")[1].split("InMemoryTableScan")[0]
     assert "InMemoryTableScan" in plans[0] and "Exchange" not in side
+
+
+def test_large_systems_go_by_files_of_blocks(spark, monkeypatch):
+    from residua.operators import blocks as B
+    from residua.operators import schwarz_blocks as P
+
+    a = _grid(12)
+    n = len(a)
+    monkeypatch.setattr(B, "SPAN", 60)
+    monkeypatch.setattr(P, "PAIRS", 50)
+    entries, sizes = _frame(spark, a)
+    r, target = np.cos(np.arange(float(n))), 1 + np.sin(np.arange(float(n)))
+    with scratch(spark):
+        owned = W.parts(entries, sizes, 8)
+        systems = B.Systems(spark, {sizes.first()["case_id"]: n})
+        systems.load(entries)
+        systems.take(C.M.diagonal(entries), "d")
+        systems.take(_vector(spark, r), "r")
+        deal, links = P.owners(systems, 8, 0.25)
+        assert sorted(map(tuple, W._placed(deal, 8).collect())) == sorted(map(tuple, owned.collect()))
+        members = W.overlapping(entries, owned, links=links)
+        assert _members(members) == _members(W.overlapping(entries, owned))
+        P.factors(systems, members)(systems, "r", "z")
+        found = _values(systems.table("z", systems.cases), n)
+        assert np.allclose(found, _plain(a, _members(members), True) @ r, atol=1e-10)
+    monkeypatch.setattr(B, "IN_TASK", 100)
+    monkeypatch.setattr(W, "solve_gmres", None)
+    x, steps, residual = W.solve_schwarz(entries, _vector(spark, a @ target), sizes, 1e-6, size=8)
+    assert np.allclose(_values(x, n), target, atol=1e-3) and residual <= 1e-6 and steps > 0
