@@ -15,8 +15,10 @@ def spans(monkeypatch):
     monkeypatch.setattr(B, "SPAN", 37)
 
 
-def test_levels_in_blocks_equal_those_of_one_task(spark, small, spans):
-    """Two cases in step: aggregates, coarse matrices and a cycle."""
+@pytest.mark.parametrize("entries", [2_000_000, 400])
+def test_levels_in_blocks_equal_those_of_one_task(spark, small, spans, entries, monkeypatch):
+    """Two cases in step: aggregates, coarse matrices and a cycle, by blocks that are as long on each level or not."""
+    monkeypatch.setattr(L, "ENTRIES", entries)
     a, n = D.entries(spark, small, 7).where("case_id < '3'"), D.size(spark, small)
     frame = a.toPandas()
     r = np.cos(np.arange(n))
@@ -27,7 +29,7 @@ def test_levels_in_blocks_equal_those_of_one_task(spark, small, spans):
         systems.take(M.diagonal(a), "d")
         systems.take(b, "b")
         levels = L.hierarchy(systems, coarsest=20, in_task=0)
-        assert len(levels.own) > 1 and levels.packed
+        assert len(levels.own) > 1 and levels.packed and (levels.own[1].span < 37) == (entries == 400)
         L.cycle(levels, "b", "z")
         rank, z = (systems.table(name, ["1", "2"]).toPandas() for name in ("rank", "z"))
         for case in ("1", "2"):
